@@ -1,11 +1,14 @@
-"""Column expressions that explain a prediction through its edit events."""
+"""Column expressions that explain a prediction through its edit events.
+
+Arguments are SQL text.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .sequence import EXTENSION, MISSENSE, NONSENSE, READTHROUGH, TRUNCATION, _col
+from .sequence import EXTENSION, MISSENSE, NONSENSE, READTHROUGH, TRUNCATION
 
 # Impact of each kind of edit, strongest impact first.
 IMPACTS = ("high", "moderate", "low", "unknown")
@@ -14,100 +17,74 @@ TOP_POSITIONS, TOP_IN_SUMMARY = 10, 3
 NO_EDITS = "No mutations detected — wildtype sequence."
 
 
-def impact(kind: Column) -> Column:
-    """Impact class of a kind of edit."""
+def impact_sql(kind: str) -> str:
     return (
-        F.when(kind.isin(NONSENSE, TRUNCATION), "high")
-        .when(kind.isin(MISSENSE, READTHROUGH), "moderate")
-        .when(kind == EXTENSION, "low")
-        .otherwise("unknown")
+        f"CASE WHEN {kind} IN ('{NONSENSE}', '{TRUNCATION}') THEN 'high'"
+        f" WHEN {kind} IN ('{MISSENSE}', '{READTHROUGH}') THEN 'moderate'"
+        f" WHEN {kind} = '{EXTENSION}' THEN 'low' ELSE 'unknown' END"
     )
 
 
-def annotate_edits(edits: Column | str) -> Column:
+def impact(kind: str) -> Column:
+    """Impact class of a kind of edit."""
+    return F.expr(impact_sql(kind))
+
+
+def annotate_edits(edits: str) -> Column:
     """Edit events with their impact class."""
-    return F.transform(
-        _col(edits),
-        lambda e: F.struct(
-            e["position"].alias("position"), e["ref"].alias("ref"), e["var"].alias("var"),
-            e["type"].alias("type"), impact(e["type"]).alias("impact"),
-        ),
+    return F.expr(
+        f"transform({edits}, e -> named_struct('position', e.position, 'ref', e.ref, 'var', e.var,"
+        f" 'type', e.type, 'impact', {impact_sql('e.type')}))"
     )
 
 
-def top_edits(annotated: Column | str, n: int = TOP_POSITIONS) -> Column:
+def top_edits(annotated: str, n: int = TOP_POSITIONS) -> Column:
     """The `n` strongest edits; equal impact keeps the order of the input."""
-    annotated = _col(annotated)
-    ranked = F.concat(
-        *(F.filter(annotated, lambda e, level=level: e["impact"] == level) for level in IMPACTS)
-    )
-    return F.slice(ranked, 1, n)
+    levels = ", ".join(f"filter({annotated}, e -> e.impact = '{level}')" for level in IMPACTS)
+    return F.expr(f"slice(concat({levels}), 1, {n})")
 
 
-def position_scores(
-    ref: Column | str, var: Column | str, annotated: Column | str, given: Column | str | None = None
-) -> Column:
+def position_scores(ref: str, var: str, annotated: str, given: str | None = None) -> Column:
     """One score per position of the longer text, at least one.
 
     Given scores are cut or padded with zeros to that length. Without them an
     edit scores by its impact and every other position is zero.
     """
-    n = F.greatest(F.length(_col(ref)), F.length(_col(var)), F.lit(1))
+    n = f"greatest(length({ref}), length({var}), 1)"
 
-    def zeros(count: Column) -> Column:
-        return F.array_repeat(F.lit(0.0), F.greatest(count, F.lit(0)).cast("int"))
+    def zeros(count: str) -> str:
+        return f"array_repeat(0D, CAST(greatest({count}, 0) AS int))"
 
-    events = _col(annotated)
     # Events come in order of position, one at most for each, so the scores are
     # runs of zeros with one value after every run.
-    pieces = F.transform(
-        events,
-        lambda e, i: F.concat(
-            zeros(e["position"] - F.coalesce(F.get(events, i - 1)["position"], F.lit(0)) - 1),
-            F.array(F.when(e["impact"] == "high", HIGH_SCORE).otherwise(OTHER_SCORE)),
-        ),
-    )
-    last = F.coalesce(F.try_element_at(events, F.lit(-1))["position"], F.lit(0))
-    ruled = F.concat(F.flatten(pieces), zeros(n - last))
+    gap = zeros(f"e.position - coalesce(get({annotated}, i - 1).position, 0) - 1")
+    own = f"array(if(e.impact = 'high', {HIGH_SCORE}D, {OTHER_SCORE}D))"
+    last = f"coalesce(try_element_at({annotated}, -1).position, 0)"
+    ruled = f"concat(flatten(transform({annotated}, (e, i) -> concat({gap}, {own}))), {zeros(f'{n} - {last}')})"
     if given is None:
-        return ruled
-    given = _col(given).cast("array<double>")
-    fitted = F.slice(F.concat(given, zeros(n - F.size(given))), F.lit(1), n)
-    return F.when(given.isNotNull(), fitted).otherwise(ruled)
+        return F.expr(ruled)
+    scores = f"CAST({given} AS array<double>)"
+    fitted = f"slice(concat({scores}, {zeros(f'{n} - size({scores})')}), 1, {n})"
+    return F.expr(f"CASE WHEN {given} IS NOT NULL THEN {fitted} ELSE {ruled} END")
 
 
-def _percent(share: Column, digits: int) -> Column:
-    return F.format_string(f"%.{digits}f%%", F.bround(share * 100, digits))
+def _percent_sql(share: str, digits: int) -> str:
+    return f"format_string('%.{digits}f%%', bround(CAST({share} AS double) * 100, {digits}))"
 
 
-def summary(
-    name: Column | str,
-    prediction: Column | str,
-    confidence: Column | str,
-    ref: Column | str,
-    var: Column | str,
-    annotated: Column | str,
-) -> Column:
+def summary(name: str, prediction: str, confidence: str, ref: str, var: str, annotated: str) -> Column:
     """One line of text that names the call, its strongest edits and the rest."""
-    annotated, ref, var = _col(annotated), _col(ref), _col(var)
-    head = F.concat(
-        _col(name), F.lit(": "), _col(prediction),
-        F.lit(" (confidence="), _percent(_col(confidence).cast("double"), 2), F.lit(")"),
-    )
-    lost = 1 - F.length(var) / F.greatest(F.length(ref), F.lit(1))
-    strong = F.slice(F.filter(annotated, lambda e: e["impact"] == "high"), 1, TOP_IN_SUMMARY)
-    lines = F.transform(
-        strong,
-        lambda e: F.when(
-            e["type"] == NONSENSE,
-            F.concat(
-                F.lit("Premature stop at position "), e["position"].cast("string"),
-                F.lit(" ("), e["ref"], F.lit("→*)"),
-            ),
-        ).otherwise(F.concat(F.lit("Truncation: "), _percent(lost, 0), F.lit(" of protein lost"))),
+    head = f"concat({name}, ': ', {prediction}, ' (confidence=', {_percent_sql(confidence, 2)}, ')')"
+    lost = _percent_sql(f"1 - length({var}) / greatest(length({ref}), 1)", 0)
+    lines = (
+        f"transform(slice(filter({annotated}, e -> e.impact = 'high'), 1, {TOP_IN_SUMMARY}), e ->"
+        f" CASE WHEN e.type = '{NONSENSE}'"
+        f" THEN concat('Premature stop at position ', e.position, ' (', e.ref, '→*)')"
+        f" ELSE concat('Truncation: ', {lost}, ' of protein lost') END)"
     )
-    moderate = F.size(F.filter(annotated, lambda e: e["impact"] == "moderate"))
-    rest = F.when(moderate > 0, F.concat(moderate.cast("string"), F.lit(" missense mutation(s)")))
-    return F.when(F.size(annotated) == 0, F.concat_ws(" | ", head, F.lit(NO_EDITS))).otherwise(
-        F.concat_ws(" | ", head, lines, rest)
+    moderate = f"size(filter({annotated}, e -> e.impact = 'moderate'))"
+    rest = f"CASE WHEN {moderate} > 0 THEN concat({moderate}, ' missense mutation(s)') END"
+    return F.expr(
+        f"CASE WHEN size({annotated}) = 0 THEN concat_ws(' | ', {head}, '{NO_EDITS}')"
+        f" ELSE concat_ws(' | ', {head}, {lines}, {rest}) END"
     )

@@ -1,4 +1,4 @@
-"""Loss terms per row, to be averaged into evaluation figures."""
+"""Loss terms per row, to be averaged into evaluation figures. Arguments are SQL text."""
 
 from __future__ import annotations
 
@@ -7,60 +7,44 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .sequence import _col
-from .vector import _total, as_doubles, let
+from .vector import doubles_sql, let_sql, total_sql
 
 
-def log_softmax(logits: Column | str) -> Column:
-    """Logarithms of the class probabilities of a row of logits."""
+def log_softmax_sql(logits: str) -> str:
+    shifted = let_sql("top", "array_max(v)", "transform(v, x -> x - top)")
+    total = "ln(aggregate(s, 0D, (acc, x) -> acc + exp(x)))"
+    normed = let_sql("total", total, "transform(s, x -> x - total)")
+    return let_sql("s", let_sql("v", doubles_sql(logits), shifted), normed)
 
-    def shifted(v: Column) -> Column:
-        return let(F.array_max(v), lambda top: F.transform(v, lambda x: x - top))
 
-    def normed(s: Column) -> Column:
-        total = F.log(F.aggregate(s, F.lit(0.0), lambda acc, x: acc + F.exp(x)))
-        return let(total, lambda t: F.transform(s, lambda x: x - t))
-
-    return let(let(as_doubles(logits), shifted), normed)
+def cross_entropy_sql(
+    logits: str, label: str, smoothing: float = 0.0, weights: Sequence[float] | None = None
+) -> str:
+    costs = "transform(logp, x -> -x)"
+    if weights is not None:
+        listed = ", ".join(f"{float(w)!r}D" for w in weights)
+        costs = f"zip_with(logp, array({listed}), (x, w) -> -x * w)"
+    own = f"c[{label}] * {1.0 - smoothing!r}D + {total_sql('c')} * {float(smoothing)!r}D / size(c)"
+    return let_sql("logp", log_softmax_sql(logits), let_sql("c", costs, own))
 
 
 def cross_entropy(
-    logits: Column | str,
-    label: Column | str,
-    smoothing: float = 0.0,
-    weights: Sequence[float] | None = None,
+    logits: str, label: str, smoothing: float = 0.0, weights: Sequence[float] | None = None
 ) -> Column:
     """Cross-entropy of a row, with label smoothing and optional class weights."""
-    label = _col(label).cast("int")
-
-    def terms(logp: Column) -> Column:
-        costs = (
-            F.transform(logp, lambda x: -x)
-            if weights is None
-            else F.zip_with(logp, F.array(*(F.lit(float(w)) for w in weights)), lambda x, w: -x * w)
-        )
-        own = let(costs, lambda c: F.get(c, label) * (1.0 - smoothing)
-                  + _total(c) * smoothing / F.size(c))
-        return own
-
-    return let(log_softmax(logits), terms)
+    return F.expr(cross_entropy_sql(logits, label, smoothing, weights))
 
 
 def focal_loss(
-    logits: Column | str,
-    label: Column | str,
-    gamma: float = 2.0,
-    smoothing: float = 0.0,
+    logits: str, label: str, gamma: float = 2.0, smoothing: float = 0.0,
     weights: Sequence[float] | None = None,
 ) -> Column:
     """Cross-entropy scaled down where the model is already sure."""
-    return let(
-        cross_entropy(logits, label, smoothing, weights),
-        lambda ce: F.pow(1 - F.exp(-ce), F.lit(float(gamma))) * ce,
-    )
+    ce = cross_entropy_sql(logits, label, smoothing, weights)
+    return F.expr(let_sql("ce", ce, f"pow(1 - exp(-ce), {float(gamma)!r}D) * ce"))
 
 
-def smooth_l1(predicted: Column | str, target: Column | str) -> Column:
+def smooth_l1(predicted: str, target: str) -> Column:
     """Quadratic below an error of one, linear above."""
-    error = F.abs(_col(predicted).cast("double") - _col(target).cast("double"))
-    return F.when(error < 1.0, error * error / 2).otherwise(error - 0.5)
+    error = f"CAST({predicted} AS double) - CAST({target} AS double)"
+    return F.expr(let_sql("e", f"abs({error})", "if(e < 1, e * e / 2, e - 0.5D)"))

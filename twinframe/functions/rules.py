@@ -1,6 +1,7 @@
 """Row rules used in curation: keyword tests, labels, lookups, defaults.
 
-Keyword lists and lookup maps are arguments; none is built in.
+Keyword lists and lookup maps are arguments; none is built in. Column arguments
+are names of columns.
 """
 
 from __future__ import annotations
@@ -11,8 +12,6 @@ from collections.abc import Iterable, Mapping, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .sequence import _col, strip_blanks  # noqa: F401
-
 # Words that mark a column as naming an organism.
 TAXON_WORDS = ("organism", "species", "taxon")
 
@@ -52,67 +51,61 @@ def keyword_match(
     return found
 
 
-def contains_any(text: Column | str, words: Sequence[str]) -> Column:
+def contains_any(text: str, words: Sequence[str]) -> Column:
     """True where any of the words occurs literally in the lower-cased text."""
     if not words:
         return F.lit(False)
     pattern = "|".join(re.escape(w) for w in words)
-    return F.coalesce(F.lower(_col(text)).rlike(pattern), F.lit(False))
+    return F.coalesce(F.lower(text).rlike(pattern), F.lit(False))
 
 
-def held_out(group: Column | str, names: Sequence[str]) -> Column:
+def held_out(group: str, names: Sequence[str]) -> Column:
     """True where the group contains one of the names, without regard to case."""
     return contains_any(group, [n.lower() for n in names])
 
 
-def has_score(score: Column | str) -> Column:
+def has_score(score: str) -> Column:
     """True for a score that is neither null nor NaN."""
-    score = _col(score)
-    return score.isNotNull() & ~F.isnan(score)
+    return F.col(score).isNotNull() & ~F.isnan(score)
 
 
-def threshold_label(z: Column | str, low: float = 1.0, high: float = 1.0) -> Column:
+def threshold_label(z: str, low: float = 1.0, high: float = 1.0) -> Column:
     """0 below `-low`, 2 above `high`, else 1; the cuts themselves, null and NaN give 1."""
-    z = _col(z)
-    return (
-        F.when(F.isnan(z), 1).when(z < -low, 0).when(z > high, 2).otherwise(1).cast("int")
-    )
+    return F.expr(f"CASE WHEN isnan({z}) THEN 1 WHEN {z} < {-low!r}D THEN 0 WHEN {z} > {high!r}D THEN 2 ELSE 1 END")
 
 
-def is_changed_pair(ref: Column | str, var: Column | str) -> Column:
+def is_changed_pair(ref: str, var: str) -> Column:
     """True where the variant is not empty and differs from the reference."""
-    ref, var = _col(ref), _col(var)
-    return (F.length(var) > 0) & (var != ref)
+    return (F.length(var) > 0) & (F.col(var) != F.col(ref))
 
 
-def not_empty(*texts: Column | str) -> Column:
-    found = F.lit(True)
-    for text in texts:
-        found = found & (F.length(_col(text)) > 0)
-    return found
+def not_empty(*texts: str) -> Column:
+    """True where every text holds something; null does not."""
+    return F.expr(" AND ".join(f"length({t}) > 0" for t in texts))
+
+
+def _map(names: Mapping[str, str]) -> Column:
+    return F.create_map(*(F.lit(x) for pair in names.items() for x in pair))
 
 
-def first_known_token(text: Column | str, names: Mapping[str, str], separator: str = "_") -> Column:
+def first_known_token(text: str, names: Mapping[str, str], separator: str = "_") -> Column:
     """Name of the first token found in the map, upper-cased first; `''` if none is."""
     if not names:
         return F.lit("")
-    known = F.create_map(*(F.lit(x) for pair in names.items() for x in pair))
-    tokens = F.split(F.upper(_col(text)), re.escape(separator))
+    tokens = F.split(F.upper(text), re.escape(separator))
     hit = F.get(F.filter(tokens, lambda t: t.isin(*names)), 0)
-    return F.coalesce(F.try_element_at(known, hit), F.lit(""))
+    return F.coalesce(F.try_element_at(_map(names), hit), F.lit(""))
 
 
-def code_label(code: Column | str, labels: Mapping[str, str], default: str) -> Column:
+def code_label(code: str, labels: Mapping[str, str], default: str) -> Column:
     """Label of a code, or the default for a code the map does not hold."""
     if not labels:
         return F.lit(default)
-    known = F.create_map(*(F.lit(x) for pair in labels.items() for x in pair))
-    return F.coalesce(F.try_element_at(known, _col(code)), F.lit(default))
+    return F.coalesce(F.try_element_at(_map(labels), F.col(code)), F.lit(default))
 
 
 def score_or_zero(columns: Sequence[str], score: str) -> Column:
     """The score, 0.0 for null or NaN and where the column is missing."""
     if score not in columns:
         return F.lit(0.0)
-    value = F.col(score).cast("double")
-    return F.coalesce(F.nanvl(value, F.lit(0.0)), F.lit(0.0))
+    return F.expr(f"coalesce(nanvl(CAST({score} AS double), 0D), 0D)")

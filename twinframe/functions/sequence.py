@@ -2,6 +2,12 @@
 
 Everything here is a native Spark expression: nothing crosses into Python at
 run time, so the functions work in batch, in SQL projections and on streams.
+
+Arguments are SQL text, mostly the name of a column. Each expression is written
+as one piece of SQL, which Spark parses in one step; built up call by call, the
+nested array lambdas would take seconds of driver time. The `*_sql` functions
+give the text itself, to be put together with others.
+
 Positions in edit events are 1-based; positions taken by the editing functions
 (`substitute_char`, `insert_text`, `delete_span`) are 0-based.
 """
@@ -33,168 +39,151 @@ UNKNOWN_PRODUCT = "X"
 
 # Texts are compared in blocks of this many characters, and only blocks that
 # differ are opened up character by character.
-BLOCK = 64
-
+BLOCK = 32
 
-def _col(c: Column | str) -> Column:
-    return F.col(c) if isinstance(c, str) else c
 
-
-def chars(text: Column | str) -> Column:
-    """The characters of a string as an array, empty for the empty string."""
-    text = _col(text)
-    return F.when(F.length(text) > 0, F.split(text, "")).otherwise(F.array().cast("array<string>"))
+def find_edits_sql(ref: str, var: str) -> str:
+    r, v = f"coalesce({ref}, '')", f"coalesce({var}, '')"
+    blocks = f"R'(?s).{{1,{BLOCK}}}'"
+    # The fields of a zipped array are named by their place.
+    zipped = (
+        f"arrays_zip(regexp_extract_all({r}, {blocks}, 0), regexp_extract_all({v}, {blocks}, 0),"
+        f" sequence(0, greatest(length({r}), length({v})), {BLOCK}))"
+    )
+    # Where one text has ended the comparison is null, which drops the place.
+    opened = (
+        f"filter(arrays_zip(split(b.`0`, ''), split(b.`1`, ''), sequence(b.`2` + 1, b.`2` + {BLOCK})),"
+        f" p -> p.`0` <> p.`1`)"
+    )
+    inner = (
+        f"transform(flatten(transform(filter({zipped}, b -> b.`0` <> b.`1`), b -> {opened})),"
+        f" p -> named_struct('position', p.`2`, 'ref', p.`0`, 'var', p.`1`, 'type',"
+        f" CASE WHEN p.`1` = '{STOP}' THEN '{NONSENSE}' WHEN p.`0` = '{STOP}' THEN '{READTHROUGH}'"
+        f" ELSE '{MISSENSE}' END))"
+    )
+    none = f"CAST(array() AS {EDIT_TYPE})"
+    tail = (
+        f"CASE WHEN length({v}) < length({r}) THEN array(named_struct('position', length({v}) + 1,"
+        f" 'ref', substr({r}, length({v}) + 1, 1), 'var', '{GAP}', 'type', '{TRUNCATION}'))"
+        f" WHEN length({v}) > length({r}) THEN array(named_struct('position', length({r}) + 1,"
+        f" 'ref', '{GAP}', 'var', substr({v}, length({r}) + 1, 1), 'type', '{EXTENSION}'))"
+        f" ELSE {none} END"
+    )
+    return f"CASE WHEN {r} = {v} THEN {none} ELSE concat(CAST({inner} AS {EDIT_TYPE}), {tail}) END"
 
 
-def find_edits(ref: Column | str, var: Column | str) -> Column:
+def find_edits(ref: str, var: str) -> Column:
     """Typed edit events between two strings compared position by position.
 
     One event per differing position, then at most one event for the tail: a
     truncation where the variant is shorter, an extension where it is longer.
     Null counts as the empty string.
     """
-    ref, var = F.coalesce(_col(ref), F.lit("")), F.coalesce(_col(var), F.lit(""))
-    blocks = F.lit(f"(?s).{{1,{BLOCK}}}")
-    paired = F.arrays_zip(
-        F.regexp_extract_all(ref, blocks, F.lit(0)).alias("r"),
-        F.regexp_extract_all(var, blocks, F.lit(0)).alias("v"),
-    )
-    numbered = F.transform(
-        paired, lambda b, k: F.struct(b["r"].alias("r"), b["v"].alias("v"), (k * BLOCK).alias("start"))
-    )
+    return F.expr(find_edits_sql(ref, var))
 
-    def open_block(block: Column) -> Column:
-        letters = F.arrays_zip(F.split(block["r"], "").alias("r"), F.split(block["v"], "").alias("v"))
-        events = F.transform(
-            letters,
-            lambda p, i: F.struct(
-                (block["start"] + i + 1).cast("int").alias("position"),
-                p["r"].alias("ref"),
-                p["v"].alias("var"),
-                F.when(p["v"] == STOP, NONSENSE).when(p["r"] == STOP, READTHROUGH)
-                .otherwise(MISSENSE).alias("type"),
-            ),
-        )
-        # Where one text has ended the comparison is null, which drops the event.
-        return F.filter(events, lambda e: e["ref"] != e["var"])
-
-    inner = F.flatten(F.transform(F.filter(numbered, lambda b: b["r"] != b["v"]), open_block))
-    n_ref, n_var = F.length(ref), F.length(var)
-    tail = F.when(
-        n_var < n_ref,
-        F.array(F.struct(
-            (n_var + 1).alias("position"), F.substring(ref, n_var + 1, F.lit(1)).alias("ref"),
-            F.lit(GAP).alias("var"), F.lit(TRUNCATION).alias("type"))),
-    ).when(
-        n_var > n_ref,
-        F.array(F.struct(
-            (n_ref + 1).alias("position"), F.lit(GAP).alias("ref"),
-            F.substring(var, n_ref + 1, F.lit(1)).alias("var"), F.lit(EXTENSION).alias("type"))),
-    )
-    none = F.array().cast(EDIT_TYPE)
-    return F.when(ref == var, none).otherwise(
-        F.concat(inner.cast(EDIT_TYPE), F.coalesce(tail.cast(EDIT_TYPE), none))
+
+def premature_stop_sql(ref: str, var: str) -> str:
+    return (
+        f"(instr({var}, '{STOP}') > 0 AND (instr({ref}, '{STOP}') = 0"
+        f" OR instr({var}, '{STOP}') < instr({ref}, '{STOP}')))"
     )
 
 
-def has_premature_stop(ref: Column | str, var: Column | str) -> Column:
+def has_premature_stop(ref: str, var: str) -> Column:
     """True where the variant has a stop before the first one of the reference."""
-    at_ref, at_var = F.instr(_col(ref), STOP), F.instr(_col(var), STOP)
-    return (at_var > 0) & ((at_ref == 0) | (at_var < at_ref))
+    return F.expr(premature_stop_sql(ref, var))
 
 
-def effective_length(text: Column | str) -> Column:
+def effective_length_sql(text: str) -> str:
+    return f"if(instr({text}, '{STOP}') > 0, instr({text}, '{STOP}') - 1, length({text}))"
+
+
+def effective_length(text: str) -> Column:
     """Length up to the first stop, or the whole length without one."""
-    text = _col(text)
-    stop = F.instr(text, STOP)
-    return F.when(stop > 0, stop - 1).otherwise(F.length(text))
+    return F.expr(effective_length_sql(text))
+
+
+def truncation_fraction_sql(ref: str, var: str) -> str:
+    n_ref, n_var = effective_length_sql(ref), effective_length_sql(var)
+    return f"CASE WHEN {n_var} < {n_ref} THEN ({n_ref} - {n_var}) / {n_ref} ELSE 0D END"
 
 
-def truncation_fraction(ref: Column | str, var: Column | str) -> Column:
+def truncation_fraction(ref: str, var: str) -> Column:
     """Share of the reference lost in the variant, counted up to the first stop."""
-    n_ref, n_var = effective_length(ref), effective_length(var)
-    return F.when(n_var < n_ref, (n_ref - n_var) / n_ref).otherwise(F.lit(0.0))
+    return F.expr(truncation_fraction_sql(ref, var))
 
 
-def positional_differences(edits: Column) -> Column:
-    """Number of events that are not the tail event."""
-    return F.size(F.filter(edits, lambda e: ~e["type"].isin(TRUNCATION, EXTENSION)))
+def sequence_identity_sql(ref: str, var: str, edits: str | None = None) -> str:
+    r, v = f"coalesce({ref}, '')", f"coalesce({var}, '')"
+    events = find_edits_sql(ref, var) if edits is None else edits
+    differing = f"size(filter({events}, e -> e.type NOT IN ('{TRUNCATION}', '{EXTENSION}')))"
+    return (
+        f"CASE WHEN greatest(length({r}), length({v})) = 0 THEN 1D"
+        f" ELSE (least(length({r}), length({v})) - {differing}) / greatest(length({r}), length({v})) END"
+    )
 
 
-def sequence_identity(ref: Column | str, var: Column | str, edits: Column | None = None) -> Column:
+def sequence_identity(ref: str, var: str, edits: str | None = None) -> Column:
     """Matching positions over the longer length; two empty strings are identical.
 
     Pass `edits` where they are at hand, so that the texts are compared once.
     """
-    ref, var = F.coalesce(_col(ref), F.lit("")), F.coalesce(_col(var), F.lit(""))
-    differing = positional_differences(find_edits(ref, var) if edits is None else edits)
-    shorter = F.least(F.length(ref), F.length(var))
-    longer = F.greatest(F.length(ref), F.length(var))
-    return F.when(longer == 0, F.lit(1.0)).otherwise((shorter - differing) / longer)
+    return F.expr(sequence_identity_sql(ref, var, edits))
 
 
-def region(position: Column | str, length: Column | str) -> Column:
-    """Which part of a text a 1-based position falls in: first or last fifth, or between."""
-    position, length = _col(position), _col(length)
-    share = position / length
+def region_sql(position: str, length: str) -> str:
     return (
-        F.when(length == 0, "none")
-        .when(share <= 0.2, "N-terminal")
-        .when(share >= 0.8, "C-terminal")
-        .otherwise("middle")
+        f"CASE WHEN {length} = 0 THEN 'none' WHEN {position} / {length} <= 0.2D THEN 'N-terminal'"
+        f" WHEN {position} / {length} >= 0.8D THEN 'C-terminal' ELSE 'middle' END"
     )
 
 
-def apply_edit_codes(ref: Column | str, codes: Column | str) -> Column:
-    """Apply edit codes such as `A23T:G45R` one after the other.
+def region(position: str, length: str) -> Column:
+    """Which part of a text a 1-based position falls in: first or last fifth, or between."""
+    return F.expr(region_sql(position, length))
 
-    A code is left out where it is shorter than three characters, its middle is
-    no integer, its position lies outside the text, or its first character is
-    not what the text, as edited so far, holds there. `;` separates as `:` does.
-    """
-    ref, codes = _col(ref), F.coalesce(_col(codes), F.lit(""))
-    parts = F.transform(F.split(codes, "[:;]"), lambda p: strip_blanks(p))
+
+def strip_blanks_sql(text: str) -> str:
+    return rf"regexp_replace({text}, R'^\s+|\s+$', '')"
+
+
+def strip_blanks(text: str) -> Column:
+    """Drop white space of every kind at both ends (`trim` drops blanks only)."""
+    return F.expr(strip_blanks_sql(text))
+
+
+def apply_edit_codes_sql(ref: str, codes: str) -> str:
     # The integer may carry a sign, blanks around it and single underscores
     # between digits.
-    integer = r"^\s*[+-]?\d+(_\d+)*\s*$"
-
-    def parse(part: Column) -> Column:
-        middle = F.substring(part, F.lit(2), F.length(part) - 2)
-        number = F.when(
-            middle.rlike(integer), F.regexp_replace(middle, r"[\s_]", "").try_cast("bigint")
-        )
-        return F.struct(
-            F.left(part, F.lit(1)).alias("old"),
-            F.right(part, F.lit(1)).alias("new"),
-            number.alias("position"),
-        )
-
-    parsed = F.filter(
-        F.transform(F.filter(parts, lambda p: F.length(p) >= 3), parse),
-        lambda e: (e["position"] >= 1) & (e["position"] <= F.length(ref)),
+    number = (
+        r"if(substr(c, 2, length(c) - 2) RLIKE R'^\s*[+-]?\d+(_\d+)*\s*$',"
+        r" try_cast(regexp_replace(substr(c, 2, length(c) - 2), R'[\s_]', '') AS int), NULL)"
     )
-    placed = F.transform(
-        parsed, lambda e: F.struct(e["old"], e["new"], e["position"].cast("int").alias("position"))
+    parts = f"transform(split(coalesce({codes}, ''), '[:;]'), c -> {strip_blanks_sql('c')})"
+    parsed = (
+        f"transform(filter({parts}, c -> length(c) >= 3), c -> named_struct("
+        f"'old', left(c, 1), 'new', right(c, 1), 'at', {number}))"
     )
-    return F.aggregate(
-        placed,
-        ref,
-        lambda text, e: F.when(
-            F.substring(text, e["position"], F.lit(1)) == e["old"],
-            F.overlay(text, e["new"], e["position"], F.lit(1)),
-        ).otherwise(text),
+    return (
+        f"aggregate(filter({parsed}, e -> e.at BETWEEN 1 AND length({ref})), {ref}, (t, e) ->"
+        f" if(substr(t, e.at, 1) = e.old, overlay(t PLACING e.new FROM e.at FOR 1), t))"
     )
 
 
-def strip_blanks(text: Column | str) -> Column:
-    """Drop white space of every kind at both ends (`trim` drops blanks only)."""
-    return F.regexp_replace(_col(text), r"^\s+|\s+$", "")
+def apply_edit_codes(ref: str, codes: str) -> Column:
+    """Apply edit codes such as `A23T:G45R` one after the other.
 
+    A code is left out where it is shorter than three characters, its middle is
+    no integer, its position lies outside the text, or its first character is
+    not what the text, as edited so far, holds there. `;` separates as `:` does.
+    """
+    return F.expr(apply_edit_codes_sql(ref, codes))
 
-def build_variant(ref: Column | str, codes: Column | str, given: Column | str | None = None) -> Column:
+
+def build_variant(ref: str, codes: str, given: str | None = None) -> Column:
     """The variant text: the given one where there is one, else the edited reference."""
-    edited = apply_edit_codes(ref, codes)
-    return edited if given is None else F.coalesce(_col(given), edited)
+    edited = apply_edit_codes_sql(ref, codes)
+    return F.expr(edited if given is None else f"coalesce({given}, {edited})")
 
 
 def _product_of(codon: str) -> str:
@@ -204,113 +193,120 @@ def _product_of(codon: str) -> str:
     return products if len(products) == 1 else AMBIGUOUS_PRODUCTS.get(products, UNKNOWN_PRODUCT)
 
 
-def translate(dna: Column | str, to_stop: bool = False) -> Column:
+def translate_sql(dna: str, to_stop: bool = False) -> str:
+    text = f"translate(upper({dna}), 'U', 'T')"
+    letters = "".join(AMBIGUITY)
+
+    def products(alphabet: str, table: str) -> str:
+        n = len(alphabet)
+        a, b, c = (f"instr('{alphabet}', substr(c, {i}, 1))" for i in (1, 2, 3))
+        codons = f"regexp_extract_all({text}, '(?s).{{3}}', 0)"
+        place = f"({a} - 1) * {n * n} + ({b} - 1) * {n} + {c}"
+        return f"array_join(transform({codons}, c -> substr('{table}', {place}, 1)), '')"
+
+    # The large table only serves texts that do hold ambiguity letters.
+    small = products(BASES, CODON_PRODUCTS)
+    large = products(letters, "".join(_product_of("".join(c)) for c in product(letters, repeat=3)))
+    complete = f"left({text}, length({text}) - length({text}) % 3)"
+    protein = (
+        rf"CASE WHEN {complete} RLIKE R'\A[{BASES}]*\z' THEN {small}"
+        rf" WHEN {complete} RLIKE R'\A[{letters}]*\z' THEN {large}"
+        rf" WHEN {dna} IS NOT NULL THEN '' END"
+    )
+    return f"substring_index({protein}, '{STOP}', 1)" if to_stop else protein
+
+
+def translate(dna: str, to_stop: bool = False) -> Column:
     """Translate codons to one-letter products, `*` for a stop.
 
     Upper-cases, reads U as T and drops an incomplete last codon. Ambiguity
     letters are resolved where every reading gives the same product. A letter
     outside the alphabet makes the result empty. Null stays null.
     """
-    letters = "".join(AMBIGUITY)
-    products = F.split(F.lit("".join(_product_of("".join(c)) for c in product(letters, repeat=3))), "")
-    text = F.translate(F.upper(_col(dna)), "U", "T")
-    codons = F.regexp_extract_all(text, F.lit("(?s).{3}"), F.lit(0))
-    n = len(letters)
+    return F.expr(translate_sql(dna, to_stop))
 
-    def at(codon: Column, i: int) -> Column:
-        return F.instr(F.lit(letters), F.substring(codon, i, 1)) - 1
 
-    # Work out plain codons with the small table; the large one only serves
-    # texts that do hold ambiguity letters.
-    small = F.split(F.lit(CODON_PRODUCTS), "")
-
-    def base(codon: Column, i: int) -> Column:
-        return F.instr(F.lit(BASES), F.substring(codon, i, 1)) - 1
-
-    plain = F.transform(codons, lambda c: F.get(small, base(c, 1) * 16 + base(c, 2) * 4 + base(c, 3)))
-    full = F.transform(codons, lambda c: F.get(products, at(c, 1) * n * n + at(c, 2) * n + at(c, 3)))
-    complete = F.substring(text, F.lit(1), (F.length(text) / 3).cast("int") * 3)
-    protein = (
-        F.when(complete.rlike(f"^[{BASES}]*$"), F.array_join(plain, ""))
-        .when(complete.rlike(f"^[{letters}]*$"), F.array_join(full, ""))
-        .when(text.isNotNull(), F.lit(""))
-    )
-    return F.substring_index(protein, STOP, 1) if to_stop else protein
+def is_nucleotide_sql(text: str, first: int = 100) -> str:
+    return rf"(left({text}, {first}) RLIKE R'\A[ATGCN]*\z')"
 
 
-def is_nucleotide(text: Column | str, first: int = 100) -> Column:
+def is_nucleotide(text: str, first: int = 100) -> Column:
     """True where the first characters are all of `ATGCN`; true for the empty string."""
-    return F.substring(_col(text), 1, first).rlike(r"\A[ATGCN]*\z")
+    return F.expr(is_nucleotide_sql(text, first))
 
 
-def _checked(ok: Column, value: Column, position: Column, text: Column, strict: bool) -> Column:
+def _checked_sql(ok: str, value: str, position: str, text: str, strict: bool) -> str:
     if not strict:
-        return F.when(ok, value)
-    message = F.format_string(
-        "Position %d out of range for sequence of length %d", position.cast("long"), F.length(text)
-    )
+        return f"CASE WHEN {ok} THEN {value} END"
     # A null position or text gives null; only a real position can be out of range.
-    return F.when(ok, value).when(~ok, F.raise_error(message).cast("string"))
+    return (
+        f"CASE WHEN {ok} THEN {value} WHEN NOT ({ok}) THEN CAST(raise_error(format_string("
+        f"'Position %d out of range for sequence of length %d', CAST({position} AS bigint),"
+        f" length({text}))) AS string) END"
+    )
+
+
+def substitute_char_sql(text: str, position: str, new: str, strict: bool = True) -> str:
+    at = f"CAST({position} AS int)"
+    edited = f"concat(left({text}, {at}), upper({new}), substr({text}, {at} + 2))"
+    ok = f"{position} >= 0 AND {position} < length({text})"
+    return _checked_sql(ok, edited, position, text, strict)
+
+
+def insert_text_sql(text: str, position: str, new: str, strict: bool = True) -> str:
+    at = f"CAST({position} AS int)"
+    edited = f"concat(left({text}, {at}), upper({new}), substr({text}, {at} + 1))"
+    ok = f"{position} >= 0 AND {position} <= length({text})"
+    return _checked_sql(ok, edited, position, text, strict)
+
 
+def delete_span_sql(text: str, start: str, length: str, strict: bool = True) -> str:
+    at = f"CAST({start} AS int)"
+    edited = f"concat(left({text}, {at}), substr({text}, {at} + CAST({length} AS int) + 1))"
+    ok = f"{start} >= 0 AND {start} < length({text})"
+    return _checked_sql(ok, edited, start, text, strict)
 
-def substitute_char(
-    text: Column | str, position: Column | str, new: Column | str, strict: bool = True
-) -> Column:
+
+def substitute_char(text: str, position: str, new: str, strict: bool = True) -> Column:
     """Replace the character at a 0-based position by `new`, upper-cased.
 
     Out of range raises an error, or gives null with `strict=False`.
     """
-    text, position, new = _col(text), _col(position), _col(new)
-    ok = (position >= 0) & (position < F.length(text))
-    at = position.cast("int")
-    edited = F.concat(
-        F.substring(text, F.lit(1), at), F.upper(new), F.substring(text, at + 2, F.length(text))
-    )
-    return _checked(ok, edited, position, text, strict)
+    return F.expr(substitute_char_sql(text, position, new, strict))
 
 
-def insert_text(
-    text: Column | str, position: Column | str, new: Column | str, strict: bool = True
-) -> Column:
+def insert_text(text: str, position: str, new: str, strict: bool = True) -> Column:
     """Insert `new`, upper-cased, before a 0-based position; the end is allowed."""
-    text, position, new = _col(text), _col(position), _col(new)
-    ok = (position >= 0) & (position <= F.length(text))
-    at = position.cast("int")
-    edited = F.concat(
-        F.substring(text, F.lit(1), at), F.upper(new), F.substring(text, at + 1, F.length(text))
-    )
-    return _checked(ok, edited, position, text, strict)
+    return F.expr(insert_text_sql(text, position, new, strict))
 
 
-def delete_span(
-    text: Column | str, start: Column | str, length: Column | str, strict: bool = True
-) -> Column:
+def delete_span(text: str, start: str, length: str, strict: bool = True) -> Column:
     """Delete `length` characters from a 0-based position, at most to the end."""
-    text, start, length = _col(text), _col(start), _col(length)
-    ok = (start >= 0) & (start < F.length(text))
-    at = start.cast("int")
-    edited = F.concat(
-        F.substring(text, F.lit(1), at),
-        F.substring(text, at + length.cast("int") + 1, F.length(text)),
-    )
-    return _checked(ok, edited, start, text, strict)
+    return F.expr(delete_span_sql(text, start, length, strict))
 
 
-def content_key(text: Column | str, digits: int = 16) -> Column:
+def content_key(text: str, digits: int = 16) -> Column:
     """Hex digits of the SHA-256 of a text.
 
     16 digits are the compact form for reports and file names. Joins on many
     texts should take all 64, which cannot collide in practice.
     """
-    key = F.sha2(_col(text), 256)
-    return key if digits >= 64 else F.substring(key, 1, digits)
+    return F.expr(f"left(sha2({text}, 256), {digits})" if digits < 64 else f"sha2({text}, 256)")
 
 
-def clip(text: Column | str, max_length: int = 1024) -> Column:
+def clip_sql(text: str, max_length: int = 1024) -> str:
+    return f"left(coalesce({text}, ''), {max_length})"
+
+
+def clip(text: str, max_length: int = 1024) -> Column:
     """The first `max_length` characters; null counts as the empty string."""
-    return F.substring(F.coalesce(_col(text), F.lit("")), 1, max_length)
+    return F.expr(clip_sql(text, max_length))
+
+
+def drop_stops_sql(text: str) -> str:
+    return f"replace({text}, '{STOP}', '')"
 
 
-def drop_stops(text: Column | str) -> Column:
+def drop_stops(text: str) -> Column:
     """Remove stop markers, as the last step before encoding and never before features."""
-    return F.replace(_col(text), F.lit(STOP), F.lit(""))
+    return F.expr(drop_stops_sql(text))

@@ -6,11 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.sequence import (
-    delete_span,
+    delete_span_sql,
     drop_stops,
-    insert_text,
+    insert_text_sql,
     is_nucleotide,
-    substitute_char,
+    substitute_char_sql,
     translate,
 )
 from .spread import lookup_join
@@ -21,54 +21,40 @@ RADIX_BITS = 6
 LEVELS = 5
 
 
-def _range(start: Column, end: Column) -> Column:
-    """Whole numbers from `start` up to but without `end`, maybe none."""
-    return F.when(start < end, F.sequence(start, end - 1)).otherwise(
-        F.array().cast("array<bigint>")
-    )
-
-
-def interval_blocks(start: Column, end: Column) -> Column:
+def interval_blocks_sql(start: str, end: str) -> str:
     """The fewest aligned blocks that make up `[start, end)`, as (level, block) structs.
 
     On each level the blocks are those inside the interval that no block of the
     next level covers, so there are at most two runs of them.
     """
-    def inner(level: int) -> tuple[Column, Column]:
-        size = 1 << (RADIX_BITS * level)
+    def run(low: str, high: str) -> str:
+        return f"if({low} < {high}, sequence({low}, {high} - 1), CAST(array() AS array<bigint>))"
+
+    def low(level: int) -> str:
         # Shifts round down, for negative positions too.
-        return F.shiftright(start + (size - 1), RADIX_BITS * level), F.shiftright(end, RADIX_BITS * level)
+        return f"shiftright({start} + {(1 << RADIX_BITS * level) - 1}, {RADIX_BITS * level})"
+
+    def high(level: int) -> str:
+        return f"shiftright({end}, {RADIX_BITS * level})"
 
     parts = []
     for level in range(LEVELS):
-        low, high = inner(level)
-        if level + 1 == LEVELS:
-            blocks = _range(low, high)
-        else:
-            up_low, up_high = inner(level + 1)
-            covered = up_low < up_high
-            blocks = F.when(
-                covered,
-                F.concat(
-                    _range(low, F.shiftleft(up_low, RADIX_BITS)),
-                    _range(F.shiftleft(up_high, RADIX_BITS), high),
-                ),
-            ).otherwise(_range(low, high))
-        parts.append(F.transform(
-            blocks, lambda b, level=level: F.struct(F.lit(level).alias("level"), b.alias("block"))
-        ))
-    return F.concat(*parts)
-
-
-def point_blocks(position: Column) -> Column:
+        blocks = run(low(level), high(level))
+        if level + 1 < LEVELS:
+            left = run(low(level), f"shiftleft({low(level + 1)}, {RADIX_BITS})")
+            right = run(f"shiftleft({high(level + 1)}, {RADIX_BITS})", high(level))
+            blocks = f"if({low(level + 1)} < {high(level + 1)}, concat({left}, {right}), {blocks})"
+        parts.append(f"transform({blocks}, b -> named_struct('level', {level}, 'block', b))")
+    return f"concat({', '.join(parts)})"
+
+
+def point_blocks_sql(position: str) -> str:
     """The blocks of every level that hold a position."""
-    return F.array(*(
-        F.struct(
-            F.lit(level).alias("level"),
-            F.shiftright(position, RADIX_BITS * level).alias("block"),
-        )
+    blocks = (
+        f"named_struct('level', {level}, 'block', shiftright({position}, {RADIX_BITS * level}))"
         for level in range(LEVELS)
-    ))
+    )
+    return f"array({', '.join(blocks)})"
 
 
 def first_covering(points: DataFrame, intervals: DataFrame, space: str = "chrom") -> DataFrame:
@@ -85,13 +71,13 @@ def first_covering(points: DataFrame, intervals: DataFrame, space: str = "chrom"
     found = F.struct("ord", "start", *values)
     blocks = (
         intervals.filter(F.col("start") < F.col("end"))
-        .select(space, found.alias("_hit"), F.inline(
-            interval_blocks(F.col("start").cast("bigint"), F.col("end").cast("bigint"))))
+        .select(space, found.alias("_hit"), F.expr(
+            f"inline({interval_blocks_sql('CAST(start AS bigint)', 'CAST(end AS bigint)')})"))
         .groupBy(space, "level", "block").agg(F.min_by("_hit", "_hit.ord").alias("_hit"))
     )
     distinct = points.groupBy(space, "pos").agg(F.count(F.lit(1)).alias("n"))
     return (
-        distinct.select(space, "pos", "n", F.inline(point_blocks(F.col("pos").cast("bigint"))))
+        distinct.select(space, "pos", "n", F.expr(f"inline({point_blocks_sql('CAST(pos AS bigint)')})"))
         .join(blocks, [space, "level", "block"])
         .groupBy(space, "pos").agg(F.first("n").alias("n"), F.min_by("_hit", "_hit.ord").alias("hit"))
     )
@@ -118,14 +104,12 @@ def locate_variants(variants: DataFrame, annotations: DataFrame | None = None) -
 SEVERAL_ALLELES, SYMBOLIC, SAME_LENGTH = "several alleles", "symbolic allele", "same length"
 
 
-def reject_reason(ref: Column | str = "ref", alt: Column | str = "alt") -> Column:
+def reject_reason(ref: str = "ref", alt: str = "alt") -> Column:
     """Why a variant cannot be applied, null for one that can."""
-    ref = F.col(ref) if isinstance(ref, str) else ref
-    alt = F.col(alt) if isinstance(alt, str) else alt
-    return (
-        F.when(alt.contains(","), SEVERAL_ALLELES)
-        .when(~alt.rlike(r"\A[A-Za-z]+\z"), SYMBOLIC)
-        .when((F.length(ref) == F.length(alt)) & (F.length(ref) > 1), SAME_LENGTH)
+    return F.expr(
+        f"CASE WHEN contains({alt}, ',') THEN '{SEVERAL_ALLELES}'"
+        f" WHEN NOT {alt} RLIKE R'\\A[A-Za-z]+\\z' THEN '{SYMBOLIC}'"
+        f" WHEN length({ref}) = length({alt}) AND length({ref}) > 1 THEN '{SAME_LENGTH}' END"
     )
 
 
@@ -144,32 +128,22 @@ def applicable_variants(variants: DataFrame) -> DataFrame:
     return variants.filter(reason.isNull() | (reason == SAME_LENGTH))
 
 
-def apply_edits(text: Column, edits: Column, strict: bool = True) -> Column:
+def apply_edits(text: str, edits: str, strict: bool = True) -> Column:
     """Apply edits, sorted to come from right to left, to a text.
 
     An edit is a struct of `pos`, `ref_size` and `alt`. One character for one is
     a substitution; a longer `alt` inserts its surplus; a shorter one deletes.
     Out of range is an error with `strict`, else the edit is left out.
     """
-    def apply(current: Column, e: Column) -> Column:
-        alt_size = F.length(e["alt"])
-        edited = (
-            F.when((e["ref_size"] == 1) & (alt_size == 1), substitute_char(current, e["pos"], e["alt"], strict))
-            .when(
-                e["ref_size"] < alt_size,
-                insert_text(
-                    current, e["pos"] + e["ref_size"],
-                    F.substring(e["alt"], e["ref_size"] + 1, alt_size), strict),
-            )
-            .when(
-                e["ref_size"] > alt_size,
-                delete_span(current, e["pos"] + alt_size, e["ref_size"] - alt_size, strict),
-            )
-            .otherwise(current)
-        )
-        return F.coalesce(edited, current)
-
-    return F.aggregate(edits, text, apply)
+    substituted = substitute_char_sql("t", "e.pos", "e.alt", strict)
+    inserted = insert_text_sql("t", "(e.pos + e.ref_size)", "substr(e.alt, e.ref_size + 1)", strict)
+    deleted = delete_span_sql("t", "(e.pos + length(e.alt))", "(e.ref_size - length(e.alt))", strict)
+    return F.expr(
+        f"aggregate({edits}, {text}, (t, e) -> coalesce("
+        f"CASE WHEN e.ref_size = 1 AND length(e.alt) = 1 THEN {substituted}"
+        f" WHEN e.ref_size < length(e.alt) THEN {inserted}"
+        f" WHEN e.ref_size > length(e.alt) THEN {deleted} END, t))"
+    )
 
 
 def gene_edits(located: DataFrame, order: str = "row_no") -> DataFrame:
@@ -217,7 +191,7 @@ def apply_variants(
     """
     edits = gene_edits(applicable_variants(located), order)
     records = edits.join(references.select(F.col("id").alias("gene"), F.col("seq").alias("ref_dna")), "gene")
-    edited = records.withColumn("var_dna", apply_edits(F.col("ref_dna"), F.col("edits"), strict))
+    edited = records.withColumn("var_dna", apply_edits("ref_dna", "edits", strict))
     return edited.select(
         "gene", "chrom", "n_variants", "ref_dna", "var_dna",
         translate("ref_dna", to_stop=True).alias("ref_protein"),

@@ -145,7 +145,7 @@ def label_counts(
     """Rows per class, 0 for a class without rows; one row per group and class."""
     counts = df.groupBy(*by).agg(
         F.array(*(
-            F.struct(F.lit(c).alias("label"), F.count_if(F.col(label) == c).alias("n"))
+            F.expr(f"named_struct('label', {c}, 'n', count_if({label} = {c}))")
             for c in classes)).alias("_counts")
     )
     return counts.select(*by, F.inline("_counts"))

@@ -14,10 +14,10 @@ import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.sequence import clip, content_key, drop_stops
+from ..functions.sequence import clip_sql, content_key, drop_stops_sql
 from .spread import lookup_join
 
 Encoder = Callable[[pd.Series], pd.DataFrame]
@@ -48,11 +48,9 @@ def hashing_encoder(dims: int = HASH_DIMS) -> Encoder:
     return encode
 
 
-def encode_text(text: Column | str, max_length: int | None = 1024) -> Column:
+def encode_text_sql(text: str, max_length: int | None = 1024) -> str:
     """A text as it goes to the encoder: cut, then without stop markers."""
-    text = F.col(text) if isinstance(text, str) else text
-    cut = F.coalesce(text, F.lit("")) if max_length is None else clip(text, max_length)
-    return drop_stops(cut)
+    return drop_stops_sql(f"coalesce({text}, '')" if max_length is None else clip_sql(text, max_length))
 
 
 def with_pair_keys(
@@ -60,14 +58,16 @@ def with_pair_keys(
 ) -> DataFrame:
     """Add `ref_key` and `var_key`, the content keys of both texts as encoded."""
     return pairs.withColumns({
-        "ref_key": content_key(encode_text(ref, max_length), KEY_DIGITS),
-        "var_key": content_key(encode_text(var, max_length), KEY_DIGITS),
+        "ref_key": content_key(encode_text_sql(ref, max_length), KEY_DIGITS),
+        "var_key": content_key(encode_text_sql(var, max_length), KEY_DIGITS),
     })
 
 
 def _long_form(pairs: DataFrame, ref: str, var: str, max_length: int | None, by: Sequence[str]) -> DataFrame:
     return pairs.select(
-        *by, F.explode(F.array(encode_text(ref, max_length), encode_text(var, max_length))).alias("text")
+        *by, F.expr(
+            f"explode(array({encode_text_sql(ref, max_length)}, {encode_text_sql(var, max_length)}))"
+        ).alias("text")
     )
 
 

@@ -10,10 +10,10 @@ from ..functions.sequence import (
     NONSENSE,
     clip,
     find_edits,
-    has_premature_stop,
-    region,
-    sequence_identity,
-    truncation_fraction,
+    premature_stop_sql,
+    region_sql,
+    sequence_identity_sql,
+    truncation_fraction_sql,
 )
 
 # The order of the features in a vector.
@@ -38,35 +38,31 @@ def explode_edits(df: DataFrame, edits: str = "edits") -> DataFrame:
 
 def feature_columns(ref: str, var: str, edits: str) -> dict[str, Column]:
     """The features by name, from the texts and their edit events."""
-    ref_, var_ = F.coalesce(F.col(ref), F.lit("")), F.coalesce(F.col(var), F.lit(""))
-    events = F.col(edits)
-    n_ref, n_var = F.length(ref_), F.length(var_)
-    length = F.greatest(n_ref, F.lit(1))
-    total = F.size(events)
+    r, v = f"coalesce({ref}, '')", f"coalesce({var}, '')"
+    length, total = f"greatest(length({r}), 1)", f"size({edits})"
 
-    def of_kind(kind: str) -> Column:
-        return F.size(F.filter(events, lambda e: e["type"] == kind))
+    def of_kind(kind: str) -> str:
+        return f"size(filter({edits}, e -> e.type = '{kind}'))"
 
-    def share_in(part: str) -> Column:
-        inside = F.size(F.filter(events, lambda e: region(e["position"], length) == part))
-        return F.when(total > 0, inside / total).otherwise(F.lit(0.0))
+    def share_in(part: str) -> str:
+        inside = f"size(filter({edits}, e -> {region_sql('e.position', length)} = '{part}'))"
+        return f"if({total} > 0, {inside} / {total}, 0D)"
 
-    lost = F.startswith(ref_, F.lit(START)) & ~F.startswith(var_, F.lit(START))
     values = (
-        (n_var != n_ref).cast("double"),
-        has_premature_stop(ref_, var_).cast("double"),
-        lost.cast("double"),
-        of_kind(MISSENSE) / length,
-        of_kind(NONSENSE).cast("double"),
-        1.0 - sequence_identity(ref_, var_, events),
-        truncation_fraction(ref_, var_),
-        total / length * 100,
+        f"CAST(length({v}) <> length({r}) AS double)",
+        f"CAST({premature_stop_sql(r, v)} AS double)",
+        f"CAST(startswith({r}, '{START}') AND NOT startswith({v}, '{START}') AS double)",
+        f"{of_kind(MISSENSE)} / {length}",
+        f"CAST({of_kind(NONSENSE)} AS double)",
+        f"1 - {sequence_identity_sql(ref, var, edits)}",
+        truncation_fraction_sql(r, v),
+        f"{total} / {length} * 100",
         share_in("N-terminal"),
         share_in("C-terminal"),
-        F.log1p(total.cast("double")),
-        n_var / length,
+        f"log1p({total})",
+        f"length({v}) / {length}",
     )
-    return dict(zip(FEATURES, values))
+    return {name: F.expr(value) for name, value in zip(FEATURES, values)}
 
 
 def pair_features(
@@ -95,4 +91,4 @@ def pair_features(
 
 def feature_vector(prefix: str = "") -> Column:
     """The features as one array, for the edge to vector code."""
-    return F.array(*(F.col(prefix + name).cast("double") for name in FEATURES))
+    return F.array(*(prefix + name for name in FEATURES))

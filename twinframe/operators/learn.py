@@ -12,12 +12,12 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.vector import as_doubles
+from ..functions.vector import doubles_sql
 
 
 def column_statistics(df: DataFrame, vector: str = "features") -> DataFrame:
     """Mean and population deviation of each component, as one row of two arrays."""
-    summary = Summarizer.metrics("mean", "variance").summary(array_to_vector(as_doubles(vector)))
+    summary = Summarizer.metrics("mean", "variance").summary(array_to_vector(F.expr(doubles_sql(vector))))
     row = df.agg(summary.alias("_s"), F.count(F.lit(1)).alias("_n")).select(
         "_n", vector_to_array("_s.mean").alias("mean"), vector_to_array("_s.variance").alias("_v"))
     # The summary gives the sample variance.
@@ -36,11 +36,9 @@ def standardize(
     """
     row = statistics.select(F.struct("mean", "sd").alias("s")).scalar()
 
-    def divisor(sd):
-        return sd + epsilon if epsilon is not None else F.when(sd == 0, F.lit(1.0)).otherwise(sd)
-
-    centred = F.zip_with(as_doubles(vector), F.col("_stats.mean"), lambda x, m: x - m)
-    scaled = F.zip_with(centred, F.col("_stats.sd"), lambda x, sd: x / divisor(sd))
+    divisor = "if(sd = 0, 1D, sd)" if epsilon is None else f"(sd + {epsilon!r}D)"
+    centred = f"zip_with({doubles_sql(vector)}, _stats.mean, (x, m) -> x - m)"
+    scaled = F.expr(f"zip_with({centred}, _stats.sd, (x, sd) -> x / {divisor})")
     return df.withColumn("_stats", row).withColumn(out, scaled).drop("_stats")
 
 

@@ -17,19 +17,15 @@ from .spread import average_ranks, exact_percentiles, lookup_join, running_total
 NO_OVERLAP = "No overlapping genes found"
 
 
-def _ratio(top: Column, bottom: Column) -> Column:
-    return F.when(bottom == 0, F.lit(0.0)).otherwise(top / bottom)
-
-
 def confusion_matrix(
     df: DataFrame, by: Sequence[str] = (), label: str = "label", prediction: str = "prediction",
     classes: Sequence[int] = CLASSES,
 ) -> DataFrame:
     """Rows per true class and predicted class, zeros kept."""
     cells = F.array(*(
-        F.struct(
-            F.lit(t).alias(label), F.lit(p).alias(prediction),
-            F.count_if((F.col(label) == t) & (F.col(prediction) == p)).alias("n"),
+        F.expr(
+            f"named_struct('{label}', {t}, '{prediction}', {p},"
+            f" 'n', count_if({label} = {t} AND {prediction} = {p}))"
         )
         for t in classes for p in classes
     ))
@@ -38,35 +34,31 @@ def confusion_matrix(
 
 def _class_counts(df, by, label, prediction, classes):
     """Per group an array with hits, predicted and true rows of each class."""
-    true, pred = F.col(label), F.col(prediction)
     per_class = F.array(*(
-        F.struct(
-            F.lit(c).alias("class"),
-            F.count_if((true == c) & (pred == c)).alias("hits"),
-            F.count_if(pred == c).alias("predicted"),
-            F.count_if(true == c).alias("support"),
+        F.expr(
+            f"named_struct('class', {c}, 'hits', count_if({label} = {c} AND {prediction} = {c}),"
+            f" 'predicted', count_if({prediction} = {c}), 'support', count_if({label} = {c}))"
         )
         for c in classes
     ))
     return df.groupBy(*by).agg(
         per_class.alias("_classes"),
-        F.coalesce(F.avg((true == pred).cast("double")), F.lit(0.0)).alias("accuracy"),
+        F.coalesce(F.avg((F.col(label) == F.col(prediction)).cast("double")), F.lit(0.0)).alias("accuracy"),
         F.count(F.lit(1)).alias("n"),
     )
 
 
 def _with_scores(counts: DataFrame) -> DataFrame:
-    def scores(c: Column) -> Column:
-        return F.struct(
-            c["class"].alias("class"),
-            _ratio(c["hits"], c["predicted"]).alias("precision"),
-            _ratio(c["hits"], c["support"]).alias("recall"),
-            _ratio(2 * c["hits"], c["predicted"] + c["support"]).alias("f1"),
-            c["support"].alias("support"),
-            (c["predicted"] + c["support"] > 0).alias("present"),
-        )
-
-    return counts.withColumn("_scores", F.transform("_classes", scores)).drop("_classes")
+    def ratio(top: str, bottom: str) -> str:
+        return f"if({bottom} = 0, 0D, {top} / ({bottom}))"
+
+    scores = F.expr(
+        "transform(_classes, c -> named_struct('class', c.class,"
+        f" 'precision', {ratio('c.hits', 'c.predicted')}, 'recall', {ratio('c.hits', 'c.support')},"
+        f" 'f1', {ratio('2 * c.hits', 'c.predicted + c.support')}, 'support', c.support,"
+        " 'present', c.predicted + c.support > 0))"
+    )
+    return counts.withColumn("_scores", scores).drop("_classes")
 
 
 def class_metrics(
@@ -78,13 +70,16 @@ def class_metrics(
     return counts.select(*by, F.inline("_scores")).drop("present")
 
 
-def _averages(scores: Column, name: str) -> tuple[Column, Column]:
+def _averages(name: str) -> tuple[Column, Column]:
     """Plain and support-weighted mean of a score over the classes that occur."""
-    present = F.filter(scores, lambda s: s["present"])
-    total = F.aggregate(present, F.lit(0.0), lambda acc, s: acc + s[name])
-    weighted = F.aggregate(present, F.lit(0.0), lambda acc, s: acc + s[name] * s["support"])
-    rows = F.aggregate(present, F.lit(0.0), lambda acc, s: acc + s["support"])
-    return _ratio(total, F.size(present)), _ratio(weighted, rows)
+    present = "filter(_scores, s -> s.present)"
+
+    def total(term: str) -> str:
+        return f"aggregate({present}, 0D, (acc, s) -> acc + {term})"
+
+    plain = f"coalesce(try_divide({total('s.' + name)}, size({present})), 0D)"
+    weighted = f"coalesce(try_divide({total(f's.{name} * s.support')}, {total('s.support')}), 0D)"
+    return F.expr(plain), F.expr(weighted)
 
 
 def overall_metrics(
@@ -93,7 +88,7 @@ def overall_metrics(
 ) -> DataFrame:
     """Accuracy, macro F1 and weighted F1. The F1 means run over classes that occur."""
     counts = _with_scores(_class_counts(df, by, label, prediction, classes))
-    macro, weighted = _averages(F.col("_scores"), "f1")
+    macro, weighted = _averages("f1")
     return counts.select(*by, "accuracy", macro.alias("macro_f1"), weighted.alias("weighted_f1"))
 
 
@@ -103,12 +98,11 @@ def classification_report(
 ) -> DataFrame:
     """Rows for every class, then accuracy, macro average and weighted average."""
     counts = _with_scores(_class_counts(df, by, label, prediction, list(names)))
-    scores = F.col("_scores")
-    label_name = F.create_map(*(F.lit(x) for pair in names.items() for x in pair))
-    per_class = F.transform(scores, lambda s: F.struct(
-        label_name[s["class"]].alias("row"), s["precision"].alias("precision"),
-        s["recall"].alias("recall"), s["f1"].alias("f1"), s["support"].alias("support")))
-    means = {name: _averages(scores, name) for name in ("precision", "recall", "f1")}
+    label_name = ", ".join(f"{c}, '{name}'" for c, name in names.items())
+    per_class = F.expr(
+        f"transform(_scores, s -> named_struct('row', map({label_name})[s.class],"
+        " 'precision', s.precision, 'recall', s.recall, 'f1', s.f1, 'support', s.support))")
+    means = {name: _averages(name) for name in ("precision", "recall", "f1")}
     none = F.lit(None).cast("double")
 
     def row(name: str, i: int) -> Column:

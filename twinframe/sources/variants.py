@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.rules import code_label
-from ..functions.sequence import _col, strip_blanks
+from ..functions.sequence import strip_blanks
 from .files import file_order
 
 # How many fields a line needs, and the parts of an annotation.
@@ -35,23 +35,17 @@ def read_variants(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def annotation_entries(info: Column | str) -> Column:
+def annotation_entries_sql(info: str) -> str:
     """Annotations in an INFO text as structs of effect, impact, gene and place.
 
     Only the first `ANN=` field counts; entries with fewer than 11 parts do not.
     """
-    fields = F.filter(F.split(_col(info), ";"), lambda f: F.startswith(f, F.lit(ANNOTATION_MARK)))
-    first = F.substring(F.get(fields, 0), len(ANNOTATION_MARK) + 1, 1 << 30)
-    parts = F.transform(
-        F.split(first, ","),
-        lambda e, i: F.struct(F.split(e, r"\|").alias("p"), i.alias("place")),
-    )
-    return F.transform(
-        F.filter(parts, lambda e: F.size(e["p"]) >= ANNOTATION_PARTS),
-        lambda e: F.struct(
-            e["p"][1].alias("effect"), e["p"][2].alias("impact"), e["p"][3].alias("gene"),
-            e["place"].alias("place"),
-        ),
+    first = f"get(filter(split({info}, ';'), f -> startswith(f, '{ANNOTATION_MARK}')), 0)"
+    entries = f"split(substr({first}, {len(ANNOTATION_MARK) + 1}), ',')"
+    parts = f"transform({entries}, (e, i) -> named_struct('p', split(e, '[|]'), 'place', i))"
+    return (
+        f"transform(filter({parts}, e -> size(e.p) >= {ANNOTATION_PARTS}), e -> named_struct("
+        f"'effect', e.p[1], 'impact', e.p[2], 'gene', e.p[3], 'place', e.place))"
     )
 
 
@@ -60,7 +54,7 @@ def explode_annotations(
 ) -> DataFrame:
     """One row per annotation with its label; `row_no` follows line and place."""
     return (
-        df.select(F.col(order).alias("_order"), F.inline(annotation_entries(info)))
+        df.select(F.col(order).alias("_order"), F.expr(f"inline({annotation_entries_sql(info)})"))
         .select(
             "gene", "effect", "impact", code_label("effect", labels, default).alias("label"),
             F.struct(F.col("_order").alias("line"), "place").alias("row_no"),
