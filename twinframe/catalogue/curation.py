@@ -1 +1,237 @@
-"""."""
+"""Queries on curation: filters, references, scores, labels, dedup, samples, splits."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import rules
+from ..operators import curate as c
+from ..plans.curation import balance_and_split, label_pairs
+from .register import query, rounded
+from .views import EDITED, LABELLED, ROW_ORDER, SCORED, labelled_view, scored_view, table
+
+KEYWORDS = ["red", "b.lt", "NAN"]
+NATIONS = {f"N{i}": f"Nation {i}" for i in range(20)}
+NATION_LIST = ", ".join(f"'N{i}'" for i in range(20))
+
+
+@query("keyword_filter", """
+SELECT p_partkey, species FROM (
+  SELECT *, CASE WHEN p_size < 10 THEN NULL ELSE p_type END AS species FROM part)
+WHERE coalesce(regexp_matches(p_name, 'red|b.lt|NAN|ge+ar', 'i'), false)
+   OR regexp_matches(coalesce(species, 'nan'), 'red|b.lt|NAN', 'i')""")
+def keyword_filter(spark, sf):
+    catalog = table(spark, sf, "part").withColumn("species", F.when(F.col("p_size") >= 10, F.col("p_type")))
+    found = c.filter_catalog(catalog, KEYWORDS, id_columns=["p_name"], id_patterns=["ge+ar"])
+    return found.select("p_partkey", "species")
+
+
+@query("catalog_filter", """
+SELECT page_id FROM pages
+WHERE EXISTS (SELECT 1 FROM (SELECT DISTINCT lang || '/' || (doc_id % 100) AS part FROM documents)
+              WHERE contains(url, part)) OR contains(lower(url), 'blog')""")
+def catalog_filter(spark, sf):
+    ids = table(spark, sf, "documents").select(
+        F.concat_ws("/", "lang", (F.col("doc_id") % 100).cast("string")).alias("part"))
+    return c.filter_by_catalog(table(spark, sf, "pages"), "url", ids, "part", ["blog"]).select("page_id")
+
+
+@query("token_names", f"""
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
+       CASE WHEN 'N' || (l_suppkey % 25) IN ({NATION_LIST}) THEN 'Nation ' || (l_suppkey % 25) ELSE '' END AS species
+FROM lineitem""")
+def token_names(spark, sf):
+    return scored_view(spark, sf).select(
+        "row_no.*", rules.first_known_token("assay", NATIONS).alias("species"))
+
+
+@query("clean_columns", """
+SELECT event_id, '' AS gene, CAST(NULL AS DOUBLE) AS zscore, CAST(user_id AS INT) AS label,
+       coalesce(CASE WHEN value < 5 THEN NULL ELSE value END, 0.0) AS score
+FROM events WHERE len(event_type) > 4 AND len(CASE WHEN user_id % 10 = 0 THEN NULL ELSE props END) > 0""")
+def clean_columns(spark, sf):
+    events = table(spark, sf, "events").select(
+        "event_id", "event_type", F.col("user_id").alias("label"),
+        F.when(F.col("value") >= 5, F.col("value")).alias("value"),
+        F.when(F.col("user_id") % 10 != 0, F.col("props")).alias("props"))
+    kept = events.filter(rules.not_empty("substr(event_type, 5)", "props"))
+    full = c.with_default_columns(kept, ["gene"], ["zscore"])
+    return full.select("event_id", "gene", "zscore", "label", rules.score_or_zero(full.columns, "value").alias("score"))
+
+
+
+
+@query("score_zscores", f"""
+SELECT s.l_orderkey, s.l_linenumber, s.l_partkey, s.l_suppkey, round((score - m) / sd, 6) + 0.0 AS zscore,
+       CAST(CASE WHEN (score - m) / sd < -1.0 THEN 0 WHEN (score - m) / sd > 1.0 THEN 2 ELSE 1 END AS INT) AS label
+FROM {SCORED} s JOIN (SELECT assay, avg(score) AS m,
+    CASE WHEN stddev_samp(score) = 0 THEN 1.0 ELSE stddev_samp(score) END AS sd
+  FROM {SCORED} GROUP BY assay) USING (assay) WHERE score IS NOT NULL""")
+def score_zscores(spark, sf):
+    scored = c.with_labels(c.standardize_scores(scored_view(spark, sf), ["assay"], "score"))
+    return scored.select("row_no.*", rounded("zscore").alias("zscore"), "label")
+
+
+@query("label_counts", f"""
+SELECT g.species, CAST(l.label AS INT) AS label, count(d.label) AS n
+FROM (SELECT DISTINCT species FROM {LABELLED}) g CROSS JOIN (VALUES (0), (1), (2)) l(label)
+LEFT JOIN {LABELLED} d ON d.species = g.species AND d.label = l.label GROUP BY ALL""")
+def label_counts(spark, sf):
+    return c.label_counts(labelled_view(spark, sf), by=["species"])
+
+
+CENTRED = """(SELECT 'S' || l_suppkey AS assay, l_quantity - 25.0 AS score,
+    CASE WHEN l_tax < 0.075 THEN md5(CAST(l_partkey AS VARCHAR)) END AS mutated_sequence, * FROM lineitem)"""
+CATALOG = """(SELECT 'S' || (p_partkey % 40) AS assay,
+    max_by(p_name || p_type || p_brand, p_partkey) AS ref_seq FROM part
+  WHERE len(p_name || p_type || p_brand) > 10 AND p_size < 5 GROUP BY 1)"""
+
+
+@query("references", f"""
+SELECT assay, coalesce(ref_seq, inferred_seq) AS ref_seq, n FROM (
+  SELECT assay, count(*) AS n, min_by(coalesce(mutated_sequence, '?'), ({ROW_ORDER}))
+           FILTER (WHERE score BETWEEN -0.1 AND 0.1) AS inferred_seq FROM {CENTRED} GROUP BY assay)
+LEFT JOIN {CATALOG} USING (assay)
+WHERE coalesce(ref_seq, CASE WHEN inferred_seq = '?' THEN NULL ELSE inferred_seq END) IS NOT NULL""")
+def references(spark, sf):
+    scores = table(spark, sf, "lineitem").select(
+        F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("assay"),
+        (F.col("l_quantity") - 25.0).alias("score"),
+        F.when(F.col("l_tax") < 0.075, F.md5(F.col("l_partkey").cast("string"))).alias("mutated_sequence"),
+        F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("row_no"))
+    catalog = table(spark, sf, "part").filter(F.col("p_size") < 5).select(
+        F.concat(F.lit("S"), (F.col("p_partkey") % 40).cast("string")).alias("DMS_id"),
+        F.concat("p_name", "p_type", "p_brand").alias("target_seq"), "p_partkey")
+    known = c.with_references(
+        scores, c.catalog_references(catalog, order="p_partkey"), c.inferred_references(scores))
+    return known.groupBy("assay", "ref_seq").agg(F.count(F.lit(1)).alias("n"))
+
+
+FIRST_PAIRS = f"""(SELECT * FROM {LABELLED} WHERE len(var_seq) > 0
+  QUALIFY row_number() OVER (PARTITION BY ref_seq, var_seq ORDER BY {ROW_ORDER}) = 1)"""
+
+
+def first_pairs_of(spark, sf):
+    pairs = labelled_view(spark, sf).filter(rules.not_empty("ref_seq", "var_seq"))
+    return c.first_per_key(pairs, ["ref_seq", "var_seq"], ["row_no"])
+
+
+@query("first_pairs", f"SELECT gene, var_seq, label, {ROW_ORDER} FROM {FIRST_PAIRS}")
+def first_pairs(spark, sf):
+    return first_pairs_of(spark, sf).select("gene", "var_seq", "label", "row_no.*")
+
+
+def hash_sql(*key: str) -> str:
+    return f"md5(concat_ws(':', {', '.join(f'CAST({k} AS VARCHAR)' for k in key)}, '42'))"
+
+
+LINE_KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+LINE_CLASS = "CAST(CASE WHEN l_extendedprice < 20000 THEN 0 WHEN l_extendedprice > 60000 THEN 2 ELSE 1 END AS INT)"
+
+
+def priced_lines(spark, sf):
+    price = F.col("l_extendedprice")
+    return table(spark, sf, "lineitem").withColumn(
+        "label", F.when(price < 20000, 0).when(price > 60000, 2).otherwise(1).cast("int"))
+
+
+@query("balanced_sample", f"""
+SELECT {ROW_ORDER}, label FROM (SELECT *, {LINE_CLASS} AS label FROM lineitem)
+QUALIFY row_number() OVER (PARTITION BY label ORDER BY {hash_sql(*LINE_KEY)}, {ROW_ORDER})
+  <= (SELECT count(*) // 10 FROM (SELECT DISTINCT l_orderkey FROM lineitem))""")
+def balanced_sample(spark, sf):
+    lines = priced_lines(spark, sf)
+    per_class = lines.select("l_orderkey").distinct().count() // 10
+    return c.balance_classes(lines, LINE_KEY, per_class).select(*LINE_KEY, "label")
+
+
+# Rows are compared without regard to order; the order itself is for the tests.
+@query("shuffled_rows", "SELECT c_custkey, c_name FROM customer")
+def shuffled_rows(spark, sf):
+    return c.shuffle_rows(table(spark, sf, "customer"), ["c_custkey"]).select("c_custkey", "c_name")
+
+
+def split_sql(rows: str, keep: str, key: list[str], label: str) -> str:
+    """Split sizes by largest remainder, then ranks within each class by hash."""
+    return f"""
+WITH d AS (SELECT *, {label} AS label_ FROM {rows}),
+free AS (SELECT * FROM d WHERE NOT ({keep}) OR (SELECT count(*) FROM d WHERE NOT ({keep})) = 0),
+s0 AS (SELECT label_, count(*) AS n FROM free GROUP BY label_),
+s1 AS (SELECT *, sum(n) OVER () AS total, sum(n) OVER () - ceil(sum(n) OVER () * CAST(0.1 AS DOUBLE)) AS rest FROM s0),
+s2 AS (SELECT *, n / CAST(total AS DOUBLE) * rest AS q FROM s1),
+s3 AS (SELECT *, floor(q) + CASE WHEN row_number() OVER (ORDER BY q - floor(q) DESC, label_)
+         <= rest - sum(floor(q)) OVER () THEN 1 ELSE 0 END AS tv FROM s2),
+s4 AS (SELECT *, rest - ceil(rest * CAST({0.1 / (1 - 0.1)!r} AS DOUBLE)) AS fit FROM s3),
+s5 AS (SELECT *, tv / CAST(sum(tv) OVER () AS DOUBLE) * fit AS q2 FROM s4),
+s6 AS (SELECT *, floor(q2) + CASE WHEN row_number() OVER (ORDER BY q2 - floor(q2) DESC, label_)
+         <= fit - sum(floor(q2)) OVER () THEN 1 ELSE 0 END AS tr FROM s5),
+r AS (SELECT *, row_number() OVER (PARTITION BY label_ ORDER BY {hash_sql(*key)}, {', '.join(key)}) AS place
+      FROM free JOIN s6 USING (label_))
+SELECT {', '.join(key)}, CAST(label_ AS INT) AS label,
+       CASE WHEN place <= n - tv THEN 'test' WHEN place <= n - tr THEN 'val' ELSE 'train' END AS split FROM r
+UNION ALL
+SELECT {', '.join(key)}, CAST(label_ AS INT), 'test' FROM d
+WHERE ({keep}) AND (SELECT count(*) FROM d WHERE NOT ({keep})) > 0"""
+
+
+@query("stratified_split", split_sql("lineitem", "false", LINE_KEY, LINE_CLASS))
+def stratified_split(spark, sf):
+    return c.stratified_split(priced_lines(spark, sf), LINE_KEY).select(*LINE_KEY, "label", "split")
+
+
+CUSTOMERS = "(SELECT c.*, n_name FROM customer c JOIN nation ON c_nationkey = n_nationkey)"
+SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
+SEGMENT_CLASS = f"list_position({SEGMENTS!r}, c_mktsegment) - 1"
+
+
+@query("holdout_split", split_sql(CUSTOMERS, "contains(lower(n_name), 'ion_7') OR contains(lower(n_name), 'ion_1')",
+                                  ["c_custkey"], SEGMENT_CLASS))
+def holdout_split(spark, sf):
+    nations = table(spark, sf, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
+    customers = table(spark, sf, "customer").join(nations, "c_nationkey").withColumn(
+        "label", F.array_position(F.array(*(F.lit(s) for s in SEGMENTS)), F.col("c_mktsegment")).cast("int") - 1)
+    split = c.stratified_split(
+        customers, ["c_custkey"], group="n_name", hold_out=["ION_7", "Ion_1"], classes=range(len(SEGMENTS)))
+    return split.select("c_custkey", "label", "split")
+
+
+SCORE_PAIRS = f"""(
+  SELECT gene, species, ref_seq, var_seq, label, round(score, 6) + 0.0 AS score, round(z, 6) + 0.0 AS zscore,
+         {ROW_ORDER} FROM (
+    SELECT assay AS gene, ref_seq, {EDITED} AS var_seq, score, (score - m) / sd AS z,
+           CASE WHEN 'N' || (l_suppkey % 25) IN ({NATION_LIST}) THEN 'Nation ' || (l_suppkey % 25) ELSE '' END AS species,
+           CASE WHEN (score - m) / sd < -1.0 THEN 0 WHEN (score - m) / sd > 1.0 THEN 2 ELSE 1 END AS label, {ROW_ORDER}
+    FROM {SCORED} JOIN (SELECT assay, avg(score) AS m, stddev_samp(score) AS sd FROM {SCORED} GROUP BY assay)
+      USING (assay) WHERE score IS NOT NULL)
+  WHERE len(var_seq) > 0 AND var_seq <> ref_seq
+  QUALIFY row_number() OVER (PARTITION BY ref_seq, var_seq ORDER BY {ROW_ORDER}) = 1)"""
+
+
+def score_pairs(spark, sf):
+    scores = scored_view(spark, sf)
+    known = scores.select("assay", "ref_seq").distinct()
+    return label_pairs(scores.drop("ref_seq"), known, group_names=NATIONS)
+
+
+@query("labelled_pairs", f"""
+SELECT gene, species, var_seq, CAST(label AS INT) AS label, score, zscore FROM {SCORE_PAIRS}""")
+def labelled_pairs(spark, sf):
+    return score_pairs(spark, sf).select(
+        "gene", "species", "var_seq", "label", rounded("score").alias("score"), rounded("zscore").alias("zscore"))
+
+
+BALANCED = f"""(SELECT * FROM {SCORE_PAIRS}
+  QUALIFY row_number() OVER (PARTITION BY label ORDER BY {hash_sql('ref_seq', 'var_seq')}, ref_seq, var_seq) <= 1500)"""
+
+
+@query("curated_splits", split_sql(BALANCED, "contains(lower(species), 'nation 3')", ["ref_seq", "var_seq"], "label"))
+def curated_splits(spark, sf):
+    split = balance_and_split(score_pairs(spark, sf), per_class=1500, hold_out=["Nation 3"])
+    return split.select("ref_seq", "var_seq", "label", "split")
+
+
+@query("split_sizes", f"""
+SELECT split, label, count(*) AS n FROM ({split_sql('lineitem', 'false', LINE_KEY, LINE_CLASS)}) GROUP BY split, label""")
+def split_sizes(spark, sf):
+    split = c.stratified_split(priced_lines(spark, sf), LINE_KEY)
+    return split.groupBy("split", "label").agg(F.count(F.lit(1)).alias("n"))

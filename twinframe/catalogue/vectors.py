@@ -1 +1,201 @@
-"""."""
+"""Queries on vectors: encode once, pooling, pair vectors, scaling, learning."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import vector as v
+from ..functions.sequence import content_key
+from ..operators import encode as e
+from ..operators import learn
+from ..operators.curate import stratified_split
+from ..session import materialize
+from .register import query, rounded
+from .views import TURNS, table, text_table, turn_pairs
+
+DIMS = 64
+BOTH = f"(SELECT conv_id, turn, unnest([ref_seq, var_seq]) AS text FROM {TURNS})"
+
+
+def keyed(spark, sf):
+    return turn_pairs(spark, sf)
+
+
+@query("distinct_texts", f"""
+SELECT sha256(text) AS seq_key, CAST(len(text) AS INT) AS size, count(*) AS uses
+FROM (SELECT replace(substr(text, 1, 1024), '*', '') AS text FROM {BOTH}) GROUP BY text""")
+def distinct_texts(spark, sf):
+    texts = e.distinct_texts(keyed(spark, sf))
+    return texts.select("seq_key", F.length("text").alias("size"), "uses")
+
+
+@query("dedup_report", f"""
+SELECT role, count(*) // 2 AS n_rows, count(*) AS n_texts, count(DISTINCT text) AS n_distinct,
+       round((1 - count(DISTINCT text) / CAST(count(*) AS DOUBLE)) * 100, 6) + 0.0 AS reduction_pct
+FROM (SELECT role, replace(unnest([ref_seq, var_seq]), '*', '') AS text FROM {TURNS}) GROUP BY role""")
+def dedup_report(spark, sf):
+    report = e.dedup_report(keyed(spark, sf), ["role"], max_length=None)
+    return report.withColumn("reduction_pct", rounded("reduction_pct"))
+
+
+@query("missing_texts", f"""
+SELECT DISTINCT sha256(text) AS seq_key FROM {BOTH}
+WHERE text NOT IN (SELECT text FROM conversations WHERE role = 'user')""")
+def missing_texts(spark, sf):
+    known = text_table(spark, sf, "conversations", "conv_id").filter(F.col("role") == "user").select(
+        content_key("text", 64).alias("seq_key"))
+    texts = e.distinct_texts(keyed(spark, sf), max_length=None)
+    return e.missing_texts(texts, known).select("seq_key")
+
+
+@query("vector_coverage", f"""
+SELECT count(*) AS n_needed, CAST(count_if(NOT known) AS BIGINT) AS n_missing, count_if(NOT known) = 0 AS complete
+FROM (SELECT DISTINCT text, text IN (SELECT text FROM conversations WHERE role = 'user') AS known FROM {BOTH})""")
+def vector_coverage(spark, sf):
+    known = text_table(spark, sf, "conversations", "conv_id").filter(F.col("role") == "user").select(
+        content_key("text", 64).alias("seq_key")).distinct()
+    return e.coverage(e.distinct_texts(keyed(spark, sf), max_length=None), known)
+
+
+def encoded_sql(side: str) -> str:
+    """Mean and maximum over the characters of one side, as the trial encoder gives them."""
+    return f"""(
+  SELECT conv_id, turn, d, 
+         CAST(CAST(sum((c * (2 * d + 1)) % 97) / 97.0 / count(*) AS FLOAT) AS DOUBLE) AS mean,
+         CAST(CAST(max((c * (2 * d + 1)) % 97) / 97.0 AS FLOAT) AS DOUBLE) AS max
+  FROM (SELECT conv_id, turn, unicode(unnest(string_split({side}, ''))) AS c FROM {TURNS}), range(0, 8) t(d)
+  GROUP BY conv_id, turn, d)"""
+
+
+@query("encoded_pairs", f"""
+SELECT r.conv_id, r.turn, CAST(r.d AS INT) AS d, round(r.mean, 6) + 0.0 AS ref_mean, round(r.max, 6) + 0.0 AS ref_max,
+       round(v.mean, 6) + 0.0 AS var_mean, round(v.max, 6) + 0.0 AS var_max
+FROM {encoded_sql('ref_seq')} r JOIN {encoded_sql('var_seq')} v USING (conv_id, turn, d)""")
+def encoded_pairs(spark, sf):
+    pairs = keyed(spark, sf)
+    texts = e.distinct_texts(pairs, max_length=None)
+    vectors = e.encode_texts(e.by_length(texts))
+    done = e.scatter_vectors(pairs, vectors, texts, max_length=None)
+    zipped = F.posexplode(F.arrays_zip("ref_mean", "ref_max", "var_mean", "var_max")).alias("d", "z")
+    return done.select("conv_id", "turn", zipped).select("conv_id", "turn", "d", *(
+        rounded(F.col("z")[n]).alias(n) for n in ("ref_mean", "ref_max", "var_mean", "var_max")))
+
+
+@query("pooled_vectors", """
+SELECT label, CAST(d AS INT) AS d, round(coalesce(avg(CASE WHEN shown THEN x END), 0), 6) + 0.0 AS mean,
+       round(coalesce(max(CASE WHEN shown THEN x END), 0), 6) + 0.0 AS max
+FROM (SELECT label, vec_id % 5 <> 0 AND label <> 3 AS shown, CAST(unnest(embedding) AS DOUBLE) AS x,
+             generate_subscripts(embedding, 1) - 1 AS d FROM embeddings) GROUP BY label, d""")
+def pooled_vectors(spark, sf):
+    tokens = table(spark, sf, "embeddings").withColumn(
+        "shown", (F.col("vec_id") % 5 != 0) & (F.col("label") != 3))
+    pooled = e.pool_tokens(tokens, ["label"], "embedding", "shown")
+    zipped = F.posexplode(F.arrays_zip("mean", "max")).alias("d", "z")
+    return pooled.select("label", zipped).select(
+        "label", "d", rounded(F.col("z.mean")).alias("mean"), rounded(F.col("z.max")).alias("max"))
+
+
+# Each vector with the one that follows it.
+PAIRED = """(SELECT a.vec_id, a.label, a.embedding AS r, b.embedding AS v FROM embeddings a
+  JOIN embeddings b ON b.vec_id = a.vec_id + 1)"""
+
+
+def vector_pairs(spark, sf):
+    rows = table(spark, sf, "embeddings")
+    later = rows.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("v"))
+    return rows.select("vec_id", "label", F.col("embedding").alias("r")).join(later, "vec_id")
+
+
+def long_form(df, key, vector):
+    return df.select(key, F.posexplode(vector).alias("d", "x")).select(key, "d", rounded("x").alias("x"))
+
+
+def long_sql(rows: str, vector: str) -> str:
+    return f"""SELECT vec_id, CAST(generate_subscripts(vec, 1) - 1 AS INT) AS d, round(unnest(vec), 6) + 0.0 AS x
+FROM (SELECT vec_id, {vector} AS vec FROM {rows})"""
+
+
+DOUBLES = "CAST({} AS DOUBLE[])"
+R, V = DOUBLES.format("r"), DOUBLES.format("v")
+DIFF = "list_transform(range(1, 65), lambda i: CAST(r[i] AS DOUBLE) - CAST(v[i] AS DOUBLE))"
+PROD = "list_transform(range(1, 65), lambda i: CAST(r[i] AS DOUBLE) * CAST(v[i] AS DOUBLE))"
+
+
+@query("pair_vectors", long_sql(PAIRED, f"list_concat(list_concat({DIFF}, {PROD}), list_concat({R}, {V}))"))
+def pair_vectors(spark, sf):
+    return long_form(vector_pairs(spark, sf), "vec_id", v.pair_vector("r", "v"))
+
+
+@query("flat_features", f"""
+SELECT *, 'diff_only' AS mode FROM ({long_sql(PAIRED, DIFF)})
+UNION ALL SELECT *, 'mean_only' FROM ({long_sql(PAIRED, f'list_concat({R}, {V})')})
+UNION ALL SELECT *, 'full' FROM ({long_sql(
+    PAIRED, f'list_concat(list_concat(list_concat({DIFF}, {PROD}), list_concat({R}, {V})), [CAST(label AS DOUBLE)])')})""")
+def flat_features(spark, sf):
+    pairs = vector_pairs(spark, sf)
+    parts = [
+        long_form(pairs, "vec_id", v.flat_features("r", "v", "array(label)", mode)).withColumn("mode", F.lit(mode))
+        for mode in ("diff_only", "mean_only", "full")
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+EMB = DOUBLES.format("embedding")
+
+
+@query("layer_norms", long_sql(
+    f"(SELECT vec_id, {EMB} AS e, list_avg({EMB}) AS m, list_var_pop({EMB}) AS s FROM embeddings)",
+    "list_transform(e, lambda x: (x - m) / sqrt(s + 0.00001))"))
+def layer_norms(spark, sf):
+    return long_form(table(spark, sf, "embeddings"), "vec_id", v.layer_norm("embedding"))
+
+
+@query("softmax_calls", f"""
+SELECT vec_id, CAST(list_position({EMB}, list_max({EMB})) - 1 AS INT) AS called,
+       round(1 / list_sum(list_transform({EMB}, lambda x: exp(x - list_max({EMB})))), 6) + 0.0 AS confidence
+FROM embeddings""")
+def softmax_calls(spark, sf):
+    rows = table(spark, sf, "embeddings").withColumn("p", v.softmax("embedding"))
+    return rows.select("vec_id", v.argmax("p").alias("called"), rounded(v.confidence("p")).alias("confidence"))
+
+
+STATS = """(SELECT d, avg(x) AS m, stddev_pop(x) AS sd FROM (
+    SELECT CAST(unnest(embedding) AS DOUBLE) AS x, generate_subscripts(embedding, 1) - 1 AS d FROM embeddings
+    WHERE label < 4) GROUP BY d)"""
+
+
+@query("scaled_vectors", f"""
+SELECT vec_id, CAST(d AS INT) AS d, round((x - m) / sd, 6) + 0.0 AS x
+FROM (SELECT vec_id, CAST(unnest(embedding) AS DOUBLE) AS x, generate_subscripts(embedding, 1) - 1 AS d FROM embeddings)
+JOIN {STATS} USING (d)""")
+def scaled_vectors(spark, sf):
+    rows = table(spark, sf, "embeddings")
+    stats = learn.column_statistics(rows.filter(F.col("label") < 4), "embedding")
+    return long_form(learn.standardize(rows, stats, "embedding"), "vec_id", "scaled")
+
+
+def _learning_sets(spark, sf):
+    """Training and test rows by a fixed hash split, classes 0 to 2."""
+    pairs = vector_pairs(spark, sf).select(
+        "vec_id", (F.col("label") % 3).alias("label"), v.flat_features("r", "v", mode="diff_only").alias("features"))
+    split = materialize(stratified_split(pairs, ["vec_id"], test_size=0.2), "learning-rows")
+    return split.filter(F.col("split") != "test"), split.filter(F.col("split") == "test")
+
+
+def _called(df):
+    return df.select("vec_id", "label", "prediction", rounded(v.confidence("probabilities"), 4).alias("confidence"))
+
+
+@query("logistic_regression")
+def logistic_regression(spark, sf):
+    return _called(learn.logistic_regression(*_learning_sets(spark, sf)))
+
+
+@query("random_forest")
+def random_forest(spark, sf):
+    return _called(learn.random_forest(*_learning_sets(spark, sf)))
+
+
+@query("perceptron")
+def perceptron(spark, sf):
+    return _called(learn.perceptron(*_learning_sets(spark, sf), inputs=DIMS))

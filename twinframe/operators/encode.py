@@ -207,24 +207,22 @@ def pool_tokens(
 
     A key whose tokens are all masked gets zeros.
     """
-    shown = F.col(mask) if mask else F.lit(True)
-    values = F.col(vector).cast("array<double>")
+    shown = mask or "true"
+    values = f"CAST({vector} AS array<double>)"
     # One summary serves both: the first half adds up, the second half, with
     # minus infinity for what is masked, gives the maximum.
-    doubled = F.when(shown, F.concat(values, values)).otherwise(F.concat(
-        F.transform(values, lambda x: F.lit(0.0)), F.transform(values, lambda x: F.lit(float("-inf")))
-    ))
+    doubled = F.expr(
+        f"CASE WHEN {shown} THEN concat({values}, {values}) ELSE concat("
+        f"array_repeat(0D, size({vector})), array_repeat(double('-infinity'), size({vector}))) END")
     summary = Summarizer.metrics("sum", "max").summary(array_to_vector(doubled))
     pooled = tokens.groupBy(*by).agg(
-        summary.alias("_s"), F.count_if(shown).alias("_n"), F.first(F.size(vector)).alias("_d")
+        summary.alias("_s"), F.expr(f"count_if({shown})").alias("_n"), F.first(F.size(vector)).alias("_d")
     ).select(
         *by, "_n", "_d",
         vector_to_array("_s.sum").alias("_sum"), vector_to_array("_s.max").alias("_max"),
     )
-    half = F.slice("_sum", F.lit(1), F.col("_d"))
-    top = F.slice("_max", F.col("_d") + 1, F.col("_d"))
     return pooled.select(
         *by,
-        F.transform(half, lambda x: x / F.greatest(F.col("_n"), F.lit(1))).alias("mean"),
-        F.transform(top, lambda x: F.when(x == float("-inf"), F.lit(0.0)).otherwise(x)).alias("max"),
+        F.expr("transform(slice(_sum, 1, _d), x -> x / greatest(_n, 1))").alias("mean"),
+        F.expr("if(_n = 0, array_repeat(0D, _d), slice(_max, _d + 1, _d))").alias("max"),
     )

@@ -1,4 +1,8 @@
-"""Standardised features and the three baseline classifiers, on MLlib."""
+"""Standardised features and the three baseline classifiers, on MLlib.
+
+Training reads its rows many times, so hand over tables that are cheap to read,
+such as those written by `materialize`.
+"""
 
 from __future__ import annotations
 
@@ -13,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vector import doubles_sql
+from ..session import materialize
 
 
 def column_statistics(df: DataFrame, vector: str = "features") -> DataFrame:
@@ -48,7 +53,7 @@ def _prepared(df: DataFrame, label: str) -> DataFrame:
 
 
 def _fit_and_predict(estimator, train: DataFrame, test: DataFrame, vector, label, epsilon) -> DataFrame:
-    statistics = column_statistics(train, vector)
+    statistics = materialize(column_statistics(train, vector), "column-statistics")
     fitted = estimator.setFeaturesCol("_features").setLabelCol("_label").fit(
         _prepared(standardize(train, statistics, vector, epsilon=epsilon), label))
     scored = fitted.transform(_prepared(standardize(test, statistics, vector, epsilon=epsilon), label))

@@ -78,13 +78,12 @@ def lookup_join(
     return joined.select(*df.columns, *(F.col("_value")[c].alias(c) for c in values))
 
 
-def _bounds_below(bounds: Column, value: Column, buckets: int) -> Column:
+def _bounds_below(bounds: str, value: str, buckets: int) -> Column:
     """How many of the ordered bounds lie below the value, by halving steps."""
-    steps = [F.lit(1 << k) for k in reversed(range(max(buckets - 1, 1).bit_length()))]
-    return F.aggregate(
-        F.array(*steps),
-        F.lit(0),
-        lambda low, step: F.when(F.get(bounds, low + step - 1) < value, low + step).otherwise(low),
+    steps = ", ".join(str(1 << k) for k in reversed(range(max(buckets - 1, 1).bit_length())))
+    return F.expr(
+        f"aggregate(array({steps}), 0, (low, step) ->"
+        f" if(get({bounds}, low + step - 1) < {value}, low + step, low))"
     )
 
 
@@ -103,9 +102,9 @@ def running_totals(
     orders more than one range, and the totals of a group have one row per range.
     """
     by, counts = list(by), list(counts)
-    fractions = [i / buckets for i in range(1, buckets)]
+    shares = ", ".join(f"{i / buckets!r}D" for i in range(1, buckets))
     bounds = histogram.groupBy(*by).agg(
-        F.percentile_approx(value, fractions, 4 * buckets).alias("_bounds"),
+        F.expr(f"percentile_approx({value}, array({shares}), {4 * buckets})").alias("_bounds"),
         F.count(F.lit(1)).alias("_rows"),
     )
     if by:
@@ -113,7 +112,7 @@ def running_totals(
     else:
         ranged = histogram.withColumn("_bounds", bounds.select("_bounds").scalar())
     ranged = ranged.withColumn(
-        "_range", _bounds_below(F.col("_bounds"), F.col(value), buckets)
+        "_range", _bounds_below("_bounds", value, buckets)
     ).drop("_bounds")
     ordered = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*by)

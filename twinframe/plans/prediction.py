@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .. import CLASS_NAMES
 from ..functions.explain import annotate_edits, position_scores, summary, top_edits
-from ..functions.sequence import find_edits
+from ..functions.sequence import find_edits_sql
 from ..functions.vector import argmax, confidence, softmax
 from ..operators.assemble import apply_variants, locate_variants
 from ..operators.features import pair_features
@@ -48,7 +48,7 @@ def predict(
 def explain(predictions: DataFrame, given: str | None = None, ref: str = "ref_protein",
             var: str = "var_protein") -> DataFrame:
     """Add `summary`, `top_positions` and `position_scores`."""
-    annotated = predictions.withColumn("_edits", annotate_edits(find_edits(ref, var)))
+    annotated = predictions.withColumn("_edits", annotate_edits(find_edits_sql(ref, var)))
     return annotated.withColumns({
         "summary": summary("gene", "prediction", "confidence", ref, var, "_edits"),
         "top_positions": top_edits("_edits"),
