@@ -13,7 +13,19 @@ from ..sources.sinks import report_columns
 from ..sources.variants import explode_annotations
 from .pairs import edit_lists_sql
 from .register import query
-from .views import GENES, ROW_ORDER, VARIANTS, dna_of, dna_sql, gene_view, table, translate_sql, variant_view
+from .views import (
+    GENES,
+    LINE_KEY,
+    ROW_ORDER,
+    VARIANTS,
+    dna_of,
+    dna_sql,
+    gene_view,
+    spread_table,
+    table,
+    translate_sql,
+    variant_view,
+)
 
 # Overlapping spans of a day for each event type: every ten hours one that lasts
 # a day, and in another order every seven hours one that lasts two hours.
@@ -114,7 +126,8 @@ PART_TEXTS = f"""(SELECT CAST(p_partkey AS VARCHAR) AS id,
 
 def order_texts(spark, sf):
     tail = F.when(F.col("o_orderstatus") == "P", "P*").otherwise("")
-    return table(spark, sf, "orders").select(
+    columns = "o_orderkey o_custkey o_orderstatus"
+    return spread_table(spark, sf, "orders", "o_orderkey", columns=columns).select(
         F.col("o_custkey").cast("string").alias("id"), "o_orderkey",
         F.concat(dna_of(F.col("o_orderkey"), "d"), tail).alias("seq"))
 
@@ -175,7 +188,8 @@ def annotated_lines(spark, sf):
     first = F.concat_ws("|", F.lit("A"), effect, level, gene, F.lit("t|t|t|t|t|t|t"))
     second = F.when(F.col("l_linestatus") == "F", F.lit("A|other|HIGH|g0")).otherwise(
         F.concat_ws("|", F.lit("C"), F.lit("unknown_effect"), F.lit("LOW"), gene, F.lit("t|t|t|t|t|t|t|t")))
-    return table(spark, sf, "lineitem").select(
+    columns = " ".join(LINE_KEY) + " l_returnflag l_linestatus"
+    return spread_table(spark, sf, "lineitem", *LINE_KEY, columns=columns).select(
         F.concat(F.lit("DP=9;ANN="), first, F.lit(","), second, F.lit(";ANN=x|y")).alias("info"),
         F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("row_no"))
 

@@ -8,7 +8,17 @@ from ..functions import rules
 from ..operators import curate as c
 from ..plans.curation import balance_and_split, label_pairs
 from .register import query, rounded
-from .views import EDITED, LABELLED, ROW_ORDER, SCORED, labelled_view, scored_view, table
+from .views import (
+    EDITED,
+    LABELLED,
+    LINE_KEY,
+    ROW_ORDER,
+    SCORED,
+    labelled_view,
+    scored_view,
+    spread_table,
+    table,
+)
 
 KEYWORDS = ["red", "b.lt", "NAN"]
 NATIONS = {f"N{i}": f"Nation {i}" for i in range(20)}
@@ -125,13 +135,13 @@ def hash_sql(*key: str) -> str:
     return f"md5(concat_ws(':', {', '.join(f'CAST({k} AS VARCHAR)' for k in key)}, '42'))"
 
 
-LINE_KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 LINE_CLASS = "CAST(CASE WHEN l_extendedprice < 20000 THEN 0 WHEN l_extendedprice > 60000 THEN 2 ELSE 1 END AS INT)"
 
 
 def priced_lines(spark, sf):
     price = F.col("l_extendedprice")
-    return table(spark, sf, "lineitem").withColumn(
+    columns = " ".join(LINE_KEY) + " l_extendedprice"
+    return spread_table(spark, sf, "lineitem", *LINE_KEY, columns=columns).withColumn(
         "label", F.when(price < 20000, 0).when(price > 60000, 2).otherwise(1).cast("int"))
 
 

@@ -20,6 +20,7 @@ from .views import (
     dna_sql,
     pair_view,
     scored_view,
+    spread_table,
     table,
     text_table,
     translate_sql,
@@ -185,7 +186,7 @@ ORDER_DNA = dna_sql("o_orderkey", "ab")
 SELECT o_orderkey, {translate_sql('d')} AS protein, split_part({translate_sql('d')}, '*', 1) AS to_stop
 FROM (SELECT o_orderkey, {ORDER_DNA} AS d FROM orders)""")
 def translations(spark, sf):
-    rows = table(spark, sf, "orders").select("o_orderkey", dna_of(F.col("o_orderkey"), "ab").alias("d"))
+    rows = spread_table(spark, sf, "orders", "o_orderkey", columns="o_orderkey").select("o_orderkey", dna_of(F.col("o_orderkey"), "ab").alias("d"))
     return rows.select("o_orderkey", s.translate("d").alias("protein"), s.translate("d", True).alias("to_stop"))
 
 

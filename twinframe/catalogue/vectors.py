@@ -73,8 +73,8 @@ SELECT r.conv_id, r.turn, CAST(r.d AS INT) AS d, round(r.mean, 6) + 0.0 AS ref_m
 FROM {encoded_sql('ref_seq')} r JOIN {encoded_sql('var_seq')} v USING (conv_id, turn, d)""")
 def encoded_pairs(spark, sf):
     pairs = keyed(spark, sf)
-    texts = e.distinct_texts(pairs, max_length=None)
-    vectors = e.encode_texts(e.by_length(texts))
+    texts = materialize(e.distinct_texts(pairs, max_length=None), "texts")
+    vectors = materialize(e.encode_texts(e.by_length(texts)), "vectors")
     done = e.scatter_vectors(pairs, vectors, texts, max_length=None)
     zipped = F.posexplode(F.arrays_zip("ref_mean", "ref_max", "var_mean", "var_max")).alias("d", "z")
     return done.select("conv_id", "turn", zipped).select("conv_id", "turn", "d", *(

@@ -19,11 +19,22 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def text_table(spark: SparkSession, sf: str, name: str, key: str) -> DataFrame:
-    """A table of long texts. In fewer files than there are cores it is spread first."""
-    df = table(spark, sf, name)
+def spread_table(spark: SparkSession, sf: str, name: str, *key: str, columns: str = "*") -> DataFrame:
+    """Columns of a table that costly row work follows on.
+
+    In fewer files than there are cores it is spread first; a table of many
+    files is read as it is.
+    """
+    df = table(spark, sf, name).select(*columns.split())
     cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if len(df.inputFiles()) < cores else df
+    return df.repartition(cores, *key) if len(df.inputFiles()) < cores else df
+
+
+def text_table(spark: SparkSession, sf: str, name: str, key: str) -> DataFrame:
+    return spread_table(spark, sf, name, key)
+
+
+LINE_KEY = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
 
 
 def letters_of(key: Column) -> Column:
@@ -86,8 +97,9 @@ def scored_view(spark: SparkSession, sf: str) -> DataFrame:
     second = (F.col("l_orderkey") % 33).cast("int") + 1
     first_code = F.when(line == 7, F.concat(F.lit("?"), pos.cast("string"), F.col("letter"))).otherwise(
         code(pos, F.col("letter")))
+    columns = " ".join(LINE_KEY) + " l_extendedprice l_tax"
     return (
-        table(spark, sf, "lineitem")
+        spread_table(spark, sf, "lineitem", *LINE_KEY, columns=columns)
         .withColumn("assay", F.concat(
             F.lit("S"), F.col("l_suppkey").cast("string"), F.lit("_N"),
             (F.col("l_suppkey") % 25).cast("string")))
@@ -185,7 +197,8 @@ def variant_view(spark: SparkSession, sf: str) -> DataFrame:
     kind = F.col("l_linenumber") % 4
     base = F.substring(F.lit("ACGT"), (F.col("l_suppkey") % 4).cast("int") + 1, F.lit(1))
     several = (F.col("l_returnflag") == "R") & (F.col("l_tax") < 0.005)
-    return table(spark, sf, "lineitem").select(
+    columns = " ".join(LINE_KEY) + " l_returnflag l_tax"
+    return spread_table(spark, sf, "lineitem", *LINE_KEY, columns=columns).select(
         F.col("l_partkey").cast("string").alias("chrom"),
         (F.col("l_orderkey") % 60).alias("pos"),
         F.when(kind == 2, F.lit("CGT")).when(kind == 3, F.lit("AC")).otherwise(F.lit("C")).alias("ref"),

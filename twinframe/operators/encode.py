@@ -187,6 +187,7 @@ def scatter_vectors(
     `texts` (from `distinct_texts`) tells how often each key is used, for keys
     that very many pairs share; without it the uses are counted.
     """
+    # The vectors are stored already and are not written again.
     weight = None
     if texts is not None:
         vectors = vectors.join(texts.select("seq_key", "uses"), "seq_key")
@@ -196,7 +197,7 @@ def scatter_vectors(
         named = vectors.withColumnsRenamed({
             "seq_key": f"{side}_key", "mean": f"{side}_mean", "max": f"{side}_max",
         })
-        keyed = lookup_join(keyed, named, [f"{side}_key"], weight)
+        keyed = lookup_join(keyed, named, [f"{side}_key"], weight, store=False)
     return keyed.drop("ref_key", "var_key")
 
 

@@ -48,6 +48,10 @@ def standardize(
 
 
 def _prepared(df: DataFrame, label: str) -> DataFrame:
+    # A table in one file would be trained on by one core only.
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if len(df.inputFiles()) < cores:
+        df = df.repartition(cores)
     return df.withColumns({
         "_features": array_to_vector("scaled"), "_label": F.col(label).cast("double")})
 
@@ -81,8 +85,10 @@ def random_forest(
     trees: int = 500, min_leaf: int = 5, max_depth: int = 30, seed: int = 42,
 ) -> DataFrame:
     """Random forest. MLlib limits the depth of a tree to 30."""
+    # Kept node ids spare walking down every deep tree again on each level.
     estimator = RandomForestClassifier(
-        numTrees=trees, minInstancesPerNode=min_leaf, maxDepth=max_depth, seed=seed)
+        numTrees=trees, minInstancesPerNode=min_leaf, maxDepth=max_depth, seed=seed,
+        cacheNodeIds=True, maxMemoryInMB=1024)
     return _fit_and_predict(estimator, train, test, vector, label, None)
 
 

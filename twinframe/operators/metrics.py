@@ -201,7 +201,8 @@ def _beside(left: DataFrame, right: DataFrame, by: Sequence[str]) -> DataFrame:
     """Put two reports with one row per group next to each other."""
     if by:
         return left.join(right, list(by), "left")
-    return left.withColumns({c: right.select(c).scalar() for c in right.columns})
+    row = right.select(F.struct(*right.columns)).scalar()
+    return left.withColumn("_right", row).select(*left.columns, "_right.*")
 
 
 def method_table(

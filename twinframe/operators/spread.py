@@ -17,10 +17,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import materialize
+
 # The heaviest keys that `lookup_join` broadcasts. This many rows bound the size
 # of the broadcast, and no other key can hold more than 1/1024 of the rows.
 HEAVY_KEYS = 1024
 BUCKETS = 1024
+# A group of up to this many values is put in order by one task.
+CUT_ABOVE = 1_000_000
 HASH_DIGITS = 4
 
 
@@ -40,14 +44,20 @@ def lookup_join(
     weight: str | None = None,
     how: str = "left",
     heavy_keys: int = HEAVY_KEYS,
+    store: bool = True,
 ) -> DataFrame:
     """Join `table`, unique on `on`, to every row of `df`.
 
     `weight` names a column of `table`, dropped from the result, that holds
-    about how many rows of `df` have the key; without it they are counted. The
-    heaviest keys come from a broadcast of at most `heavy_keys` rows. The rows
-    of `df` that found their key there, or that have a null key, are spread by a
-    salt in the other join, which serves the remaining keys by shuffle.
+    about how many rows of `df` have the key; without it they are counted.
+
+    A table of at most `heavy_keys` rows is broadcast. Of a larger one only that
+    many rows are, those of the heaviest keys. The rows of `df` that have such a
+    key, or a null key, are spread by a salt in the other join, which serves the
+    remaining keys by shuffle.
+
+    The table is read several times and is therefore written once to the shared
+    folder; pass `store=False` for one that is stored already.
     """
     if how not in ("left", "inner"):
         raise ValueError(f"Unsupported join: {how}. Use left or inner")
@@ -56,23 +66,26 @@ def lookup_join(
         weight = "_count"
         table = table.join(df.groupBy(*on).agg(F.count(F.lit(1)).alias(weight)), on)
     values = [c for c in table.columns if c not in (*on, weight)]
+    if store:
+        table = materialize(table, "lookup")
+        if table.count() <= heavy_keys:
+            joined = df.join(F.broadcast(table.drop(weight)), on, how)
+            return joined.select(*df.columns, *values)
     packed = table.select(
         *on, F.col(weight).alias("_weight"), F.struct(*(F.col(c) for c in values)).alias("_value")
     )
-    heavy = (
-        packed.orderBy(F.desc("_weight"), *on).limit(heavy_keys)
-        .select(*on, F.col("_value").alias("_heavy"))
-    )
-    any_null = F.lit(False)
+    heavy = packed.orderBy(F.desc("_weight"), *on).limit(heavy_keys)
+    settled = F.col("_is_heavy").isNotNull()
     for c in on:
-        any_null = any_null | F.col(c).isNull()
-    salted = df.join(F.broadcast(heavy), on, "left").withColumn(
-        "_salt", F.when(F.col("_heavy").isNull() & ~any_null, F.lit(0)).otherwise(
-            F.pmod(row_salt(df), F.lit(1 << 20)).cast("int") + 1)
+        settled = settled | F.col(c).isNull()
+    # The values of heavy keys come last: before the shuffle a row only carries a mark.
+    joined = (
+        df.join(F.broadcast(heavy.select(*on, F.lit(True).alias("_is_heavy"))), on, "left")
+        .withColumn("_salt", F.when(settled, F.pmod(row_salt(df), F.lit(1 << 20)).cast("int") + 1).otherwise(0))
+        .join(packed.select(*on, "_value", F.lit(0).alias("_salt")), [*on, "_salt"], "left")
+        .join(F.broadcast(heavy.select(*on, F.col("_value").alias("_heavy"))), on, "left")
+        .withColumn("_value", F.coalesce("_value", "_heavy"))
     )
-    joined = salted.join(
-        packed.drop("_weight").withColumn("_salt", F.lit(0)), [*on, "_salt"], "left"
-    ).withColumn("_value", F.coalesce("_heavy", "_value"))
     if how == "inner":
         joined = joined.filter(F.col("_value").isNotNull())
     return joined.select(*df.columns, *(F.col("_value")[c].alias(c) for c in values))
@@ -93,40 +106,56 @@ def running_totals(
     value: str,
     counts: Sequence[str],
     buckets: int = BUCKETS,
+    cut_above: int = CUT_ABOVE,
 ) -> DataFrame:
     """Totals before each value, and over the whole group, in the order of `value`.
 
     `histogram` has one row per group and value. Adds `<count>_before` and
-    `<count>_total` for every name in `counts`. The values of a group are cut
-    into ranges of about equal size; ranges are added up first, so no task
-    orders more than one range, and the totals of a group have one row per range.
+    `<count>_total` for every name in `counts`. A group with more than
+    `cut_above` values is cut into ranges of about equal size; ranges are added
+    up first, so no task orders more than one range, and the totals of a group
+    have one row per range. The histogram is written once to the shared folder.
     """
     by, counts = list(by), list(counts)
-    shares = ", ".join(f"{i / buckets!r}D" for i in range(1, buckets))
+    histogram = materialize(histogram, "histogram")
+    groups = materialize(histogram.groupBy(*by).agg(F.count(F.lit(1)).alias("_rows")), "groups")
+
+    def before(keys: list[str]):
+        return Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+
+    if groups.filter(F.col("_rows") > cut_above).isEmpty():
+        whole = Window.partitionBy(*by)
+        return histogram.select(
+            "*",
+            *(F.coalesce(F.sum(c).over(before(by)), F.lit(0)).alias(f"{c}_before") for c in counts),
+            *(F.sum(c).over(whole).alias(f"{c}_total") for c in counts),
+        )
+
+    # One text, folded to one literal, is planned much faster than many literals.
+    shares = ",".join(repr(i / buckets) for i in range(1, buckets))
     bounds = histogram.groupBy(*by).agg(
-        F.expr(f"percentile_approx({value}, array({shares}), {4 * buckets})").alias("_bounds"),
+        F.expr(
+            f"if(count(1) > {cut_above}, percentile_approx({value},"
+            f" CAST(split('{shares}', ',') AS array<double>), {4 * buckets}), array())"
+        ).alias("_bounds"),
         F.count(F.lit(1)).alias("_rows"),
     )
     if by:
         ranged = lookup_join(histogram, bounds, by, "_rows")
     else:
         ranged = histogram.withColumn("_bounds", bounds.select("_bounds").scalar())
-    ranged = ranged.withColumn(
-        "_range", _bounds_below("_bounds", value, buckets)
-    ).drop("_bounds")
-    ordered = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    ranged = ranged.withColumn("_range", _bounds_below("_bounds", value, buckets)).drop("_bounds")
+    earlier = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*by)
     offsets = (
         ranged.groupBy(*by, "_range").agg(*(F.sum(c).alias(f"_{c}") for c in counts))
         .select(
             *by, "_range",
-            *(F.coalesce(F.sum(f"_{c}").over(ordered), F.lit(0)).alias(f"_{c}_offset") for c in counts),
+            *(F.coalesce(F.sum(f"_{c}").over(earlier), F.lit(0)).alias(f"_{c}_offset") for c in counts),
             *(F.sum(f"_{c}").over(whole).alias(f"{c}_total") for c in counts),
         )
     )
-    inside = (
-        Window.partitionBy(*by, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    )
+    inside = before([*by, "_range"])
     return (
         ranged.select("*", *(F.coalesce(F.sum(c).over(inside), F.lit(0)).alias(f"_{c}_inside") for c in counts))
         .join(offsets, [*by, "_range"])

@@ -16,7 +16,6 @@ from ..functions.sequence import find_edits_sql
 from ..functions.vector import argmax, confidence, softmax
 from ..operators.assemble import apply_variants, locate_variants
 from ..operators.features import pair_features
-from ..operators.spread import lookup_join
 
 
 def variant_records(variants: DataFrame, references: DataFrame, annotations: DataFrame | None = None,
@@ -33,8 +32,11 @@ def with_features(records: DataFrame, max_length: int | None = None) -> DataFram
 def predict(
     records: DataFrame, logits: DataFrame, names: Mapping[int, str] = CLASS_NAMES, key: str = "gene"
 ) -> DataFrame:
-    """Add `prediction`, `confidence` and `probabilities` from `logits` (key, logits)."""
-    joined = lookup_join(records, logits.select(key, "logits"), [key], how="inner")
+    """Add `prediction`, `confidence` and `probabilities` from `logits` (key, logits).
+
+    Both tables have one row per key.
+    """
+    joined = records.join(logits.select(key, "logits"), key)
     label = F.create_map(*(F.lit(x) for pair in names.items() for x in pair))
     return (
         joined.withColumn("probabilities", softmax("logits")).drop("logits")
