@@ -57,10 +57,10 @@ def position_scores(ref: str, var: str, annotated: str, given: str | None = None
 
     # Events come in order of position, one at most for each, so the scores are
     # runs of zeros with one value after every run.
-    gap = zeros(f"e.position - coalesce(get({annotated}, i - 1).position, 0) - 1")
-    own = f"array(if(e.impact = 'high', {HIGH_SCORE}D, {OTHER_SCORE}D))"
+    gap = zeros(f"edit__.position - coalesce(get({annotated}, at__ - 1).position, 0) - 1")
+    own = f"array(if(edit__.impact = 'high', {HIGH_SCORE}D, {OTHER_SCORE}D))"
     last = f"coalesce(try_element_at({annotated}, -1).position, 0)"
-    ruled = f"concat(flatten(transform({annotated}, (e, i) -> concat({gap}, {own}))), {zeros(f'{n} - {last}')})"
+    ruled = f"concat(flatten(transform({annotated}, (edit__, at__) -> concat({gap}, {own}))), {zeros(f'{n} - {last}')})"
     if given is None:
         return F.expr(ruled)
     scores = f"CAST({given} AS array<double>)"
@@ -77,9 +77,9 @@ def summary(name: str, prediction: str, confidence: str, ref: str, var: str, ann
     head = f"concat({name}, ': ', {prediction}, ' (confidence=', {_percent_sql(confidence, 2)}, ')')"
     lost = _percent_sql(f"1 - length({var}) / greatest(length({ref}), 1)", 0)
     lines = (
-        f"transform(slice(filter({annotated}, e -> e.impact = 'high'), 1, {TOP_IN_SUMMARY}), e ->"
-        f" CASE WHEN e.type = '{NONSENSE}'"
-        f" THEN concat('Premature stop at position ', e.position, ' (', e.ref, '→*)')"
+        f"transform(slice(filter({annotated}, e -> e.impact = 'high'), 1, {TOP_IN_SUMMARY}), edit__ ->"
+        f" CASE WHEN edit__.type = '{NONSENSE}'"
+        f" THEN concat('Premature stop at position ', edit__.position, ' (', edit__.ref, '→*)')"
         f" ELSE concat('Truncation: ', {lost}, ' of protein lost') END)"
     )
     moderate = f"size(filter({annotated}, e -> e.impact = 'moderate'))"

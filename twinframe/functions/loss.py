@@ -20,12 +20,12 @@ def log_softmax_sql(logits: str) -> str:
 def cross_entropy_sql(
     logits: str, label: str, smoothing: float = 0.0, weights: Sequence[float] | None = None
 ) -> str:
-    costs = "transform(logp, x -> -x)"
+    costs = "transform(logp__, x -> -x)"
     if weights is not None:
         listed = ", ".join(f"{float(w)!r}D" for w in weights)
-        costs = f"zip_with(logp, array({listed}), (x, w) -> -x * w)"
-    own = f"c[{label}] * {1.0 - smoothing!r}D + {total_sql('c')} * {float(smoothing)!r}D / size(c)"
-    return let_sql("logp", log_softmax_sql(logits), let_sql("c", costs, own))
+        costs = f"zip_with(logp__, array({listed}), (x, w) -> -x * w)"
+    own = f"costs__[{label}] * {1.0 - smoothing!r}D + {total_sql('costs__')} * {float(smoothing)!r}D / size(costs__)"
+    return let_sql("logp__", log_softmax_sql(logits), let_sql("costs__", costs, own))
 
 
 def cross_entropy(

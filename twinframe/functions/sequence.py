@@ -3,7 +3,8 @@
 Everything here is a native Spark expression: nothing crosses into Python at
 run time, so the functions work in batch, in SQL projections and on streams.
 
-Arguments are SQL text, mostly the name of a column. Each expression is written
+Arguments are SQL text, mostly the name of a column; where one is used inside a
+lambda, the lambda's own names end in two underscores to stay apart. Each expression is written
 as one piece of SQL, which Spark parses in one step; built up call by call, the
 nested array lambdas would take seconds of driver time. The `*_sql` functions
 give the text itself, to be put together with others.
@@ -165,7 +166,7 @@ def apply_edit_codes_sql(ref: str, codes: str) -> str:
         f"'old', left(c, 1), 'new', right(c, 1), 'at', {number}))"
     )
     return (
-        f"aggregate(filter({parsed}, e -> e.at BETWEEN 1 AND length({ref})), {ref}, (t, e) ->"
+        f"aggregate(filter({parsed}, code__ -> code__.at BETWEEN 1 AND length({ref})), {ref}, (t, e) ->"
         f" if(substr(t, e.at, 1) = e.old, overlay(t PLACING e.new FROM e.at FOR 1), t))"
     )
 

@@ -45,7 +45,7 @@ def feature_columns(ref: str, var: str, edits: str) -> dict[str, Column]:
         return f"size(filter({edits}, e -> e.type = '{kind}'))"
 
     def share_in(part: str) -> str:
-        inside = f"size(filter({edits}, e -> {region_sql('e.position', length)} = '{part}'))"
+        inside = f"size(filter({edits}, edit__ -> {region_sql('edit__.position', length)} = '{part}'))"
         return f"if({total} > 0, {inside} / {total}, 0D)"
 
     values = (
