@@ -156,8 +156,9 @@ def auroc(
 
 def _correlation(x: str, y: str) -> Column:
     """Pearson correlation, 0 where either side is constant."""
-    varied = (F.stddev_pop(x) > 0) & (F.stddev_pop(y) > 0)
-    return F.when(varied, F.corr(x, y)).otherwise(F.lit(0.0))
+    # Written out, since `corr` itself fails on a constant side.
+    return F.coalesce(
+        F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)), F.lit(0.0))
 
 
 def _numbers(df, by, target, predicted):
