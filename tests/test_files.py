@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+from pathlib import Path
 
 import pandas as pd
 import pytest
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from twinframe.operators import encode as e
 from twinframe.operators.features import FEATURES
-from twinframe.session import materialize, shared_folder
+from twinframe.session import drop_stored, materialize, shared_folder
 from twinframe.sources import scores, sequences, sinks, tables, variants
 
 
@@ -171,3 +172,24 @@ def test_stored_tables(spark):
     df = spark.range(5).withColumn("s", F.struct(F.col("id").alias("x")))
     assert sorted(materialize(df).collect()) == sorted(df.collect())
     assert shared_folder(spark) == shared_folder(spark)
+
+
+def test_shared_folder_on_a_cluster():
+    class Conf(dict):
+        def get(self, key, default=None):
+            return dict.get(self, key, default)
+
+    class Session:
+        def __init__(self, **settings):
+            self.conf = Conf({k.replace("_", "."): v for k, v in settings.items()})
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(Session(spark_master="yarn"))
+    assert shared_folder(Session(spark_master="yarn", spark_checkpoint_dir="hdfs:///x/")) == "hdfs:///x"
+
+
+def test_stored_tables_can_be_dropped(spark):
+    kept = materialize(spark.range(3))
+    path = kept.inputFiles()[0]
+    assert drop_stored(spark) >= 1
+    assert not Path(path.removeprefix("file://")).exists()

@@ -107,7 +107,7 @@ def test_features_are_cut_first_on_request(spark):
 @pytest.mark.parametrize("codes, text", [
     ("K2R", "MRTL"), ("K2R:T3A", "MRAL"), ("K2R;R2Q", "MQTL"), ("X2R: T3A ", "MKAL"), ("KxR", "MKTL"),
     ("K22R", "MKTL"), ("K0R", "MKTL"), ("K2", "MKTL"), ("", "MKTL"), ("K02R", "MRTL"), ("K_2R", "MKTL"), ("k2R", "MKTL"),
-    ("K99999999999999R", "MKTL")])
+    ("K99999999999999R", "MKTL"), ("\tK2R\n;\x0cT3f\x0b", "MRfL")])
 def test_edit_codes(spark, codes, text):
     df = spark.createDataFrame([("MKTL", codes)], "r string, c string")
     assert df.select(s.apply_edit_codes("r", "c")).first()[0] == text

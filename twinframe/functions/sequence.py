@@ -154,13 +154,15 @@ def strip_blanks(text: str) -> Column:
 
 
 def apply_edit_codes_sql(ref: str, codes: str) -> str:
-    # The integer may carry a sign, blanks around it and single underscores
-    # between digits.
+    # The integer may carry a sign and blanks around it, which a cast reads, and
+    # single underscores between digits, which it does not.
+    middle = "substr(c, 2, length(c) - 2)"
     number = (
-        r"if(substr(c, 2, length(c) - 2) RLIKE R'^\s*[+-]?\d+(_\d+)*\s*$',"
-        r" try_cast(regexp_replace(substr(c, 2, length(c) - 2), R'[\s_]', '') AS int), NULL)"
+        f"CASE WHEN NOT contains({middle}, '_') THEN try_cast({middle} AS int)"
+        rf" WHEN {middle} RLIKE R'^\s*[+-]?\d+(_\d+)*\s*$'"
+        f" THEN try_cast(replace({middle}, '_', '') AS int) END"
     )
-    parts = f"transform(split(coalesce({codes}, ''), '[:;]'), c -> {strip_blanks_sql('c')})"
+    parts = f"transform(split(coalesce({codes}, ''), '[:;]'), c -> btrim(c, ' \\t\\n\\r\\u000B\\u000C'))"
     parsed = (
         f"transform(filter({parts}, c -> length(c) >= 3), c -> named_struct("
         f"'old', left(c, 1), 'new', right(c, 1), 'at', {number}))"

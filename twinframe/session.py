@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -9,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
 _local_folder: str | None = None
+_stored: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -25,6 +28,7 @@ def shared_folder(spark: SparkSession) -> str:
     global _local_folder
     if _local_folder is None:
         _local_folder = tempfile.mkdtemp(prefix="twinframe-")
+        atexit.register(shutil.rmtree, _local_folder, ignore_errors=True)
     return _local_folder
 
 
@@ -33,9 +37,20 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
 
     Use it where several later passes read the same costly result. The files
     outlive a lost executor, and the new plan starts from a plain scan whose
-    size is known.
+    size is known. They stay until `drop_stored` is called.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _stored.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_stored(spark: SparkSession) -> int:
+    """Delete the tables this process stored; results built on them can no longer be read."""
+    configuration = spark._jsc.hadoopConfiguration()
+    dropped = 0
+    while _stored:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_stored.pop())
+        dropped += bool(path.getFileSystem(configuration).delete(path, True))
+    return dropped
