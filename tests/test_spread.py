@@ -11,7 +11,7 @@ from twinframe.operators import spread as sp
 
 def test_lookup_join_with_hot_null_and_missing_keys(spark):
     rng = random.Random(1)
-    keys = [0] * 400 + [rng.randint(1, 300) for _ in range(500)] + [None] * 60
+    keys = [0] * 400 + [rng.randint(1, 300) for _ in range(500)] + [None] * 60 + [999] * 300
     rows = spark.createDataFrame([(i, k) for i, k in enumerate(keys)], "id int, k int")
     table = spark.createDataFrame([(k, f"v{k}", 1 if k else 400) for k in range(0, 250)], "k int, v string, n int")
     wanted = {i: (f"v{k}" if k is not None and k < 250 else None) for i, k in enumerate(keys)}

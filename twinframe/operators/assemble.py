@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +15,7 @@ from ..functions.sequence import (
     substitute_char_sql,
     translate,
 )
+from ..session import materialize
 from .spread import lookup_join
 
 # Intervals are cut into aligned blocks of 64**level positions; five levels
@@ -48,11 +51,11 @@ def interval_blocks_sql(start: str, end: str) -> str:
     return f"concat({', '.join(parts)})"
 
 
-def point_blocks_sql(position: str) -> str:
-    """The blocks of every level that hold a position."""
+def point_blocks_sql(position: str, levels: Sequence[int]) -> str:
+    """The blocks of the given levels that hold a position."""
     blocks = (
         f"named_struct('level', {level}, 'block', shiftright({position}, {RADIX_BITS * level}))"
-        for level in range(LEVELS)
+        for level in levels
     )
     return f"array({', '.join(blocks)})"
 
@@ -62,7 +65,8 @@ def first_covering(points: DataFrame, intervals: DataFrame, space: str = "chrom"
 
     `points` has `space` and `pos`; `intervals` has `space`, `start`, `end`
     (half-open), `ord` and value columns. Gives `space`, `pos`, `n` (how many
-    rows of `points` share it) and `hit`, a struct of ord, start and the values.
+    rows of `points` share it) and `hit`, a struct of ord, start and the values,
+    null for a point that no interval covers.
 
     A block keeps one interval only, the first in order, so a point looks up at
     most one row per level, however many intervals or points lie in one place.
@@ -71,16 +75,21 @@ def first_covering(points: DataFrame, intervals: DataFrame, space: str = "chrom"
     found = F.struct("ord", "start", *values)
     blocks = (
         intervals.filter(F.col("start") < F.col("end"))
-        .select(space, found.alias("_hit"), F.expr(
+        .select(space, found.alias("hit"), F.expr(
             f"inline({interval_blocks_sql('CAST(start AS bigint)', 'CAST(end AS bigint)')})"))
-        .groupBy(space, "level", "block").agg(F.min_by("_hit", "_hit.ord").alias("_hit"))
-    )
-    distinct = points.groupBy(space, "pos").agg(F.count(F.lit(1)).alias("n"))
-    return (
-        distinct.select(space, "pos", "n", F.expr(f"inline({point_blocks_sql('CAST(pos AS bigint)')})"))
-        .join(blocks, [space, "level", "block"])
-        .groupBy(space, "pos").agg(F.first("n").alias("n"), F.min_by("_hit", "_hit.ord").alias("hit"))
+        .groupBy(space, "level", "block").agg(F.min_by("hit", "hit.ord").alias("hit"))
     )
+    blocks = materialize(blocks, "blocks")
+    distinct = materialize(points.groupBy(space, "pos").agg(F.count(F.lit(1)).alias("n")), "points")
+    # At most LEVELS numbers: which block sizes occur at all.
+    levels = sorted(r["level"] for r in blocks.select("level").distinct().collect())
+    if not levels:
+        return distinct.withColumn("hit", F.lit(None).cast(blocks.schema["hit"].dataType))
+    asked = distinct.select(space, "pos", F.expr(f"inline({point_blocks_sql('CAST(pos AS bigint)', levels)})"))
+    # Large blocks hold very many points, so this is a join with hot keys.
+    hits = lookup_join(asked, blocks, [space, "level", "block"], how="inner")
+    best = hits.groupBy(space, "pos").agg(F.min_by("hit", "hit.ord").alias("hit"))
+    return distinct.join(best, [space, "pos"], "left")
 
 
 def locate_variants(variants: DataFrame, annotations: DataFrame | None = None) -> DataFrame:

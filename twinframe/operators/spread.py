@@ -49,7 +49,8 @@ def lookup_join(
     """Join `table`, unique on `on`, to every row of `df`.
 
     `weight` names a column of `table`, dropped from the result, that holds
-    about how many rows of `df` have the key; without it they are counted.
+    about how many rows of `df` have the key; every frequent key must then be in
+    the table. Without it keys are counted, those that the table lacks too.
 
     A table of at most `heavy_keys` rows is broadcast. Of a larger one only that
     many rows are, those of the heaviest keys. The rows of `df` that have such a
@@ -62,18 +63,18 @@ def lookup_join(
     if how not in ("left", "inner"):
         raise ValueError(f"Unsupported join: {how}. Use left or inner")
     on = list(on)
-    if weight is None:
-        weight = "_count"
-        table = table.join(df.groupBy(*on).agg(F.count(F.lit(1)).alias(weight)), on)
     values = [c for c in table.columns if c not in (*on, weight)]
-    if store:
-        table = materialize(table, "lookup")
-        if table.count() <= heavy_keys:
-            joined = df.join(F.broadcast(table.drop(weight)), on, how)
-            return joined.select(*df.columns, *values)
     packed = table.select(
-        *on, F.col(weight).alias("_weight"), F.struct(*(F.col(c) for c in values)).alias("_value")
-    )
+        *on, F.struct(*values).alias("_value"), *([F.col(weight).alias("_weight")] if weight else []))
+    if weight is None:
+        counts = df.groupBy(*on).agg(F.count(F.lit(1)).alias("_weight"))
+        packed = counts.join(packed, on, "left")
+    if store:
+        packed = materialize(packed, "lookup")
+        if packed.count() <= heavy_keys:
+            found = packed.filter(F.col("_value").isNotNull()).select(*on, "_value")
+            return df.join(F.broadcast(found), on, how).select(
+                *df.columns, *(F.col("_value")[c].alias(c) for c in values))
     heavy = packed.orderBy(F.desc("_weight"), *on).limit(heavy_keys)
     settled = F.col("_is_heavy").isNotNull()
     for c in on:
