@@ -57,6 +57,8 @@ def test_references_last_wins_and_inference(spark):
         [("b", 0.2, "no", 1), ("b", 0.1, "first", 2), ("b", 0.0, "second", 3), ("c", 5.0, "far", 4), ("a", 0.0, "x", 5),
          ("d", 0.0, None, 6), ("d", 0.0, "later", 7)],
         "assay string, score double, mutated_sequence string, row_no int")
+    table = {r.assay: r.ref_seq for r in c.assay_table(scores, c.catalog_references(catalog, order="o")).collect()}
+    assert table == {"a": "K" * 12, "b": "first", "c": None, "d": None}
     known = c.with_references(scores, c.catalog_references(catalog, order="o"), c.inferred_references(scores))
     assert {(r.assay, r.ref_seq) for r in known.collect()} == {("a", "K" * 12), ("b", "first")}
 

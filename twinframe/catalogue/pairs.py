@@ -9,6 +9,7 @@ from ..functions import explain as x
 from ..functions import sequence as s
 from ..functions.vector import clamp, length_change_score
 from ..operators.features import FEATURES, explode_edits, pair_features, with_edits
+from ..operators.spread import with_once
 from .register import edits_text, query, rounded
 from .views import (
     EDITED,
@@ -163,7 +164,8 @@ FROM (SELECT split_part(k, '|', 1) AS ref_seq, * EXCLUDE (k) FROM ({features_sql
     f"(SELECT ref_seq || '|' || l_orderkey || '|' || l_linenumber || '|' || l_partkey || '|' || l_suppkey AS k, "
     f"ref_seq, {EDITED} AS var_seq FROM {SCORED})", "k")})) GROUP BY ref_seq""")
 def scored_pair_features(spark, sf):
-    pairs = scored_view(spark, sf).withColumn("var_seq", s.build_variant("ref_seq", "mutant", "mutated_sequence"))
+    pairs = with_once(
+        scored_view(spark, sf), var_seq=s.build_variant("ref_seq", "mutant", "mutated_sequence"))
     return pair_features(pairs).groupBy("ref_seq").agg(
         F.count(F.lit(1)).alias("n"),
         # Rounded per row first, as the check does.

@@ -8,6 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.sequence import CODON_PRODUCTS, build_variant
+from ..operators.spread import with_once
+
 # Letters that stand for hex digits in made-up texts.
 HEX = "0123456789abcdef"
 LETTERS = "ACDEFGHIKLMNPQRS"
@@ -98,13 +101,11 @@ def scored_view(spark: SparkSession, sf: str) -> DataFrame:
     first_code = F.when(line == 7, F.concat(F.lit("?"), pos.cast("string"), F.col("letter"))).otherwise(
         code(pos, F.col("letter")))
     columns = " ".join(LINE_KEY) + " l_extendedprice l_tax"
+    lines = spread_table(spark, sf, "lineitem", *LINE_KEY, columns=columns).withColumn("assay", F.concat(
+        F.lit("S"), F.col("l_suppkey").cast("string"), F.lit("_N"), (F.col("l_suppkey") % 25).cast("string")))
     return (
-        spread_table(spark, sf, "lineitem", *LINE_KEY, columns=columns)
-        .withColumn("assay", F.concat(
-            F.lit("S"), F.col("l_suppkey").cast("string"), F.lit("_N"),
-            (F.col("l_suppkey") % 25).cast("string")))
+        with_once(lines, ref_seq=letters_of(F.col("assay")))
         .withColumns({
-            "ref_seq": letters_of(F.col("assay")),
             "pos": (F.col("l_partkey") % 33).cast("int") + 1,
             "letter": F.substring(
                 F.lit(NEW_LETTERS), (F.col("l_orderkey") % 21).cast("int") + 1, F.lit(1)),
@@ -143,12 +144,11 @@ EDITED = """coalesce(mutated_sequence, list_reduce(
 
 def labelled_view(spark: SparkSession, sf: str) -> DataFrame:
     """Pairs out of `scored_view` with a label from fixed price bounds."""
-    from ..functions.sequence import build_variant
-
     price = F.col("score")
-    return scored_view(spark, sf).select(
-        F.col("assay").alias("gene"), F.element_at(F.split("assay", "_"), -1).alias("species"), "ref_seq",
-        build_variant("ref_seq", "mutant", "mutated_sequence").alias("var_seq"),
+    variant = build_variant("ref_seq", "mutant", "mutated_sequence")
+    return with_once(scored_view(spark, sf), var_seq=variant).select(
+        F.col("assay").alias("gene"), F.element_at(F.split("assay", "_"), -1).alias("species"),
+        "ref_seq", "var_seq",
         F.when(price < 20000, 0).when(price > 60000, 2).otherwise(1).cast("int").alias("label"),
         "row_no",
     )
@@ -173,8 +173,6 @@ def dna_sql(key: str, parts: str = "abc") -> str:
 
 def translate_sql(text: str) -> str:
     """SQL that translates a text over the four bases."""
-    from ..functions.sequence import CODON_PRODUCTS
-
     def base(i: int) -> str:
         return f"(instr('TCAG', substr({text}, CAST(3 * i + {i} AS INT), 1)) - 1)"
 

@@ -28,6 +28,16 @@ CUT_ABOVE = 1_000_000
 HASH_DIGITS = 4
 
 
+def with_once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns that are worked out once per row, whatever uses them later.
+
+    Spark moves a filter below the projection it follows and repeats the column's
+    whole expression in it. It does not do so for the output of a generator.
+    """
+    row = F.struct(*(column.alias(name) for name, column in columns.items()))
+    return df.select("*", F.inline(F.array(row)))
+
+
 def row_salt(df: DataFrame) -> Column:
     """A hash of the row's own content.
 

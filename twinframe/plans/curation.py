@@ -8,17 +8,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import CLASSES
-from ..functions.rules import first_known_token, is_changed_pair, not_empty
+from ..functions.rules import first_known_token, has_score, is_changed_pair, not_empty
 from ..functions.sequence import build_variant
 from ..operators.curate import (
+    assay_table,
     balance_classes,
     first_per_key,
-    inferred_references,
-    standardize_scores,
     stratified_split,
     with_labels,
-    with_references,
 )
+from ..operators.spread import lookup_join, with_once
 from ..session import materialize
 
 PAIR = ["ref_seq", "var_seq"]
@@ -38,13 +37,15 @@ def label_pairs(
     Statistics cover every scored row of an assay; pairs that do not change the
     reference are dropped after that, then all but the first copy of each pair.
     """
-    known = with_references(scores, references, inferred_references(scores))
-    labelled = with_labels(standardize_scores(known, ["assay"], "score"), "zscore", low, high)
-    pairs = labelled.select(
+    assays = assay_table(scores, references)
+    known = lookup_join(scores.filter(has_score("score")), assays, ["assay"], "n").filter("ref_seq IS NOT NULL")
+    scored = known.withColumn("zscore", (F.col("score") - F.col("mean")) / F.col("sd"))
+    labelled = with_labels(scored, "zscore", low, high)
+    built = with_once(labelled, var_seq=build_variant("ref_seq", "mutant", "mutated_sequence"))
+    pairs = built.select(
         F.col("assay").alias("gene"),
         first_known_token("assay", group_names or {}).alias("species"),
-        "ref_seq",
-        build_variant("ref_seq", "mutant", "mutated_sequence").alias("var_seq"),
+        "ref_seq", "var_seq",
         "label", "score", "zscore", F.lit(source).alias("source"), "row_no",
     ).filter(is_changed_pair("ref_seq", "var_seq"))
     return first_per_key(pairs, PAIR, ["row_no"])
