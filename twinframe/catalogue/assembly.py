@@ -97,7 +97,7 @@ def gene_records(spark, sf):
 @query("gene_edit_order", f"""
 SELECT chrom AS gene, count(*) AS n_variants, sum(pos * place) AS weighted FROM (
   SELECT chrom, pos, row_number() OVER (PARTITION BY chrom ORDER BY pos DESC, l_orderkey, l_linenumber,
-         l_partkey, l_suppkey) AS place FROM {VARIANTS}
+         l_partkey, l_suppkey, l_extendedprice) AS place FROM {VARIANTS}
   WHERE NOT contains(alt, ',') AND len(ref) <> len(alt)) GROUP BY chrom""".replace(
     "sum(pos * place)", "CAST(sum(pos * place) AS BIGINT)"))
 def gene_edit_order(spark, sf):
@@ -191,7 +191,7 @@ def annotated_lines(spark, sf):
     columns = " ".join(LINE_KEY) + " l_returnflag l_linestatus"
     return spread_table(spark, sf, "lineitem", *LINE_KEY, columns=columns).select(
         F.concat(F.lit("DP=9;ANN="), first, F.lit(","), second, F.lit(";ANN=x|y")).alias("info"),
-        F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("row_no"))
+        F.struct(*LINE_KEY).alias("row_no"))
 
 
 ANNOTATIONS = f"""(

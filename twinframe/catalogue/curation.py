@@ -47,7 +47,7 @@ def catalog_filter(spark, sf):
 
 
 @query("token_names", f"""
-SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice,
        CASE WHEN 'N' || (l_suppkey % 25) IN ({NATION_LIST}) THEN 'Nation ' || (l_suppkey % 25) ELSE '' END AS species
 FROM lineitem""")
 def token_names(spark, sf):
@@ -72,7 +72,7 @@ def clean_columns(spark, sf):
 
 
 @query("score_zscores", f"""
-SELECT s.l_orderkey, s.l_linenumber, s.l_partkey, s.l_suppkey, round((score - m) / sd, 6) + 0.0 AS zscore,
+SELECT s.l_orderkey, s.l_linenumber, s.l_partkey, s.l_suppkey, s.l_extendedprice, round((score - m) / sd, 6) + 0.0 AS zscore,
        CAST(CASE WHEN (score - m) / sd < -1.0 THEN 0 WHEN (score - m) / sd > 1.0 THEN 2 ELSE 1 END AS INT) AS label
 FROM {SCORED} s JOIN (SELECT assay, avg(score) AS m,
     CASE WHEN stddev_samp(score) = 0 THEN 1.0 ELSE stddev_samp(score) END AS sd
@@ -108,7 +108,7 @@ def references(spark, sf):
         F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("assay"),
         (F.col("l_quantity") - 25.0).alias("score"),
         F.when(F.col("l_tax") < 0.075, F.md5(F.col("l_partkey").cast("string"))).alias("mutated_sequence"),
-        F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("row_no"))
+        F.struct(*LINE_KEY).alias("row_no"))
     catalog = table(spark, sf, "part").filter(F.col("p_size") < 5).select(
         F.concat(F.lit("S"), (F.col("p_partkey") % 40).cast("string")).alias("DMS_id"),
         F.concat("p_name", "p_type", "p_brand").alias("target_seq"), "p_partkey")
@@ -140,7 +140,7 @@ LINE_CLASS = "CAST(CASE WHEN l_extendedprice < 20000 THEN 0 WHEN l_extendedprice
 
 def priced_lines(spark, sf):
     price = F.col("l_extendedprice")
-    columns = " ".join(LINE_KEY) + " l_extendedprice"
+    columns = " ".join(LINE_KEY)
     return spread_table(spark, sf, "lineitem", *LINE_KEY, columns=columns).withColumn(
         "label", F.when(price < 20000, 0).when(price > 60000, 2).otherwise(1).cast("int"))
 

@@ -161,7 +161,8 @@ def features_clipped(spark, sf):
 SELECT ref_seq, count(*) AS n, round(avg(edit_density), 6) + 0.0 AS edit_density,
        round(avg(dissimilarity), 6) + 0.0 AS dissimilarity, CAST(sum(nonsense_count) AS BIGINT) AS stops
 FROM (SELECT split_part(k, '|', 1) AS ref_seq, * EXCLUDE (k) FROM ({features_sql(
-    f"(SELECT ref_seq || '|' || l_orderkey || '|' || l_linenumber || '|' || l_partkey || '|' || l_suppkey AS k, "
+    f"(SELECT ref_seq || '|' || l_orderkey || '|' || l_linenumber || '|' || l_partkey || '|' || l_suppkey "
+    f"|| '|' || l_extendedprice AS k, "
     f"ref_seq, {EDITED} AS var_seq FROM {SCORED})", "k")})) GROUP BY ref_seq""")
 def scored_pair_features(spark, sf):
     pairs = with_once(
@@ -175,7 +176,7 @@ def scored_pair_features(spark, sf):
 
 
 @query("edit_codes", f"""
-SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, {EDITED} AS var_seq FROM {SCORED}""")
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, {EDITED} AS var_seq FROM {SCORED}""")
 def edit_codes(spark, sf):
     return scored_view(spark, sf).select(
         "row_no.*", s.build_variant("ref_seq", "mutant", "mutated_sequence").alias("var_seq"))

@@ -37,7 +37,8 @@ def text_table(spark: SparkSession, sf: str, name: str, key: str) -> DataFrame:
     return spread_table(spark, sf, name, key)
 
 
-LINE_KEY = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+# Together these tell the rows of `lineitem` apart; a line number alone repeats.
+LINE_KEY = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
 
 
 def letters_of(key: Column) -> Column:
@@ -100,7 +101,7 @@ def scored_view(spark: SparkSession, sf: str) -> DataFrame:
     second = (F.col("l_orderkey") % 33).cast("int") + 1
     first_code = F.when(line == 7, F.concat(F.lit("?"), pos.cast("string"), F.col("letter"))).otherwise(
         code(pos, F.col("letter")))
-    columns = " ".join(LINE_KEY) + " l_extendedprice l_tax"
+    columns = " ".join(LINE_KEY) + " l_tax"
     lines = spread_table(spark, sf, "lineitem", *LINE_KEY, columns=columns).withColumn("assay", F.concat(
         F.lit("S"), F.col("l_suppkey").cast("string"), F.lit("_N"), (F.col("l_suppkey") % 25).cast("string")))
     return (
@@ -116,7 +117,7 @@ def scored_view(spark: SparkSession, sf: str) -> DataFrame:
             F.when(line.isin(2, 4), F.concat_ws(":", first_code, code(second, F.lit("Y"))))
             .otherwise(first_code).alias("mutant"),
             F.when(line == 1, F.substring(ref, F.lit(1), pos)).alias("mutated_sequence"),
-            F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("row_no"),
+            F.struct(*LINE_KEY).alias("row_no"),
         )
     )
 
@@ -127,7 +128,7 @@ SCORED = f"""(
          || CASE WHEN l_linenumber IN (2, 4)
               THEN ':' || substr(ref_seq, pos2, 1) || pos2 || 'Y' ELSE '' END AS mutant,
          CASE WHEN l_linenumber = 1 THEN substr(ref_seq, 1, pos) END AS mutated_sequence,
-         l_orderkey, l_linenumber, l_partkey, l_suppkey
+         l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice
   FROM (SELECT *, 'M' || translate(md5(assay), '{HEX}', '{LETTERS}') AS ref_seq,
                CAST(l_partkey % 33 AS INT) + 1 AS pos, CAST(l_orderkey % 33 AS INT) + 1 AS pos2,
                substr('{NEW_LETTERS}', CAST(l_orderkey % 21 AS INT) + 1, 1) AS letter
@@ -157,8 +158,8 @@ def labelled_view(spark: SparkSession, sf: str) -> DataFrame:
 LABELLED = f"""(
   SELECT assay AS gene, split_part(assay, '_', 2) AS species, ref_seq, {EDITED} AS var_seq,
          CASE WHEN score < 20000 THEN 0 WHEN score > 60000 THEN 2 ELSE 1 END AS label,
-         l_orderkey, l_linenumber, l_partkey, l_suppkey FROM {SCORED})"""
-ROW_ORDER = "l_orderkey, l_linenumber, l_partkey, l_suppkey"
+         l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice FROM {SCORED})"""
+ROW_ORDER = ", ".join(LINE_KEY)
 
 
 def dna_of(key: Column, parts: str = "abc") -> Column:
@@ -202,7 +203,7 @@ def variant_view(spark: SparkSession, sf: str) -> DataFrame:
         F.when(kind == 2, F.lit("CGT")).when(kind == 3, F.lit("AC")).otherwise(F.lit("C")).alias("ref"),
         F.when(several, F.lit("A,T")).when(kind == 1, F.concat(F.lit("C"), base, base))
         .when(kind == 3, F.lit("GG")).otherwise(base).alias("alt"),
-        F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("row_no"),
+        F.struct(*LINE_KEY).alias("row_no"),
     )
 
 
@@ -212,7 +213,7 @@ VARIANTS = """(
          CASE WHEN l_returnflag = 'R' AND l_tax < 0.005 THEN 'A,T'
               WHEN l_linenumber % 4 = 1 THEN 'C' || base || base
               WHEN l_linenumber % 4 = 3 THEN 'GG' ELSE base END AS alt,
-         l_orderkey, l_linenumber, l_partkey, l_suppkey
+         l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice
   FROM (SELECT *, substr('ACGT', CAST(l_suppkey % 4 AS INT) + 1, 1) AS base FROM lineitem))"""
 
 
