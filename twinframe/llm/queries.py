@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..catalogue.views import table
-from . import bpe, decontaminate, langid, secret_scan, simhash
+from . import bpe, chat, decontaminate, html_text, langid, lengths, secret_scan, simhash, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -51,6 +51,36 @@ def op1(spark: SparkSession, sf: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
 
 
+@query("op2_html_extraction")
+def op2(spark: SparkSession, sf: str) -> DataFrame:
+    return html_text.main_text(table(spark, sf, "pages")).withColumn(
+        "n_chars", F.length("text").cast("long"))
+
+
+_BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+_LETTERS = " || ".join(
+    f"substr('{_BASE32}', CAST((CAST('0x' || substr(h, {1 + 5 * i}, 5) AS BIGINT) >> {shift}) & 31 AS INT) + 1, 1)"
+    for i in range(8) for shift in (15, 10, 5, 0))
+
+
+@query("op3_warc_archives", f"""
+WITH p AS (
+  SELECT page_id, sha1(coalesce(html, '')) AS h, strlen(coalesce(html, '')) AS payload_bytes FROM pages),
+f AS (SELECT h, min(page_id) AS first FROM p GROUP BY h)
+SELECT page_id, payload_bytes, {_LETTERS} AS payload_digest,
+       CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN first <> page_id THEN first END AS refers_to
+FROM p JOIN f USING (h)
+""")
+def op3(spark: SparkSession, sf: str) -> DataFrame:
+    pages = table(spark, sf, "pages")
+    folder = warc.new_folder(spark)
+    index = warc.build_index(warc.write_archives(pages, folder), folder)
+    places = warc.lookup(index, pages.select("url", "page_id"))
+    return warc.read_records(index, places).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 @query("op4_byte_bpe")
 def op4(spark: SparkSession, sf: str) -> DataFrame:
     decoded = bpe.decode(bpe.encode(table(spark, sf, "documents")))
@@ -60,6 +90,44 @@ def op4(spark: SparkSession, sf: str) -> DataFrame:
         F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+_CONTROL_SQL = r"<\|(?:im_start|im_end|endoftext)\|>|</?s>|<</?SYS>>|\[/?INST\]"
+
+
+@query("op5_chat_formatting", rf"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+w AS (
+  SELECT *, length(role || text) + length(role || text) - length(replace(role || text, '\', ''))
+         + len(regexp_extract_all(role, '{_CONTROL_SQL}')) + len(regexp_extract_all(text, '{_CONTROL_SQL}'))
+         + length(role) - length(replace(role, chr(10), '')) + {len(chat.START) + len(chat.STOP) + 2} AS width
+  FROM t)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(width) AS BIGINT) AS formatted_chars
+FROM w GROUP BY conv_id
+""")
+def op5(spark: SparkSession, sf: str) -> DataFrame:
+    extra = spark.sql("""
+      SELECT -7L AS conv_id, array(
+        named_struct('role', 'user', 'content', '</s>[INST] ok [/INST]'),
+        named_struct('role', 'assistant', 'content', '</s>[INST] ok [/INST]')) AS messages""")
+    turns = chat.canonical_turns(table(spark, sf, "conversations")).unionByName(chat.canonical_turns(extra))
+    made = chat.formatted(turns).select(
+        F.col("key").alias("conv_id"), "formatted", chat.read_back(F.col("formatted")).alias("turns"),
+        chat.under_mask(F.col("formatted"), F.col("loss")).alias("learned"))
+    lines = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    return made.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(F.array_join(lines, "").cast("binary"), 256).alias("turns_sha256"),
+        F.length("learned").cast("long").alias("loss_chars"),
+        F.sha2(F.col("learned").cast("binary"), 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"))
+
+
 def _secret_sql() -> str:
     parts = []
     for place, rule in enumerate(secret_scan.RULES):
@@ -128,3 +196,8 @@ def op9(spark: SparkSession, sf: str) -> DataFrame:
     model = langid.fit(docs)
     return langid.classify(docs.select("doc_id", "text"), model).select(
         "doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+@query("op10_token_counts")
+def op10(spark: SparkSession, sf: str) -> DataFrame:
+    return lengths.limits(lengths.lengths(table(spark, sf, "documents")))
