@@ -35,7 +35,11 @@ def test_a_merge_that_makes_an_earlier_one_possible():
     ranks |= {b"abc": 256, b"zz": 257, b"ab": 258, b"zzz": 259, b"bb": 260}
     words = [b"abcab", b"zzzzz", b"ababcabb", b"bbb", b"abcabczzabzz"]
     own = tiktoken.Encoding("t", pat_str=r"[a-z]+", mergeable_ranks=ranks, special_tokens={})
-    assert bpe.MergeReplay(ranks).encode(words) == [own.encode_ordinary(w.decode()) for w in words]
+    wanted = [own.encode_ordinary(w.decode()) for w in words]
+    for copies in (1, 300):  # few places of a pair, and many
+        packed = bpe.MergeReplay(ranks).encode(words * copies)
+        assert [memoryview(p).cast("i").tolist() for p in packed] == wanted * copies
+    assert 258 in bpe.MergeReplay(ranks).turning
 
 
 def test_whole_table(spark, library):

@@ -12,7 +12,8 @@ that one replay over the whole corpus would give, without a shuffle of words.
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterable, Iterator
+from array import array
+from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
 from pathlib import Path
@@ -29,8 +30,10 @@ from .common import map_batches
 RANKS = "byte_bpe_50k.tiktoken"
 # Bytes of text whose distinct words are replayed together.
 SLICE_BYTES = 4 << 20
-# Words that one generation of a task's memory holds.
-KNOWN_WORDS = 250_000
+# Words that a task remembers before it goes back to those of its last slice.
+KNOWN_WORDS = 500_000
+# Places of a pair from which they are merged together.
+MANY = 80
 
 
 @lru_cache(maxsize=2)
@@ -43,8 +46,14 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 @lru_cache(maxsize=2)
-def tokens_by_rank(path: str) -> dict[int, bytes]:
-    return {rank: token for token, rank in load_ranks(path).items()}
+def token_bytes(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of all tokens in one array, and the start and width of each by rank."""
+    ranks = load_ranks(path)
+    widths = np.zeros(max(ranks.values()) + 1, np.int32)
+    ordered = sorted(ranks.items(), key=lambda x: x[1])
+    widths[[rank for _, rank in ordered]] = [len(token) for token, _ in ordered]
+    content = np.frombuffer(b"".join(token for token, _ in ordered), np.uint8)
+    return content, np.cumsum(widths) - widths, widths
 
 
 class MergeReplay:
@@ -53,8 +62,15 @@ class MergeReplay:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.token = {rank: token for token, rank in ranks.items()}
-        self.bytes_ids = [ranks.get(bytes([b]), -1) for b in range(256)]
+        self.bytes_ids = np.array([ranks.get(bytes([b]), -1) for b in range(256)], np.int32)
         self.made: dict[int, int] = {}
+        self.byte_pairs = np.array(
+            [ranks.get(bytes([a, b]), -1) for a in range(256) for b in range(256)], np.int32)
+        # Tokens after which an earlier merge may become possible, as a longer token that starts
+        # or ends with them has a lower rank. All other tokens' merges can be done in one go.
+        self.turning = {
+            ranks[part] for token, rank in ranks.items() for i in range(1, len(token))
+            for part in (token[:i], token[i:]) if ranks.get(part, -1) > rank}
 
     def _make(self, a: int, b: int) -> int:
         """The token that a and b make together, or -1."""
@@ -66,90 +82,143 @@ class MergeReplay:
             found = self.made[key] = self.ranks.get(self.token[a] + self.token[b], -1)
         return found
 
-    def encode(self, words: Iterable[bytes]) -> list[list[int]]:
-        ids: list[list[int]] = []
-        tok: list[int] = [-2]  # below 0: no token; -2 parts the words
-        starts: list[tuple[int, int]] = []
-        for word in words:
-            if (whole := self.ranks.get(word)) is not None:
-                ids.append([whole])
-            else:
-                starts.append((len(ids), len(tok)))
-                ids.append([])
-                tok.extend(map(self.bytes_ids.__getitem__, word))
-                tok.append(-2)
-        n, make = len(tok), self._make
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    def encode(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each word, packed as 32-bit integers."""
+        whole = list(map(self.ranks.get, words))
+        split = [word for word, rank in zip(words, whole) if rank is None]
+        parts = iter(self._replay(split) if split else ())
+        return [next(parts) if rank is None else rank.to_bytes(4, "little") for rank in whole]
+
+    def _replay(self, words: list[bytes]) -> list[bytes]:
+        # One place per byte, and one before each word and at the end that holds no token.
+        widths = np.fromiter(map(len, words), np.int64, len(words))
+        n = int(widths.sum()) + len(words) + 1
+        heads = np.concatenate(([0], np.cumsum(widths + 1)))
+        raw = np.zeros(n, np.uint8)
+        inside = np.ones(n, bool)
+        inside[heads] = False
+        raw[inside] = np.frombuffer(b"".join(words), np.uint8)
+        # Arrays that plain Python and numpy share: the one reads single places, the other many.
+        tok, after, before = (array("i", bytes(4 * n)) for _ in range(3))
+        tok_, after_, before_ = (np.frombuffer(x, np.int32) for x in (tok, after, before))
+        tok_[:] = np.where(inside, self.bytes_ids[raw], -2)
+        after_[:], before_[:] = np.arange(1, n + 1), np.arange(-1, n - 1)
+        made = np.where(
+            inside[:-1] & inside[1:], self.byte_pairs[raw[:-1].astype(np.int32) * 256 + raw[1:]], -1)
         where: dict[int, list[int]] = {}
-        for p in range(n - 1):
-            a, b = tok[p], tok[p + 1]
-            if a >= 0 and b >= 0 and (m := make(a, b)) >= 0:
-                where.setdefault(m, []).append(p)
+        self._enter(where, made, np.arange(n - 1))
         order = list(where)
         heapify(order)
+        make = self._make
         while order:
             rank = heappop(order)
             at = where.pop(rank, None)
             if at is None:
                 continue
+            turning = rank in self.turning
+            if len(at) >= MANY and not turning and self._at_once(
+                    rank, np.array(at, np.int32), tok_, after_, before_, where, order):
+                continue
             at.sort()  # leftmost first
             for k, p in enumerate(at):
                 a, q = tok[p], after[p]
-                if a < 0 or tok[q] < 0 or make(a, tok[q]) != rank:
+                if a < 0 or (b := tok[q]) < 0 or make(a, b) != rank:
                     continue  # a neighbour's merge has taken it
                 tok[p], tok[q] = rank, -1
-                r = after[p] = after[q]
-                before[r] = p
+                right = after[p] = after[q]
+                before[right] = p
+                left = before[p]
                 turn_back = False
-                left, right = before[p], r
-                for start, a, b in ((left, tok[left], rank), (p, rank, tok[right])):
-                    if a >= 0 and b >= 0 and (m := make(a, b)) >= 0:
-                        if m in where:
-                            where[m].append(start)
-                        else:
-                            where[m] = [start]
-                            heappush(order, m)
-                        turn_back |= m <= rank
+                if (a := tok[left]) >= 0 and (m := make(a, rank)) >= 0:
+                    if m in where:
+                        where[m].append(left)
+                    else:
+                        where[m] = [left]
+                        heappush(order, m)
+                    turn_back = m < rank
+                if (b := tok[right]) >= 0 and (m := make(rank, b)) >= 0:
+                    if m in where:
+                        where[m].append(p)
+                    else:
+                        where[m] = [p]
+                        heappush(order, m)
+                    turn_back |= m < rank
                 if turn_back:  # an earlier merge has become possible: it goes first
                     where.setdefault(rank, []).extend(at[k + 1:])
                     heappush(order, rank)
                     break
-        for i, p in starts:
-            out = ids[i]
-            while (token := tok[p]) != -2:
-                out.append(token)
-                p = after[p]
-        return ids
+        alive = tok_ >= 0
+        ends = (4 * np.cumsum(alive)[heads]).tolist()
+        ids = tok_[alive].astype("<i4").tobytes()
+        return [ids[a:b] for a, b in zip(ends[:-1], ends[1:])]
+
+    @staticmethod
+    def _enter(where: dict[int, list[int]], made: np.ndarray, places: np.ndarray) -> list[int]:
+        """Put places into the index under the tokens that their pairs make; gives new tokens."""
+        good = made >= 0
+        made, places = made[good], places[good]
+        by = np.argsort(made, kind="stable")
+        made, places = made[by], places[by]
+        cuts = np.flatnonzero(made[1:] != made[:-1]) + 1
+        starts = np.concatenate(([0], cuts)) if len(made) else ()
+        fresh = []
+        for m, part in zip(made[starts].tolist() if len(made) else (), np.split(places, cuts)):
+            if m in where:
+                where[m].extend(part.tolist())
+            else:
+                where[m] = part.tolist()
+                fresh.append(m)
+        return fresh
+
+    def _at_once(self, rank, at, tok, after, before, where, order) -> bool:
+        """Merge one pair at many places together; False if its places could overlap."""
+        at = np.unique(at)
+        a, b = tok[at], tok[after[at]]
+        live = (a >= 0) & (b >= 0)
+        at, a, b = at[live], a[live], b[live]
+        if not len(at):
+            return True
+        pairs = np.unique(a.astype(np.int64) << 32 | b)
+        pairs = [x for x in pairs.tolist() if self._make(x >> 32, x & 0xFFFFFFFF) == rank]
+        if len(pairs) != 1:
+            return not pairs
+        first, second = pairs[0] >> 32, pairs[0] & 0xFFFFFFFF
+        if first == second:
+            return False
+        at = at[(a == first) & (b == second)]
+        gone = after[at]
+        tok[at], tok[gone] = rank, -1
+        after[at] = after[gone]
+        before[after[at]] = at
+        left, right = before[at], after[at]
+        for places, x, y in ((left, tok[left], None), (at, None, tok[right])):
+            side = y if x is None else x
+            kinds, which = np.unique(side, return_inverse=True)
+            made = np.array([
+                -1 if k < 0 else (self._make(rank, k) if x is None else self._make(k, rank))
+                for k in kinds.tolist()], np.int32)
+            for m in self._enter(where, made[which], places):
+                heappush(order, m)
+        return True
 
 
 class Encoder:
-    """Ids of whole texts; keeps the words of the last slices in two generations."""
+    """Ids of whole texts; remembers words from slice to slice."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str, known: int = KNOWN_WORDS):
-        self.replay, self.known = MergeReplay(ranks), known
+        self.replay, self.limit = MergeReplay(ranks), known
         self.words = regex.compile(pattern).findall
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, packed as 32-bit integers."""
         split = [self.words(text) for text in texts]
         seen = set().union(*split)
-        now = {}
-        missing = []
-        for word in seen:
-            ids = self.young.get(word) or self.old.get(word)
-            if ids is None:
-                missing.append(word)
-            else:
-                now[word] = ids
-        if missing:
-            for word, ids in zip(missing, self.replay.encode(w.encode() for w in missing)):
-                now[word] = np.array(ids, "<i4").tobytes()
-        out = [b"".join(map(now.__getitem__, words)) for words in split]
-        if len(self.young) > self.known:
-            self.old, self.young = self.young, {}
-        self.young.update(now)
+        if missing := list(seen.difference(self.known)):
+            self.known.update(zip(missing, self.replay.encode([w.encode() for w in missing])))
+        out = [b"".join(map(self.known.__getitem__, words)) for words in split]
+        if len(self.known) > self.limit:  # words of this slice are the ones to be met again
+            self.known = {word: self.known[word] for word in seen}
         return out
 
 
@@ -201,10 +270,15 @@ def decode(encoded: DataFrame, ranks: str | None = None) -> DataFrame:
 
     @F.arrow_udf("binary")
     def bytes_of(ids: pa.Array) -> pa.Array:
-        token = tokens_by_rank(path)
-        ends, values = ids.offsets.to_numpy(), ids.values
-        rows = (values.slice(a, b - a).to_pylist() for a, b in zip(ends[:-1], ends[1:]))
-        joined = [b"".join(map(token.__getitem__, row)) for row in rows]
-        return pa.array(joined, pa.binary(), mask=ids.is_null().to_numpy(zero_copy_only=False))
+        content, starts, widths = token_bytes(path)
+        ends, values = ids.offsets.to_numpy(), ids.values.to_numpy()
+        rows = []
+        for a, b in zip(ends[:-1], ends[1:]):
+            own = values[a:b]
+            wide = widths[own]
+            # Byte i of the row is byte i + shift of the token table.
+            shift = starts[own] - np.concatenate(([0], np.cumsum(wide)[:-1]))[:len(own)]
+            rows.append(content[np.repeat(shift, wide) + np.arange(wide.sum())].tobytes())
+        return pa.array(rows, pa.binary(), mask=ids.is_null().to_numpy(zero_copy_only=False))
 
     return encoded.withColumn("decoded", bytes_of("ids"))
