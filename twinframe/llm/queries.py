@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..catalogue.views import table
-from . import bpe, chat, decontaminate, html_text, langid, lengths, secret_scan, simhash, warc
+from . import bm25, bpe, chat, decontaminate, html_text, langid, lengths, secret_scan, simhash, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -201,3 +201,28 @@ def op9(spark: SparkSession, sf: str) -> DataFrame:
 @query("op10_token_counts")
 def op10(spark: SparkSession, sf: str) -> DataFrame:
     return lengths.limits(lengths.lengths(table(spark, sf, "documents")))
+
+
+@query("op7_bm25_search", """
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}_]+') AS w FROM documents),
+n AS (SELECT count(*) AS n_docs, sum(len(w)) / count(*) AS mean FROM d),
+p AS (
+  SELECT doc_id, dl, t, count(*) AS tf
+  FROM (SELECT doc_id, len(w) AS dl, unnest(w) AS t FROM d) GROUP BY doc_id, dl, t),
+f AS (SELECT t, count(*) AS df FROM p GROUP BY t),
+s AS (
+  SELECT q.doc_id AS query_id, p.doc_id,
+         sum(q.tf * ln(1 + (n_docs - df + 0.5) / (df + 0.5))
+             * p.tf * 2.2 / (p.tf + 1.2 * (0.25 + 0.75 * p.dl / mean))) AS score
+  FROM p AS q JOIN p USING (t) JOIN f USING (t) CROSS JOIN n
+  WHERE q.doc_id % 100 = 0 GROUP BY ALL),
+r AS (
+  SELECT query_id, doc_id, round(score, 6) + 0.0 AS score,
+         row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) AS rank FROM s)
+SELECT query_id, rank, doc_id, score FROM r WHERE rank <= 10
+""")
+def op7(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    asked = docs.filter(F.col("doc_id") % 100 == 0).select(F.col("doc_id").alias("query_id"), "text")
+    found = bm25.search(bm25.build_index(docs), asked)
+    return found.withColumn("score", F.round("score", 6) + F.lit(0.0))
