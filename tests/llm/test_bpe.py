@@ -57,5 +57,6 @@ def test_odd_rows(spark, odd_docs, library):
     wanted = sorted(str((r.doc_id, library.encode_ordinary(r.text or ""), (r.text or "").encode())) for r in odd_docs.collect())
     assert sorted(str((r.doc_id, r.ids, bytes(r.decoded))) for r in got.collect()) == wanted
     assert bpe.decode(bpe.encode(odd_docs.limit(0))).count() == 0
+    assert sorted(map(str, bpe.encode(odd_docs, decoded=True).collect())) == sorted(map(str, got.collect()))
     null = spark.sql("SELECT CAST(NULL AS array<int>) AS ids")
     assert bpe.decode(null).first().decoded is None

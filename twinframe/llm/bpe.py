@@ -21,6 +21,7 @@ from pathlib import Path
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,7 +32,7 @@ RANKS = "byte_bpe_50k.tiktoken"
 # Bytes of text whose distinct words are replayed together.
 SLICE_BYTES = 4 << 20
 # Words that a task remembers before it goes back to those of its last slice.
-KNOWN_WORDS = 500_000
+KNOWN_WORDS = 300_000
 # Places of a pair from which they are merged together.
 MANY = 80
 
@@ -222,46 +223,66 @@ class Encoder:
         return out
 
 
-def _slices(values: list[str | None], size: int = SLICE_BYTES) -> Iterator[list[str]]:
-    part: list[str] = []
-    held = 0
-    for value in values:
-        part.append(value or "")
-        held += len(part[-1])
-        if held >= size:
-            yield part
-            part, held = [], 0
-    if part:
-        yield part
+def _slices(column: pa.Array, size: int = SLICE_BYTES) -> Iterator[list[str]]:
+    """Texts of a column, null as empty, in parts of about `size` bytes or one longer text."""
+    widths = pc.fill_null(pc.binary_length(column), 0).to_numpy()
+    part = np.cumsum(widths, dtype=np.int64) // size
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(column)]
+    for a, b in zip(cuts[:-1], cuts[1:]):
+        if b > a:
+            yield [x or "" for x in column.slice(a, b - a).to_pylist()]
+
+
+def decoded_bytes(ids: np.ndarray, ends: np.ndarray, path: str) -> pa.Array:
+    """The bytes that rows of ids stand for; row i has the ids from ends[i] to ends[i + 1]."""
+    content, starts, widths = token_bytes(path)
+    wide = widths[ids]
+    stops = np.concatenate(([0], np.cumsum(wide, dtype=np.int64)))
+    # Byte i of the result is byte i + shift of the token table.
+    out = np.empty(stops[-1], np.uint8)
+    for a in range(0, len(ids), 1 << 18):
+        own = slice(a, a + (1 << 18))
+        first, last = stops[a], stops[min(a + (1 << 18), len(ids))]
+        shift = starts[ids[own]] - stops[:-1][own]
+        out[first:last] = content[np.repeat(shift, wide[own]) + np.arange(first, last)]
+    return pa.Array.from_buffers(
+        pa.large_binary(), len(ends) - 1,
+        [None, pa.py_buffer(stops[ends].astype("<i8")), pa.py_buffer(out)]).cast(pa.binary())
 
 
 def encode(
     docs: DataFrame, ranks: str | None = None, pattern: str = public_tokenizers.PATTERN,
-    key: str = "doc_id", text: str = "text",
+    key: str = "doc_id", text: str = "text", decoded: bool = False,
 ) -> DataFrame:
     """`(doc_id, ids)`: the ids of every whole text, one row per row.
 
+    With `decoded` also the bytes that the ids decode to, in the same pass.
     `ranks` is the path of a rank file that all executors can read. Null and
     empty texts give an empty list. Keys are carried as they are, null and
     repeated ones too; other columns are not read.
     """
     path = ranks or public_tokenizers.path(RANKS)
+    names = ["doc_id", "ids"] + ["decoded"] * decoded
 
     def run(batches):
         encoder = Encoder(load_ranks(path), pattern)
         for batch in batches:
             at = 0
-            for part in _slices(batch.column(1).to_pylist()):
+            for part in _slices(batch.column(1)):
                 packed = encoder.encode(part)
                 ends = np.cumsum([0, *(len(x) // 4 for x in packed)]).astype(np.int32)
-                values = pa.array(np.frombuffer(b"".join(packed), "<i4"))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, len(part)), pa.ListArray.from_arrays(pa.array(ends), values)],
-                    ["doc_id", "ids"])
+                ids = np.frombuffer(b"".join(packed), "<i4")
+                columns = [
+                    batch.column(0).slice(at, len(part)),
+                    pa.ListArray.from_arrays(pa.array(ends), pa.array(ids))]
+                if decoded:
+                    columns.append(decoded_bytes(ids, ends, path))
+                yield pa.RecordBatch.from_arrays(columns, names)
                 at += len(part)
 
     schema = f"doc_id {docs.schema[key].dataType.simpleString()}, ids array<int>"
-    return map_batches(docs.select(key, F.col(text).cast("string")), run, schema)
+    return map_batches(
+        docs.select(key, F.col(text).cast("string")), run, schema + ", decoded binary" * decoded)
 
 
 def decode(encoded: DataFrame, ranks: str | None = None) -> DataFrame:
@@ -270,15 +291,9 @@ def decode(encoded: DataFrame, ranks: str | None = None) -> DataFrame:
 
     @F.arrow_udf("binary")
     def bytes_of(ids: pa.Array) -> pa.Array:
-        content, starts, widths = token_bytes(path)
-        ends, values = ids.offsets.to_numpy(), ids.values.to_numpy()
-        rows = []
-        for a, b in zip(ends[:-1], ends[1:]):
-            own = values[a:b]
-            wide = widths[own]
-            # Byte i of the row is byte i + shift of the token table.
-            shift = starts[own] - np.concatenate(([0], np.cumsum(wide)[:-1]))[:len(own)]
-            rows.append(content[np.repeat(shift, wide) + np.arange(wide.sum())].tobytes())
-        return pa.array(rows, pa.binary(), mask=ids.is_null().to_numpy(zero_copy_only=False))
+        flat = pa.array(ids.flatten().to_numpy(zero_copy_only=False), pa.int32()).to_numpy()
+        ends = np.concatenate(([0], np.cumsum(pc.fill_null(pc.list_value_length(ids), 0).to_numpy())))
+        found = decoded_bytes(flat, ends.astype(np.int64), path)
+        return pc.if_else(ids.is_valid(), found, pa.scalar(None, pa.binary()))
 
     return encoded.withColumn("decoded", bytes_of("ids"))

@@ -20,6 +20,8 @@ from pyspark.sql.types import StructType
 
 
 UNKNOWN = "und"
+# Parts of a label's documents that a sample is chosen from one by one.
+SLICES = 64
 # Characters that are compressed at once; shorter pieces take more search to tell apart.
 PIECE = 1000
 SHORT = 200
@@ -83,11 +85,12 @@ def fit(
         F.col("l").isNotNull() & F.col("t").isNotNull() & F.col("k").isNotNull()
         & ~held_out(F.col("k"))
         & F.length("t").between(bounds.min_chars, bounds.max_chars))
-    chosen = (
-        labelled.select("l", "k", F.xxhash64("t").alias("h"))
-        .withColumn("n", F.row_number().over(
-            Window.partitionBy("l").orderBy(F.xxhash64("k"), "k", "h")))
-        .filter(F.col("n") <= bounds.docs).select("l", "k", "h").distinct())
+    chosen = labelled.select("l", "k", F.xxhash64("t").alias("h"))
+    # By slices of a label first, so that what meets in one task is bounded too.
+    for parts in (["l", F.pmod(F.xxhash64("h"), F.lit(SLICES))], ["l"]):
+        first = Window.partitionBy(*parts).orderBy(F.xxhash64("k"), "k", "h")
+        chosen = chosen.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= bounds.docs).drop("n")
+    chosen = chosen.distinct()
     sample = labelled.withColumn("h", F.xxhash64("t")).join(
         F.broadcast(chosen), ["l", "k", "h"], "left_semi").dropDuplicates(["l", "k", "h"])
     texts: dict[str, list[str]] = {}

@@ -83,8 +83,7 @@ def op3(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("op4_byte_bpe")
 def op4(spark: SparkSession, sf: str) -> DataFrame:
-    decoded = bpe.decode(bpe.encode(table(spark, sf, "documents")))
-    return decoded.select(
+    return bpe.encode(table(spark, sf, "documents"), decoded=True).select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"))
