@@ -1,4 +1,5 @@
 import pytest
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from twinframe.functions import rules
@@ -157,3 +158,16 @@ def test_scores_to_splits(spark):
     split = balance_and_split(pairs, per_class=5)
     assert split.groupBy("label").count().filter("count > 5").isEmpty()
     assert balance_and_split(split.drop("split"), per_class=5).count() == split.count()
+
+
+def test_unlisted_and_null_labels_are_errors(spark):
+    for bad in (None, 7):
+        df = spark.createDataFrame([(i, i % 3) for i in range(30)] + [(99, bad)], "key int, label int")
+        with pytest.raises(PySparkException, match="no class lists"):
+            c.stratified_split(df, ["key"]).collect()
+
+
+def test_places_in_hash_order(spark):
+    df = spark.range(500).withColumnRenamed("id", "key")
+    places = {r.key: r.place for r in c.places_in_hash_order(df, ["key"]).collect()}
+    assert [places[r.key] for r in c.shuffle_rows(df, ["key"]).collect()] == list(range(1, 501))

@@ -15,27 +15,38 @@ def test_lookup_join_with_hot_null_and_missing_keys(spark):
     rows = spark.createDataFrame([(i, k) for i, k in enumerate(keys)], "id int, k int")
     table = spark.createDataFrame([(k, f"v{k}", 1 if k else 400) for k in range(0, 250)], "k int, v string, n int")
     wanted = {i: (f"v{k}" if k is not None and k < 250 else None) for i, k in enumerate(keys)}
-    for heavy, store in ((1024, True), (3, True), (3, False)):
+    for limit, stored in ((1 << 20, False), (0, False), (0, True)):
         for weight in ("n", None):
             used = table if weight else table.drop("n")
-            got = sp.lookup_join(rows, used, ["k"], weight, heavy_keys=heavy, store=store)
+            got = sp.lookup_join(rows, used, ["k"], weight, "left", stored, limit, split=50)
             assert got.columns == ["id", "k", "v"]
             assert {r.id: r.v for r in got.collect()} == wanted
-            inner = sp.lookup_join(rows, used, ["k"], weight, "inner", heavy, store)
+            inner = sp.lookup_join(rows, used, ["k"], weight, "inner", stored, limit, split=50)
             assert {r.id: r.v for r in inner.collect()} == {i: v for i, v in wanted.items() if v}
     with pytest.raises(ValueError):
         sp.lookup_join(rows, table, ["k"], "n", "full")
 
 
-@pytest.mark.parametrize("cut_above", [10, 1_000_000])
+def test_large_lookup_texts_are_not_broadcast(spark):
+    texts = spark.range(40).select(F.col("id").alias("k"), F.repeat(F.md5(F.col("id").cast("string")), 40_000).alias("t"))
+    rows = spark.range(400).select("id", F.when(F.col("id") % 3 > 0, F.col("id") % 40).otherwise(0).alias("k"))
+    got = sp.lookup_join(rows, texts.drop("n"), ["k"], broadcast_bytes=1000).select("id", F.length("t").alias("n"))
+    assert got.count() == 400 and got.filter("n <> 1280000").isEmpty()
+    plan = sp.lookup_join(rows, texts, ["k"], broadcast_bytes=1000)._jdf.queryExecution().optimizedPlan().toString()
+    # Only hashes of heavy keys may be broadcast.
+    for line in plan.splitlines():
+        if "rightHint=(strategy=broadcast)" in line:
+            assert "_mark" in line
+
+
 @pytest.mark.parametrize("by", [[], ["g"]])
-def test_running_totals(spark, cut_above, by):
+def test_running_totals(spark, by):
     rng = random.Random(2)
-    cells = {(rng.choice("aaab"), round(rng.gauss(0, 1), 2)): rng.randint(0, 9) for _ in range(900)}
+    cells = {(rng.choice(["a", "a", "a", "b", None]), round(rng.gauss(0, 1), 2)): rng.randint(0, 9) for _ in range(900)}
     if not by:
         cells = {("a", v): n for (_, v), n in cells.items()}
     df = spark.createDataFrame([(g, v, n) for (g, v), n in cells.items()], "g string, v double, n long")
-    got = sp.running_totals(df, by, "v", ["n"], buckets=16, cut_above=cut_above).collect()
+    got = sp.running_totals(df, by, "v", ["n"]).collect()
     assert len(got) == len(cells)
     for r in got:
         group = [(v, n) for (g, v), n in cells.items() if g == r.g]

@@ -21,7 +21,6 @@ from .views import (
     dna_of,
     dna_sql,
     gene_view,
-    spread_table,
     table,
     translate_sql,
     variant_view,
@@ -127,7 +126,7 @@ PART_TEXTS = f"""(SELECT CAST(p_partkey AS VARCHAR) AS id,
 def order_texts(spark, sf):
     tail = F.when(F.col("o_orderstatus") == "P", "P*").otherwise("")
     columns = "o_orderkey o_custkey o_orderstatus"
-    return spread_table(spark, sf, "orders", "o_orderkey", columns=columns).select(
+    return table(spark, sf, "orders").select(*columns.split()).select(
         F.col("o_custkey").cast("string").alias("id"), "o_orderkey",
         F.concat(dna_of(F.col("o_orderkey"), "d"), tail).alias("seq"))
 
@@ -189,7 +188,7 @@ def annotated_lines(spark, sf):
     second = F.when(F.col("l_linestatus") == "F", F.lit("A|other|HIGH|g0")).otherwise(
         F.concat_ws("|", F.lit("C"), F.lit("unknown_effect"), F.lit("LOW"), gene, F.lit("t|t|t|t|t|t|t|t")))
     columns = " ".join(LINE_KEY) + " l_returnflag l_linestatus"
-    return spread_table(spark, sf, "lineitem", *LINE_KEY, columns=columns).select(
+    return table(spark, sf, "lineitem").select(*columns.split()).select(
         F.concat(F.lit("DP=9;ANN="), first, F.lit(","), second, F.lit(";ANN=x|y")).alias("info"),
         F.struct(*LINE_KEY).alias("row_no"))
 

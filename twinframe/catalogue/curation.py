@@ -16,7 +16,6 @@ from .views import (
     SCORED,
     labelled_view,
     scored_view,
-    spread_table,
     table,
 )
 
@@ -94,7 +93,7 @@ CENTRED = """(SELECT 'S' || l_suppkey AS assay, l_quantity - 25.0 AS score,
     CASE WHEN l_tax < 0.075 THEN md5(CAST(l_partkey AS VARCHAR)) END AS mutated_sequence, * FROM lineitem)"""
 CATALOG = """(SELECT 'S' || (p_partkey % 40) AS assay,
     max_by(p_name || p_type || p_brand, p_partkey) AS ref_seq FROM part
-  WHERE len(p_name || p_type || p_brand) > 10 AND p_size < 5 GROUP BY 1)"""
+  WHERE len(p_name || p_type || p_brand) > 10 GROUP BY 1)"""
 
 
 @query("references", f"""
@@ -109,7 +108,7 @@ def references(spark, sf):
         (F.col("l_quantity") - 25.0).alias("score"),
         F.when(F.col("l_tax") < 0.075, F.md5(F.col("l_partkey").cast("string"))).alias("mutated_sequence"),
         F.struct(*LINE_KEY).alias("row_no"))
-    catalog = table(spark, sf, "part").filter(F.col("p_size") < 5).select(
+    catalog = table(spark, sf, "part").select(
         F.concat(F.lit("S"), (F.col("p_partkey") % 40).cast("string")).alias("DMS_id"),
         F.concat("p_name", "p_type", "p_brand").alias("target_seq"), "p_partkey")
     known = c.with_references(
@@ -141,7 +140,7 @@ LINE_CLASS = "CAST(CASE WHEN l_extendedprice < 20000 THEN 0 WHEN l_extendedprice
 def priced_lines(spark, sf):
     price = F.col("l_extendedprice")
     columns = " ".join(LINE_KEY)
-    return spread_table(spark, sf, "lineitem", *LINE_KEY, columns=columns).withColumn(
+    return table(spark, sf, "lineitem").select(*columns.split()).withColumn(
         "label", F.when(price < 20000, 0).when(price > 60000, 2).otherwise(1).cast("int"))
 
 
@@ -151,14 +150,14 @@ QUALIFY row_number() OVER (PARTITION BY label ORDER BY {hash_sql(*LINE_KEY)}, {R
   <= (SELECT count(*) // 10 FROM (SELECT DISTINCT l_orderkey FROM lineitem))""")
 def balanced_sample(spark, sf):
     lines = priced_lines(spark, sf)
-    per_class = lines.select("l_orderkey").distinct().count() // 10
+    per_class = lines.agg(F.expr("count(DISTINCT l_orderkey) div 10")).scalar()
     return c.balance_classes(lines, LINE_KEY, per_class).select(*LINE_KEY, "label")
 
 
-# Rows are compared without regard to order; the order itself is for the tests.
-@query("shuffled_rows", "SELECT c_custkey, c_name FROM customer")
+@query("shuffled_rows", f"""
+SELECT c_custkey, c_name, row_number() OVER (ORDER BY {hash_sql('c_custkey')}, c_custkey) AS place FROM customer""")
 def shuffled_rows(spark, sf):
-    return c.shuffle_rows(table(spark, sf, "customer"), ["c_custkey"]).select("c_custkey", "c_name")
+    return c.places_in_hash_order(table(spark, sf, "customer").select("c_custkey", "c_name"), ["c_custkey"])
 
 
 def split_sql(rows: str, keep: str, key: list[str], label: str) -> str:
@@ -231,12 +230,14 @@ def labelled_pairs(spark, sf):
 
 
 BALANCED = f"""(SELECT * FROM {SCORE_PAIRS}
-  QUALIFY row_number() OVER (PARTITION BY label ORDER BY {hash_sql('ref_seq', 'var_seq')}, ref_seq, var_seq) <= 1500)"""
+  QUALIFY row_number() OVER (PARTITION BY label ORDER BY {hash_sql('ref_seq', 'var_seq')}, ref_seq, var_seq)
+    <= (SELECT count(*) // 40 FROM lineitem))"""
 
 
 @query("curated_splits", split_sql(BALANCED, "contains(lower(species), 'nation 3')", ["ref_seq", "var_seq"], "label"))
 def curated_splits(spark, sf):
-    split = balance_and_split(score_pairs(spark, sf), per_class=1500, hold_out=["Nation 3"])
+    per_class = table(spark, sf, "lineitem").agg(F.expr("count(*) div 40")).scalar()
+    split = balance_and_split(score_pairs(spark, sf), per_class=per_class, hold_out=["Nation 3"])
     return split.select("ref_seq", "var_seq", "label", "split")
 
 

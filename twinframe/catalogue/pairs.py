@@ -21,9 +21,7 @@ from .views import (
     dna_sql,
     pair_view,
     scored_view,
-    spread_table,
     table,
-    text_table,
     translate_sql,
     turn_pairs,
 )
@@ -189,7 +187,7 @@ ORDER_DNA = dna_sql("o_orderkey", "ab")
 SELECT o_orderkey, {translate_sql('d')} AS protein, split_part({translate_sql('d')}, '*', 1) AS to_stop
 FROM (SELECT o_orderkey, {ORDER_DNA} AS d FROM orders)""")
 def translations(spark, sf):
-    rows = spread_table(spark, sf, "orders", "o_orderkey", columns="o_orderkey").select("o_orderkey", dna_of(F.col("o_orderkey"), "ab").alias("d"))
+    rows = table(spark, sf, "orders").select("o_orderkey", dna_of(F.col("o_orderkey"), "ab").alias("d"))
     return rows.select("o_orderkey", s.translate("d").alias("protein"), s.translate("d", True).alias("to_stop"))
 
 
@@ -211,7 +209,7 @@ def point_edits(spark, sf):
 SELECT doc_id, substr(sha256(text), 1, 16) AS key, CAST(len(replace(text, '*', '')) AS INT) AS size,
        substr(text, 1, 100) AS head FROM documents""")
 def content_keys(spark, sf):
-    return text_table(spark, sf, "documents", "doc_id").select(
+    return table(spark, sf, "documents").select(
         "doc_id", s.content_key("text").alias("key"), F.length(s.drop_stops("text")).alias("size"),
         s.clip("text", 100).alias("head"))
 

@@ -11,7 +11,7 @@ from ..operators import learn
 from ..operators.curate import stratified_split
 from ..session import materialize
 from .register import query, rounded
-from .views import TURNS, table, text_table, turn_pairs
+from .views import TURNS, table, turn_pairs
 
 DIMS = 64
 BOTH = f"(SELECT conv_id, turn, unnest([ref_seq, var_seq]) AS text FROM {TURNS})"
@@ -23,9 +23,9 @@ def keyed(spark, sf):
 
 @query("distinct_texts", f"""
 SELECT sha256(text) AS seq_key, CAST(len(text) AS INT) AS size, count(*) AS uses
-FROM (SELECT replace(substr(text, 1, 1024), '*', '') AS text FROM {BOTH}) GROUP BY text""")
+FROM (SELECT replace(text, '*', '') AS text FROM {BOTH}) GROUP BY text""")
 def distinct_texts(spark, sf):
-    texts = e.distinct_texts(keyed(spark, sf))
+    texts = e.distinct_texts(keyed(spark, sf), max_length=None)
     return texts.select("seq_key", F.length("text").alias("size"), "uses")
 
 
@@ -42,7 +42,7 @@ def dedup_report(spark, sf):
 SELECT DISTINCT sha256(text) AS seq_key FROM {BOTH}
 WHERE text NOT IN (SELECT text FROM conversations WHERE role = 'user')""")
 def missing_texts(spark, sf):
-    known = text_table(spark, sf, "conversations", "conv_id").filter(F.col("role") == "user").select(
+    known = table(spark, sf, "conversations").filter(F.col("role") == "user").select(
         content_key("text", 64).alias("seq_key"))
     texts = e.distinct_texts(keyed(spark, sf), max_length=None)
     return e.missing_texts(texts, known).select("seq_key")
@@ -52,7 +52,7 @@ def missing_texts(spark, sf):
 SELECT count(*) AS n_needed, CAST(count_if(NOT known) AS BIGINT) AS n_missing, count_if(NOT known) = 0 AS complete
 FROM (SELECT DISTINCT text, text IN (SELECT text FROM conversations WHERE role = 'user') AS known FROM {BOTH})""")
 def vector_coverage(spark, sf):
-    known = text_table(spark, sf, "conversations", "conv_id").filter(F.col("role") == "user").select(
+    known = table(spark, sf, "conversations").filter(F.col("role") == "user").select(
         content_key("text", 64).alias("seq_key")).distinct()
     return e.coverage(e.distinct_texts(keyed(spark, sf), max_length=None), known)
 

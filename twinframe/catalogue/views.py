@@ -22,21 +22,6 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def spread_table(spark: SparkSession, sf: str, name: str, *key: str, columns: str = "*") -> DataFrame:
-    """Columns of a table that costly row work follows on.
-
-    In fewer files than there are cores it is spread first; a table of many
-    files is read as it is.
-    """
-    df = table(spark, sf, name).select(*columns.split())
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores, *key) if len(df.inputFiles()) < cores else df
-
-
-def text_table(spark: SparkSession, sf: str, name: str, key: str) -> DataFrame:
-    return spread_table(spark, sf, name, key)
-
-
 # Together these tell the rows of `lineitem` apart; a line number alone repeats.
 LINE_KEY = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
 
@@ -79,7 +64,7 @@ PAIRS = f"""(
 
 def turn_pairs(spark: SparkSession, sf: str) -> DataFrame:
     """Each turn of a conversation next to the turn that follows it."""
-    turns = text_table(spark, sf, "conversations", "conv_id")
+    turns = table(spark, sf, "conversations")
     later = turns.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("var_seq"))
     return turns.select("conv_id", "turn", "role", F.col("text").alias("ref_seq")).join(
         later, ["conv_id", "turn"])
@@ -102,7 +87,7 @@ def scored_view(spark: SparkSession, sf: str) -> DataFrame:
     first_code = F.when(line == 7, F.concat(F.lit("?"), pos.cast("string"), F.col("letter"))).otherwise(
         code(pos, F.col("letter")))
     columns = " ".join(LINE_KEY) + " l_tax"
-    lines = spread_table(spark, sf, "lineitem", *LINE_KEY, columns=columns).withColumn("assay", F.concat(
+    lines = table(spark, sf, "lineitem").select(*columns.split()).withColumn("assay", F.concat(
         F.lit("S"), F.col("l_suppkey").cast("string"), F.lit("_N"), (F.col("l_suppkey") % 25).cast("string")))
     return (
         with_once(lines, ref_seq=letters_of(F.col("assay")))
@@ -197,7 +182,7 @@ def variant_view(spark: SparkSession, sf: str) -> DataFrame:
     base = F.substring(F.lit("ACGT"), (F.col("l_suppkey") % 4).cast("int") + 1, F.lit(1))
     several = (F.col("l_returnflag") == "R") & (F.col("l_tax") < 0.005)
     columns = " ".join(LINE_KEY) + " l_returnflag l_tax"
-    return spread_table(spark, sf, "lineitem", *LINE_KEY, columns=columns).select(
+    return table(spark, sf, "lineitem").select(*columns.split()).select(
         F.col("l_partkey").cast("string").alias("chrom"),
         (F.col("l_orderkey") % 60).alias("pos"),
         F.when(kind == 2, F.lit("CGT")).when(kind == 3, F.lit("AC")).otherwise(F.lit("C")).alias("ref"),

@@ -244,7 +244,7 @@ def _checked_sql(ok: str, value: str, position: str, text: str, strict: bool) ->
     # A null position or text gives null; only a real position can be out of range.
     return (
         f"CASE WHEN {ok} THEN {value} WHEN NOT ({ok}) THEN CAST(raise_error(format_string("
-        f"'Position %d out of range for sequence of length %d', CAST({position} AS bigint),"
+        f"'No position %d in a text of %d characters', CAST({position} AS bigint),"
         f" length({text}))) AS string) END"
     )
 

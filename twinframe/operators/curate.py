@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from .. import CLASSES
 from ..functions.rules import contains_any, has_score, held_out, keyword_match, threshold_label
-from .spread import hash_order, lookup_join, rank_cuts
+from ..session import materialize
+from .spread import hash_order, lookup_join, prefix_histogram, rank_cuts, running_totals, with_once
 
 # Shortest usable reference is longer than this, and the band of
 # scores in which the first row stands for the unchanged text.
@@ -54,15 +55,11 @@ def filter_by_catalog(
 
 
 def catalog_references(
-    catalog: DataFrame, assay: str = "DMS_id", sequence: str = "target_seq", order: str | None = None
+    catalog: DataFrame, assay: str = "DMS_id", sequence: str = "target_seq", order: str = "row_no"
 ) -> DataFrame:
-    """Reference text per assay: long enough, the last one where an id repeats."""
+    """Reference text per assay: long enough, the last one in `order` where an id repeats."""
     usable = catalog.filter((F.length(assay) > 0) & (F.length(sequence) > MIN_REFERENCE))
-    by = F.col(order) if order else F.monotonically_increasing_id()
-    return (
-        usable.withColumn("_order", by).groupBy(F.col(assay).alias("assay"))
-        .agg(F.max_by(sequence, "_order").alias("ref_seq"))
-    )
+    return usable.groupBy(F.col(assay).alias("assay")).agg(F.max_by(sequence, order).alias("ref_seq"))
 
 
 def inferred_references(
@@ -181,20 +178,22 @@ def _position(order: str, key: Sequence[str]) -> Column:
 def balance_classes(
     df: DataFrame,
     key: Sequence[str],
-    per_class: int,
+    per_class: int | Column,
     label: str = "label",
     classes: Sequence[int] = CLASSES,
     seed: int = 42,
 ) -> DataFrame:
     """At most `per_class` rows of each class, picked in a fixed hash order.
 
+    `per_class` may be a scalar subquery, such as a share of another table's rows.
+
     `key` must be unique. Every class gives exactly the smaller of its size and
     `per_class`. The rows themselves are not shuffled.
     """
     work = df.withColumn("_order", hash_order(key, seed))
 
     def ranks(table: DataFrame) -> DataFrame:
-        return table.withColumn("keep", F.least(F.col("n"), F.lit(per_class)))
+        return table.withColumn("keep", F.least(F.col("n"), per_class if isinstance(per_class, Column) else F.lit(per_class)))
 
     cuts = rank_cuts(work, label, classes, "_order", key, ranks, ["keep"])
     return (
@@ -209,6 +208,16 @@ def shuffle_rows(df: DataFrame, key: Sequence[str], seed: int = 42) -> DataFrame
     return df.orderBy(hash_order(key, seed), *key)
 
 
+def places_in_hash_order(df: DataFrame, key: Sequence[str], seed: int = 42) -> DataFrame:
+    """`df` with `place`, each row's number in the order of `shuffle_rows`, from 1.
+
+    `key` must be unique. Rows are numbered range by range, not in one task.
+    """
+    marked = df.withColumn("_position", F.struct(hash_order(key, seed).alias("h"), *key)).withColumn("_one", F.lit(1))
+    return running_totals(marked, [], "_position", ["_one"]).select(
+        *df.columns, (F.col("_one_before") + 1).alias("place"))
+
+
 def _share_out(table: DataFrame, size: str, draws: Column, name: str) -> DataFrame:
     """Share `draws` out in proportion to `size`, by largest remainder, as whole numbers.
 
@@ -268,17 +277,27 @@ def stratified_split(
     Groups named in `hold_out` go to test as a whole, unless that would take
     every row. With fewer than three rows in some class, or with splits too
     small to hold every class, the classes are not looked at. `key` must be
-    unique; `classes` must list every label, and -1 is not allowed as one.
+    unique; `classes` must list every label, and -1 is not allowed as one. A null
+    label, or one that isn't listed, is an error.
+
+    One pass gives a stored histogram of labels and hash prefixes, from which
+    everything is decided; a second finds the rows at the cuts, a third adds
+    the split.
     """
     held = held_out(group, hold_out) if group and hold_out else F.lit(False)
-    work = df.withColumns({"_order": hash_order(key, seed), "_out": held})
-    if group and hold_out:
-        some_left = work.agg(F.max(~F.col("_out"))).scalar()
-        work = work.withColumn("_out", F.col("_out") & some_left)
-    free = work.filter(~F.col("_out"))
-
-    counts = free.groupBy(F.col(label).alias("_stratum")).agg(F.count(F.lit(1)).alias("n"))
-    sizes = split_sizes(counts.filter(F.col("_stratum").isin(*classes)), test_size, val_size)
+    listed = F.when(F.col(label).isin(*classes), F.col(label)).otherwise(
+        F.raise_error(F.concat(F.lit("no class lists the label "), F.coalesce(F.col(label).cast("string"), F.lit("null"))))
+        .cast(df.schema[label].dataType))
+    work = with_once(df, _order=hash_order(key, seed), _out=F.coalesce(held, F.lit(False)), _label=listed)
+    stored = materialize(prefix_histogram(work, ["_label", "_out"], "_order"), "prefixes")
+    # Where every row is held out, none is.
+    some_left = not stored.filter(~F.col("_out")).isEmpty()
+    if not some_left:
+        work, stored = work.withColumn("_out", F.lit(False)), stored.withColumn("_out", F.lit(False))
+    free = stored.filter(~F.col("_out"))
+
+    counts = free.groupBy(F.col("_label").alias("_stratum")).agg(F.sum("_n").alias("n"))
+    sizes = split_sizes(counts, test_size, val_size)
     k = F.count(F.lit(1))
     test, val, train = F.sum("to_test"), F.sum(F.col("to_val") - F.col("to_test")), F.sum(F.col("n") - F.col("to_val"))
     divisible = sizes.agg(
@@ -287,16 +306,17 @@ def stratified_split(
             & (F.min(F.col("n") - F.col("to_test")) >= 2),
             F.lit(False),
         )
-    ).scalar()
-    stratum = F.when(divisible, F.col(label)).otherwise(F.lit(-1))
+    ).first()[0]
+    stratum = F.col("_label") if divisible else F.lit(-1)
     work = work.withColumn("_stratum", stratum)
+    histogram = free.groupBy(stratum.alias("_stratum"), "_prefix").agg(F.sum("_n").alias("_n"))
 
     def ranks(table: DataFrame) -> DataFrame:
         return split_sizes(table, test_size, val_size)
 
     cuts = rank_cuts(
         work.filter(~F.col("_out")), "_stratum", [*classes, -1], "_order", key, ranks,
-        ["to_test", "to_val"],
+        ["to_test", "to_val"], histogram,
     )
     place = _position("_order", key)
     split = (

@@ -197,7 +197,7 @@ def scatter_vectors(
         named = vectors.withColumnsRenamed({
             "seq_key": f"{side}_key", "mean": f"{side}_mean", "max": f"{side}_max",
         })
-        keyed = lookup_join(keyed, named, [f"{side}_key"], weight, store=False)
+        keyed = lookup_join(keyed, named, [f"{side}_key"], weight, stored=True)
     return keyed.drop("ref_key", "var_key")
 
 

@@ -48,10 +48,6 @@ def standardize(
 
 
 def _prepared(df: DataFrame, label: str) -> DataFrame:
-    # A table in one file would be trained on by one core only.
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if len(df.inputFiles()) < cores:
-        df = df.repartition(cores)
     return df.withColumns({
         "_features": array_to_vector("scaled"), "_label": F.col(label).cast("double")})
 

@@ -14,6 +14,7 @@ from .. import CLASS_NAMES, CLASSES
 from ..functions.loss import cross_entropy, focal_loss, smooth_l1
 from .spread import average_ranks, exact_percentiles, lookup_join, running_totals
 
+# Fixed value: what the comparison says where the annotators share no gene.
 NO_OVERLAP = "No overlapping genes found"
 
 

@@ -17,14 +17,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import materialize
-
-# The heaviest keys that `lookup_join` broadcasts. This many rows bound the size
-# of the broadcast, and no other key can hold more than 1/1024 of the rows.
-HEAVY_KEYS = 1024
-BUCKETS = 1024
-# A group of up to this many values is put in order by one task.
-CUT_ABOVE = 1_000_000
+from ..session import materialize, store, stored_bytes
+
+# A lookup table of at most so many stored bytes is broadcast.
+BROADCAST_BYTES = 8 << 20
+# A key with more than one row in so many is split; there can be no more such keys.
+SPLIT = 1024
 HASH_DIGITS = 4
 
 
@@ -53,8 +51,9 @@ def lookup_join(
     on: Sequence[str],
     weight: str | None = None,
     how: str = "left",
-    heavy_keys: int = HEAVY_KEYS,
-    store: bool = True,
+    stored: bool = False,
+    broadcast_bytes: int = BROADCAST_BYTES,
+    split: int = SPLIT,
 ) -> DataFrame:
     """Join `table`, unique on `on`, to every row of `df`.
 
@@ -62,114 +61,81 @@ def lookup_join(
     about how many rows of `df` have the key; every frequent key must then be in
     the table. Without it keys are counted, those that the table lacks too.
 
-    A table of at most `heavy_keys` rows is broadcast. Of a larger one only that
-    many rows are, those of the heaviest keys. The rows of `df` that have such a
-    key, or a null key, are spread by a salt in the other join, which serves the
-    remaining keys by shuffle.
+    The table is written once to the shared folder, and broadcast if it has at
+    most `broadcast_bytes` there. Else both sides are shuffled. A key with more
+    than 1/`split` of the rows is dealt out by a salt then: its row of the table
+    is repeated once per salt, which adds at most 2 * `split` rows. Only hashes
+    of such keys are broadcast. Rows with a null key are spread too.
 
-    The table is read several times and is therefore written once to the shared
-    folder; pass `store=False` for one that is stored already.
+    `stored` says that the table, with its weights, is stored already.
     """
     if how not in ("left", "inner"):
-        raise ValueError(f"Unsupported join: {how}. Use left or inner")
-    on = list(on)
+        raise ValueError(f"Join type {how!r} is not offered; take 'left' or 'inner'")
+    spark, on = df.sparkSession, list(on)
     values = [c for c in table.columns if c not in (*on, weight)]
     packed = table.select(
         *on, F.struct(*values).alias("_value"), *([F.col(weight).alias("_weight")] if weight else []))
     if weight is None:
         counts = df.groupBy(*on).agg(F.count(F.lit(1)).alias("_weight"))
         packed = counts.join(packed, on, "left")
-    if store:
-        packed = materialize(packed, "lookup")
-        if packed.count() <= heavy_keys:
-            found = packed.filter(F.col("_value").isNotNull()).select(*on, "_value")
-            return df.join(F.broadcast(found), on, how).select(
-                *df.columns, *(F.col("_value")[c].alias(c) for c in values))
-    heavy = packed.orderBy(F.desc("_weight"), *on).limit(heavy_keys)
-    settled = F.col("_is_heavy").isNotNull()
+    found = [F.col("_value")[c].alias(c) for c in values]
+    if not (stored and weight):
+        path = store(packed, "lookup")
+        packed = spark.read.schema(packed.schema).parquet(path)
+        if stored_bytes(spark, path) <= broadcast_bytes:
+            small = packed.filter(F.col("_value").isNotNull()).select(*on, "_value")
+            return df.join(F.broadcast(small), on, how).select(*df.columns, *found)
+    total = packed.agg(F.sum("_weight")).first()[0] or 0
+    mark = F.xxhash64(*on)
+    heavy = F.broadcast(
+        packed.filter(F.col("_weight") * split > total)
+        .groupBy(mark.alias("_mark")).agg(F.ceil(F.max("_weight") * split / F.lit(total)).cast("int").alias("_salts")))
+    unmatched = F.lit(False)
     for c in on:
-        settled = settled | F.col(c).isNull()
-    # The values of heavy keys come last: before the shuffle a row only carries a mark.
-    joined = (
-        df.join(F.broadcast(heavy.select(*on, F.lit(True).alias("_is_heavy"))), on, "left")
-        .withColumn("_salt", F.when(settled, F.pmod(row_salt(df), F.lit(1 << 20)).cast("int") + 1).otherwise(0))
-        .join(packed.select(*on, "_value", F.lit(0).alias("_salt")), [*on, "_salt"], "left")
-        .join(F.broadcast(heavy.select(*on, F.col("_value").alias("_heavy"))), on, "left")
-        .withColumn("_value", F.coalesce("_value", "_heavy"))
-    )
-    if how == "inner":
-        joined = joined.filter(F.col("_value").isNotNull())
-    return joined.select(*df.columns, *(F.col("_value")[c].alias(c) for c in values))
-
-
-def _bounds_below(bounds: str, value: str, buckets: int) -> Column:
-    """How many of the ordered bounds lie below the value, by halving steps."""
-    steps = ", ".join(str(1 << k) for k in reversed(range(max(buckets - 1, 1).bit_length())))
-    return F.expr(
-        f"aggregate(array({steps}), 0, (low, step) ->"
-        f" if(get({bounds}, low + step - 1) < {value}, low + step, low))"
-    )
+        unmatched = unmatched | F.col(c).isNull()
+    spread = F.when(unmatched, F.lit(1 << 20)).otherwise(F.coalesce("_salts", F.lit(1)))
+    left = (
+        df.withColumn("_mark", mark).join(heavy, "_mark", "left")
+        .withColumn("_salt", F.pmod(row_salt(df), spread).cast("int")))
+    right = (
+        packed.filter(F.col("_value").isNotNull()).withColumn("_mark", mark).join(heavy, "_mark", "left")
+        .select(*on, "_value", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1)).alias("_salt")))
+    return left.join(right, [*on, "_salt"], how).select(*df.columns, *found)
 
 
 def running_totals(
-    histogram: DataFrame,
-    by: Sequence[str],
-    value: str,
-    counts: Sequence[str],
-    buckets: int = BUCKETS,
-    cut_above: int = CUT_ABOVE,
+    histogram: DataFrame, by: Sequence[str], value: str, counts: Sequence[str],
 ) -> DataFrame:
     """Totals before each value, and over the whole group, in the order of `value`.
 
     `histogram` has one row per group and value. Adds `<count>_before` and
-    `<count>_total` for every name in `counts`. A group with more than
-    `cut_above` values is cut into ranges of about equal size; ranges are added
-    up first, so no task orders more than one range, and the totals of a group
-    have one row per range. The histogram is written once to the shared folder.
+    `<count>_total` for every name in `counts`. The histogram is dealt out in
+    ranges of group and value, as many as there are shuffle partitions, and
+    stored with the number of its range. Ranges are added up first, so no task
+    orders more than one range of a group, and the totals have one row per
+    group and range.
     """
     by, counts = list(by), list(counts)
-    histogram = materialize(histogram, "histogram")
-    groups = materialize(histogram.groupBy(*by).agg(F.count(F.lit(1)).alias("_rows")), "groups")
-
-    def before(keys: list[str]):
-        return Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-
-    if groups.filter(F.col("_rows") > cut_above).isEmpty():
-        whole = Window.partitionBy(*by)
-        return histogram.select(
-            "*",
-            *(F.coalesce(F.sum(c).over(before(by)), F.lit(0)).alias(f"{c}_before") for c in counts),
-            *(F.sum(c).over(whole).alias(f"{c}_total") for c in counts),
-        )
-
-    # One text, folded to one literal, is planned much faster than many literals.
-    shares = ",".join(repr(i / buckets) for i in range(1, buckets))
-    bounds = histogram.groupBy(*by).agg(
-        F.expr(
-            f"if(count(1) > {cut_above}, percentile_approx({value},"
-            f" CAST(split('{shares}', ',') AS array<double>), {4 * buckets}), array())"
-        ).alias("_bounds"),
-        F.count(F.lit(1)).alias("_rows"),
-    )
-    if by:
-        ranged = lookup_join(histogram, bounds, by, "_rows")
-    else:
-        ranged = histogram.withColumn("_bounds", bounds.select("_bounds").scalar())
-    ranged = ranged.withColumn("_range", _bounds_below("_bounds", value, buckets)).drop("_bounds")
+    ranged = materialize(
+        histogram.repartitionByRange(*by, value).withColumn("_range", F.spark_partition_id()), "histogram")
     earlier = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*by)
+    renamed = [F.col(c).alias(f"_g{i}") for i, c in enumerate(by)]
     offsets = (
         ranged.groupBy(*by, "_range").agg(*(F.sum(c).alias(f"_{c}") for c in counts))
         .select(
-            *by, "_range",
+            *renamed, F.col("_range").alias("_at"),
             *(F.coalesce(F.sum(f"_{c}").over(earlier), F.lit(0)).alias(f"_{c}_offset") for c in counts),
             *(F.sum(f"_{c}").over(whole).alias(f"{c}_total") for c in counts),
         )
     )
-    inside = before([*by, "_range"])
+    inside = Window.partitionBy(*by, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    same = F.col("_range") == F.col("_at")
+    for i, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"_g{i}"))
     return (
         ranged.select("*", *(F.coalesce(F.sum(c).over(inside), F.lit(0)).alias(f"_{c}_inside") for c in counts))
-        .join(offsets, [*by, "_range"])
+        .join(offsets, same)
         .select(
             *histogram.columns,
             *((F.col(f"_{c}_offset") + F.col(f"_{c}_inside")).alias(f"{c}_before") for c in counts),
@@ -227,6 +193,12 @@ def hash_order(key: Sequence[str], seed: int = 42) -> Column:
     return F.md5(F.concat_ws(":", *(F.col(c).cast("string") for c in key), F.lit(str(seed))))
 
 
+def prefix_histogram(df: DataFrame, by: Sequence[str | Column], order: str) -> DataFrame:
+    """Rows per group and hash prefix: `_prefix` and `_n`, 65,536 rows per group at most."""
+    prefix = F.substring(order, 1, HASH_DIGITS)
+    return df.groupBy(*by, prefix.alias("_prefix")).agg(F.count(F.lit(1)).alias("_n"))
+
+
 def rank_cuts(
     df: DataFrame,
     stratum: str,
@@ -235,6 +207,7 @@ def rank_cuts(
     key: Sequence[str],
     ranks: Callable[[DataFrame], DataFrame],
     names: Sequence[str],
+    histogram: DataFrame | None = None,
 ) -> DataFrame:
     """For each stratum, the row that closes each requested number of rows.
 
@@ -246,11 +219,13 @@ def rank_cuts(
     every table that is broadcast here.
 
     A histogram over hash prefixes shows in which prefix a cut falls, and only
-    the rows of that prefix are put in order.
+    the rows of that prefix are put in order. `histogram` is one that
+    `prefix_histogram` gave for these strata, and is best a stored one.
     """
     known = df.filter(F.col(stratum).isin(*strata))
     prefix = F.substring(order, 1, HASH_DIGITS)
-    histogram = known.groupBy(stratum, prefix.alias("_prefix")).agg(F.count(F.lit(1)).alias("_n"))
+    if histogram is None:
+        histogram = materialize(prefix_histogram(known, [stratum], order), "prefixes")
     wanted = ranks(histogram.groupBy(stratum).agg(F.sum("_n").alias("n"))).select(stratum, *names)
     upto = Window.partitionBy(stratum).orderBy("_prefix")
     places = (

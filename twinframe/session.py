@@ -20,7 +20,7 @@ def shared_folder(spark: SparkSession) -> str:
     Without the setting only a local session gets a temporary folder; on a
     cluster a machine-local folder would not be seen by the other machines.
     """
-    named = spark.conf.get(CHECKPOINT_SETTING, None)
+    named = spark.conf.get(CHECKPOINT_SETTING, None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named.rstrip("/")
     if not spark.conf.get("spark.master", "").startswith("local"):
@@ -39,11 +39,22 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     outlive a lost executor, and the new plan starts from a plain scan whose
     size is known. They stay until `drop_stored` is called.
     """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    return df.sparkSession.read.schema(df.schema).parquet(store(df, name))
+
+
+def store(df: DataFrame, name: str = "stage") -> str:
+    """Write `df` once to the shared folder; gives the path."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _stored.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def stored_bytes(spark: SparkSession, path: str) -> int:
+    """Bytes of the files below a path, as the file system counts them."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    return files.getContentSummary(place).getLength()
 
 
 def drop_stored(spark: SparkSession) -> int:

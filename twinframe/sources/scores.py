@@ -66,7 +66,7 @@ def read_score_files(
             continue
         text = F.col(f"`{TEXT_COLUMN}`") if TEXT_COLUMN in columns else F.lit(None).cast("string")
         parts.append(
-            spark.read.option("header", True).csv(group["files"]).select(
+            spark.read.option("header", True).option("escape", '"').csv(group["files"]).select(
                 F.regexp_extract("_metadata.file_name", r"^(.*)\.csv$", 1).alias("assay"),
                 F.col(f"`{score}`").try_cast("double").alias("score"),
                 F.col(f"`{mutation}`").alias("mutant"),

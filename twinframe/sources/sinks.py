@@ -50,5 +50,7 @@ def write_vectors(df: DataFrame, path: str, mode: str = "append") -> None:
 
 
 def show_report(df: DataFrame, n: int = 50) -> None:
-    """Print a metric or result table."""
+    """Print the number of rows, and the first `n` of them; the writers above give all."""
+    total = df.count()
+    print(f"{total} rows" + (f", of which {n} are shown" if total > n else ""))
     df.show(n, truncate=False)

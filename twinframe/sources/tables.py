@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from ..functions.sequence import STOP, drop_stops
 from ..operators.features import pair_features
+from .files import file_order
 
 # Columns a table of pairs must have, the schema of curated rows,
 # and the size below which a catalog file is taken to be empty.
@@ -21,14 +22,16 @@ CURATED = (
     "var_dna string, label int, dms_score double, dms_zscore double, source string"
 )
 MIN_CATALOG_BYTES = 100
-BASE_TEXT = "MKTLLLTLVVVTLAALG"
+ROW_NO = "row_no struct<file:string,block:bigint,line:bigint>"
+# Any text of at least six letters without a stop does.
+BASE_TEXT = "MACDEFGHIKLNPQ"
 
 
 def require_columns(df: DataFrame, required: Iterable[str] = REQUIRED_COLUMNS) -> DataFrame:
     """Fail at once, without a job, where columns are missing."""
     missing = sorted(set(required) - set(df.columns))
     if missing:
-        raise ValueError(f"Missing required columns: {missing}")
+        raise ValueError(f"The table has no column {', '.join(missing)}")
     return df
 
 
@@ -38,8 +41,8 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
     if suffix == ".parquet":
         return spark.read.parquet(str(path))
     if suffix == ".csv":
-        return spark.read.option("header", True).csv(str(path))
-    raise ValueError(f"Unsupported format: {suffix}. Use .parquet or .csv")
+        return spark.read.option("header", True).option("escape", '"').csv(str(path))
+    raise ValueError(f"Cannot read files ending in {suffix!r}, only .parquet and .csv")
 
 
 def read_pairs(spark: SparkSession, path: str, score: str = "dms_zscore") -> DataFrame:
@@ -62,20 +65,28 @@ def read_optional(spark: SparkSession, path: str, schema: T.StructType | str) ->
 
 
 def read_catalog(spark: SparkSession, path: str, schema: str = "DMS_id string") -> DataFrame:
-    """Read a catalog CSV, all columns as text; empty where missing or almost empty."""
+    """Read a catalog CSV, all columns as text, with `row_no` for the order of its lines.
+
+    Empty where the file is missing or almost empty.
+    """
     try:
         found = spark.read.format("binaryFile").load(path).agg(F.sum("length").alias("n")).first()
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], schema)
+        return spark.createDataFrame([], f"{schema}, {ROW_NO}")
     if (found["n"] or 0) < MIN_CATALOG_BYTES:
-        return spark.createDataFrame([], schema)
-    return spark.read.option("header", True).csv(path)
+        return spark.createDataFrame([], f"{schema}, {ROW_NO}")
+    return spark.read.option("header", True).option("escape", '"').csv(path).select(
+        "*", file_order().alias("row_no"))
 
 
 def read_predictions(spark: SparkSession, path: str) -> DataFrame:
-    """Read predictions from JSON, a single array or one object per line."""
+    """Read predictions from JSON, a single array or one object per line.
+
+    One task parses one file; prefer one object per line and `read_report` for
+    large files.
+    """
     return spark.read.option("multiLine", True).json(path)
 
 
@@ -91,7 +102,7 @@ def read_cached_pairs(spark: SparkSession, path: str, score: str = "dms_scores")
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
-        raise FileNotFoundError(f"Cached embeddings not found: {path}. Encode the pairs first.") from None
+        raise FileNotFoundError(f"No vectors are stored at {path}; encode the pairs before") from None
     return df if score in df.columns else df.withColumn(score, F.lit(0.0))
 
 
