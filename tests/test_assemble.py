@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 from pyspark.errors import PySparkException
@@ -42,6 +43,26 @@ def test_applied_variants_match_brute_force(spark):
         assert got[gene].n_variants == len(own)
 
 
+def test_many_edits_take_linear_time():
+    rng = random.Random(9)
+    text = "".join(rng.choice("ACGT") for _ in range(200_000))
+    indels = sorted(((rng.randrange(190_000), *rng.choice([("A", "ACC"), ("ACG", "A"), ("A", "t"), ("ACGT", "AC")]))
+                     for _ in range(100_000)), key=lambda v: -v[0])
+    began = time.time()
+    got = a.edited_text(text, [(p, len(r), v) for p, r, v in indels])
+    assert time.time() - began < 10 and len(got) > 0
+    some = indels[-300:]
+    assert a.edited_text(text, [(p, len(r), v) for p, r, v in some]) == plain_apply(text, some)
+
+
+def test_variant_details(spark):
+    refs = spark.createDataFrame([("g", "ACGTACGT")], "id string, seq string")
+    variants = variant_frame(spark, [("g", 1, "A", "C", 1), ("g", 1, "A", "C", 2), ("g", 2, "A", "C,T", 3), ("x", 1, "A", "C", 4)])
+    got = a.variant_details(a.locate_variants(variants), refs)
+    assert got.columns == ["gene", "local_pos", "ref", "alt", "chrom", "original_pos", "row_no"]
+    assert sorted(tuple(r) for r in got.collect()) == [("g", 1, "A", "C", "g", 1, 1), ("g", 1, "A", "C", "g", 1, 2)]
+
+
 def test_positions_out_of_range(spark):
     refs = spark.createDataFrame([("g", "ACGT")], "id string, seq string")
     variants = variant_frame(spark, [("g", 9, "A", "C", 1), ("g", 0, "A", "C", 2), ("other", 1, "A", "C", 3)])

@@ -12,6 +12,7 @@ from ..plans.prediction import explain, predict, variant_records
 from ..sources.sinks import report_columns
 from ..sources.variants import explode_annotations
 from .pairs import edit_lists_sql
+from ..operators.spread import lookup_join
 from .register import query
 from .views import (
     GENES,
@@ -26,14 +27,14 @@ from .views import (
     variant_view,
 )
 
-# Overlapping spans of a day for each event type: every ten hours one that lasts
-# a day, and in another order every seven hours one that lasts two hours.
+# An interval per order, after the orders' keys and totals, in the space of one of
+# the event types; positions of events are their seconds since the type's first.
 SPANS = """(
-  SELECT event_type AS chrom, CAST(k * 36000 AS BIGINT) AS start, CAST(k * 36000 + 86400 AS BIGINT) AS end_,
-         CAST(2 * k + 1 AS BIGINT) AS ord, 'day' || k AS gene FROM types, range(0, 60) t(k)
-  UNION ALL
-  SELECT event_type, CAST(k * 25200 AS BIGINT), CAST(k * 25200 + 7200 AS BIGINT), CAST(200 - 2 * k AS BIGINT), 'hours' || k
-  FROM types, range(0, 100) t(k))"""
+  SELECT event_type AS chrom, CAST((o_orderkey * 977) % 2600000 AS BIGINT) AS start,
+         CAST((o_orderkey * 977) % 2600000 + floor(o_totalprice / 40) + 1 AS BIGINT) AS end_,
+         CAST((o_orderkey * 31) % 1000003 * 10000000 + o_orderkey AS BIGINT) AS ord, 'order' || o_orderkey AS gene
+  FROM orders JOIN (SELECT event_type, row_number() OVER (ORDER BY event_type) - 1 AS place, count(*) OVER () AS places FROM types)
+    ON o_custkey % places = place)"""
 SECONDS = "CAST(floor(epoch(ts) - epoch(first_ts)) AS BIGINT)"
 
 
@@ -47,18 +48,18 @@ SELECT v.event_id, coalesce(m.gene, v.chrom) AS gene, v.pos - coalesce(m.start,
 FROM v LEFT JOIN m USING (event_id)""")
 def located_events(spark, sf):
     events = table(spark, sf, "events")
-    types = events.groupBy("event_type").agg(F.min("ts").alias("first_ts"))
-    positions = events.join(types, "event_type").select(
+    types = events.groupBy("event_type").agg(F.min("ts").alias("first_ts"), F.count(F.lit(1)).alias("n"))
+    # A row per event type, of which one may have most of the events.
+    positions = lookup_join(events, types, ["event_type"], "n").select(
         "event_id", F.col("event_type").alias("chrom"),
         F.expr("(unix_micros(CAST(ts AS timestamp)) - unix_micros(CAST(first_ts AS timestamp))) div 1000000").alias("pos"))
-    k = F.col("k")
-    days = types.select(F.col("event_type").alias("chrom"), F.explode(F.sequence(F.lit(0), F.lit(59))).alias("k"))
-    hours = types.select(F.col("event_type").alias("chrom"), F.explode(F.sequence(F.lit(0), F.lit(99))).alias("k"))
-    spans = days.select(
-        "chrom", (k * 36000).alias("start"), (k * 36000 + 86400).alias("end"), (2 * k + 1).alias("ord"),
-        F.concat(F.lit("day"), k.cast("string")).alias("gene"),
-    ).union(hours.select(
-        "chrom", (k * 25200), (k * 25200 + 7200), (200 - 2 * k), F.concat(F.lit("hours"), k.cast("string"))))
+    names = types.agg(F.array_sort(F.collect_set("event_type"))).scalar()
+    spans = table(spark, sf, "orders").withColumn("_names", names).select(
+        F.get("_names", (F.col("o_custkey") % F.size("_names")).cast("int")).alias("chrom"),
+        F.expr("o_orderkey * 977 % 2600000").alias("start"),
+        F.expr("o_orderkey * 977 % 2600000 + CAST(floor(o_totalprice / 40) AS BIGINT) + 1").alias("end"),
+        F.expr("o_orderkey * 31 % 1000003 * 10000000 + o_orderkey").alias("ord"),
+        F.concat(F.lit("order"), F.col("o_orderkey").cast("string")).alias("gene"))
     return a.locate_variants(positions, spans).select("event_id", "gene", "local_pos")
 
 
@@ -93,6 +94,14 @@ def gene_records(spark, sf):
     return variant_records(variant_view(spark, sf), gene_view(spark, sf)).drop("chrom")
 
 
+@query("variant_details", f"""
+SELECT chrom AS gene, pos AS local_pos, ref, alt, chrom, pos AS original_pos, {ROW_ORDER} FROM {VARIANTS}
+WHERE NOT contains(alt, ',') AND chrom IN (SELECT id FROM {GENES})""")
+def variant_details(spark, sf):
+    details = a.variant_details(a.locate_variants(variant_view(spark, sf)), gene_view(spark, sf))
+    return details.select("gene", "local_pos", "ref", "alt", "chrom", "original_pos", "row_no.*")
+
+
 @query("gene_edit_order", f"""
 SELECT chrom AS gene, count(*) AS n_variants, sum(pos * place) AS weighted FROM (
   SELECT chrom, pos, row_number() OVER (PARTITION BY chrom ORDER BY pos DESC, l_orderkey, l_linenumber,

@@ -4,17 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.sequence import (
-    delete_span_sql,
-    drop_stops,
-    insert_text_sql,
-    is_nucleotide,
-    substitute_char_sql,
-    translate,
-)
+from ..functions.sequence import drop_stops, is_nucleotide, translate
 from ..session import materialize
 from .spread import lookup_join
 
@@ -137,22 +131,70 @@ def applicable_variants(variants: DataFrame) -> DataFrame:
     return variants.filter(reason.isNull() | (reason == SAME_LENGTH))
 
 
+def edited_text(text: str, edits, strict: bool = True) -> str:
+    """Apply (pos, ref_size, alt) edits that come from right to left to one text.
+
+    The text left of the last place is not touched; what lies right of it is a
+    stack of pieces with the leftmost on top. An edit moves as many characters as
+    it is long, so the work grows with the text and the edits, not their product.
+    """
+    cut = size = len(text)
+    tail: list[list] = []  # [piece, characters of it that are gone]
+
+    def take(count: int) -> list[str]:
+        taken = []
+        while count > 0 and tail:
+            piece, gone = tail[-1]
+            part = piece[gone:gone + count]
+            taken.append(part)
+            count -= len(part)
+            if gone + len(part) == len(piece):
+                tail.pop()
+            else:
+                tail[-1][1] += len(part)
+        return taken
+
+    for pos, ref_size, alt in edits:
+        single = ref_size == 1 and len(alt) == 1
+        if ref_size == len(alt) and not single:
+            continue
+        at = pos if single else pos + min(ref_size, len(alt))
+        if not 0 <= at < size + (ref_size < len(alt)):
+            if strict:
+                raise ValueError(f"No position {at} in a text of {size} characters")
+            continue
+        if at < cut:
+            tail.append([text[at:cut], 0])
+            cut = at
+        before = take(at - cut)
+        if single:
+            take(1)
+            tail.append([alt.upper(), 0])
+        elif ref_size < len(alt):
+            tail.append([alt[ref_size:].upper(), 0])
+            size += len(alt) - ref_size
+        else:
+            size -= sum(map(len, take(ref_size - len(alt))))
+        tail.extend([piece, 0] for piece in reversed(before))
+    return text[:cut] + "".join(piece[gone:] for piece, gone in reversed(tail))
+
+
 def apply_edits(text: str, edits: str, strict: bool = True) -> Column:
     """Apply edits, sorted to come from right to left, to a text.
 
     An edit is a struct of `pos`, `ref_size` and `alt`. One character for one is
     a substitution; a longer `alt` inserts its surplus; a shorter one deletes.
-    Out of range is an error with `strict`, else the edit is left out.
+    Out of range is an error with `strict`, else the edit is left out. It runs in
+    Python, as SQL functions copy the whole text for each edit.
     """
-    substituted = substitute_char_sql("t", "e.pos", "e.alt", strict)
-    inserted = insert_text_sql("t", "(e.pos + e.ref_size)", "substr(e.alt, e.ref_size + 1)", strict)
-    deleted = delete_span_sql("t", "(e.pos + length(e.alt))", "(e.ref_size - length(e.alt))", strict)
-    return F.expr(
-        f"aggregate({edits}, {text}, (t, e) -> coalesce("
-        f"CASE WHEN e.ref_size = 1 AND length(e.alt) = 1 THEN {substituted}"
-        f" WHEN e.ref_size < length(e.alt) THEN {inserted}"
-        f" WHEN e.ref_size > length(e.alt) THEN {deleted} END, t))"
-    )
+    @F.arrow_udf("string")
+    def edited(texts: pa.Array, lists: pa.Array) -> pa.Array:
+        return pa.array([
+            None if t is None or e is None else edited_text(
+                t, ((x["pos"], x["ref_size"], x["alt"]) for x in e), strict)
+            for t, e in zip(texts.to_pylist(), lists.to_pylist())], pa.string())
+
+    return edited(text, edits)
 
 
 def gene_edits(located: DataFrame, order: str = "row_no") -> DataFrame:
@@ -160,8 +202,9 @@ def gene_edits(located: DataFrame, order: str = "row_no") -> DataFrame:
 
     Substitutions at one position touch nothing but that position, so only the
     last of them counts; it is found before the variants of a gene come
-    together. What is gathered is then bounded by the length of the text and by
-    the insertions, which are part of the result anyway.
+    together. The edits of a gene make one text, so they meet in one row: what is
+    gathered is bounded by the text, whose characters deletions use up, and by
+    the insertions, which are part of the result.
     """
     single = (F.length("ref") == 1) & (F.length("alt") == 1)
     plain = located.select(
@@ -208,6 +251,19 @@ def apply_variants(
     )
 
 
+def variant_details(located: DataFrame, references: DataFrame) -> DataFrame:
+    """The variants behind the records of `apply_variants`, one row each.
+
+    Gives `gene`, `local_pos`, `ref`, `alt`, `chrom` and `original_pos`, and any
+    further columns of `located`. They stand beside the records, not in them, so
+    a gene may have any number of variants.
+    """
+    used = applicable_variants(located).withColumnRenamed("pos", "original_pos")
+    return used.join(references.select(F.col("id").alias("gene")), "gene", "left_semi").select(
+        "gene", "local_pos", "ref", "alt", "chrom", "original_pos",
+        *(c for c in used.columns if c not in ("gene", "local_pos", "ref", "alt", "chrom", "original_pos")))
+
+
 def pair_records(references: DataFrame, variants: DataFrame) -> DataFrame:
     """Pair the records of two text tables by id and translate nucleotide pairs.
 
