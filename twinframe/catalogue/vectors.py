@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import vector as v
@@ -9,23 +11,22 @@ from ..functions.sequence import content_key
 from ..operators import encode as e
 from ..operators import learn
 from ..operators.curate import stratified_split
-from ..session import materialize
+from ..operators.features import FEATURES
+from ..session import materialize, shared_folder
+from ..sources.sinks import write_splits
+from .pairs import features_sql
 from .register import query, rounded
-from .views import TURNS, table, turn_pairs
+from .views import PAIRS, TURNS, pair_view, table, turn_pairs
 
 DIMS = 64
 BOTH = f"(SELECT conv_id, turn, unnest([ref_seq, var_seq]) AS text FROM {TURNS})"
 
 
-def keyed(spark, sf):
-    return turn_pairs(spark, sf)
-
-
 @query("distinct_texts", f"""
 SELECT sha256(text) AS seq_key, CAST(len(text) AS INT) AS size, count(*) AS uses
 FROM (SELECT replace(text, '*', '') AS text FROM {BOTH}) GROUP BY text""")
 def distinct_texts(spark, sf):
-    texts = e.distinct_texts(keyed(spark, sf), max_length=None)
+    texts = e.distinct_texts(turn_pairs(spark, sf), max_length=None)
     return texts.select("seq_key", F.length("text").alias("size"), "uses")
 
 
@@ -34,7 +35,7 @@ SELECT role, count(*) // 2 AS n_rows, count(*) AS n_texts, count(DISTINCT text)
        round((1 - count(DISTINCT text) / CAST(count(*) AS DOUBLE)) * 100, 6) + 0.0 AS reduction_pct
 FROM (SELECT role, replace(unnest([ref_seq, var_seq]), '*', '') AS text FROM {TURNS}) GROUP BY role""")
 def dedup_report(spark, sf):
-    report = e.dedup_report(keyed(spark, sf), ["role"], max_length=None)
+    report = e.dedup_report(turn_pairs(spark, sf), ["role"], max_length=None)
     return report.withColumn("reduction_pct", rounded("reduction_pct"))
 
 
@@ -44,7 +45,7 @@ WHERE text NOT IN (SELECT text FROM conversations WHERE role = 'user')""")
 def missing_texts(spark, sf):
     known = table(spark, sf, "conversations").filter(F.col("role") == "user").select(
         content_key("text", 64).alias("seq_key"))
-    texts = e.distinct_texts(keyed(spark, sf), max_length=None)
+    texts = e.distinct_texts(turn_pairs(spark, sf), max_length=None)
     return e.missing_texts(texts, known).select("seq_key")
 
 
@@ -54,17 +55,17 @@ FROM (SELECT DISTINCT text, text IN (SELECT text FROM conversations WHERE role =
 def vector_coverage(spark, sf):
     known = table(spark, sf, "conversations").filter(F.col("role") == "user").select(
         content_key("text", 64).alias("seq_key")).distinct()
-    return e.coverage(e.distinct_texts(keyed(spark, sf), max_length=None), known)
+    return e.coverage(e.distinct_texts(turn_pairs(spark, sf), max_length=None), known)
 
 
-def encoded_sql(side: str) -> str:
+def encoded_sql(side: str, rows: str = TURNS, keys: str = "conv_id, turn") -> str:
     """Mean and maximum over the characters of one side, as the trial encoder gives them."""
     return f"""(
-  SELECT conv_id, turn, d, 
+  SELECT {keys}, d,
          CAST(CAST(sum((c * (2 * d + 1)) % 97) / 97.0 / count(*) AS FLOAT) AS DOUBLE) AS mean,
          CAST(CAST(max((c * (2 * d + 1)) % 97) / 97.0 AS FLOAT) AS DOUBLE) AS max
-  FROM (SELECT conv_id, turn, unicode(unnest(string_split({side}, ''))) AS c FROM {TURNS}), range(0, 8) t(d)
-  GROUP BY conv_id, turn, d)"""
+  FROM (SELECT {keys}, unicode(unnest(string_split(replace({side}, '*', ''), ''))) AS c FROM {rows}), range(0, 8) t(d)
+  GROUP BY {keys}, d)"""
 
 
 @query("encoded_pairs", f"""
@@ -72,7 +73,7 @@ SELECT r.conv_id, r.turn, CAST(r.d AS INT) AS d, round(r.mean, 6) + 0.0 AS ref_m
        round(v.mean, 6) + 0.0 AS var_mean, round(v.max, 6) + 0.0 AS var_max
 FROM {encoded_sql('ref_seq')} r JOIN {encoded_sql('var_seq')} v USING (conv_id, turn, d)""")
 def encoded_pairs(spark, sf):
-    pairs = keyed(spark, sf)
+    pairs = turn_pairs(spark, sf)
     texts = materialize(e.distinct_texts(pairs, max_length=None), "texts")
     vectors = materialize(e.encode_texts(e.by_length(texts)), "vectors")
     done = e.scatter_vectors(pairs, vectors, texts, max_length=None)
@@ -81,6 +82,56 @@ def encoded_pairs(spark, sf):
         rounded(F.col("z")[n]).alias(n) for n in ("ref_mean", "ref_max", "var_mean", "var_max")))
 
 
+@query("encode_runs", f"""
+WITH n AS (SELECT count(DISTINCT text) AS n FROM {BOTH}), u AS (
+  SELECT count(DISTINCT text) AS n FROM {BOTH} WHERE conv_id % 2 = 0)
+SELECT 1 AS run, u.n AS n_needed, u.n AS n_encoded, u.n AS n_stored FROM u
+UNION ALL SELECT 2, n.n, n.n - u.n, n.n FROM n, u
+UNION ALL SELECT 3, n.n, 0, n.n FROM n""")
+def encode_runs(spark, sf):
+    """Half of the conversations, then all, then all again: nothing is encoded twice."""
+    path = f"{shared_folder(spark)}/vectors-{uuid.uuid4().hex}"
+    pairs, done = turn_pairs(spark, sf), None
+    for run, rows in enumerate((pairs.filter("conv_id % 2 = 0"), pairs, pairs), 1):
+        texts = materialize(e.distinct_texts(rows, max_length=None), "texts")
+        lacking = e.coverage(texts, e.read_vectors(spark, path)).select(
+            "n_needed", F.col("n_missing").alias("n_encoded"))
+        counted = materialize(lacking, "lacking")
+        e.encode_once(spark, [rows], path, max_length=None)
+        part = counted.select(F.lit(run).alias("run"), "*").crossJoin(
+            e.read_vectors(spark, path).agg(F.count_distinct("seq_key").alias("n_stored")))
+        part = materialize(part, "run")
+        done = part if done is None else done.unionByName(part)
+    return done
+
+
+PART_PAIRS = f"""(SELECT *, CAST(pair_id % 3 AS INT) AS label,
+    CASE WHEN pair_id % 10 = 0 THEN 'test' WHEN pair_id % 10 = 1 THEN 'val' ELSE 'train' END AS split FROM {PAIRS})"""
+
+
+@query("pair_table", f"""
+SELECT p.pair_id, p.label, p.split, p.score, r.d, f.* EXCLUDE (pair_id), round(r.mean, 6) + 0.0 AS ref_mean,
+       round(r.max, 6) + 0.0 AS ref_max, round(v.mean, 6) + 0.0 AS var_mean, round(v.max, 6) + 0.0 AS var_max
+FROM {PART_PAIRS} p JOIN ({features_sql(PAIRS, 'pair_id')}) f USING (pair_id)
+JOIN {encoded_sql('ref_seq', PAIRS, 'pair_id')} r USING (pair_id)
+JOIN {encoded_sql('var_seq', PAIRS, 'pair_id')} v ON v.pair_id = p.pair_id AND v.d = r.d""")
+def pair_table(spark, sf):
+    part = F.col("pair_id") % 10
+    pairs = pair_view(spark, sf).select(
+        "pair_id", "score", "ref_seq", "var_seq", (F.col("pair_id") % 3).cast("int").alias("label"),
+        F.when(part == 0, "test").when(part == 1, "val").otherwise("train").alias("split"))
+    texts = materialize(e.distinct_texts(pairs, max_length=None), "texts")
+    vectors = materialize(e.encode_texts(e.by_length(texts)), "vectors")
+    path = f"{shared_folder(spark)}/pair-table-{uuid.uuid4().hex}"
+    write_splits(e.pair_table(pairs, vectors, texts, max_length=None), path)
+    kept = spark.read.parquet(path)
+    sides = ("ref_mean", "ref_max", "var_mean", "var_max")
+    return kept.select("*", F.posexplode(F.arrays_zip(*sides)).alias("d", "z")).select(
+        "pair_id", "label", "split", "score", F.col("d").cast("long").alias("d"),
+        *(rounded(F.get("features", i)).alias(name) for i, name in enumerate(FEATURES)),
+        *(rounded(F.col("z")[n]).alias(n) for n in sides))
+
+
 @query("pooled_vectors", """
 SELECT label, CAST(d AS INT) AS d, round(coalesce(avg(CASE WHEN shown THEN x END), 0), 6) + 0.0 AS mean,
        round(coalesce(max(CASE WHEN shown THEN x END), 0), 6) + 0.0 AS max

@@ -203,21 +203,34 @@ VARIANTS = """(
 
 
 def scored_vectors(spark: SparkSession, sf: str) -> DataFrame:
-    """Vectors as evaluation rows: class, three logits, a target and a prediction."""
-    e = F.col("embedding").cast("array<double>")
-    return table(spark, sf, "embeddings").select(
+    """Vectors as evaluation rows: class, three logits, a target and a prediction.
+
+    Every component counts, in whole thousandths, so that sums don't depend on
+    their order: each logit has every third one, target and prediction have the
+    halves.
+    """
+    def total(kept: str) -> Column:
+        return F.expr(
+            f"aggregate(filter(_units, (x, i) -> {kept}), 0L, (t, x) -> t + x)").cast("double")
+
+    units = F.transform("embedding", lambda x: F.round(x.cast("double") * 1000).cast("bigint"))
+    return table(spark, sf, "embeddings").withColumn("_units", units).select(
         "vec_id", (F.col("label") % 3).cast("int").alias("label"),
-        F.transform(F.slice(e, 1, 3), lambda x: F.round(x * 10, 3)).alias("logits"),
-        F.round(F.get(e, 3), 2).alias("target"), F.round(F.get(e, 4), 2).alias("predicted"),
+        F.array(*(total(f"i % 3 = {k}") / 500 for k in range(3))).alias("logits"),
+        F.round(total("i < 32") / 1000, 1).alias("target"), F.round(total("i >= 32") / 1000, 1).alias("predicted"),
         F.when(F.col("label") < 2, "a").otherwise("b").alias("method"),
     )
 
 
 VECTORS = """(
   SELECT vec_id, CAST(label % 3 AS INT) AS label,
-         list_transform(embedding[1:3], lambda x: round(CAST(x AS DOUBLE) * 10, 3)) AS logits,
-         round(CAST(embedding[4] AS DOUBLE), 2) AS target, round(CAST(embedding[5] AS DOUBLE), 2) AS predicted,
-         CASE WHEN label < 2 THEN 'a' ELSE 'b' END AS method FROM embeddings)"""
+         list_transform([0, 1, 2], lambda k: CAST(list_sum(list_transform(range(1, 23),
+           lambda j: coalesce(units[3 * (j - 1) + k + 1], 0))) AS DOUBLE) / 500) AS logits,
+         round(CAST(list_sum(units[1:32]) AS DOUBLE) / 1000, 1) AS target,
+         round(CAST(list_sum(units[33:]) AS DOUBLE) / 1000, 1) AS predicted,
+         CASE WHEN label < 2 THEN 'a' ELSE 'b' END AS method
+  FROM (SELECT *, list_transform(embedding, lambda x: CAST(round(CAST(x AS DOUBLE) * 1000) AS BIGINT)) AS units
+        FROM embeddings))"""
 
 # Rows of VECTORS with probabilities, a predicted class and its confidence.
 SCORED_VECTORS = f"""(

@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.sequence import clip_sql, content_key, drop_stops_sql
+from ..session import materialize
+from .features import FEATURES, feature_vector, pair_features
 from .spread import lookup_join
 
 Encoder = Callable[[pd.Series], pd.DataFrame]
@@ -33,17 +35,19 @@ def hashing_encoder(dims: int = HASH_DIMS) -> Encoder:
     Component d of a character with code point c is `(c * (2d + 1)) mod 97 / 97`;
     a text gives the mean and the maximum over its characters, zeros if empty.
     """
-    factors = 2 * np.arange(dims) + 1
-
     def encode(texts: pd.Series) -> pd.DataFrame:
-        means, tops = [], []
-        for text in texts:
-            codes = np.frombuffer(text.encode("utf-32-le"), dtype="<u4").astype("int64")
-            kinds, counts = np.unique(codes, return_counts=True)
-            vectors = (kinds[:, None] * factors % 97) / 97.0
-            means.append((counts @ vectors / max(len(codes), 1)).astype("float32"))
-            tops.append(vectors.max(axis=0, initial=0.0).astype("float32"))
-        return pd.DataFrame({"mean": means, "max": tops})
+        # All characters of the batch in one row; each text is a range of it.
+        codes = np.frombuffer("".join(texts).encode("utf-32-le"), dtype="<u4").astype("int64")
+        sizes = texts.str.len().to_numpy(dtype="int64")
+        some = sizes > 0
+        starts = (np.cumsum(sizes) - sizes)[some]
+        means, tops = np.zeros((len(sizes), dims), "float32"), np.zeros((len(sizes), dims), "float32")
+        if len(starts):
+            for d in range(dims):
+                values = codes * (2 * d + 1) % 97
+                means[some, d] = np.add.reduceat(values, starts) / 97.0 / sizes[some]
+                tops[some, d] = np.maximum.reduceat(values, starts) / 97.0
+        return pd.DataFrame({"mean": list(means), "max": list(tops)})
 
     return encode
 
@@ -141,12 +145,25 @@ def by_length(texts: DataFrame, partitions: int | None = None) -> DataFrame:
     return ranged.sortWithinPartitions(*keys).drop("_size")
 
 
-def encode_texts(texts: DataFrame, encoder: Encoder | None = None) -> DataFrame:
-    """Run the encoder over the texts, in Arrow batches, one partition at a time."""
+def _by_characters(batch: pd.DataFrame, most: int) -> Iterator[pd.DataFrame]:
+    """Parts of a batch with about so many characters each, or one longer text."""
+    part = batch["text"].str.len().cumsum() // most
+    for _, rows in batch.groupby(part, sort=False):
+        yield rows
+
+
+def encode_texts(
+    texts: DataFrame, encoder: Encoder | None = None, batch_characters: int = 1 << 20
+) -> DataFrame:
+    """Run the encoder over the texts, one partition at a time.
+
+    It gets batches of about `batch_characters`, so long texts need no more
+    memory than many short ones.
+    """
     encoder = encoder or hashing_encoder()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in _by_characters(whole, batch_characters)):
             vectors = encoder(batch["text"])
             yield pd.DataFrame({
                 "seq_key": batch["seq_key"].to_numpy(),
@@ -173,7 +190,8 @@ def encode_once(
     last finished write left off. One writer at a time.
     """
     texts = distinct_texts(*tables, ref=ref, var=var, max_length=max_length)
-    missing = missing_texts(texts, read_vectors(spark, path))
+    # The ranges are found by a sample, which would work the missing texts out twice.
+    missing = materialize(missing_texts(texts, read_vectors(spark, path)), "missing-texts")
     encode_texts(by_length(missing, partitions), encoder).write.mode("append").parquet(path)
     return read_vectors(spark, path)
 
@@ -201,6 +219,20 @@ def scatter_vectors(
     return keyed.drop("ref_key", "var_key")
 
 
+def pair_table(
+    pairs: DataFrame, vectors: DataFrame, texts: DataFrame | None = None,
+    ref: str = "ref_seq", var: str = "var_seq", max_length: int | None = 1024,
+) -> DataFrame:
+    """What a trainer reads: each labelled pair with its vectors and features, as one row.
+
+    Adds the four vectors and `features`, an array of the twelve engineered
+    numbers, to the columns of `pairs` (such as `label`, `score` and `split`) in
+    place of the texts. `write_splits` keeps it with one folder per split.
+    """
+    featured = pair_features(pairs, ref, var, max_length).withColumn("features", feature_vector()).drop(*FEATURES)
+    return scatter_vectors(featured, vectors, texts, ref, var, max_length).drop(ref, var)
+
+
 def pool_tokens(
     tokens: DataFrame, by: Sequence[str], vector: str = "vector", mask: str | None = None
 ) -> DataFrame:
