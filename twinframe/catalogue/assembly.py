@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 from ..operators import assemble as a
 from ..operators.curate import highest_impact
 from ..operators.metrics import concordance, disagreements, join_annotators
+from ..operators.spread import lookup_join
 from ..plans.evaluation import compare_annotators
 from ..plans.prediction import explain, predict, variant_records
+from ..sources.sequences import fasta_records as parse_fasta
 from ..sources.sinks import report_columns
-from ..sources.variants import explode_annotations
+from ..sources.variants import explode_annotations, variant_columns
 from .pairs import edit_lists_sql
-from ..operators.spread import lookup_join
 from .register import query
 from .views import (
     GENES,
@@ -115,6 +116,43 @@ def gene_edit_order(spark, sf):
     return edits.select("gene", "n_variants", weighted.alias("weighted"))
 
 
+FASTA_TEXTS = """(
+  SELECT o_orderkey, CASE WHEN o_orderkey % 10 = 0 THEN '>' ELSE '' END || CASE WHEN o_orderkey % 7 = 0 THEN '  ' ELSE '' END
+         || CASE WHEN o_orderkey % 50 = 3 THEN chr(10) ELSE 'id' || o_custkey || ' ' || o_orderpriority || chr(10)
+              || lower(md5(CAST(o_orderkey AS VARCHAR))) || chr(13) || chr(10) || ' ' || chr(9) || 'ac' || chr(10) END AS value
+  FROM orders)"""
+
+
+@query("fasta_records", f"""
+SELECT * FROM (
+  SELECT o_orderkey, regexp_extract(trim(split_part(ltrim(value, '>'), chr(10), 1), ' '), '^[^ ]*') AS id,
+         upper(regexp_replace(substr(ltrim(value, '>'), strpos(ltrim(value, '>'), chr(10))), '\\s', '', 'g')) AS seq
+  FROM {FASTA_TEXTS}) WHERE len(id) > 0 OR len(seq) > 0""")
+def fasta_records(spark, sf):
+    key = F.col("o_orderkey")
+    texts = table(spark, sf, "orders").select(key.alias("record_no"), F.concat(
+        F.when(key % 10 == 0, ">").otherwise(""), F.when(key % 7 == 0, "  ").otherwise(""),
+        F.when(key % 50 == 3, "\n").otherwise(F.concat(
+            F.lit("id"), F.col("o_custkey").cast("string"), F.lit(" "), "o_orderpriority", F.lit("\n"),
+            F.md5(key.cast("string")), F.lit("\r\n \tac\n")))).alias("value"))
+    return parse_fasta(texts).select(F.col("record_no").alias("o_orderkey"), "id", "seq")
+
+
+@query("variant_lines", f"""
+SELECT CAST(l_partkey AS VARCHAR) AS chrom, l_orderkey - 1 AS pos, l_returnflag AS ref, l_linestatus AS alt, {ROW_ORDER}
+FROM lineitem WHERE l_linenumber NOT IN (3, 4)""")
+def variant_lines(spark, sf):
+    number = F.col("l_linenumber")
+    start = F.concat_ws("\t", F.when(number == 3, F.concat(F.lit("#"), F.col("l_partkey").cast("string"))).otherwise(
+        F.col("l_partkey").cast("string")), F.col("l_orderkey").cast("string"), F.lit("."))
+    rest = F.when(number == 5, F.lit("q\t.\tDP=1")).otherwise("q ")
+    lines = table(spark, sf, "lineitem").select(
+        F.struct(*LINE_KEY).alias("row_no"),
+        F.when(number == 4, start).otherwise(
+            F.concat_ws("\t", start, "l_returnflag", "l_linestatus", rest)).alias("value"))
+    return variant_columns(lines).select("chrom", "pos", "ref", "alt", "row_no.*")
+
+
 @query("rejected_variants", f"""
 SELECT reason, count(*) AS n FROM (
   SELECT CASE WHEN contains(alt, ',') THEN 'several alleles'

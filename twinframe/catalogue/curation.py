@@ -160,17 +160,17 @@ def shuffled_rows(spark, sf):
     return c.places_in_hash_order(table(spark, sf, "customer").select("c_custkey", "c_name"), ["c_custkey"])
 
 
-def split_sql(rows: str, keep: str, key: list[str], label: str) -> str:
+def split_sql(rows: str, keep: str, key: list[str], label: str, test: float = 0.1) -> str:
     """Split sizes by largest remainder, then ranks within each class by hash."""
     return f"""
 WITH d AS (SELECT *, {label} AS label_ FROM {rows}),
 free AS (SELECT * FROM d WHERE NOT ({keep}) OR (SELECT count(*) FROM d WHERE NOT ({keep})) = 0),
 s0 AS (SELECT label_, count(*) AS n FROM free GROUP BY label_),
-s1 AS (SELECT *, sum(n) OVER () AS total, sum(n) OVER () - ceil(sum(n) OVER () * CAST(0.1 AS DOUBLE)) AS rest FROM s0),
+s1 AS (SELECT *, sum(n) OVER () AS total, sum(n) OVER () - ceil(sum(n) OVER () * CAST({test!r} AS DOUBLE)) AS rest FROM s0),
 s2 AS (SELECT *, n / CAST(total AS DOUBLE) * rest AS q FROM s1),
 s3 AS (SELECT *, floor(q) + CASE WHEN row_number() OVER (ORDER BY q - floor(q) DESC, label_)
          <= rest - sum(floor(q)) OVER () THEN 1 ELSE 0 END AS tv FROM s2),
-s4 AS (SELECT *, rest - ceil(rest * CAST({0.1 / (1 - 0.1)!r} AS DOUBLE)) AS fit FROM s3),
+s4 AS (SELECT *, rest - ceil(rest * CAST({0.1 / (1 - test)!r} AS DOUBLE)) AS fit FROM s3),
 s5 AS (SELECT *, tv / CAST(sum(tv) OVER () AS DOUBLE) * fit AS q2 FROM s4),
 s6 AS (SELECT *, floor(q2) + CASE WHEN row_number() OVER (ORDER BY q2 - floor(q2) DESC, label_)
          <= fit - sum(floor(q2)) OVER () THEN 1 ELSE 0 END AS tr FROM s5),

@@ -14,6 +14,7 @@ from ..operators.curate import stratified_split
 from ..operators.features import FEATURES
 from ..session import materialize, shared_folder
 from ..sources.sinks import write_splits
+from .curation import split_sql
 from .pairs import features_sql
 from .register import query, rounded
 from .views import PAIRS, TURNS, pair_view, table, turn_pairs
@@ -233,6 +234,13 @@ def _learning_sets(spark, sf):
     return split.filter(F.col("split") != "test"), split.filter(F.col("split") == "test")
 
 
+@query("learning_rows", split_sql(PAIRED, "false", ["vec_id"], "label % 3", 0.2))
+def learning_rows(spark, sf):
+    """The rows that the three baselines are trained and tested on."""
+    train, test = _learning_sets(spark, sf)
+    return train.unionByName(test).select("vec_id", F.col("label").cast("int").alias("label"), "split")
+
+
 def _called(df):
     return df.select("vec_id", "label", "prediction", rounded(v.confidence("probabilities"), 4).alias("confidence"))
 

@@ -168,35 +168,44 @@ def _numbers(df, by, target, predicted):
     ).filter(F.col("_x").isNotNull() & F.col("_y").isNotNull())
 
 
+def _errors() -> list[Column]:
+    error = F.col("_x") - F.col("_y")
+    return [
+        _correlation("_x", "_y").alias("pearson"), F.avg(F.abs(error)).alias("mae"),
+        F.avg(error * error).alias("mse")]
+
+
 def regression_errors(
     df: DataFrame, by: Sequence[str] = (), target: str = "target", predicted: str = "predicted"
 ) -> DataFrame:
     """Pearson correlation, mean absolute and mean squared error."""
-    error = F.col("_x") - F.col("_y")
-    return _numbers(df, by, target, predicted).groupBy(*by).agg(
-        _correlation("_x", "_y").alias("pearson"),
-        F.avg(F.abs(error)).alias("mae"),
-        F.avg(error * error).alias("mse"),
-    )
+    return _numbers(df, by, target, predicted).groupBy(*by).agg(*_errors())
 
 
-def spearman(
-    df: DataFrame, by: Sequence[str] = (), target: str = "target", predicted: str = "predicted"
-) -> DataFrame:
-    """Correlation of average ranks, 0 where either side is constant."""
+def _ranked(df: DataFrame, by: Sequence[str], target: str, predicted: str) -> DataFrame:
+    """Both numbers of each row with their average ranks in the group."""
     rows = _numbers(df, by, target, predicted)
-    ranked = rows.select(*by, "_x", "_y")
+    ranked = rows
     for value in ("_x", "_y"):
         ranks = average_ranks(rows, by, value, f"{value}_rank")
         ranked = lookup_join(ranked, ranks, [*by, value], "n")
-    return ranked.groupBy(*by).agg(_correlation("_x_rank", "_y_rank").alias("spearman"))
+    return ranked
+
+
+def spearman(
+    df: DataFrame, by: Sequence[str] = (), target: str = "target", predicted: str = "predicted"
+) -> DataFrame:
+    """Correlation of average ranks, 0 where either side is constant."""
+    return _ranked(df, by, target, predicted).groupBy(*by).agg(
+        _correlation("_x_rank", "_y_rank").alias("spearman"))
 
 
 def regression_metrics(
     df: DataFrame, by: Sequence[str] = (), target: str = "target", predicted: str = "predicted"
 ) -> DataFrame:
-    """Pearson, Spearman, mean absolute and mean squared error."""
-    return _beside(regression_errors(df, by, target, predicted), spearman(df, by, target, predicted), by)
+    """Pearson, Spearman, mean absolute and mean squared error, in one pass over the ranked rows."""
+    return _ranked(df, by, target, predicted).groupBy(*by).agg(
+        *_errors(), _correlation("_x_rank", "_y_rank").alias("spearman"))
 
 
 def _beside(left: DataFrame, right: DataFrame, by: Sequence[str]) -> DataFrame:

@@ -16,12 +16,20 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     Files are split at the start of a record, so a large file is read by many
     tasks. The id is the first word of the header.
     """
+    return fasta_records(
+        spark.read.option("lineSep", "\n>").text(path).select("value", file_order().alias("record_no")))
+
+
+def fasta_records(texts: DataFrame) -> DataFrame:
+    """Records out of texts `value`, each one record without the mark that parts it from the last.
+
+    Texts without an id and a sequence are left out.
+    """
     # Only the first record of a file still has its mark.
     record = F.regexp_replace("value", "^>", "")
     header = F.substring_index(record, "\n", 1)
     return (
-        spark.read.option("lineSep", "\n>").text(path)
-        .select(record.alias("record"), header.alias("header"), file_order().alias("record_no"))
+        texts.select(record.alias("record"), header.alias("header"), "record_no")
         .select(
             F.regexp_extract(strip_blanks("header"), r"^\S*", 0).alias("id"),
             F.upper(F.regexp_replace(

@@ -16,11 +16,14 @@ VARIANT_FIELDS, ANNOTATED_FIELDS, ANNOTATION_PARTS = 5, 8, 11
 ANNOTATION_MARK = "ANN="
 
 
-def _lines(spark: SparkSession, path: str, fields: int) -> DataFrame:
+def _read_lines(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.text(path).select("value", file_order().alias("row_no"))
+
+
+def _fields(lines: DataFrame, fields: int) -> DataFrame:
+    """The tab-separated fields of lines `value` that are no comment and have enough of them."""
     return (
-        spark.read.text(path)
-        .select("value", file_order().alias("row_no"))
-        .filter(~F.startswith("value", F.lit("#")))
+        lines.filter(~F.startswith("value", F.lit("#")))
         .select(F.split(strip_blanks("value"), "\t").alias("f"), "row_no")
         .filter(F.size("f") >= fields)
     )
@@ -28,8 +31,13 @@ def _lines(spark: SparkSession, path: str, fields: int) -> DataFrame:
 
 def read_variants(spark: SparkSession, path: str) -> DataFrame:
     """Variants of a VCF file: `chrom`, 0-based `pos`, `ref`, `alt`, `row_no`."""
+    return variant_columns(_read_lines(spark, path))
+
+
+def variant_columns(lines: DataFrame) -> DataFrame:
+    """Variants out of lines `value` of a VCF file, with their `row_no`."""
     f = F.col("f")
-    return _lines(spark, path, VARIANT_FIELDS).select(
+    return _fields(lines, VARIANT_FIELDS).select(
         f[0].alias("chrom"), (f[1].cast("bigint") - 1).alias("pos"),
         f[3].alias("ref"), f[4].alias("alt"), "row_no",
     )
@@ -64,5 +72,5 @@ def explode_annotations(
 
 def read_annotations(spark: SparkSession, path: str, labels: Mapping[str, str], default: str) -> DataFrame:
     """Annotations of an annotated VCF file, one row per entry."""
-    lines = _lines(spark, path, ANNOTATED_FIELDS).select(F.col("f")[7].alias("info"), "row_no")
+    lines = _fields(_read_lines(spark, path), ANNOTATED_FIELDS).select(F.col("f")[7].alias("info"), "row_no")
     return explode_annotations(lines, labels, default)
