@@ -39,6 +39,14 @@ def test_layout_without_semantic_elements():
     assert text_of(page) == f"Head & line {PARAGRAPH} {PARAGRAPH} Short one."
 
 
+def test_names_of_wrappers_do_not_count():
+    page = (
+        "<body><div class='header'>Site name, and more.</div><div class='page has-sidebar'><div class='with-nav'>"
+        f"<div class='post-header comments-open'><h1>Title</h1></div><div class='text'><p>{PARAGRAPH}<p>{PARAGRAPH}</div>"
+        "<div class='left-sidebar'><p>Another text, not of the article.</p></div></div></div></body>")
+    assert text_of(page) == f"Title {PARAGRAPH} {PARAGRAPH}"
+
+
 def test_semantic_elements_are_left_out():
     page = (
         f"<body><header><h1>Site</h1></header><nav>Menu</nav><main><article><header><h1>Title</h1></header><p>{PARAGRAPH}"

@@ -49,38 +49,49 @@ ENDS = {
 SCOPE = frozenset("ul ol dl table select article section main body html".split())
 # Words in class, id and role by which elements say that they are no article text.
 MARKS = frozenset(
-    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent "
-    "contentinfo cookie cookies disqus footer gdpr hidden masthead menu modal nav navbar navigation newsletter "
-    "notice notices pagination popup promo promoted promotion related replies respond search share sharing "
+    "ad ads alert advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent "
+    "contentinfo cookie cookies disqus footer gdpr header hidden login masthead menu modal nav navbar navigation newsletter "
+    "notice notices notification pagination paywall popup promo promoted promotion related replies respond search share sharing "
     "sidebar signup skip social sponsor sponsored subscribe subscription tags toolbar widget widgets".split())
+# First words of names that tell what surrounds an element.
+ABOUT = frozenset("has no not with without is".split())
 # Smoothing weights over neighbours in page order.
 KERNEL = np.exp(-np.arange(-2, 3) ** 2 / 2.0)
 # Share of the scored text that the article's element holds.
 HELD = 0.8
 
 
-def marked(tag: str, attrs: str, in_article: bool) -> bool:
+# Marks by kind: none, always left out, left out unless the article's title is inside.
+NONE, ALWAYS, UNTITLED = 0, 1, 2
+
+
+def marked(tag: str, attrs: str, in_article: bool) -> int:
     """Whether an element names itself as something other than article text."""
     if tag in NOT_CONTENT or (tag == "header" and not in_article):
-        return True
+        return ALWAYS
     if not attrs or attrs == "/":
-        return False
+        return NONE
+    kind = NONE
     for name, *values in _ATTR.findall(attrs):
         name, value = name.lower(), "".join(values).lower()
         if name in ("class", "id", "role") and tag not in ("body", "html"):
-            if not MARKS.isdisjoint(_NAMES.findall(value)):
-                return True
+            # Of the words that a name is made of; `has-sidebar` says nothing of the element itself.
+            for label in value.split():
+                words = _NAMES.findall(label)
+                if not MARKS.isdisjoint(words) and words[0] not in ABOUT:
+                    kind = UNTITLED
         elif name == "hidden" or (name == "aria-hidden" and value == "true") or (
                 name == "style" and "display:none" in value.replace(" ", "")):
-            return True
-    return False
+            return ALWAYS
+    return kind
 
 
 class Page:
     """Text nodes of a page in order, with their elements, paths and blocks."""
 
     def __init__(self, html: str):
-        self.parent, self.path, self.off, self.link = [-1], [0], [False], [False]
+        self.parent, self.path, self.mark, self.link = [-1], [0], [NONE], [False]
+        self.titled = [True]  # h1 or main inside
         self.inside = [False]  # within article or main
         self.holds_blocks = [True]  # a block of text alone is never the whole article
         self.paths: dict[tuple[int, str], int] = {}
@@ -121,10 +132,16 @@ class Page:
             names.append(tag)
             self.parent.append(up)
             self.path.append(self.paths.setdefault((self.path[up], tag), len(self.paths) + 1))
-            self.off.append(self.off[up] or marked(tag, token["attrs"], self.inside[up]))
+            self.mark.append(marked(tag, token["attrs"], self.inside[up]))
+            self.titled.append(tag in ("h1", "main"))
+            if self.titled[me]:
+                while not self.titled[up]:
+                    self.titled[up] = True
+                    up = self.parent[up]
+                up = stack[-1]
             self.link.append(self.link[up] or tag == "a")
             self.holds_blocks.append(tag in ("article", "main"))
-            if tag not in INLINE and not self.off[me]:
+            if tag not in INLINE and not self.mark[me]:
                 self.holds_blocks[up] = True
             self.inside.append(self.inside[up] or tag in ("article", "main"))
             if not token["attrs"].endswith("/"):
@@ -132,10 +149,22 @@ class Page:
                 open_tags[tag] = open_tags.get(tag, 0) + 1
         if at < len(html):
             self._text(stack[-1], block, html[at:])
+        off = [False]
+        for element in range(1, len(names)):
+            mark = self.mark[element]
+            off.append(off[self.parent[element]] or mark == ALWAYS or (mark == UNTITLED and not self.titled[element]))
+        self.nodes = [node for node in self.nodes if not off[node[0]]]
+        # Elements with a visible h1 inside, and those that are or hold an article or main.
+        self.headed, self.named = [False] * len(names), [False] * len(names)
+        for element in range(len(names) - 1, 0, -1):
+            if not off[element]:
+                self.headed[element] |= names[element] == "h1"
+                self.named[element] |= names[element] in ("article", "main")
+                self.headed[self.parent[element]] |= self.headed[element]
+                self.named[self.parent[element]] |= self.named[element]
 
     def _text(self, element: int, block: int, text: str) -> None:
-        if not self.off[element]:
-            self.nodes.append((element, block, unescape(text) if "&" in text else text))
+        self.nodes.append((element, block, unescape(text) if "&" in text else text))
 
     @staticmethod
     def _close(tags, names, stack, open_tags) -> None:
@@ -193,8 +222,12 @@ def article_blocks(html: str) -> list[str]:
         if up not in children or weight[element] > weight[children[up]]:
             children[up] = element
     top = 0
-    while top in children and page.holds_blocks[children[top]] and weight[children[top]] >= HELD * weight[0]:
-        top = children[top]
+    while top in children and weight[children[top]] >= HELD * weight[0]:
+        below = children[top]
+        # Neither a lone block of text, nor a part that leaves the title behind.
+        if not page.holds_blocks[below] or not (page.headed[below] or page.named[below] or not page.headed[top]):
+            break
+        top = below
     within = np.zeros(len(weight), bool)
     within[top] = True
     for element in range(top + 1, len(weight)):

@@ -142,7 +142,7 @@ class Classifier:
         dictionary, the language is `und`, the margin 0, rejected.
         """
         plain = letters(text) if text else ""
-        if not plain or not self.names:
+        if not self.names or not any(map(str.isalpha, plain)):
             return UNKNOWN, 0.0, True
         pieces = [plain[i:i + PIECE].encode() for i in range(0, len(plain), PIECE)]
         last = [pieces.pop()] if len(plain) % PIECE in range(1, SHORT) else []
