@@ -16,7 +16,7 @@ import time
 from pyspark.sql import SparkSession
 
 from twinframe.catalogue import QUERIES
-from twinframe.session import drop_stored
+from twinframe.session import PARTITIONS_SETTING, drop_stored
 
 HEADLINE = (
     "pair_features", "scored_pair_features", "turn_edits", "edit_codes", "translations",
@@ -38,9 +38,10 @@ def session(cpus: str) -> SparkSession:
         # Call sites of every expression are only of use in interactive debugging.
         .config("spark.sql.dataFrameQueryContext.enabled", "false")
         .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="bench-"))
-        # A part per core of tables of a few MB.
+        # The tables are files of one row group, which one task reads.
         .config("spark.sql.files.maxPartitionBytes", "2m")
         .config("spark.sql.files.openCostInBytes", "256k")
+        .config(PARTITIONS_SETTING, cpus)
         .getOrCreate()
     )
 

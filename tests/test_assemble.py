@@ -99,13 +99,18 @@ def test_locating_matches_brute_force(spark):
 
 def test_an_interval_is_made_of_few_blocks(spark):
     rng = random.Random(8)
-    for _ in range(20):
-        start = rng.randint(-200, 5000)
-        end = start + rng.randint(1, 9000)
-        blocks = spark.sql(f"SELECT {a.interval_blocks_sql(f'{start}L', f'{end}L')} AS b").first().b
-        covered = [p for level, block in blocks for p in range(block * 64**level, (block + 1) * 64**level)]
-        assert sorted(covered) == list(range(start, end))
-        assert len(blocks) <= 4 * 63
+    starts = [rng.randint(-200, 5000) for _ in range(200)]
+    spans = [(i, start, start + rng.randint(0, 9000)) for i, start in enumerate(starts)]
+    spans += [(200, -3, 2**31 + 5), (201, 7, 8), (202, 0, 8**3)]
+    cut = a.interval_blocks(spark.createDataFrame(spans, "i int, start long, end long"))
+    blocks = {}
+    for r in cut.collect():
+        blocks.setdefault(r.i, []).append((r.block * 8**r.level, (r.block + 1) * 8**r.level))
+    for i, start, end in spans:
+        own = sorted(blocks.get(i, []))
+        assert [x for x, _ in own] + [end] == [start] + [x for _, x in own]
+        assert len(own) <= (5 if i < 200 else 10) * 14 + 16
+    assert len(blocks[202]) == len(blocks[201]) == 1
 
 
 def test_pairs_of_records(spark):

@@ -22,6 +22,11 @@ def test_catalog_names_inside_stems(spark):
     ids = spark.createDataFrame([("TEM1",), ("",), (None,), ("a_very_long_identifier",)], "id string")
     got = {r.stem for r in c.filter_by_catalog(df, "stem", ids, "id", ["kw", "."]).collect()}
     assert got == {"TEM1_X", "abc_kw_d", "KW"}
+    # Ids of all sizes, that begin alike and are found at the edges of stems.
+    names = [(s,) for s in ("abcde", "xabcdf", "abc", "b", "ab\\cd", "aXbcd", "zab", "bcdx", "")]
+    few = spark.createDataFrame([("abcdf",), ("abcdg",), ("bcdx",), ("zab",), ("X",)], "id string")
+    got = {r.stem for r in c.filter_by_catalog(spark.createDataFrame(names, "stem string"), "stem", few, "id").collect()}
+    assert got == {n for n, in names if any(i in n for i in ("abcdf", "abcdg", "bcdx", "zab", "X"))}
     none = c.filter_by_catalog(df, "stem", ids.limit(0), "id", ["kw"])
     assert {r.stem for r in none.collect()} == {"abc_kw_d", "KW"}
 

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from twinframe.operators import spread as sp
+from twinframe.session import PARTITIONS_SETTING, dealt_out
 
 
 def test_lookup_join_with_hot_null_and_missing_keys(spark):
@@ -76,3 +77,16 @@ def test_rank_cuts_close_exact_counts(spark):
     sizes = {r.s: r["count"] for r in rows.groupBy("s").count().collect()}
     assert kept == {s: n // 3 for s, n in sizes.items()}
     assert joined.filter(F.col("b").isNotNull()).isEmpty()
+
+
+def test_rows_are_dealt_out_only_where_the_session_says_so(spark):
+    df = spark.range(1000).coalesce(1)
+    assert dealt_out(df) is df
+    spark.conf.set(PARTITIONS_SETTING, "5")
+    try:
+        many = dealt_out(df)
+        assert sorted(r.id for r in many.collect()) == list(range(1000))
+        parts = many.groupBy(F.spark_partition_id()).count().collect()
+        assert len(parts) == 5
+    finally:
+        spark.conf.unset(PARTITIONS_SETTING)

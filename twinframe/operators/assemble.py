@@ -12,37 +12,39 @@ from ..functions.sequence import drop_stops, is_nucleotide, translate
 from ..session import materialize
 from .spread import lookup_join
 
-# Intervals are cut into aligned blocks of 64**level positions; five levels
-# reach over 2**30 positions, and longer intervals only take more top blocks.
-RADIX_BITS = 6
-LEVELS = 5
+# Intervals are cut into aligned blocks of 8**level positions, at most 14 of a
+# level. Ten levels reach over 2**30 positions, and longer intervals only take
+# more top blocks.
+RADIX_BITS = 3
+LEVELS = 10
 
 
-def interval_blocks_sql(start: str, end: str) -> str:
-    """The fewest aligned blocks that make up `[start, end)`, as (level, block) structs.
+def interval_blocks(intervals: DataFrame) -> DataFrame:
+    """Every row of `intervals` once for each of the fewest aligned blocks that make up `[start, end)`.
 
-    On each level the blocks are those inside the interval that no block of the
-    next level covers, so there are at most two runs of them.
+    Adds `level` and `block`. On each level the blocks are those inside the
+    interval that no block of the next level covers, so there are at most two
+    runs of them. Empty intervals have no blocks.
     """
-    def run(low: str, high: str) -> str:
-        return f"if({low} < {high}, sequence({low}, {high} - 1), CAST(array() AS array<bigint>))"
-
-    def low(level: int) -> str:
-        # Shifts round down, for negative positions too.
-        return f"shiftright({start} + {(1 << RADIX_BITS * level) - 1}, {RADIX_BITS * level})"
-
-    def high(level: int) -> str:
-        return f"shiftright({end}, {RADIX_BITS * level})"
-
-    parts = []
-    for level in range(LEVELS):
-        blocks = run(low(level), high(level))
-        if level + 1 < LEVELS:
-            left = run(low(level), f"shiftleft({low(level + 1)}, {RADIX_BITS})")
-            right = run(f"shiftleft({high(level + 1)}, {RADIX_BITS})", high(level))
-            blocks = f"if({low(level + 1)} < {high(level + 1)}, concat({left}, {right}), {blocks})"
-        parts.append(f"transform({blocks}, b -> named_struct('level', {level}, 'block', b))")
-    return f"concat({', '.join(parts)})"
+    def up(level: str) -> str:  # shifts round down, for negative positions too
+        return f"-shiftright(-CAST(start AS bigint), {RADIX_BITS} * ({level}))"
+
+    def down(level: str) -> str:
+        return f"shiftright(CAST(end AS bigint), {RADIX_BITS} * ({level}))"
+
+    columns = [f"`{c}`" for c in intervals.columns]
+    inside = (
+        intervals.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 1))))
+        .selectExpr(*columns, "level", f"{up('level')} AS _low", f"{down('level')} AS _high",
+                    f"{up('level + 1')} AS _low_next", f"{down('level + 1')} AS _high_next")
+        .filter("_low < _high"))
+    covered = f"level < {LEVELS - 1} AND _low_next < _high_next"
+    runs = f"""inline(array(
+        struct(_low AS _from, if({covered}, shiftleft(_low_next, {RADIX_BITS}), _high) AS _to),
+        struct(if({covered}, shiftleft(_high_next, {RADIX_BITS}), _high) AS _from, _high AS _to)))"""
+    return (
+        inside.selectExpr(*columns, "level", runs).filter("_from < _to")
+        .selectExpr(*columns, "level", "explode(sequence(_from, _to - 1)) AS block"))
 
 
 def point_blocks_sql(position: str, levels: Sequence[int]) -> str:
@@ -68,9 +70,8 @@ def first_covering(points: DataFrame, intervals: DataFrame, space: str = "chrom"
     values = [c for c in intervals.columns if c not in (space, "start", "end", "ord")]
     found = F.struct("ord", "start", *values)
     blocks = (
-        intervals.filter(F.col("start") < F.col("end"))
-        .select(space, found.alias("hit"), F.expr(
-            f"inline({interval_blocks_sql('CAST(start AS bigint)', 'CAST(end AS bigint)')})"))
+        interval_blocks(intervals.filter(F.col("start") < F.col("end")).select(
+            space, found.alias("hit"), "start", "end"))
         .groupBy(space, "level", "block").agg(F.min_by("hit", "hit.ord").alias("hit"))
     )
     blocks = materialize(blocks, "blocks")

@@ -36,20 +36,25 @@ def filter_by_catalog(
 ) -> DataFrame:
     """Rows whose stem contains some catalog id, or some keyword in lower case.
 
-    Distinct stems are cut into their substrings of every length that the ids
-    have, so that "contains" becomes an equality join instead of comparing every
-    stem with every id.
+    An id is looked up by its first characters, as many as the largest power of
+    two that it is long, and distinct stems are cut into pieces of those sizes.
+    So a stem gives one piece per place and power, "contains" is checked only
+    where a piece agrees, and no stem is compared with every id.
     """
-    ids = catalog.select(F.col(catalog_id).alias("_part")).filter(F.length("_part") > 0).distinct()
-    lengths = ids.select(F.array_sort(F.collect_set(F.length("_part")))).scalar()
+    ids = (
+        catalog.select(F.col(catalog_id).alias("_id")).filter(F.length("_id") > 0).distinct()
+        .withColumn("_size", F.expr("shiftleft(1, CAST(floor(log2(length(_id))) AS int))"))
+        .withColumn("_part", F.expr("left(_id, _size)")))
+    sizes = ids.select(F.array_sort(F.collect_set("_size"))).scalar()
     stems = df.select(F.col(stem).alias("_stem")).filter(F.col("_stem").isNotNull()).distinct()
     parts = (
-        stems.withColumn("_size", F.explode(lengths))
+        stems.withColumn("_size", F.explode(sizes))
         .filter(F.col("_size") <= F.length("_stem"))
         .withColumn("_at", F.explode(F.sequence(F.lit(1), F.length("_stem") - F.col("_size") + 1)))
-        .select("_stem", F.substring(F.col("_stem"), F.col("_at"), F.col("_size")).alias("_part"))
-    )
-    known = parts.join(ids, "_part", "left_semi").select("_stem").distinct()
+        .select("_stem", "_size", F.substring(F.col("_stem"), F.col("_at"), F.col("_size")).alias("_part"))
+    ).distinct()
+    agree = (ids["_part"] == parts["_part"]) & (ids["_size"] == parts["_size"])
+    known = parts.join(ids, agree & F.contains(parts["_stem"], ids["_id"]), "left_semi").select("_stem").distinct()
     wanted = known.union(stems.filter(contains_any("_stem", keywords))).distinct()
     return df.join(wanted, df[stem] == wanted["_stem"], "left_semi")
 

@@ -10,6 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
+PARTITIONS_SETTING = "twinframe.input.partitions"
 _local_folder: str | None = None
 _stored: list[str] = []
 
@@ -32,6 +33,16 @@ def shared_folder(spark: SparkSession) -> str:
     return _local_folder
 
 
+def dealt_out(df: DataFrame) -> DataFrame:
+    """`df` over as many tasks as `twinframe.input.partitions` says; as it is where that is unset.
+
+    One task reads a row group, whatever follows on its rows. Set it for small
+    files of a single row group; tables of many row groups need no shuffle here.
+    """
+    wanted = df.sparkSession.conf.get(PARTITIONS_SETTING, None)
+    return df.repartition(int(wanted)) if wanted else df
+
+
 def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write `df` once to the shared folder and read it back.
 
