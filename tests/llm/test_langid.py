@@ -25,7 +25,9 @@ def test_held_out_rows_are_not_learned_from(spark):
         F.col("id").alias("doc_id"),
         F.when(langid.held_out(F.col("id")), F.lit("zz")).otherwise("en").alias("lang"),
         F.repeat(F.lit("some words here "), 30).alias("text"))
-    assert set(langid.fit(docs).dictionaries) == {"en"}
+    model = langid.fit(docs)
+    learned = sum(zlib.crc32(str(i).encode()) % 4 != 2 for i in range(400))
+    assert set(model.dictionaries) == {"en"} and model.docs == {"en": learned}
     assert langid.fit(docs.filter("doc_id < 0")).dictionaries == {}
 
 
@@ -34,6 +36,13 @@ def test_numbers_are_no_letters():
     assert judge.classify("² ½ ٣ 12 _ !") == ("und", 0.0, True) and judge.classify("some words")[0] == "en"
 
 
+def test_equal_sizes_go_to_the_language_with_more_documents():
+    same = {name: b"some words of text" for name in ("de", "en", "fr")}
+    for docs, wanted in (({}, "de"), ({"en": 9, "fr": 3}, "en"), ({"en": 3, "fr": 3, "de": 1}, "en")):
+        judge = langid.Classifier(langid.Model(same, docs))
+        assert judge.classify("words") == (wanted, 0.0, False)
+
+
 def test_fit_is_bounded(spark):
     docs = spark.range(3000).select(
         F.col("id").alias("doc_id"), F.lit("en").alias("lang"),

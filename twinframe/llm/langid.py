@@ -56,6 +56,7 @@ class Fit:
 @dataclass
 class Model:
     dictionaries: dict[str, bytes] = field(default_factory=dict)
+    docs: dict[str, int] = field(default_factory=dict)  # documents of each label that were not held out
     margin: float = Fit.margin
     judged_chars: int = Fit.judged_chars
 
@@ -78,13 +79,14 @@ def fit(
     The sample is bounded by `bounds` whatever the input's size: ids are chosen
     first, by a limit per label that Spark applies before it shuffles, and only
     their texts reach the driver. A label without a document in the length
-    range isn't learned.
+    range isn't learned. How many documents of any length have a learned label
+    is counted over all of them.
     """
-    labelled = docs.select(
+    learnable = docs.select(
         F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).alias("l")).filter(
-        F.col("l").isNotNull() & F.col("t").isNotNull() & F.col("k").isNotNull()
-        & ~held_out(F.col("k"))
-        & F.length("t").between(bounds.min_chars, bounds.max_chars))
+        F.col("l").isNotNull() & F.col("k").isNotNull() & ~held_out(F.col("k")))
+    labelled = learnable.filter(
+        F.col("t").isNotNull() & F.length("t").between(bounds.min_chars, bounds.max_chars))
     chosen = labelled.select("l", "k", F.xxhash64("t").alias("h"))
     # By slices of a label first, so that what meets in one task is bounded too.
     for parts in (["l", F.pmod(F.xxhash64("h"), F.lit(SLICES))], ["l"]):
@@ -98,9 +100,10 @@ def fit(
         texts.setdefault(row.l, []).append(letters(row.t))
     if len(texts) > bounds.languages:
         raise ValueError(f"{len(texts)} languages; the bound is {bounds.languages}")
+    counts = learnable.filter(F.col("l").isin(list(texts))).groupBy("l").agg(F.count("*").alias("n"))
     return Model({
         name: _dictionary(own, bounds.dictionary_bytes) for name, own in texts.items() if any(own)
-    }, bounds.margin, bounds.judged_chars)
+    }, {r.l: r.n for r in counts.collect()}, bounds.margin, bounds.judged_chars)
 
 
 def _dictionary(texts: list[str], size: int) -> bytes:
@@ -119,7 +122,8 @@ class Classifier:
     """Sizes of texts under every dictionary of a model."""
 
     def __init__(self, model: Model):
-        self.names = sorted(model.dictionaries)
+        # The first of equal sizes wins, so more frequent languages come first.
+        self.names = sorted(model.dictionaries, key=lambda name: (-model.docs.get(name, 0), name))
         self.margin, self.judged_chars = model.margin, model.judged_chars
         self.long, self.short = (
             [self._compress(model.dictionaries[name], level) for name in self.names]
@@ -136,7 +140,8 @@ class Classifier:
         """Language, margin between 0 and 1, and whether the margin is too narrow.
 
         The margin is the share of bytes that the best dictionary saves against
-        the second. Of equal sizes the first name wins. A few words compress to
+        the second. Of equal sizes the language with more labelled documents
+        wins, of equally many the first name. A few words compress to
         about the same size whatever the language: their margin tells nothing
         and they are not rejected for it. Without a letter, or without any
         dictionary, the language is `und`, the margin 0, rejected.
