@@ -62,6 +62,21 @@ def test_inline_white_space_and_references():
     assert text_of(page).startswith("onetwo three four five <b> AB é& six A sentence")
 
 
+def test_elements_without_an_end():
+    for tag in ("<svg class=i/>", "<svg class='i'/>", "<svg class=i>", "<template>", "<noscript>", "<iframe src='x'/>", "<textarea>"):
+        page = f"<article><h1>Title</h1><p>a {tag} b</p><p>{PARAGRAPH}</p><div>{tag}<p>{PARAGRAPH}</p></div></article>"
+        assert text_of(page) == f"Title a b {PARAGRAPH} {PARAGRAPH}", tag
+    assert text_of(f"<article><p>{PARAGRAPH}<svg><text>x</text></svg><noscript>y<p>z</noscript></p></article>") == PARAGRAPH
+    assert text_of("<p>b<template>" * 20_000).startswith("b b")
+
+
+def test_formulas_and_fallback_texts_are_text():
+    page = (
+        f"<article><h1>Title</h1><p>Let <math><semantics><mrow><mi>x</mi><mo>=</mo><mn>2</mn></mrow><annotation>x=2</annotation>"
+        f"</semantics></math> hold.</p><object data='x'><param name='a'><p>A picture of it.</p></object><p>{PARAGRAPH}</p></article>")
+    assert text_of(page) == f"Title Let x=2 hold. A picture of it. {PARAGRAPH}"
+
+
 def test_broken_markup():
     for page in ("", "<", "<p", "no markup at all, but text.", "<p>a<p>b</i></div></p>", "<!-- open", "<script>x",
                  "<a href=\"x>y", "<div " * 3000, "<div>" * 3000 + "deep, deep." + "</div>" * 10, "a &", "<p>" * 5000 + "x"):

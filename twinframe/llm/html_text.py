@@ -22,22 +22,28 @@ from pyspark.sql import functions as F
 
 from .common import map_batches
 
-# Comments, elements whose content isn't text, tags with quoted values, other tags, declarations.
+# Comments, code, tags with quoted values, other tags, declarations.
 _TOKEN = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|template|iframe|textarea|svg|math|object)\b[^>]*+>"""
+    r"""<!--.*?(?:-->|\Z)|<(?P<raw>script|style)(?=[\s/>])[^>]*+>"""
     r""".*?(?:</(?P=raw)\b[^>]*+>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)"""
     r"""(?P<attrs>(?:[^>"']++|"[^"]*+"|'[^']*+')*+|[^>]*+)>|<[!?/][^>]*+>""", re.S | re.I)
 _ATTR = re.compile(
     r"""([a-zA-Z_:][^\s=/>]*+)\s*+(?:=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++)))?+""", re.S)
 _PUNCTUATION = re.compile(r"[.,;:!?…。、，；：！？؟।]")
 _NAMES = re.compile(r"[a-z]+")
+# Elements whose content isn't parsed, with their end tags. One without an end has no content.
+_SKIPPED = {tag: re.compile(rf"</{tag}\b[^>]*+>", re.I) for tag in ("noscript", "template", "iframe", "textarea")}
+_EMPTY = re.compile(r"(?:^|[\s\"'])/$").search
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s "
-    "samp small span strike strong sub sup time tt u var wbr img".split())
+    "samp small span strike strong sub sup time tt u var wbr img "
+    "math semantics mrow mi mn mo ms mtext mspace mstyle mpadded mphantom menclose merror mfenced mfrac msqrt mroot "
+    "msub msup msubsup munder mover munderover mmultiscripts mtable mtr mtd".split())
 NOT_CONTENT = frozenset(
-    "head title nav footer aside form button select option fieldset dialog menu legend".split())
+    "head title nav footer aside form button select option fieldset dialog menu legend svg annotation "
+    "annotation-xml".split())
 CLOSES_P = frozenset(
     "address article aside blockquote center details div dl fieldset figcaption figure footer form h1 h2 "
     "h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
@@ -99,7 +105,10 @@ class Page:
         names, stack, open_tags = ["#root"], [0], {}
         block = 0
         at = 0
+        endless: set[str] = set()  # elements to skip of which no further one has an end
         for token in _TOKEN.finditer(html):
+            if token.start() < at:
+                continue
             if token.start() > at:
                 self._text(stack[-1], block, html[at:token.start()])
             at = token.end()
@@ -113,13 +122,23 @@ class Page:
                 self._text(stack[-1], block, " ")
                 continue
             block += tag not in INLINE
+            if tag in _SKIPPED:
+                if not token["end"] and tag not in endless and not _EMPTY(token["attrs"]):
+                    last = _SKIPPED[tag].search(html, at)
+                    if last:
+                        at = last.end()
+                    else:
+                        endless.add(tag)
+                continue
             if token["end"]:
                 if open_tags.get(tag):
                     while True:
-                        name = names[stack.pop()]
+                        name = names[stack[-1]]
                         open_tags[name] -= 1
                         if name == tag:
+                            stack.pop()
                             break
+                        self._endless(name, stack.pop())
                 continue
             if tag in CLOSES_P and open_tags.get("p"):
                 self._close(("p",), names, stack, open_tags)
@@ -149,6 +168,8 @@ class Page:
                 open_tags[tag] = open_tags.get(tag, 0) + 1
         if at < len(html):
             self._text(stack[-1], block, html[at:])
+        for element in stack:
+            self._endless(names[element], element)
         off = [False]
         for element in range(1, len(names)):
             mark = self.mark[element]
@@ -166,8 +187,12 @@ class Page:
     def _text(self, element: int, block: int, text: str) -> None:
         self.nodes.append((element, block, unescape(text) if "&" in text else text))
 
-    @staticmethod
-    def _close(tags, names, stack, open_tags) -> None:
+    def _endless(self, name: str, element: int) -> None:
+        """An image without an end tag holds nothing, so what follows it is text."""
+        if name == "svg":
+            self.mark[element] = NONE
+
+    def _close(self, tags, names, stack, open_tags) -> None:
         """End the open elements of these names that stand in the same scope."""
         last = None
         for i in range(len(stack) - 1, 0, -1):
@@ -179,6 +204,7 @@ class Page:
         if last is not None:
             for element in stack[last:]:
                 open_tags[names[element]] -= 1
+                self._endless(names[element], element)
             del stack[last:]
 
 
