@@ -62,6 +62,20 @@ def test_inline_white_space_and_references():
     assert text_of(page).startswith("onetwo three four five <b> AB é& six A sentence")
 
 
+def test_marks_on_the_article_itself():
+    two = f"<p>{PARAGRAPH}</p><p>{PARAGRAPH}</p>"
+    wanted = f"Title {PARAGRAPH} {PARAGRAPH}"
+    for opening, closing in (
+            ("<article><section id='search-algorithms'>", "</section></article>"), ("<article class='post tag-social'>", "</article>"),
+            ("<main><section id='related-work'>", "</section></main>"), ("<div class='two-column-sidebar'>", "</div>"),
+            ("<form action='x'><div>", "</div></form>"), ("<form class='search'><main>", "</main></form>"),
+            ("<article><div class='social related'>", "</div></article>")):
+        page = f"<body><nav>Menu</nav>{opening}<h2 id='social-impact'>Title</h2>{two}{closing}<div class='footer'>End.</div></body>"
+        assert text_of(page) == wanted, opening
+    both = f"<article><h2>One</h2>{two}<section id='related-work'><h2 id='search'>Title</h2>{two}</section><div class='share'>Tell.</div></article>"
+    assert text_of(both) == f"One {PARAGRAPH} {PARAGRAPH} {wanted}"
+
+
 def test_elements_without_an_end():
     for tag in ("<svg class=i/>", "<svg class='i'/>", "<svg class=i>", "<template>", "<noscript>", "<iframe src='x'/>", "<textarea>"):
         page = f"<article><h1>Title</h1><p>a {tag} b</p><p>{PARAGRAPH}</p><div>{tag}<p>{PARAGRAPH}</p></div></article>"

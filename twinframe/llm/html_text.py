@@ -42,7 +42,7 @@ INLINE = frozenset(
     "math semantics mrow mi mn mo ms mtext mspace mstyle mpadded mphantom menclose merror mfenced mfrac msqrt mroot "
     "msub msup msubsup munder mover munderover mmultiscripts mtable mtr mtd".split())
 NOT_CONTENT = frozenset(
-    "head title nav footer aside form button select option fieldset dialog menu legend svg annotation "
+    "head title nav footer aside button select option fieldset dialog menu legend svg annotation "
     "annotation-xml".split())
 CLOSES_P = frozenset(
     "address article aside blockquote center details div dl fieldset figcaption figure footer form h1 h2 "
@@ -59,6 +59,7 @@ MARKS = frozenset(
     "contentinfo cookie cookies disqus footer gdpr header hidden login masthead menu modal nav navbar navigation newsletter "
     "notice notices notification pagination paywall popup promo promoted promotion related replies respond search share sharing "
     "sidebar signup skip social sponsor sponsored subscribe subscription tags toolbar widget widgets".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 # First words of names that tell what surrounds an element.
 ABOUT = frozenset("has no not with without is".split())
 # Smoothing weights over neighbours in page order.
@@ -67,25 +68,34 @@ KERNEL = np.exp(-np.arange(-2, 3) ** 2 / 2.0)
 HELD = 0.8
 
 
-# Marks by kind: none, always left out, left out unless the article's title is inside.
-NONE, ALWAYS, UNTITLED = 0, 1, 2
+# Marks by kind: none; always left out; left out unless it holds most of the text; the same, or the article's
+# title; left out in article or main where its paths are under the threshold; the same, beside an article in main.
+NONE, ALWAYS, FORM, UNTITLED, INSIDE, BESIDE = range(6)
+# Where an element stands: outside of article and main, in main, in article.
+OUT, MAIN, ARTICLE = range(3)
 
 
-def marked(tag: str, attrs: str, in_article: bool) -> int:
+def marked(tag: str, attrs: str, place: int) -> int:
     """Whether an element names itself as something other than article text."""
-    if tag in NOT_CONTENT or (tag == "header" and not in_article):
+    if tag in NOT_CONTENT or (tag == "header" and place == OUT):
         return ALWAYS
+    kind = FORM if tag == "form" else NONE
     if not attrs or attrs == "/":
-        return NONE
-    kind = NONE
+        return kind
     for name, *values in _ATTR.findall(attrs):
         name, value = name.lower(), "".join(values).lower()
         if name in ("class", "id", "role") and tag not in ("body", "html"):
             # Of the words that a name is made of; `has-sidebar` says nothing of the element itself.
             for label in value.split():
                 words = _NAMES.findall(label)
-                if not MARKS.isdisjoint(words) and words[0] not in ABOUT:
-                    kind = UNTITLED
+                if MARKS.isdisjoint(words) or words[0] in ABOUT or kind == FORM:
+                    continue
+                # Ids of headings and sections are made of their titles.
+                if name == "id" and (
+                        tag in HEADINGS or place == ARTICLE
+                        or ((tag == "section" or place == MAIN) and not MARKS.issuperset(words))):
+                    continue
+                kind = UNTITLED if place == OUT else BESIDE if name == "id" and kind != INSIDE else INSIDE
         elif name == "hidden" or (name == "aria-hidden" and value == "true") or (
                 name == "style" and "display:none" in value.replace(" ", "")):
             return ALWAYS
@@ -98,11 +108,11 @@ class Page:
     def __init__(self, html: str):
         self.parent, self.path, self.mark, self.link = [-1], [0], [NONE], [False]
         self.titled = [True]  # h1 or main inside
-        self.inside = [False]  # within article or main
-        self.holds_blocks = [True]  # a block of text alone is never the whole article
+        self.place = [OUT]
+        self.names = names = ["#root"]
         self.paths: dict[tuple[int, str], int] = {}
         self.nodes: list[tuple[int, int, str]] = []  # element, block, text
-        names, stack, open_tags = ["#root"], [0], {}
+        stack, open_tags = [0], {}
         block = 0
         at = 0
         endless: set[str] = set()  # elements to skip of which no further one has an end
@@ -151,7 +161,9 @@ class Page:
             names.append(tag)
             self.parent.append(up)
             self.path.append(self.paths.setdefault((self.path[up], tag), len(self.paths) + 1))
-            self.mark.append(marked(tag, token["attrs"], self.inside[up]))
+            place = max(self.place[up], ARTICLE if tag == "article" else MAIN if tag == "main" else OUT)
+            self.mark.append(marked(tag, token["attrs"], place))
+            self.place.append(place)
             self.titled.append(tag in ("h1", "main"))
             if self.titled[me]:
                 while not self.titled[up]:
@@ -159,10 +171,6 @@ class Page:
                     up = self.parent[up]
                 up = stack[-1]
             self.link.append(self.link[up] or tag == "a")
-            self.holds_blocks.append(tag in ("article", "main"))
-            if tag not in INLINE and not self.mark[me]:
-                self.holds_blocks[up] = True
-            self.inside.append(self.inside[up] or tag in ("article", "main"))
             if not token["attrs"].endswith("/"):
                 stack.append(me)
                 open_tags[tag] = open_tags.get(tag, 0) + 1
@@ -170,19 +178,75 @@ class Page:
             self._text(stack[-1], block, html[at:])
         for element in stack:
             self._endless(names[element], element)
-        off = [False]
-        for element in range(1, len(names)):
-            mark = self.mark[element]
-            off.append(off[self.parent[element]] or mark == ALWAYS or (mark == UNTITLED and not self.titled[element]))
-        self.nodes = [node for node in self.nodes if not off[node[0]]]
+        self._leave_out()
+        off = self.off
+        # Elements that hold blocks of text; a block of text alone is never the whole article.
+        self.holds_blocks = [True] + [name in ("article", "main") for name in names[1:]]
         # Elements with a visible h1 inside, and those that are or hold an article or main.
         self.headed, self.named = [False] * len(names), [False] * len(names)
         for element in range(len(names) - 1, 0, -1):
             if not off[element]:
+                up = self.parent[element]
                 self.headed[element] |= names[element] == "h1"
                 self.named[element] |= names[element] in ("article", "main")
-                self.headed[self.parent[element]] |= self.headed[element]
-                self.named[self.parent[element]] |= self.named[element]
+                self.headed[up] |= self.headed[element]
+                self.named[up] |= self.named[element]
+                self.holds_blocks[up] |= names[element] not in INLINE
+
+    def _leave_out(self) -> None:
+        """Find the elements that aren't content, `off`, and keep the other nodes."""
+        self.off = self._spread([mark == ALWAYS for mark in self.mark])
+        doubtful = [e for e, mark in enumerate(self.mark) if mark > ALWAYS and not self.off[e]]
+        if doubtful:
+            counts = self._counts(doubtful)
+            self.off = self._spread([off or e in counts for e, off in enumerate(self.off)])
+        self.nodes = [node for node in self.nodes if not self.off[node[0]]]
+
+    def _spread(self, off: list[bool]) -> list[bool]:
+        for element in range(1, len(off)):
+            off[element] = off[element] or off[self.parent[element]]
+        return off
+
+    def _counts(self, doubtful: list[int]) -> set[int]:
+        """Those of the elements `doubtful` whose mark counts, by the text over the threshold inside."""
+        n = len(self.names)
+        text, peak = [0] * n, [0.0] * n
+        held = [i for i, (e, _, t) in enumerate(self.nodes) if not self.off[e] and t and not t.isspace()]
+        least = 0.0
+        if held:
+            fused, own = scores(self, held)
+            least = threshold(fused)
+            for i, path_score in zip(held, own):
+                element, _, words = self.nodes[i]
+                peak[element] = max(peak[element], path_score)
+                if path_score >= least:
+                    text[element] += len(words)
+        named, titles = [0] * n, [0] * n  # article or main with such text, and h1, inside
+        for element in range(n - 1, 0, -1):
+            up = self.parent[element]
+            if not self.off[element]:
+                named[element] += self.names[element] in ("article", "main") and text[element] > 0
+                titles[element] += self.names[element] == "h1"
+            for sums in (text, named, titles):
+                sums[up] += sums[element]
+            peak[up] = max(peak[up], peak[element])
+        above = [0] * n
+        for element in range(1, n):
+            up = self.parent[element]
+            above[element] = above[up] + (self.names[up] in ("article", "main") and text[up] > 0)
+
+        def wraps(e: int) -> bool:
+            if not text[e] or named[e] + above[e] < named[0]:
+                return False
+            return text[e] > text[0] / 2 if titles[e] == titles[0] else text[e] >= HELD * text[0]
+
+        def counts(e: int) -> bool:
+            mark = self.mark[e]
+            if mark == UNTITLED and self.titled[e] or mark == BESIDE and "article" not in self.names:
+                return False
+            return not (wraps(e) or mark >= INSIDE and peak[e] > 0 and peak[e] >= least)
+
+        return {e for e in doubtful if counts(e)}
 
     def _text(self, element: int, block: int, text: str) -> None:
         self.nodes.append((element, block, unescape(text) if "&" in text else text))
@@ -208,8 +272,8 @@ class Page:
             del stack[last:]
 
 
-def scores(page: Page, held: list[int]) -> np.ndarray:
-    """Fused path ratios of the page's text nodes `held`, smoothed in page order."""
+def scores(page: Page, held: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Fused path ratios of the page's text nodes `held`: smoothed in page order, and of their own paths."""
     texts = [page.nodes[i][2] for i in held]
     path = np.array([page.path[page.nodes[i][0]] for i in held])
     linked = np.array([page.link[page.nodes[i][0]] for i in held])
@@ -218,8 +282,13 @@ def scores(page: Page, held: list[int]) -> np.ndarray:
     _, place = np.unique(path, return_inverse=True)
     nodes = np.bincount(place)
     ratios = [np.bincount(place, values) / nodes for values in (length, marks + 0.1 * (length > 0))]
-    smooth = [_smoothed(r[place]) for r in ratios]
-    return smooth[0] * smooth[1]
+    own = [r[place] for r in ratios]
+    smooth = [_smoothed(r) for r in own]
+    return smooth[0] * smooth[1], own[0] * own[1]
+
+
+def threshold(fused: np.ndarray) -> float:
+    return min(fused.std(), fused.max())
 
 
 def _smoothed(values: np.ndarray) -> np.ndarray:
@@ -233,8 +302,8 @@ def article_blocks(html: str) -> list[str]:
     held = [i for i, (_, _, text) in enumerate(page.nodes) if text and not text.isspace()]
     if not held:
         return []
-    fused = scores(page, held)
-    chosen = fused >= min(fused.std(), fused.max())
+    fused, _ = scores(page, held)
+    chosen = fused >= threshold(fused)
     weight = np.zeros(len(page.parent))
     for i, score, over in zip(held, fused, chosen):
         if over:
