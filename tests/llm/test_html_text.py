@@ -62,6 +62,19 @@ def test_inline_white_space_and_references():
     assert text_of(page).startswith("onetwo three four five <b> AB é& six A sentence")
 
 
+def test_no_part_of_the_article_is_left_behind():
+    many = f"<p>{PARAGRAPH}</p>" * 9
+    text = " ".join([PARAGRAPH] * 9)
+    for tag in ("article", "main"):
+        around = "<body><div class='foot-er'>x</div><{0}>{1}</{0}></body>"
+        assert text_of(around.format(tag, f"<section>{many}</section><section><p>{PARAGRAPH}</p></section>")) == f"{text} {PARAGRAPH}"
+        assert text_of(around.format(tag, f"<section><h1>T</h1>{many}</section><section><p>End.</p></section>")) == f"T {text} End."
+        items = many.replace("p>", "li>")
+        assert text_of(around.format(tag, f"<h2>T</h2><p>Intro.</p><ul>{items}</ul><p>End.</p>")) == f"T Intro. {text} End."
+    page = f"<body><div class='x'>Home</div><div><div>{many}</div><div><b><p>{PARAGRAPH}</p></b></div></div></body>"
+    assert text_of(page) == f"{text} {PARAGRAPH}"
+
+
 def test_marks_on_the_article_itself():
     two = f"<p>{PARAGRAPH}</p><p>{PARAGRAPH}</p>"
     wanted = f"Title {PARAGRAPH} {PARAGRAPH}"

@@ -4,10 +4,11 @@ Every text node hangs on a path of tags from the root. Text length and
 punctuation are summed per path, as nodes of one path are alike: paragraphs
 stand on few paths with much text and many marks, menus and labels on paths with
 little of both. Both ratios are smoothed over the nodes in page order, fused
-into one score, and thresholded by their spread. The nodes over the threshold
-show in which element the article lies; headings and short paragraphs in that
-element belong to it too. Elements that say what they are (menus, forms,
-notices, comments) never count as content.
+into one score, and thresholded by their spread. The lowest element around all nodes
+over the threshold is the article, or the article or main element around it;
+headings and short paragraphs in that element belong to it too. Elements that
+say what they are (menus, forms, notices, comments) do not count as content,
+unless most of the text or, within an article, paths over the threshold are in them.
 """
 
 from __future__ import annotations
@@ -64,7 +65,7 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ABOUT = frozenset("has no not with without is".split())
 # Smoothing weights over neighbours in page order.
 KERNEL = np.exp(-np.arange(-2, 3) ** 2 / 2.0)
-# Share of the scored text that the article's element holds.
+# Share of the scored text by which a marked element is a wrapper though a title stands outside.
 HELD = 0.8
 
 
@@ -184,6 +185,7 @@ class Page:
         self.holds_blocks = [True] + [name in ("article", "main") for name in names[1:]]
         # Elements with a visible h1 inside, and those that are or hold an article or main.
         self.headed, self.named = [False] * len(names), [False] * len(names)
+        self.heading = self._spread([name in HEADINGS for name in names])
         for element in range(len(names) - 1, 0, -1):
             if not off[element]:
                 up = self.parent[element]
@@ -302,12 +304,15 @@ def article_blocks(html: str) -> list[str]:
     held = [i for i, (_, _, text) in enumerate(page.nodes) if text and not text.isspace()]
     if not held:
         return []
-    fused, _ = scores(page, held)
-    chosen = fused >= threshold(fused)
-    weight = np.zeros(len(page.parent))
-    for i, score, over in zip(held, fused, chosen):
-        if over:
-            weight[page.nodes[i][0]] += len(page.nodes[i][2])
+    fused, own = scores(page, held)
+    least = threshold(fused)
+    # By its own path too, as what stands beside the article is lifted by its neighbours; titles are lifted rightly.
+    chosen = (fused >= least) & ((own >= least) | [page.heading[page.nodes[i][0]] for i in held])
+    if not (chosen & (own >= least)).any():
+        chosen = fused >= least
+    weight = np.zeros(len(page.parent), int)
+    for i, over in zip(held, chosen):
+        weight[page.nodes[i][0]] += bool(over)
     # Children come after their parents, so one pass backwards sums whole elements.
     children: dict[int, int] = {}
     for element in range(len(weight) - 1, 0, -1):
@@ -317,10 +322,15 @@ def article_blocks(html: str) -> list[str]:
         if up not in children or weight[element] > weight[children[up]]:
             children[up] = element
     top = 0
-    while top in children and weight[children[top]] >= HELD * weight[0]:
+    while top in children and page.names[top] != "article":
         below = children[top]
-        # Neither a lone block of text, nor a part that leaves the title behind.
-        if not page.holds_blocks[below] or not (page.headed[below] or page.named[below] or not page.headed[top]):
+        # The lowest element around all selected nodes; but neither a lone block of text, nor a part of main that is
+        # no article, nor one that leaves the title behind.
+        if weight[below] < weight[0] or not page.holds_blocks[below]:
+            break
+        if page.place[top] != OUT and not page.named[below]:
+            break
+        if page.headed[top] and not page.headed[below] and (page.place[top] != OUT or not page.named[below]):
             break
         top = below
     within = np.zeros(len(weight), bool)
