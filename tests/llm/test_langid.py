@@ -51,6 +51,21 @@ def test_fit_is_bounded(spark):
     assert 500 < len(model.dictionaries["en"]) <= 3000
 
 
+def test_labels_of_short_or_long_texts_only_are_learned(spark):
+    own = {"en": "the cat sat there and ", "de": "der Hund liegt hier und ", "fr": "le chat est assis et "}
+    rows = [(i, own["en"] * 20, "en") for i in range(8)] + [(10 + i, own["de"], "de") for i in range(8)] + [
+        (20 + i, ("7 " * 9000 if i % 2 else "") + own["fr"] * 1200 + "8 " * 99_000, "fr") for i in range(8)] + [
+        (30 + i, "12 " * 100, "no") for i in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for some in (docs, docs.filter("lang <> 'en'")):
+        model = langid.fit(some)
+        assert set(model.dictionaries) == {r.lang for r in some.collect()} - {"no"} and all(model.dictionaries.values())
+        got = langid.classify(some, model).filter("lang <> 'no'").collect()
+        assert all(r.lang_pred == r.lang and not r.rejected for r in got)
+    both = docs.union(docs.selectExpr("doc_id + 100", "'one more word'", "lang"))
+    assert b"one more" in langid.fit(both).dictionaries["en"]
+
+
 def test_odd_rows(spark, odd_docs):
     model = langid.fit(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
     got = langid.classify(odd_docs, model)

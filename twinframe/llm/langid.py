@@ -37,8 +37,9 @@ class Fit:
     """How a model is fitted: the bounds on its labelled sample, and the narrow margin.
 
     docs: labelled documents per language at most, those with the smallest hash
-    of their id; min_chars, max_chars: only documents of this length are labelled
-    examples; dictionary_bytes: text in a dictionary; languages: more than so
+    of their id; min_chars, max_chars: documents of this length are preferred,
+    others fill what these leave of the bounds, and longer ones are cut to
+    max_chars; dictionary_bytes: text in a dictionary; languages: more than so
     many labels are an error, because each needs a dictionary in every task;
     margin: share of bytes by which the best language must beat the second;
     judged_chars: letters and spaces from which a narrow margin means anything.
@@ -78,43 +79,56 @@ def fit(
 
     The sample is bounded by `bounds` whatever the input's size: ids are chosen
     first, by a limit per label that Spark applies before it shuffles, and only
-    their texts reach the driver. A label without a document in the length
-    range isn't learned. How many documents of any length have a learned label
-    is counted over all of them.
+    their texts reach the driver. Documents in the length range come first;
+    shorter ones, and pieces of longer ones, fill the dictionary of a label that
+    has too few, so that every label with a document with a letter is learned.
+    How many documents of any length have a learned label is counted over all of
+    them.
     """
     learnable = docs.select(
         F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).alias("l")).filter(
         F.col("l").isNotNull() & F.col("k").isNotNull() & ~held_out(F.col("k")))
-    labelled = learnable.filter(
-        F.col("t").isNotNull() & F.length("t").between(bounds.min_chars, bounds.max_chars))
-    chosen = labelled.select("l", "k", F.xxhash64("t").alias("h"))
+    labelled = learnable.filter(F.col("t").rlike(r"\p{L}")).withColumn(
+        "o", ~F.length("t").between(bounds.min_chars, bounds.max_chars))
+    chosen = labelled.select("l", "k", F.xxhash64("t").alias("h"), "o")
     # By slices of a label first, so that what meets in one task is bounded too.
     for parts in (["l", F.pmod(F.xxhash64("h"), F.lit(SLICES))], ["l"]):
-        first = Window.partitionBy(*parts).orderBy(F.xxhash64("k"), "k", "h")
+        first = Window.partitionBy(*parts).orderBy("o", F.xxhash64("k"), "k", "h")
         chosen = chosen.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= bounds.docs).drop("n")
-    chosen = chosen.distinct()
+    chosen = chosen.drop("o").distinct()
     sample = labelled.withColumn("h", F.xxhash64("t")).join(
         F.broadcast(chosen), ["l", "k", "h"], "left_semi").dropDuplicates(["l", "k", "h"])
-    texts: dict[str, list[str]] = {}
-    for row in sample.orderBy("l", F.xxhash64("k"), "k", "h").select("l", "t").collect():
-        texts.setdefault(row.l, []).append(letters(row.t))
+    # A piece of a long text starts at its first letter or, by its hash, further on.
+    room = F.length("t") - bounds.max_chars
+    letter = F.regexp_instr("t", F.lit(r"\p{L}"))
+    start = F.greatest(letter, F.when(room > 0, F.pmod("h", room + 1) + 1).otherwise(1))
+    piece = F.col("t").substr(start.cast("int"), F.lit(bounds.max_chars))
+    piece = F.when(piece.rlike(r"\p{L}"), piece).otherwise(F.col("t").substr(letter, F.lit(bounds.max_chars)))
+    cut = F.when(room > 0, piece).otherwise(F.col("t")).alias("t")
+    texts: dict[str, tuple[list[str], list[str]]] = {}  # in the length range, others
+    for row in sample.orderBy("l", F.xxhash64("k"), "k", "h").select("l", "o", cut).collect():
+        texts.setdefault(row.l, ([], []))[row.o].append(letters(row.t))
     if len(texts) > bounds.languages:
         raise ValueError(f"{len(texts)} languages; the bound is {bounds.languages}")
     counts = learnable.filter(F.col("l").isin(list(texts))).groupBy("l").agg(F.count("*").alias("n"))
     return Model({
-        name: _dictionary(own, bounds.dictionary_bytes) for name, own in texts.items() if any(own)
+        name: _dictionary(own, bounds.dictionary_bytes) for name, own in texts.items()
     }, {r.l: r.n for r in counts.collect()}, bounds.margin, bounds.judged_chars)
 
 
-def _dictionary(texts: list[str], size: int) -> bytes:
-    """Distinct short fragments of all sample texts in hash order, as many bytes as fit.
+def _dictionary(texts: tuple[list[str], ...], size: int) -> bytes:
+    """Distinct short fragments of all sample texts in hash order, as many bytes as fit; those of the first texts first.
 
     A passage of another language that many documents repeat counts once.
     """
-    found = set()
-    for words in map(str.split, texts):
-        found.update(" ".join(words[i:i + FRAGMENT_WORDS]) for i in range(0, len(words), FRAGMENT_WORDS))
-    ordered = sorted(found, key=lambda f: (zlib.crc32(f.encode()), f))
+    ordered: dict[str, None] = {}
+    for group in texts:
+        found = set()
+        for words in map(str.split, group):
+            found.update(" ".join(words[i:i + FRAGMENT_WORDS]) for i in range(0, len(words), FRAGMENT_WORDS))
+        ordered.update(dict.fromkeys(sorted(found, key=lambda f: (zlib.crc32(f.encode()), f))))
+        if sum(len(f.encode()) + 1 for f in ordered) > size:
+            break
     return "\n".join(ordered).encode()[:size]
 
 
