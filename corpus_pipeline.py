@@ -24,20 +24,24 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every group of near copies the document of the smallest id; rows without an id go."""
-    docs = docs.select(*COLUMNS)
-    groups = simhash.near_duplicates(docs)
-    first = groups.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    # Repeated rows of one id lie together after the join.
-    return docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
+    """Of every group of near copies one row: that of the smallest id, rows without an id last, then by content.
+
+    Rows are told apart by a hash of all columns, so an id may be null or repeated.
+    """
+    content = F.to_json(F.struct(*COLUMNS), {"ignoreNullFields": "false"})
+    docs = docs.select(*COLUMNS, F.unhex(F.sha2(content.cast("binary"), 256)).alias("row"))
+    order = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), F.col("row").alias("row"))
+    first = simhash.first_of_groups(docs.select(order.alias("place"), "text"), "place")
+    # Equal rows lie together after the join.
+    return docs.join(first.select("first.row"), "row", "left_semi").dropDuplicates(["row"]).select(*COLUMNS)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain no benchmark item."""
-    docs = docs.select(*COLUMNS)
-    leaking = decontaminate.leaks(docs, table(spark, sf_dir, "benchmark"))
-    leaking = materialize(leaking.select("doc_id").distinct(), "leaking")
-    return docs.join(leaking, "doc_id", "left_anti").select(*COLUMNS)
+    """Documents that contain no benchmark item. Texts are told apart by a hash, so an id may be null or repeated."""
+    docs = docs.select(*COLUMNS, F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("content"))
+    leaking = decontaminate.leaks(docs, table(spark, sf_dir, "benchmark"), key="content", kind="binary")
+    leaking = materialize(leaking.select(F.col("doc_id").alias("content")).distinct(), "leaking")
+    return docs.join(leaking, "content", "left_anti").select(*COLUMNS)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -47,3 +47,16 @@ def test_odd_rows(spark, odd_docs):
         assert stage(spark, odd_docs.limit(0), FOLDER).count() == 0, name
     one = corpus_pipeline.one_of_each_group(spark, odd_docs, FOLDER)
     assert one.filter(F.col("doc_id").isNull()).count() == 0 and one.filter("doc_id = 2").count() == 0
+
+
+def test_null_and_repeated_ids(spark):
+    item = spark.read.parquet(f"{FOLDER}/benchmark.parquet").first().text
+    texts = [" ".join(f"{name}{i * i}" for i in range(60)) for name in ("oak", "elm", "fir", "ash")]
+    rows = [(None, texts[0]), (None, texts[0]), (7, texts[1]), (7, texts[2]), (7, texts[2]), (None, texts[1]), (9, texts[1]),
+            (None, item), (8, item + " " + texts[3]), (8, texts[3]), (None, None)]
+    docs = spark.createDataFrame([(*r, "en", "s", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    one = corpus_pipeline.one_of_each_group(spark, docs, FOLDER)
+    wanted = [(None, texts[0]), (7, texts[1]), (7, texts[2]), (None, item), (8, item + " " + texts[3]), (8, texts[3]), (None, None)]
+    assert sorted(((r.doc_id, r.text) for r in one.collect()), key=str) == sorted(wanted, key=str)
+    clean = corpus_pipeline.decontaminated(spark, docs, FOLDER)
+    assert sorted(((r.doc_id, r.text) for r in clean.collect()), key=str) == sorted(rows[:7] + rows[9:], key=str)

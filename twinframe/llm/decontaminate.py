@@ -127,6 +127,7 @@ def contained(words: list[str], hashes: np.ndarray, items: Items, containment: f
 def leaks(
     docs: DataFrame, benchmark: DataFrame, containment: float = CONTAINMENT,
     key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text",
+    kind: str = "long",
 ) -> DataFrame:
     """`(doc_id, item_id, n_shingles, n_shared, containment)`: each row of `docs` and item it contains.
 
@@ -135,7 +136,8 @@ def leaks(
     shingle of all its words. Items without words match nothing, rows without
     an item id are not items, null and empty documents contain nothing.
     Repeated documents give repeated rows. Items of one id count as one item.
-    Other columns are not read. Items are measured first and carried to the
+    Other columns are not read. Keys of documents are carried as `kind`, long or
+    binary. Items are measured first and carried to the
     tasks in blocks of at most about 16 MB of text, with one pass over the
     documents for each block; the documents are never shuffled.
     """
@@ -144,7 +146,7 @@ def leaks(
         F.col(item_key).cast("long").alias("i"), F.col(item_text).cast("string").alias("t"))
     size = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     blocks = size // BLOCK_BYTES + 1
-    kept = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("t"))
+    kept = docs.select(F.col(key).cast(kind).alias("doc_id"), F.col(text).cast("string").alias("t"))
     found = None
     for block in range(blocks):
         rows = items.filter(F.pmod(F.xxhash64("i"), F.lit(blocks)) == block).collect()
@@ -162,10 +164,10 @@ def leaks(
                         for item, n, shared in contained(words, hashes, block_items, containment)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(column, kind) for column, kind in zip(
-                        zip(*out) if out else [()] * 5, [pa.int64()] * 4 + [pa.float64()])],
+                        zip(*out) if out else [()] * 5, [batch.column(0).type] + [pa.int64()] * 3 + [pa.float64()])],
                     ["doc_id", "item_id", "n_shingles", "n_shared", "containment"])
 
         part = map_batches(
-            kept, run, "doc_id long, item_id long, n_shingles long, n_shared long, containment double")
+            kept, run, f"doc_id {kind}, item_id long, n_shingles long, n_shared long, containment double")
         found = part if found is None else found.union(part)
     return found

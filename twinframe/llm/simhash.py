@@ -62,8 +62,13 @@ def majority(hashes: np.ndarray) -> int:
     return int(np.packbits(bits, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """`(doc_id, fp)` of every row; `fp` holds the 64 bits as a signed long. Null text reads as empty."""
+def fingerprints(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", kind: str = "long",
+) -> DataFrame:
+    """`(doc_id, fp)` of every row; `fp` holds the 64 bits as a signed long. Null text reads as empty.
+
+    `kind` is the type that the key is carried as.
+    """
     def run(batches):
         for batch in batches:
             values = np.fromiter(map(fingerprint, raw(batch.column(1))), np.uint64, len(batch))
@@ -71,8 +76,8 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
                 [batch.column(0), pa.array(values.view(np.int64))], ["doc_id", "fp"])
 
     return map_batches(
-        docs.select(F.col(key).cast("long"), F.col(text).cast("string")), run,
-        "doc_id long, fp long")
+        docs.select(F.col(key).cast(kind), F.col(text).cast("string")), run,
+        f"doc_id {kind}, fp long")
 
 
 def buckets(reps: DataFrame) -> DataFrame:
@@ -206,6 +211,18 @@ def trie_links(reps: DataFrame) -> DataFrame:
     return map_batches(in_order, run, "u long, v long").distinct()
 
 
+def first_of_groups(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """`(first)`: of every group of near copies the smallest key, whatever its type; keys may be repeated.
+
+    Groups are found over the fingerprints themselves, so keys neither join nor part them.
+    """
+    prints = fingerprints(docs, key, text, docs.schema[key].dataType.simpleString())
+    least = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "least")
+    found = components(trie_links(least.select("fp", F.col("fp").alias("rep"))))
+    classes = least.join(found, F.col("fp") == F.col("node"), "left")
+    return classes.groupBy(F.coalesce("component", "fp")).agg(F.min("first").alias("first")).select("first")
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """`(doc_id, fp, component_id)`: one row per row of `docs`.
 
