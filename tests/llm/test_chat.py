@@ -54,6 +54,26 @@ def test_layouts_by_fingerprint(spark):
     assert chat.fingerprint(["b", "a"]) == chat.fingerprint(["a", "b"]) == hashlib.sha256(b"a\nb").hexdigest()
 
 
+def test_records_with_missing_or_further_fields(spark):
+    table = spark.sql("""
+      SELECT *, IF(conv_id = 5, array(), IF(conv_id = 6, array(named_struct('role', 'bot', 'content', 'm')), NULL)) AS messages
+      FROM VALUES (1L, 'p', NULL, NULL, NULL, NULL), (2L, NULL, NULL, 'i', NULL, NULL), (3L, 'p', 'r', NULL, 'x', NULL),
+        (4L, NULL, NULL, NULL, 'x', NULL), (5L, NULL, NULL, NULL, NULL, NULL), (6L, 'p', NULL, NULL, NULL, NULL),
+        (7L, 'p', NULL, NULL, NULL, 's'), (8L, NULL, NULL, NULL, NULL, NULL)
+        AS t(conv_id, prompt, response, instruction, input, system)""")
+    got = {}
+    for r in chat.canonical_turns(table).orderBy("key", "n").collect():
+        got.setdefault(r.key, []).append((r.role, r.text))
+    # The schema has no `output`, so no layout holds `instruction` and `input`.
+    assert got == {
+        1: [("user", "p"), ("assistant", "")], 2: [("unknown", "i")],
+        3: [("user", "p"), ("assistant", "r"), ("unknown", "x")], 4: [("unknown", "x")], 5: [("unknown", "")],
+        6: [("assistant", "m"), ("unknown", "p")], 7: [("system", "s"), ("user", "p"), ("assistant", "")], 8: [("unknown", "")]}
+    short = spark.sql("SELECT 1L AS conv_id, 'i' AS instruction, '' AS input, CAST(NULL AS STRING) AS output")
+    got = [(r.role, r.text) for r in chat.canonical_turns(short).orderBy("n").collect()]
+    assert got == [("user", "i"), ("assistant", "")]
+
+
 def test_odd_rows(spark):
     rows = [(1, 0, "user", None), (1, None, None, "x"), (1, 0, "user", None), (1, 0, "assistant", "b"), (None, 0, "user", "n")]
     table = spark.createDataFrame([(*r, 9, "y") for r in rows], "conv_id long, turn long, role string, text string, n int, key string")

@@ -80,35 +80,39 @@ def row_fingerprint(records: DataFrame) -> Column:
     return F.sha2(F.concat_ws("\n", *filled).cast("binary"), 256)
 
 
+def _turn(role: Column, text: Column) -> Column:
+    named = F.coalesce(role.cast("string"), F.lit(""))
+    plain = F.create_map(*[F.lit(x) for pair in ROLES.items() for x in pair])
+    return F.struct(
+        F.coalesce(plain[named], named).alias("role"),
+        F.coalesce(text.cast("string"), F.lit("")).alias("text"))
+
+
 def _messages(layout: Layout) -> Column:
     """The turns of a record as an array of (role, text)."""
-    def turn(role: Column, text: Column) -> Column:
-        named = F.coalesce(role.cast("string"), F.lit(""))
-        plain = F.create_map(*[F.lit(x) for pair in ROLES.items() for x in pair])
-        return F.struct(
-            F.coalesce(plain[named], named).alias("role"),
-            F.coalesce(text.cast("string"), F.lit("")).alias("text"))
-
     if layout.messages:
         array, role, text = layout.messages
-        return F.transform(F.col(array), lambda m: turn(m[role], m[text]))
+        return F.transform(F.col(array), lambda m: _turn(m[role], m[text]))
 
     def field(names: str) -> Column:
         filled = [F.when(F.col(n) != "", F.col(n)) for n in names.split("+")]
         return filled[0] if len(filled) == 1 else F.concat_ws("\n\n", *filled)
 
-    return F.array(*[turn(F.lit(role), field(name)) for role, name in layout.turns])
+    return F.array(*[_turn(F.lit(role), field(name)) for role, name in layout.turns])
 
 
 def canonical_turns(records: DataFrame, key: str = "conv_id") -> DataFrame:
     """`(key, n, role, text)`: the turns of records in any known layout, n from 1.
 
     The fingerprint of the schema tells a table with a row per turn; otherwise
-    each row's fingerprint selects its mapping. Null texts and roles read as
-    empty. Columns of no known layout are ignored. Turns with equal numbers are
-    ordered by role and text; repeated rows stay repeated turns. A record
-    without a known fingerprint gives one turn of the role `unknown` and no text,
-    so that none is lost; an empty table gives no turns.
+    each row's fingerprint selects its mapping, and for a row without a known
+    fingerprint the mapping of which it fills most fields, then that with fewest
+    missing. Null texts and roles read as empty. Fields of other layouts that the
+    row fills too follow as turns, fields of one text as turns of the role
+    `unknown`. Columns of no known layout are ignored. Turns with equal
+    numbers are ordered by role and text; repeated rows stay repeated turns. A
+    record without any text or turn gives one turn of the role `unknown` and no
+    text, so that none is lost; an empty table gives no turns.
     """
     names = set(field_paths(records.schema))
     for layout in LAYOUTS:
@@ -120,10 +124,32 @@ def canonical_turns(records: DataFrame, key: str = "conv_id") -> DataFrame:
             return rows.select(
                 "key", F.row_number().over(Window.partitionBy("key").orderBy("o", "role", "text")).alias("n"),
                 "role", "text")
-    chosen = F.array(F.struct(F.lit("unknown").alias("role"), F.lit("").alias("text")))
-    for layout in LAYOUTS:
-        if not layout.rows and set(layout.paths) <= names:
-            chosen = F.when(F.col("_fingerprint") == fingerprint(layout.paths), _messages(layout)).otherwise(chosen)
+    kind = "array<struct<role:string,text:string>>"
+    known = [layout for layout in LAYOUTS if not layout.rows and set(layout.paths) <= names]
+    plain = sorted({p for layout in LAYOUTS if not layout.rows for p in layout.paths if "[" not in p} & names)
+
+    def rest(used: Layout | None) -> list[Column]:
+        """Turns of what a row fills beside a layout."""
+        fields = [p for p in plain if used is None or p not in used.paths]
+        turns = [F.when(F.col(f"`{p}`") != "", F.array(_turn(F.lit("unknown"), F.col(f"`{p}`")))) for p in fields]
+        turns += [_messages(layout) for layout in known if layout.messages and layout is not used]
+        return [F.coalesce(t.cast(kind), F.array().cast(kind)) for t in turns]
+
+    def filled(layout: Layout) -> Column:
+        """Fields of a layout that a row fills, then few missing ones, as one number."""
+        there = [F.col(f"`{p.split('[')[0]}`").isNotNull().cast("int") for p in layout.paths]
+        count = sum(there[1:], there[0])
+        return F.when(count > 0, 100 * count - len(layout.paths)).otherwise(0)
+
+    chosen = F.concat(F.array().cast(kind), *rest(None))
+    best = F.greatest(F.lit(0), F.lit(0), *map(filled, known))
+    for layout in reversed(known):
+        made = F.concat(F.coalesce(_messages(layout).cast(kind), F.array().cast(kind)), *rest(layout))
+        chosen = F.when((best > 0) & (filled(layout) == best), made).otherwise(chosen)
+    for layout in known:
+        chosen = F.when(F.col("_fingerprint") == fingerprint(layout.paths), _messages(layout).cast(kind)).otherwise(chosen)
+    none = F.array(F.struct(F.lit("unknown").alias("role"), F.lit("").alias("text")))
+    chosen = F.when(F.size(chosen) > 0, chosen).otherwise(none.cast(kind))
     marked = records.withColumn("_fingerprint", row_fingerprint(records))
     each = marked.select(F.col(key).alias("key"), F.posexplode(chosen).alias("n", "turn"))
     return each.select("key", (F.col("n") + 1).alias("n"), "turn.role", "turn.text")
