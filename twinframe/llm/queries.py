@@ -1,4 +1,4 @@
-"""Registered queries of the ten operators, over whole tables, each with SQL where SQL can express it."""
+"""Registered queries of the operators, over whole tables, each with SQL where SQL can express it."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..catalogue.views import table
-from . import bm25, bpe, chat, decontaminate, html_text, langid, lengths, secret_scan, simhash, warc
+from . import bm25, bpe, chat, collocations, decontaminate, html_text, langid, lengths, secret_scan, simhash, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -225,3 +225,43 @@ def op7(spark: SparkSession, sf: str) -> DataFrame:
     asked = docs.filter(F.col("doc_id") % 100 == 0).select(F.col("doc_id").alias("query_id"), "text")
     found = bm25.search(bm25.build_index(docs), asked)
     return found.withColumn("score", F.round("score", 6) + F.lit(0.0))
+
+
+@query("op12_collocations", """
+WITH t AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text
+  FROM documents),
+p AS (SELECT lang, unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')) AS p FROM t),
+w AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM p),
+g AS (
+  SELECT lang, k, array_to_string(list_slice(w, i, i + k - 1), ' ') AS phrase
+  FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w CROSS JOIN (VALUES (1), (2), (3)) AS s(k))),
+f AS MATERIALIZED (SELECT lang, k, phrase, count(*) AS a FROM g GROUP BY ALL),
+n AS (SELECT lang, sum(a)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS MATERIALIZED (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND a >= 10),
+cut AS MATERIALIZED (
+  SELECT lang, phrase, a, pos, array_to_string(w[1:pos], ' ') AS first, array_to_string(w[pos + 1:], ' ') AS rest
+  FROM (SELECT *, unnest(range(1, k)) AS pos FROM c)),
+scored AS (
+  SELECT cut.lang, cut.phrase, cut.a, pos, l.a AS l, r.a AS r,
+         (cut.a::HUGEINT * cut.a * 1000000 // (l.a::HUGEINT * r.a))::BIGINT AS score
+  FROM cut JOIN f AS l ON l.lang = cut.lang AND l.phrase = first
+  JOIN f AS r ON r.lang = cut.lang AND r.phrase = rest),
+best AS (
+  SELECT * FROM (
+    SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, pos) AS place FROM scored) WHERE place = 1),
+longer AS (
+  SELECT lang, part, max(a) AS a FROM (
+    SELECT lang, a, array_to_string(w[1:2], ' ') AS part FROM c WHERE k = 3
+    UNION ALL SELECT lang, a, array_to_string(w[2:3], ' ') FROM c WHERE k = 3)
+  GROUP BY lang, part),
+kept AS (
+  SELECT b.* FROM best AS b LEFT JOIN longer AS x ON x.lang = b.lang AND x.part = b.phrase
+  WHERE x.a IS NULL OR 100 * x.a < 50 * b.a)
+SELECT lang, rank, phrase, a, l, r, n, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+JOIN n USING (lang) WHERE rank <= 2000
+""")
+def op12(spark: SparkSession, sf: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf, "documents")).withColumnRenamed("grp", "lang")
