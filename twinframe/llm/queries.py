@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..catalogue.views import table
-from . import bm25, bpe, chat, collocations, decontaminate, html_text, langid, lengths, secret_scan, simhash, warc
+from . import bm25, bpe, chat, collocations, decontaminate, html_text, langid, lengths, mixing, secret_scan, simhash, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -227,6 +227,11 @@ def op7(spark: SparkSession, sf: str) -> DataFrame:
     return found.withColumn("score", F.round("score", 6) + F.lit(0.0))
 
 
+@query("op11_source_mixing")
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.copies(table(spark, sf, "documents")).withColumnRenamed("key", "doc_id")
+
+
 @query("op12_collocations", """
 WITH t AS (
   SELECT coalesce(lang, 'und') AS lang,
