@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..catalogue.views import table
-from . import bm25, bpe, chat, collocations, decontaminate, html_text, langid, lengths, mixing, secret_scan, simhash, warc
+from . import bm25, bpe, chat, collocations, decontaminate, html_text, langid, lengths, mixing, secret_scan, simhash, warc, whitening
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -270,3 +270,8 @@ JOIN n USING (lang) WHERE rank <= 2000
 """)
 def op12(spark: SparkSession, sf: str) -> DataFrame:
     return collocations.collocations(table(spark, sf, "documents")).withColumnRenamed("grp", "lang")
+
+
+@query("op13_embedding_whitening")
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf, "embeddings")).withColumnRenamed("key", "vec_id")
