@@ -1,5 +1,6 @@
 import html
 import re
+import time
 
 from twinframe.llm.html_text import article_blocks, main_text
 
@@ -89,6 +90,28 @@ def test_marks_on_the_article_itself():
     assert text_of(both) == f"One {PARAGRAPH} {PARAGRAPH} {wanted}"
 
 
+def test_adverts_and_comments_inside_the_article():
+    """They share the paths of the paragraphs; class and role tell them apart."""
+    two = f"<p>{PARAGRAPH}</p><p>{PARAGRAPH}</p>"
+    for tag in ("article", "main"):
+        for opening in ("div class=advertisement", "div class='advert sponsored'", "section class=comments",
+                        "section class='comment-list'", "ol class='comments-area'", "div role=navigation", "div class='share-box'"):
+            closing = opening.split()[0]
+            apart = f"<{opening}><p>BUY or say this, it is as long as a paragraph. It even has marks; many of them, too.</p></{closing}>"
+            page = f"<body><nav>Menu</nav><{tag}><h1>Title</h1>{two}{apart}{two}</{tag}></body>"
+            assert text_of(page) == f"Title {PARAGRAPH} {PARAGRAPH} {PARAGRAPH} {PARAGRAPH}", page
+            several = f"<{opening}>" + "<p>READER says, at some length, that all of it is right; or wrong, perhaps.</p>" * 3 + f"</{closing}>"
+            page = f"<body><{tag}><div class='post-header'><h1>Title</h1></div>{two}{two}{several}</{tag}></body>"
+            assert text_of(page) == f"Title {PARAGRAPH} {PARAGRAPH} {PARAGRAPH} {PARAGRAPH}", page
+
+
+def test_time_grows_with_the_page():
+    for part in ("<a ", "<script ", "<!", "</a", "<a '", '<a "', "<script></script ", "<noscript></noscript ", "<a<", "< a="):
+        start = time.perf_counter()
+        text_of(part * 200_000)
+        assert time.perf_counter() - start < 10, part
+
+
 def test_elements_without_an_end():
     for tag in ("<svg class=i/>", "<svg class='i'/>", "<svg class=i>", "<template>", "<noscript>", "<iframe src='x'/>", "<textarea>"):
         page = f"<article><h1>Title</h1><p>a {tag} b</p><p>{PARAGRAPH}</p><div>{tag}<p>{PARAGRAPH}</p></div></article>"

@@ -8,7 +8,8 @@ into one score, and thresholded by their spread. The lowest element around all n
 over the threshold is the article, or the article or main element around it;
 headings and short paragraphs in that element belong to it too. Elements that
 say what they are (menus, forms, notices, comments) do not count as content,
-unless most of the text or, within an article, paths over the threshold are in them.
+unless most of the text or the title is in them. An id, which may repeat a title,
+says so within an article only if the paths inside are under the threshold.
 """
 
 from __future__ import annotations
@@ -23,17 +24,18 @@ from pyspark.sql import functions as F
 
 from .common import map_batches
 
-# Comments, code, tags with quoted values, other tags, declarations.
+# Comments, code, tags with quoted values, other tags, declarations. Outside of quotes a tag ends before the next
+# `<`; one without its `>` is text. So no tag is looked at beyond the next one, and time grows with the page.
 _TOKEN = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<(?P<raw>script|style)(?=[\s/>])[^>]*+>"""
-    r""".*?(?:</(?P=raw)\b[^>]*+>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)"""
-    r"""(?P<attrs>(?:[^>"']++|"[^"]*+"|'[^']*+')*+|[^>]*+)>|<[!?/][^>]*+>""", re.S | re.I)
+    r"""<!--.*?(?:-->|\Z)|<(?P<raw>script|style)(?=[\s/>])[^<>]*+>"""
+    r""".*?(?:</(?P=raw)\b[^<>]*+>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/<>]*+)"""
+    r"""(?P<attrs>(?:[^<>"']++|"[^"]*+"|'[^']*+')*+|[^<>]*+)>|<[!?/][^<>]*+>""", re.S | re.I)
 _ATTR = re.compile(
     r"""([a-zA-Z_:][^\s=/>]*+)\s*+(?:=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++)))?+""", re.S)
 _PUNCTUATION = re.compile(r"[.,;:!?…。、，；：！？؟।]")
 _NAMES = re.compile(r"[a-z]+")
 # Elements whose content isn't parsed, with their end tags. One without an end has no content.
-_SKIPPED = {tag: re.compile(rf"</{tag}\b[^>]*+>", re.I) for tag in ("noscript", "template", "iframe", "textarea")}
+_SKIPPED = {tag: re.compile(rf"</{tag}\b[^<>]*+>", re.I) for tag in ("noscript", "template", "iframe", "textarea")}
 _EMPTY = re.compile(r"(?:^|[\s\"'])/$").search
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -70,7 +72,7 @@ HELD = 0.8
 
 
 # Marks by kind: none; always left out; left out unless it holds most of the text; the same, or the article's
-# title; left out in article or main where its paths are under the threshold; the same, beside an article in main.
+# title; the same in article or main; by an id, left out there where its paths are under the threshold.
 NONE, ALWAYS, FORM, UNTITLED, INSIDE, BESIDE = range(6)
 # Where an element stands: outside of article and main, in main, in article.
 OUT, MAIN, ARTICLE = range(3)
@@ -246,7 +248,10 @@ class Page:
             mark = self.mark[e]
             if mark == UNTITLED and self.titled[e] or mark == BESIDE and "article" not in self.names:
                 return False
-            return not (wraps(e) or mark >= INSIDE and peak[e] > 0 and peak[e] >= least)
+            if mark == INSIDE and titles[e]:
+                return False
+            # An id may be made of a title, so it counts under the threshold only.
+            return not (wraps(e) or mark == BESIDE and peak[e] > 0 and peak[e] >= least)
 
         return {e for e in doubtful if counts(e)}
 
