@@ -1,4 +1,5 @@
 import re
+import time
 from fractions import Fraction
 
 from twinframe.llm import decontaminate
@@ -59,6 +60,44 @@ def test_blocks_give_the_same(spark, monkeypatch):
         [(d.doc_id, d.text) for d in docs.collect()], [(i.item_id, i.text) for i in items.collect()])
 
 
+def test_shared_phrases_make_no_candidates():
+    """Items that begin alike: the time of a document does not grow with their number."""
+    prefix = "which of the following statements about the given passage is the correct one in every case"
+    spent = []
+    for n in (500, 16_000):
+        items = decontaminate.prepare(
+            [(i, f"{prefix} {' '.join(f'w{i}x{k}' for k in range(12))}") for i in range(n)], 0.8)
+        known = decontaminate.WordHashes()
+        words = decontaminate.words_of(f"{'some other words ' * 300}{prefix} and {' '.join(f'w3x{k}' for k in range(8))}")
+        hashes = decontaminate.np.array([known[w] for w in words], decontaminate.np.uint64)
+        list(decontaminate.contained(words, hashes, items, 0.8))
+        start = time.perf_counter()
+        for _ in range(20):
+            assert list(decontaminate.contained(words, hashes, items, 0.8)) == []
+        spent.append(time.perf_counter() - start)
+        assert [f[0] for f in decontaminate.contained(
+            *_hashed(f"{prefix} {' '.join(f'w3x{k}' for k in range(12))}", known), items, 0.8)] == [3]
+    assert spent[1] < 5 * spent[0] + 0.05
+
+
+def _hashed(text, known):
+    words = decontaminate.words_of(text)
+    return words, decontaminate.np.array([known[w] for w in words], decontaminate.np.uint64)
+
+
+def test_equal_and_overlapping_items(spark):
+    """Copies of an item are all found; so are items that share most of their shingles."""
+    base = [f"w{i}" for i in range(40)]
+    items = [(i, " ".join(base)) for i in range(5)] + [
+        (10 + i, " ".join(base[:30] + [f"y{i}{k}" for k in range(6)])) for i in range(30)] + [
+        (50, " ".join(base[:3])), (51, " ".join(base[:3])), (52, "w1 w2"), (52, "w7 w8 w9 w10 w11 w12")]
+    docs = [(0, " ".join(base)), (1, " ".join(base[:32])), (2, " ".join(["x", *base[:30], *(f"y4{k}" for k in range(6))])),
+            (3, " ".join(base * 3))]
+    got = decontaminate.leaks(
+        spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert result(got) - {r for r in result(got) if r[1] == 52} == plain_leaks(docs, items[:-2])
+
+
 def test_odd_rows(spark, odd_docs):
     items = spark.createDataFrame(
         [(1, "The quick brown fox, jumps over the lazy dog"), (None, "the quick brown fox jumps"), (3, None),

@@ -32,18 +32,20 @@ def fingerprint_text(column: str):
 
 @query("op1_decontamination", """
 WITH item AS (
-  SELECT item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+') AS w FROM benchmark),
+  SELECT item_id, w, least(5, len(w)) AS width
+  FROM (SELECT item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+') AS w FROM benchmark) WHERE len(w) > 0),
 ishingle AS (
-  SELECT DISTINCT item_id, array_to_string(list_slice(w, i, i + 4), ' ') AS s
-  FROM (SELECT item_id, w, unnest(range(1, len(w) - 3)) AS i FROM item WHERE len(w) >= 5)),
-isize AS (SELECT item_id, count(*) AS n_shingles FROM ishingle GROUP BY item_id),
+  SELECT DISTINCT item_id, width, array_to_string(list_slice(w, i, i + width - 1), ' ') AS s
+  FROM (SELECT item_id, w, width, unnest(range(1, len(w) - width + 2)) AS i FROM item)),
+isize AS (SELECT item_id, width, count(*) AS n_shingles FROM ishingle GROUP BY item_id, width),
 doc AS (
   SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+') AS w FROM documents),
 dshingle AS (
-  SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 4), ' ') AS s
-  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM doc WHERE len(w) >= 5))
+  SELECT DISTINCT doc_id, width, array_to_string(list_slice(w, i, i + width - 1), ' ') AS s
+  FROM (SELECT doc_id, w, width, unnest(range(1, len(w) - width + 2)) AS i
+        FROM doc JOIN (SELECT DISTINCT width FROM item) ON len(w) >= width))
 SELECT doc_id, item_id, n_shingles, count(*) AS n_shared, count(*) / n_shingles AS containment
-FROM dshingle JOIN ishingle USING (s) JOIN isize USING (item_id)
+FROM dshingle JOIN ishingle USING (width, s) JOIN isize USING (item_id, width)
 GROUP BY doc_id, item_id, n_shingles
 HAVING count(*) >= 0.8 * n_shingles - 1e-9
 """)
