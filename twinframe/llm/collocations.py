@@ -25,7 +25,7 @@ from ..session import materialize
 from .common import map_batches, raw
 
 # Bytes of text that are counted together; longer texts are cut between words.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 # Words and phrases, repeats included, of one hash partition.
 PARTITION_MASS = 2 << 20
 # Counters a summary starts with; they double where the threshold demands more.
