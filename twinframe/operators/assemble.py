@@ -132,15 +132,31 @@ def applicable_variants(variants: DataFrame) -> DataFrame:
     return variants.filter(reason.isNull() | (reason == SAME_LENGTH))
 
 
-def edited_text(text: str, edits, strict: bool = True) -> str:
-    """Apply (pos, ref_size, alt) edits that come from right to left to one text.
-
-    The text left of the last place is not touched; what lies right of it is a
-    stack of pieces with the leftmost on top. An edit moves as many characters as
-    it is long, so the work grows with the text and the edits, not their product.
+def edit_operation(pos: int, ref_size: int, alt: str) -> tuple[int, int, str, bool] | None:
+    """An edit as (place, characters to remove, text to insert, False); None for one that changes nothing."""
+    if ref_size == len(alt):
+        return (pos, 1, alt.upper(), False) if ref_size == 1 else None
+    if ref_size < len(alt):
+        return pos + ref_size, 0, alt[ref_size:].upper(), False
+    return pos + len(alt), ref_size - len(alt), "", False
+
+
+def edit_part(text: str, operations, last: bool = True, strict: bool = True, inner: bool = True) -> tuple[str, list]:
+    """Apply operations to a text or one part of it; gives the edited part and what is left for the next one.
+
+    `inner` operations come from right to left. The text left of the last place
+    is not touched; what lies right of it is a stack of pieces with the leftmost
+    on top. An operation moves as many characters as it is long, so the work
+    grows with the text and the edits, not their product. Operations that an
+    earlier part has left may lie anywhere in the part.
+
+    An operation that starts beyond the part, or removes more than is there, is
+    passed on, with its place counted from the end of the part. Beyond the
+    `last` part it is an error with `strict`, else left out; there a removal ends
+    with the text.
     """
-    cut = size = len(text)
-    tail: list[list] = []  # [piece, characters of it that are gone]
+    cut, tail = (len(text), []) if inner else (0, [[text, 0]])  # [piece, characters of it that are gone]
+    passed: list[tuple[int, int, str, bool]] = []
 
     def take(count: int) -> list[str]:
         taken = []
@@ -155,29 +171,34 @@ def edited_text(text: str, edits, strict: bool = True) -> str:
                 tail[-1][1] += len(part)
         return taken
 
-    for pos, ref_size, alt in edits:
-        single = ref_size == 1 and len(alt) == 1
-        if ref_size == len(alt) and not single:
-            continue
-        at = pos if single else pos + min(ref_size, len(alt))
-        if not 0 <= at < size + (ref_size < len(alt)):
+    for at, remove, insert, rest in operations:
+        if at < 0:
             if strict:
-                raise ValueError(f"No position {at} in a text of {size} characters")
+                raise ValueError(f"No position {at} in the text")
             continue
         if at < cut:
             tail.append([text[at:cut], 0])
             cut = at
         before = take(at - cut)
-        if single:
-            take(1)
-            tail.append([alt.upper(), 0])
-        elif ref_size < len(alt):
-            tail.append([alt[ref_size:].upper(), 0])
-            size += len(alt) - ref_size
+        beyond = at - cut - sum(map(len, before))
+        gone = sum(map(len, take(remove))) if not beyond else 0
+        if beyond or remove and not gone:
+            if not last:
+                passed.append((beyond, remove, insert, rest))
+            elif strict and not rest:
+                raise ValueError(f"No position {at} in the text, it lies {beyond} characters beyond the end")
         else:
-            size -= sum(map(len, take(ref_size - len(alt))))
+            if insert:
+                tail.append([insert, 0])
+            if gone < remove and not last:
+                passed.append((0, remove - gone, "", True))
         tail.extend([piece, 0] for piece in reversed(before))
-    return text[:cut] + "".join(piece[gone:] for piece, gone in reversed(tail))
+    return text[:cut] + "".join(piece[gone:] for piece, gone in reversed(tail)), passed
+
+
+def edited_text(text: str, edits, strict: bool = True) -> str:
+    """Apply (pos, ref_size, alt) edits that come from right to left to one text."""
+    return edit_part(text, filter(None, (edit_operation(*edit) for edit in edits)), strict=strict)[0]
 
 
 def apply_edits(text: str, edits: str, strict: bool = True) -> Column:
@@ -198,14 +219,11 @@ def apply_edits(text: str, edits: str, strict: bool = True) -> Column:
     return edited(text, edits)
 
 
-def gene_edits(located: DataFrame, order: str = "row_no") -> DataFrame:
-    """Per gene the edits from right to left, the first chromosome and the variant count.
+def reduced_edits(located: DataFrame, order: str = "row_no") -> DataFrame:
+    """`(gene, pos, _own, _last, _first, _n)`: the edits of each gene, of substitutions at one place only the last.
 
-    Substitutions at one position touch nothing but that position, so only the
-    last of them counts; it is found before the variants of a gene come
-    together. The edits of a gene make one text, so they meet in one row: what is
-    gathered is bounded by the text, whose characters deletions use up, and by
-    the insertions, which are part of the result.
+    `_last` holds order, ref_size and alt of the edit, `_first` order and chrom of
+    the first variant that it stands for, `_n` how many these are.
     """
     single = (F.length("ref") == 1) & (F.length("alt") == 1)
     plain = located.select(
@@ -213,11 +231,23 @@ def gene_edits(located: DataFrame, order: str = "row_no") -> DataFrame:
         F.length("ref").alias("ref_size"), "alt",
         F.when(~single, F.col(order)).alias("_own"),
     )
-    reduced = plain.groupBy("gene", "pos", "_own").agg(
+    return plain.groupBy("gene", "pos", "_own").agg(
         F.max_by(F.struct(order, "ref_size", "alt"), order).alias("_last"),
         F.min(F.struct(order, "chrom")).alias("_first"),
         F.count(F.lit(1)).alias("_n"),
     )
+
+
+def gene_edits(located: DataFrame, order: str = "row_no") -> DataFrame:
+    """Per gene the edits from right to left, the first chromosome and the variant count.
+
+    Substitutions at one position touch nothing but that position, so only the
+    last of them counts; it is found before the variants of a gene come
+    together. The edits of a gene make one text, so they meet in one row: what is
+    gathered is bounded by the text, whose characters deletions use up, and by
+    the insertions, which are part of the result.
+    """
+    reduced = reduced_edits(located, order)
     changing = F.col("_own").isNull() | (F.col("_last.ref_size") != F.length("_last.alt"))
     return reduced.groupBy("gene").agg(
         F.sort_array(F.collect_list(F.when(changing, F.struct(
