@@ -97,6 +97,40 @@ def test_locating_matches_brute_force(spark):
     assert a.locate_variants(variant_frame(spark, points)).filter("gene <> chrom OR pos <> local_pos").isEmpty()
 
 
+def test_intervals_over_many_ranges(spark):
+    """More ranges than values in places: intervals that cover, begin or end in ranges, ties, nulls, repeated points."""
+    rng = random.Random(7)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        for width in (5, 300, 3000):
+            spans = []
+            for i in range(150):
+                start = rng.randint(0, 3000)
+                spans.append((rng.choice(["a", "b", None]), start, start + rng.randint(0, width), i if width > 5 else i // 2, f"g{i}"))
+            points = [(rng.choice(["a", "b", "c", None]), rng.choice([None, *range(-5, 3010, 3)])) for _ in range(700)]
+            got = a.first_covering(
+                spark.createDataFrame(points, "chrom string, pos int"),
+                spark.createDataFrame(spans, "chrom string, start int, end int, ord long, gene string"))
+            assert got.schema["pos"].dataType.simpleString() == "int"
+            rows = got.collect()
+            assert sorted(((r.chrom, r.pos, r.n) for r in rows), key=str) == sorted(
+                ((*p, points.count(p)) for p in set(points)), key=str)
+            for r in rows:
+                hits = [x for x in spans if None not in (r.chrom, r.pos) and x[0] == r.chrom and x[1] <= r.pos < x[2]]
+                assert (r.hit is None) == (not hits)
+                if hits:
+                    assert r.hit.ord == min(h[3] for h in hits)
+                    assert (r.hit.ord, r.hit.start, r.hit.gene) in {(h[3], h[1], h[4]) for h in hits}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    none = spark.createDataFrame([], "chrom string, start long, end long, ord long, gene string")
+    some = spark.createDataFrame([("a", 1)], "chrom string, pos long")
+    assert [r.hit for r in a.first_covering(some, none).collect()] == [None]
+    assert a.first_covering(some.limit(0), none).count() == 0
+
+
 def test_an_interval_is_made_of_few_blocks(spark):
     rng = random.Random(8)
     starts = [rng.randint(-200, 5000) for _ in range(200)]

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from bisect import bisect_right
+from heapq import heapify, heappop, heappush
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -47,44 +49,145 @@ def interval_blocks(intervals: DataFrame) -> DataFrame:
         .selectExpr(*columns, "level", "explode(sequence(_from, _to - 1)) AS block"))
 
 
-def point_blocks_sql(position: str, levels: Sequence[int]) -> str:
-    """The blocks of the given levels that hold a position."""
-    blocks = (
-        f"named_struct('level', {level}, 'block', shiftright({position}, {RADIX_BITS * level}))"
-        for level in levels
-    )
-    return f"array({', '.join(blocks)})"
+POINT, START, END, COVER = range(4)
 
 
 def first_covering(points: DataFrame, intervals: DataFrame, space: str = "chrom") -> DataFrame:
     """For each distinct point the first interval in order that covers it.
 
     `points` has `space` and `pos`; `intervals` has `space`, `start`, `end`
-    (half-open), `ord` and value columns. Gives `space`, `pos`, `n` (how many
-    rows of `points` share it) and `hit`, a struct of ord, start and the values,
-    null for a point that no interval covers.
-
-    A block keeps one interval only, the first in order, so a point looks up at
-    most one row per level, however many intervals or points lie in one place.
+    (half-open), a number `ord` and value columns. Gives `space`, `pos`, `n` (how
+    many rows of `points` share it) and `hit`, a struct of ord, start and the
+    values, null for a point that no interval covers or whose fields are null.
+
+    Points and both ends of all intervals are dealt out in ranges, and each
+    range is swept once with a heap of the open intervals by their order. An
+    interval that reaches into a range from the left and ends there is known by
+    its end; of those that cover a whole range only the first counts. So an
+    interval is in two rows, however long it is. The driver gets one position
+    per range, of which there are as many as shuffle partitions.
     """
     values = [c for c in intervals.columns if c not in (space, "start", "end", "ord")]
-    found = F.struct("ord", "start", *values)
-    blocks = (
-        interval_blocks(intervals.filter(F.col("start") < F.col("end")).select(
-            space, found.alias("hit"), "start", "end"))
-        .groupBy(space, "level", "block").agg(F.min_by("hit", "hit.ord").alias("hit"))
-    )
-    blocks = materialize(blocks, "blocks")
-    distinct = materialize(points.groupBy(space, "pos").agg(F.count(F.lit(1)).alias("n")), "points")
-    # At most LEVELS numbers: which block sizes occur at all.
-    levels = sorted(r["level"] for r in blocks.select("level").distinct().collect())
-    if not levels:
-        return distinct.withColumn("hit", F.lit(None).cast(blocks.schema["hit"].dataType))
-    asked = distinct.select(space, "pos", F.expr(f"inline({point_blocks_sql('CAST(pos AS bigint)', levels)})"))
-    # Large blocks hold very many points, so this is a join with hot keys.
-    hits = lookup_join(asked, blocks, [space, "level", "block"], how="inner")
-    best = hits.groupBy(space, "pos").agg(F.min_by("hit", "hit.ord").alias("hit"))
-    return distinct.join(best, [space, "pos"], "left")
+    hit = F.struct("ord", "start", *values)
+    spans = intervals.filter((F.col("start") < F.col("end")) & F.col(space).isNotNull()).select(
+        space, F.col("start").cast("long").alias("low"), F.col("end").cast("long").alias("high"), hit.alias("hit"))
+    none = F.lit(None).cast("long")
+    asked = points.groupBy(space, "pos").agg(F.count(F.lit(1)).alias("n")).select(
+        space, F.col("pos").cast("long").alias("pos"), F.lit(POINT).alias("kind"), "n", none.alias("low"),
+        none.alias("high"), F.lit(None).cast(spans.schema["hit"].dataType).alias("hit"))
+    ends = spans.select("*", F.explode(F.array(
+        F.struct(F.col("low").alias("pos"), F.lit(START).alias("kind")),
+        F.struct(F.col("high").alias("pos"), F.lit(END).alias("kind")))).alias("_end"))
+    rows = asked.unionByName(ends.select(space, "_end.*", none.alias("n"), "low", "high", "hit"))
+    ranged = materialize(
+        rows.repartitionByRange(space, "pos").withColumn("_range", F.spark_partition_id()), "ranges")
+    first = ranged.groupBy("_range").agg(F.min(F.struct(space, "pos")).alias("_key")).collect()
+    begins = sorted((_place(r["_key"][space], r["_key"]["pos"]), r["_range"]) for r in first)
+    swept = ranged.unionByName(_covers(ranged, begins, space), allowMissingColumns=True)
+    kept = [space, "pos", "n", "hit"]
+    names = [*kept, "kind", "low", "high", "_range"]
+    schema = ", ".join(f"{f} {ranged.schema[f].dataType.simpleString()}" for f in kept)
+    begin_of = {number: place for place, number in begins}
+
+    def run(batches):
+        for part in _by_last_column(batches):
+            yield _sweep(part, begin_of[part.column(len(names) - 1)[0].as_py()], kept)
+
+    ordered = swept.select(*names).repartition("_range").sortWithinPartitions("_range")
+    found = ordered.mapInArrow(run, schema)
+    position = points.schema["pos"].dataType
+    return found.withColumn("pos", F.col("pos").cast(position))
+
+
+def _place(space, pos) -> tuple:
+    """A key that Python orders as Spark orders (space, pos), nulls first."""
+    return space is not None, "" if space is None else space, float("-inf") if pos is None else pos
+
+
+def _covers(ranged: DataFrame, begins: list[tuple], space: str) -> DataFrame:
+    """For each range that some interval covers whole, the first such interval in order."""
+    places = [place for place, _ in begins]
+    numbers = [number for _, number in begins]
+
+    def run(batches):
+        for batch in batches:
+            low = [bisect_right(places, _place(s, p)) for s, p in zip(
+                batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+            high = [bisect_right(places, _place(s, p)) - 1 for s, p in zip(
+                batch.column(0).to_pylist(), batch.column(2).to_pylist())]
+            kept = pa.array([i for i, (a, b) in enumerate(zip(low, high)) if a < b], pa.int64())
+            yield pa.RecordBatch.from_arrays([
+                pa.array(low, pa.int64()).take(kept), pa.array(high, pa.int64()).take(kept), batch.column(3).take(kept)],
+                ["start", "end", "hit"])
+
+    kind = ranged.schema["hit"].dataType.simpleString()
+    wide = ranged.filter(F.col("kind") == START).select(space, "low", "high", "hit").mapInArrow(
+        run, f"start long, end long, hit {kind}")
+    blocks = interval_blocks(wide).groupBy("level", "block").agg(F.min_by("hit", "hit.ord").alias("hit"))
+    width = F.expr(f"shiftleft(1L, {RADIX_BITS} * level)")
+    # Ranges are numbered in their order here, and by their tasks in the table.
+    number = ranged.sparkSession.createDataFrame(list(enumerate(numbers)), "_at long, _range int")
+    each = blocks.select("hit", F.explode(F.sequence(F.col("block") * width, (F.col("block") + 1) * width - 1)).alias("_at"))
+    return each.groupBy("_at").agg(F.min_by("hit", "hit.ord").alias("hit")).join(F.broadcast(number), "_at").select(
+        "_range", "hit", F.lit(COVER).alias("kind"))
+
+
+def _by_last_column(batches):
+    """The rows of each value of the last column, which come together, as one batch."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        values = batch.column(batch.num_columns - 1).to_numpy()
+        cuts = [0, *(np.flatnonzero(values[1:] != values[:-1]) + 1).tolist(), len(values)]
+        for a, b in zip(cuts, cuts[1:]):
+            if a == b:
+                continue
+            if held and held[-1].column(batch.num_columns - 1)[0].as_py() != values[a]:
+                yield _one(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield _one(held)
+
+
+def _one(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+
+
+def _sweep(part: pa.RecordBatch, begin: tuple, kept: list[str]) -> pa.RecordBatch:
+    """The points of one range, each with the first interval that is open there."""
+    spaces, positions, _, hits, kinds, lows, highs, _ = part.columns
+    space, pos, kind = spaces.to_pylist(), positions.to_pylist(), kinds.to_pylist()
+    low, high, orders = lows.to_pylist(), highs.to_pylist(), hits.field("ord").to_pylist()
+    points, opened, covers = [], [], []
+    for i, k in enumerate(kind):
+        if k == POINT:
+            points.append((_place(space[i], pos[i]), i))
+        elif k == COVER:
+            covers.append((orders[i], i, float("inf")))
+        elif k == START:
+            opened.append((_place(space[i], low[i]), i))
+        elif (place := _place(space[i], low[i])) < begin:
+            opened.append((place, i))
+    points.sort()
+    opened.sort()
+    heap, at, now = list(covers), 0, None
+    heapify(heap)
+    found: list[int | None] = []
+    for place, _ in points:
+        if now != place[:2]:
+            if now is not None:
+                heap = []
+            now = place[:2]
+        while at < len(opened) and opened[at][0] <= place:
+            (where, i), at = opened[at], at + 1
+            if where[:2] == now:
+                heappush(heap, (orders[i], i, high[i]))
+        while heap and heap[0][2] <= place[2]:
+            heappop(heap)
+        found.append(heap[0][1] if heap and place[0] and place[2] != float("-inf") else None)
+    rows = pa.array([i for _, i in points], pa.int64())
+    chosen = part.select(kept).take(rows)
+    return chosen.set_column(3, "hit", hits.take(pa.array(found, pa.int64())))
 
 
 def locate_variants(variants: DataFrame, annotations: DataFrame | None = None) -> DataFrame:

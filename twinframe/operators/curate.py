@@ -36,29 +36,36 @@ def filter_by_catalog(
 ) -> DataFrame:
     """Rows whose stem contains some catalog id, or some keyword in lower case.
 
-    An id is looked up by its first characters, as many as the largest power of
-    two that it is long, and distinct stems are cut into pieces of those sizes.
-    So a stem gives one piece per place and power, "contains" is checked only
-    where a piece agrees, and no stem is compared with every id.
+    Distinct stems are cut into pieces as long as powers of two. An id has
+    pieces too, as long as the largest power of two that it is long, and is filed
+    under the one that the fewest stems have; ids with a piece that no stem has
+    are in no stem. "Contains" is checked only where a stem has the piece an id
+    is filed under, so what many ids share, such as a prefix, brings no checks.
     """
     ids = (
         catalog.select(F.col(catalog_id).alias("_id")).filter(F.length("_id") > 0).distinct()
-        .withColumn("_size", F.expr("shiftleft(1, CAST(floor(log2(length(_id))) AS int))"))
-        .withColumn("_part", F.expr("left(_id, _size)")))
+        .withColumn("_size", F.expr("shiftleft(1, CAST(floor(log2(length(_id))) AS int))")))
     sizes = ids.select(F.array_sort(F.collect_set("_size"))).scalar()
     stems = df.select(F.col(stem).alias("_stem")).filter(F.col("_stem").isNotNull()).distinct()
-    parts = (
-        stems.withColumn("_size", F.explode(sizes))
-        .filter(F.col("_size") <= F.length("_stem"))
-        .withColumn("_at", F.explode(F.sequence(F.lit(1), F.length("_stem") - F.col("_size") + 1)))
-        .select("_stem", "_size", F.substring(F.col("_stem"), F.col("_at"), F.col("_size")).alias("_part"))
-    ).distinct()
-    agree = (ids["_part"] == parts["_part"]) & (ids["_size"] == parts["_size"])
-    known = parts.join(ids, agree & F.contains(parts["_stem"], ids["_id"]), "left_semi").select("_stem").distinct()
+    parts = materialize(_pieces(
+        stems.withColumn("_size", F.explode(sizes)).filter(F.col("_size") <= F.length("_stem")), "_stem").distinct(), "pieces")
+    frequent = parts.groupBy("_size", "_part").agg(F.count(F.lit(1)).alias("_n"))
+    filed = (
+        _pieces(ids, "_id").distinct().join(frequent, ["_size", "_part"], "left")
+        .groupBy("_id", "_size").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("_n"), "_part")).alias("_rarest"))
+        .filter(F.col("_rarest._n") > 0).select("_id", "_size", F.col("_rarest._part").alias("_part")))
+    agree = (filed["_part"] == parts["_part"]) & (filed["_size"] == parts["_size"])
+    known = parts.join(filed, agree & F.contains(parts["_stem"], filed["_id"]), "left_semi").select("_stem").distinct()
     wanted = known.union(stems.filter(contains_any("_stem", keywords))).distinct()
     return df.join(wanted, df[stem] == wanted["_stem"], "left_semi")
 
 
+def _pieces(texts: DataFrame, text: str) -> DataFrame:
+    """`(text, _size, _part)`: every piece of `_size` characters of each text."""
+    return texts.withColumn("_at", F.explode(F.sequence(F.lit(1), F.length(text) - F.col("_size") + 1))).select(
+        text, "_size", F.substring(F.col(text), F.col("_at"), F.col("_size")).alias("_part"))
+
+
 def catalog_references(
     catalog: DataFrame, assay: str = "DMS_id", sequence: str = "target_seq", order: str = "row_no"
 ) -> DataFrame:
