@@ -1,6 +1,8 @@
 import re
 import zlib
 
+import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from twinframe.llm import langid
@@ -51,6 +53,52 @@ def test_fit_is_bounded(spark):
     assert 500 < len(model.dictionaries["en"]) <= 3000
 
 
+def test_fragments_against_a_plain_version(spark):
+    """The dictionary's text, taken together in the tasks, is what one pass over all texts gives; sizes likewise."""
+    rows = [(f"l{i % 3}", i % 7 == 0, " ".join(f"w{i * j % 90}" for j in range(i % 50))) for i in range(200)]
+    rows.append(("l9", False, "12 !"))
+    got = {}
+    for r in langid._fragments(spark.createDataFrame(rows, "l string, o boolean, t string"), 900).orderBy("l", "before").collect():
+        got.setdefault(r.l, []).append(r.f)
+    for name in ("l0", "l1", "l2"):
+        ordered = {}
+        for late in (False, True):
+            found = set()
+            for own, o, text in rows:
+                words = langid.letters(text).split()
+                if own == name and o == late:
+                    found |= {" ".join(words[i:i + langid.FRAGMENT_WORDS]) for i in range(0, len(words), langid.FRAGMENT_WORDS)}
+            ordered.update(dict.fromkeys(sorted(found, key=lambda f: (zlib.crc32(f.encode()), f))))
+        wanted = "\n".join(ordered).encode()[:900]
+        assert "\n".join(got[name]).encode()[:900] == wanted and sum(len(f) + 1 for f in got[name][:-1]) < 900
+    assert "l9" not in got
+    model = langid.Model({"a": b"the cat sat on the mat", "b": b"der hund liegt auf der matte"})
+    judge = langid.Classifier(model)
+    for text in ("the cat", "hund und der hund", "x " * 900 + "the mat"):
+        plain = langid.letters(text)
+        sizes = {}
+        for name, content in model.dictionaries.items():
+            total = 0
+            for i in range(0, len(plain), langid.PIECE):
+                piece = plain[i:i + langid.PIECE]
+                level = langid.SHORT_LEVEL if len(piece) < langid.SHORT else langid.LEVEL
+                packer = zstandard.ZstdCompressor(
+                    level=level, dict_data=zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT),
+                    write_content_size=False, write_checksum=False, write_dict_id=False)
+                total += len(packer.compress(piece.encode()))
+            sizes[name] = total
+        best = min(sizes, key=lambda n: (sizes[n], n))
+        other = max(sizes.values())
+        name, margin, _ = judge.classify(text)
+        assert name == best and margin == (other - sizes[best]) / other
+
+
+def test_too_many_labels_are_an_error(spark):
+    docs = spark.range(40).selectExpr("id as doc_id", "'some words' as text", "concat('l', id) as lang")
+    with pytest.raises(ValueError, match="languages"):
+        langid.fit(docs, langid.Fit(languages=5))
+
+
 def test_labels_of_short_or_long_texts_only_are_learned(spark):
     own = {"en": "the cat sat there and ", "de": "der Hund liegt hier und ", "fr": "le chat est assis et "}
     rows = [(i, own["en"] * 20, "en") for i in range(8)] + [(10 + i, own["de"], "de") for i in range(8)] + [

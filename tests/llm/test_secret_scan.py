@@ -72,6 +72,37 @@ def test_only_unseen_pairs_are_scanned(spark):
     assert secret_scan.scan_unseen(first, empty).findings.count() == 1
 
 
+def test_stored_ledger(spark, tmp_path, monkeypatch):
+    """Commits add up, can be repeated, and one that broke off between its two writes leaves nothing behind."""
+    path = str(tmp_path / "ledger")
+    first = spark.createDataFrame([(1, "token=abcdef"), (2, "token=abcdef"), (3, "clean")], "doc_id long, text string")
+    later = spark.createDataFrame([(4, "token=abcdef"), (5, "secret=zzzzzz"), (6, None)], "doc_id long, text string")
+    assert secret_scan.read_ledger(spark, path).seen.count() == 0
+    one = secret_scan.commit(first, path, "a")
+    assert (one.seen.count(), one.findings.count()) == (2, 1)
+    (tmp_path / "ledger" / "findings" / "commit=b").mkdir()
+    (tmp_path / "ledger" / "seen" / "commit=b").mkdir()
+    assert secret_scan.read_ledger(spark, path).seen.count() == 2
+    scanned = []
+    whole = secret_scan.scan
+    monkeypatch.setattr(secret_scan, "scan", lambda blobs, rules: whole(blobs.transform(
+        lambda df: scanned.append(df.count()) or df), rules))
+    for _ in range(2):
+        two = secret_scan.commit(first.union(later), path, "b")
+        assert (two.seen.count(), two.findings.count()) == (4, 2)
+    assert scanned == [2]
+    fewer = secret_scan.commit(first.union(later), path, "c", secret_scan.BASE_RULES)
+    assert fewer.seen.count() == 8 and scanned == [2, 4]
+    got = spans_of(secret_scan.paths_with_spans(first.union(later), secret_scan.read_ledger(spark, path)))
+    assert got == {1: ["assign:0:12"], 2: ["assign:0:12"], 3: [], 4: ["assign:0:12"], 5: ["assign:0:13"], 6: []}
+
+
+def test_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "token=abcdef", 7, 8)], "doc_id long, text string, _blob int, spans int")
+    got = secret_scan.paths_with_spans(docs, secret_scan.scan_unseen(docs))
+    assert got.columns == ["doc_id", "text", "_blob", "spans"] and got.first()._blob == 7
+
+
 def test_redaction(spark):
     docs = spark.createDataFrame(
         [(1, "é token='AKIA" + "1" * 20 + "' end"), (2, "clean"), (3, None), (4, "a " + "0" * 24 + " b secret=abcdefg")],

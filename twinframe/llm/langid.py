@@ -9,7 +9,6 @@ dictionary all along and not against its own beginning.
 from __future__ import annotations
 
 import re
-import zlib
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -78,8 +77,9 @@ def fit(
     """A dictionary for every label of documents that are not held out.
 
     The sample is bounded by `bounds` whatever the input's size: ids are chosen
-    first, by a limit per label that Spark applies before it shuffles, and only
-    their texts reach the driver. Documents in the length range come first;
+    first, by a limit per label that Spark applies before it shuffles; of their
+    texts at most `dictionary_bytes` a label, and one fragment more, reach the
+    driver. Documents in the length range come first;
     shorter ones, and pieces of longer ones, fill the dictionary of a label that
     has too few, so that every label with a document with a letter is learned.
     How many documents of any length have a learned label is counted over all of
@@ -90,6 +90,9 @@ def fit(
         F.col("l").isNotNull() & F.col("k").isNotNull() & ~held_out(F.col("k")))
     labelled = learnable.filter(F.col("t").rlike(r"\p{L}")).withColumn(
         "o", ~F.length("t").between(bounds.min_chars, bounds.max_chars))
+    # Labels are counted before anything else, so all that follows has a bound.
+    if learnable.select("l").distinct().limit(bounds.languages + 1).count() > bounds.languages:
+        raise ValueError(f"Over {bounds.languages} languages, which is the bound")
     chosen = labelled.select("l", "k", F.xxhash64("t").alias("h"), "o")
     # By slices of a label first, so that what meets in one task is bounded too.
     for parts in (["l", F.pmod(F.xxhash64("h"), F.lit(SLICES))], ["l"]):
@@ -105,31 +108,38 @@ def fit(
     piece = F.col("t").substr(start.cast("int"), F.lit(bounds.max_chars))
     piece = F.when(piece.rlike(r"\p{L}"), piece).otherwise(F.col("t").substr(letter, F.lit(bounds.max_chars)))
     cut = F.when(room > 0, piece).otherwise(F.col("t")).alias("t")
-    texts: dict[str, tuple[list[str], list[str]]] = {}  # in the length range, others
-    for row in sample.orderBy("l", F.xxhash64("k"), "k", "h").select("l", "o", cut).collect():
-        texts.setdefault(row.l, ([], []))[row.o].append(letters(row.t))
-    if len(texts) > bounds.languages:
-        raise ValueError(f"{len(texts)} languages; the bound is {bounds.languages}")
+    texts: dict[str, list[str]] = {}
+    for row in _fragments(sample.select("l", "o", cut), bounds.dictionary_bytes).orderBy("l", "before").collect():
+        texts.setdefault(row.l, []).append(row.f)
     counts = learnable.filter(F.col("l").isin(list(texts))).groupBy("l").agg(F.count("*").alias("n"))
     return Model({
-        name: _dictionary(own, bounds.dictionary_bytes) for name, own in texts.items()
+        name: "\n".join(own).encode()[:bounds.dictionary_bytes] for name, own in texts.items()
     }, {r.l: r.n for r in counts.collect()}, bounds.margin, bounds.judged_chars)
 
 
-def _dictionary(texts: tuple[list[str], ...], size: int) -> bytes:
-    """Distinct short fragments of all sample texts in hash order, as many bytes as fit; those of the first texts first.
+def _fragments(sample: DataFrame, size: int) -> DataFrame:
+    """`(l, f, before)`: of each label's distinct short fragments those that begin within `size` bytes.
 
-    A passage of another language that many documents repeat counts once.
+    They come in the order of a hash, those of preferred texts first. A passage
+    of another language that many documents repeat counts once. Texts are cut up
+    where they lie; only the fragments of the dictionaries reach the driver.
     """
-    ordered: dict[str, None] = {}
-    for group in texts:
-        found = set()
-        for words in map(str.split, group):
-            found.update(" ".join(words[i:i + FRAGMENT_WORDS]) for i in range(0, len(words), FRAGMENT_WORDS))
-        ordered.update(dict.fromkeys(sorted(found, key=lambda f: (zlib.crc32(f.encode()), f))))
-        if sum(len(f.encode()) + 1 for f in ordered) > size:
-            break
-    return "\n".join(ordered).encode()[:size]
+    def run(batches):
+        for batch in batches:
+            for i, text in enumerate(batch.column(2).to_pylist()):
+                words = letters(text).split()
+                found = {" ".join(words[j:j + FRAGMENT_WORDS]) for j in range(0, len(words), FRAGMENT_WORDS)}
+                rows = pa.array([i] * len(found), pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(list(found), pa.string())],
+                    ["l", "o", "f"])
+
+    kind = sample.schema["l"].dataType.simpleString()
+    found = sample.mapInArrow(run, f"l {kind}, o boolean, f string").groupBy("l", "f").agg(F.min("o").alias("o"))
+    order = Window.partitionBy("l").orderBy("o", F.crc32(F.col("f").cast("binary")), "f")
+    before = F.coalesce(
+        F.sum(F.octet_length("f") + 1).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return found.withColumn("before", before).filter(F.col("before") < size).select("l", "f", "before")
 
 
 class Classifier:

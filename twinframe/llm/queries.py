@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..catalogue.views import table
+from ..session import shared_folder
 from . import bm25, bpe, chat, collocations, decontaminate, html_text, langid, lengths, mixing, secret_scan, simhash, warc, whitening
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -169,7 +171,11 @@ FROM d LEFT JOIN summed USING (doc_id)
 @query("op6_secret_scan", _secret_sql())
 def op6(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    ledger = secret_scan.scan_unseen(docs)
+    # Two commits, as of a corpus that grows: about half of the contents first, then all documents, of which the
+    # second scans what the first has not seen.
+    folder = f"{shared_folder(spark)}/secrets-{uuid.uuid4().hex}"
+    secret_scan.commit(docs.filter(F.xxhash64("text") < 0), folder, "1")
+    ledger = secret_scan.commit(docs, folder, "2")
     kinds = [r.kind for r in secret_scan.BASE_RULES]
     spans = F.coalesce("spans", F.array().cast("array<struct<start:bigint,place:int,kind:string,stop:bigint>>"))
 

@@ -127,6 +127,57 @@ def scan_unseen(
     return Ledger(ledger.seen.union(seen), ledger.findings.union(found))
 
 
+def _files(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _commits(spark: SparkSession, path: str) -> list[str]:
+    """Names of the finished commits of a ledger, the oldest name first; one short name per commit reaches the driver."""
+    place, system = _files(spark, f"{path}/seen")
+    if not system.exists(place):
+        return []
+    return sorted(
+        entry.getPath().getName().removeprefix("commit=") for entry in system.listStatus(place)
+        if system.exists(spark._jvm.org.apache.hadoop.fs.Path(entry.getPath(), "_SUCCESS")))
+
+
+def read_ledger(spark: SparkSession, path: str) -> Ledger:
+    """The ledger stored under `path` in the shared folder, empty if there is none; unfinished commits don't count."""
+    names = _commits(spark, path)
+    if not names:
+        return empty_ledger(spark)
+    seen, findings = (
+        spark.read.schema(schema).parquet(*(f"{path}/{part}/commit={name}" for name in names))
+        for part, schema in (("seen", LEDGER_SCHEMA), ("findings", FINDINGS_SCHEMA)))
+    return Ledger(seen, findings)
+
+
+def commit(
+    versions: DataFrame, path: str, name: str, rules: tuple[Rule, ...] = RULES, text: str = "text",
+) -> Ledger:
+    """Scan what the ledger under `path` has not seen and add it as the commit `name`; gives the whole ledger.
+
+    Findings are written first and the seen pairs last, whose finished folder
+    makes the commit. A commit that broke off can be repeated, as it overwrites
+    its own folders only; one that is finished is not done again. Commits are
+    made one after the other.
+    """
+    spark = versions.sparkSession
+    if name not in _commits(spark, path):
+        version = F.lit(rules_version(rules))
+        content = versions.select(
+            address(versions, text).alias("blob"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"))
+        known = read_ledger(spark, path).seen.filter(F.col("rules") == version)
+        unseen = content.join(known, "blob", "left_anti")
+        found = scan(unseen.dropDuplicates(["blob"]), rules).withColumn("rules", version)
+        found.select("blob", "rules", "kind", "start", "stop").write.mode("overwrite").parquet(
+            f"{path}/findings/commit={name}")
+        unseen.select("blob").distinct().withColumn("rules", version).write.mode("overwrite").parquet(
+            f"{path}/seen/commit={name}")
+    return read_ledger(spark, path)
+
+
 def spans_by_blob(ledger: Ledger, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """`(blob, spans)` of the ledger under these rules: array of (start, place, kind, stop) in order."""
     place = F.create_map(*[F.lit(x) for i, r in enumerate(rules) for x in (r.kind, i)])
@@ -141,6 +192,8 @@ def paths_with_spans(
 ) -> DataFrame:
     """`versions` with `spans`, null where there is none; one row per row, a column of the name is replaced."""
     blob = "_blob"
+    while blob in versions.columns:
+        blob += "_"
     return (
         versions.drop("spans").withColumn(blob, address(versions, text))
         .join(spans_by_blob(ledger, rules).withColumnRenamed("blob", blob), blob, "left").drop(blob))
@@ -162,6 +215,6 @@ def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
 
 
 __all__ = [
-    "BASE_RULES", "RULES", "Ledger", "Rule", "address", "empty_ledger", "paths_with_spans", "redacted",
-    "rules_version", "scan", "scan_unseen", "spans_by_blob",
+    "BASE_RULES", "RULES", "Ledger", "Rule", "address", "commit", "empty_ledger", "paths_with_spans", "read_ledger",
+    "redacted", "rules_version", "scan", "scan_unseen", "spans_by_blob",
 ]

@@ -38,6 +38,9 @@ from ..session import materialize, shared_folder
 from .common import map_batches
 
 BLOCK_LINES = 1000
+# Bytes of archives that a task reads, and searches of the index that it makes.
+TASK_BYTES = 2 << 20
+TASK_SEARCHES = 20_000
 DATE = "1970-01-01T00:00:00Z"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 CAPTURE_SCHEMA = "surt string, page_id long, file string, offset long, length long"
@@ -310,7 +313,9 @@ def lookup(index: CaptureIndex, queries: DataFrame) -> DataFrame:
         surt_of(F.col("url")).alias("surt"),
         (F.col("page_id").cast("long") if exact else F.lit(None).cast("long")).alias("page_id")).distinct()
     order = ["surt", F.col("page_id").asc_nulls_first()]
-    ranged = wanted.repartitionByRange(*order).sortWithinPartitions(*order)
+    wanted = materialize(wanted, "wanted")
+    # A row stands for a search, not for its few bytes, so tasks are counted by rows.
+    ranged = wanted.repartitionByRange(wanted.count() // TASK_SEARCHES + 1, *order).sortWithinPartitions(*order)
 
     def run(batches):
         reader = _Reader(index)
@@ -328,8 +333,13 @@ def lookup(index: CaptureIndex, queries: DataFrame) -> DataFrame:
 
 
 def read_records(index: CaptureIndex, places: DataFrame) -> DataFrame:
-    """The records at `places(file, offset, length)`, each read by its byte range, in archive order."""
-    ordered = places.repartition("file").sortWithinPartitions("file", "offset")
+    """The records at `places(file, offset, length)`, each read by its byte range, in archive order.
+
+    A task gets a range of places that stand for about 2 MB of archives.
+    """
+    places = materialize(places, "places")
+    tasks = (places.agg(F.sum("length")).first()[0] or 0) // TASK_BYTES + 1
+    ordered = places.repartitionByRange(tasks, "file", "offset").sortWithinPartitions("file", "offset")
     kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
     names = [x.split()[0] for x in RECORD_SCHEMA.split(", ")]
 
