@@ -25,7 +25,9 @@ from ..session import materialize
 from .common import map_batches, raw
 
 # Bytes of text that are counted together; longer texts are cut between words.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
+# Rows whose texts are taken out of a batch together.
+ROWS = 256
 # Words and phrases, repeats included, of one hash partition.
 PARTITION_MASS = 2 << 20
 # Counters a summary starts with; they double where the threshold demands more.
@@ -145,7 +147,7 @@ class Block:
 
 def _blocks(batches, longest: int, size: int) -> Iterator[Block]:
     groups, parts, carried, held = [], [], [], 0
-    for batch in batches:
+    for batch in (whole.slice(a, ROWS) for whole in batches for a in range(0, len(whole), ROWS)):
         for group, text in zip(batch.column(0).to_pylist(), raw(batch.column(1))):
             for lead, part in _cut(text, size, longest - 1):
                 groups.append(group)
