@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from ..functions import rules
 from ..operators import curate as c
 from ..plans.curation import balance_and_split, label_pairs
+from ..session import dealt_out, materialize
+from ..sources.scores import file_verdicts, scores_of_lines
 from .register import query, rounded
 from .views import (
     EDITED,
@@ -246,3 +248,47 @@ SELECT split, label, count(*) AS n FROM ({split_sql('lineitem', 'false', LINE_KE
 def split_sizes(spark, sf):
     split = c.stratified_split(priced_lines(spark, sf), LINE_KEY)
     return split.groupBy("split", "label").agg(F.count(F.lit(1)).alias("n"))
+
+
+# Lines of score files out of lineitem: a file per supplier, with headers of four kinds; some lines have a field too many
+# or an open quote, which makes their file malformed.
+HEADERS = ("mutant,DMS_score", 'score,"the note",mutation', "x,mutant", 'DMS_score_bin,mutated_sequence,"fitness"')
+
+
+@query("score_files", f"""
+WITH f AS (
+  SELECT s_suppkey AS k, CASE s_suppkey % 4 WHEN 2 THEN 'no score or mutation column' ELSE 'read' END AS kind FROM supplier),
+l AS (
+  SELECT l_suppkey AS k, count(*) + 1 AS n_lines, count(CASE WHEN l_linenumber <> 6 THEN 1 END) AS n_scores,
+         round(sum(CASE WHEN l_linenumber <> 6 THEN l_quantity END), 6) + 0.0 AS total,
+         max(l_suppkey % 9 = 1 AND l_orderkey % 8 = 0) AS wide, max(l_suppkey % 9 = 2 AND l_orderkey % 16 = 0) AS open
+  FROM lineitem GROUP BY l_suppkey),
+v AS (SELECT f.k, coalesce(n_lines, 1) AS n_lines, CASE WHEN wide OR open THEN 'malformed' ELSE kind END AS verdict,
+             n_scores, total FROM f LEFT JOIN l USING (k))
+SELECT 'S' || k AS file, verdict, CAST(n_lines AS BIGINT) AS n_lines,
+       CAST(CASE WHEN verdict = 'read' THEN coalesce(n_scores, 0) ELSE 0 END AS BIGINT) AS n_scores,
+       CASE WHEN verdict = 'read' THEN total END AS total FROM v""")
+def score_files(spark, sf):
+    key, order = F.col("l_suppkey"), F.col("l_orderkey")
+    score = F.when(F.col("l_linenumber") == 6, "none").otherwise(F.col("l_quantity").cast("string"))
+    code = F.concat(F.lit("A"), F.col("l_partkey").cast("string"), F.lit("C"))
+    value = F.when(key % 4 == 1, F.concat(score, F.lit(',"a ""b"", c",'), code)).when(
+        key % 4 == 3, F.concat(F.lit('1,MK,"'), score, F.lit('"'))).when(
+        key % 4 == 2, F.concat(F.lit("7,"), code)).otherwise(F.concat(code, F.lit(","), score))
+    value = F.concat(
+        value, F.when((key % 9 == 1) & (order % 8 == 0), ",,,").otherwise(""),
+        F.when((key % 9 == 2) & (order % 16 == 0), '"').otherwise(""))
+    columns = " ".join(LINE_KEY) + " l_quantity"
+    lines = dealt_out(table(spark, sf, "lineitem").select(*columns.split())).select(
+        F.concat(F.lit("S"), key.cast("string")).alias("file"), F.struct(
+            F.lit(1).alias("part"), *LINE_KEY).alias("line"), value.alias("value"))
+    named = table(spark, sf, "supplier").select(
+        F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("file"), F.struct(
+            F.lit(0).alias("part"), *(F.lit(None).cast(lines.schema["line"].dataType[c].dataType).alias(c) for c in LINE_KEY)).alias("line"),
+        F.get(F.array(*map(F.lit, HEADERS)), (F.col("s_suppkey") % 4).cast("int")).alias("value"))
+    lines = named.unionByName(lines)
+    files = materialize(file_verdicts(lines), "verdicts")
+    found = scores_of_lines(lines, files).groupBy("file").agg(
+        F.count("score").alias("n_scores"), rounded(F.sum("score")).alias("total"))
+    return files.join(found, "file", "left").select(
+        "file", "verdict", "n_lines", F.coalesce("n_scores", F.lit(0).cast("long")).alias("n_scores"), "total")

@@ -83,6 +83,22 @@ def encoded_pairs(spark, sf):
         rounded(F.col("z")[n]).alias(n) for n in ("ref_mean", "ref_max", "var_mean", "var_max")))
 
 
+COST, STEP = 40_000, 64
+
+
+@query("length_batches", f"""
+WITH s AS (
+  SELECT doc_id, CAST(length(text) AS INT) AS size, greatest(1, (length(text) + {STEP - 1}) // {STEP}) * {STEP} AS wide
+  FROM documents),
+p AS (SELECT *, row_number() OVER (PARTITION BY wide ORDER BY doc_id) - 1 AS n, greatest(1, {COST} // wide) AS rows FROM s),
+c AS (
+  SELECT wide, coalesce(sum(batches) OVER (ORDER BY wide ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first
+  FROM (SELECT wide, (count(*) + max(rows) - 1) // max(rows) AS batches FROM p GROUP BY wide))
+SELECT doc_id, size, CAST(first + n // rows AS BIGINT) AS batch, CAST(n % rows AS BIGINT) AS place FROM p JOIN c USING (wide)""")
+def length_batches(spark, sf):
+    return e.length_batches(table(spark, sf, "documents"), COST, STEP, "doc_id")
+
+
 @query("encode_runs", f"""
 WITH n AS (SELECT count(DISTINCT text) AS n FROM {BOTH}), u AS (
   SELECT count(DISTINCT text) AS n FROM {BOTH} WHERE conv_id % 2 = 0)
@@ -250,6 +266,16 @@ def logistic_regression(spark, sf):
     return _called(learn.logistic_regression(*_learning_sets(spark, sf)))
 
 
+@query("logistic_certificate", f"""
+SELECT CAST(class AS INT) AS class, CAST(component AS INT) AS component, 0.0 AS gradient
+FROM (SELECT DISTINCT label % 3 AS class FROM embeddings),
+     (SELECT unnest(range(0, max(len(embedding)) + 1)) AS component FROM embeddings)""")
+def logistic_certificate(spark, sf):
+    """At the fitted coefficients the loss over all training rows has no slope in any direction."""
+    train, _ = _learning_sets(spark, sf)
+    return learn.logistic_certificate(train).select("class", "component", rounded("gradient", 4).alias("gradient"))
+
+
 @query("random_forest")
 def random_forest(spark, sf):
     return _called(learn.random_forest(*_learning_sets(spark, sf)))

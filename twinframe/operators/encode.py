@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from ..functions.sequence import clip_sql, content_key, drop_stops_sql
 from ..session import materialize
 from .features import FEATURES, feature_vector, pair_features
-from .spread import lookup_join
+from .spread import lookup_join, running_totals
 
 Encoder = Callable[[pd.Series], pd.DataFrame]
 VECTORS = "seq_key string, mean array<float>, max array<float>"
@@ -145,6 +145,31 @@ def by_length(texts: DataFrame, partitions: int | None = None) -> DataFrame:
     return ranged.sortWithinPartitions(*keys).drop("_size")
 
 
+def length_batches(
+    texts: DataFrame, cost: int, step: int = 16, key: str = "seq_key", text: str = "text",
+) -> DataFrame:
+    """The batches an encoder gets: `(key, size, batch, place)`, numbered by length.
+
+    A batch costs its rows times its longest text, as shorter ones are padded,
+    and no batch costs more than `cost` unless it is one longer text. Texts of
+    lengths that round up to the same multiple of `step` fill batches of as many
+    rows as that length allows, in the order of their keys; only the last batch of
+    a length class may have fewer. Places within a class and the number of its
+    first batch are running totals, so no task numbers more than a range of rows.
+    """
+    size = F.length(F.coalesce(text, F.lit("")))
+    wide = F.greatest(F.ceil(size / step), F.lit(1)) * step
+    sized = texts.select(F.col(key), size.alias("size"), wide.alias("_wide"), F.lit(1).cast("long").alias("_one"))
+    placed = running_totals(sized, ["_wide"], key, ["_one"])
+    rows = F.greatest(F.lit(1), F.floor(F.lit(cost) / F.col("_wide")))
+    # As many classes as the longest text has steps.
+    classes = sized.groupBy("_wide").agg(F.count(F.lit(1)).alias("_n")).withColumn("_batches", F.ceil(F.col("_n") / rows))
+    first = running_totals(classes, [], "_wide", ["_batches"]).select("_wide", "_n", F.col("_batches_before").alias("_first"))
+    return lookup_join(placed, first, ["_wide"], "_n").select(
+        key, "size", (F.col("_first") + F.floor(F.col("_one_before") / rows)).alias("batch"),
+        (F.col("_one_before") % rows).alias("place"))
+
+
 def _by_characters(batch: pd.DataFrame, most: int) -> Iterator[pd.DataFrame]:
     """Parts of a batch with about so many characters each, or one longer text."""
     part = batch["text"].str.len().cumsum() // most

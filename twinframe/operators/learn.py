@@ -52,16 +52,26 @@ def _prepared(df: DataFrame, label: str) -> DataFrame:
         "_features": array_to_vector("scaled"), "_label": F.col(label).cast("double")})
 
 
-def _fit_and_predict(estimator, train: DataFrame, test: DataFrame, vector, label, epsilon) -> DataFrame:
+def _fit(estimator, train: DataFrame, vector, label, epsilon):
+    """The fitted model, and the training rows' statistics."""
     statistics = materialize(column_statistics(train, vector), "column-statistics")
-    fitted = estimator.setFeaturesCol("_features").setLabelCol("_label").fit(
-        _prepared(standardize(train, statistics, vector, epsilon=epsilon), label))
+    return estimator.setFeaturesCol("_features").setLabelCol("_label").fit(
+        _prepared(standardize(train, statistics, vector, epsilon=epsilon), label)), statistics
+
+
+def _fit_and_predict(estimator, train: DataFrame, test: DataFrame, vector, label, epsilon) -> DataFrame:
+    fitted, statistics = _fit(estimator, train, vector, label, epsilon)
     scored = fitted.transform(_prepared(standardize(test, statistics, vector, epsilon=epsilon), label))
     return scored.select(
         *test.columns, F.col("prediction").cast("int").alias("prediction"),
         vector_to_array("probability").alias("probabilities"))
 
 
+def _logistic(n: int, c: float, max_iter: int) -> LogisticRegression:
+    return LogisticRegression(
+        family="multinomial", maxIter=max_iter, regParam=1.0 / (c * max(n, 1)), standardization=False)
+
+
 def logistic_regression(
     train: DataFrame, test: DataFrame, vector: str = "features", label: str = "label",
     c: float = 1.0, max_iter: int = 3000,
@@ -70,10 +80,36 @@ def logistic_regression(
 
     `c` weighs the summed loss against the penalty; MLlib takes the penalty per row.
     """
+    return _fit_and_predict(_logistic(train.count(), c, max_iter), train, test, vector, label, None)
+
+
+def logistic_certificate(
+    train: DataFrame, vector: str = "features", label: str = "label", c: float = 1.0, max_iter: int = 3000,
+) -> DataFrame:
+    """`(class, component, coefficient, gradient)` of the fitted regression; component 0 is the intercept.
+
+    gradient is that of the mean log loss plus the penalty at the coefficients,
+    summed over the training rows apart from the fit. The loss is strictly convex
+    but for a constant added to all intercepts, so gradients of zero prove that no
+    other coefficients do better.
+    """
     n = train.count()
-    estimator = LogisticRegression(
-        family="multinomial", maxIter=max_iter, regParam=1.0 / (c * max(n, 1)), standardization=False)
-    return _fit_and_predict(estimator, train, test, vector, label, None)
+    fitted, statistics = _fit(_logistic(n, c, max_iter), train, vector, label, None)
+    scored = fitted.transform(_prepared(standardize(train, statistics, vector), label))
+    weights, intercepts = fitted.coefficientMatrix.toArray(), fitted.interceptVector.toArray()
+    classes, inputs = weights.shape
+    # Probability less the true class, times each input and one, for all classes in one vector.
+    rests = F.transform(vector_to_array("probability"), lambda p, k: p - (k == F.col("_label")).cast("double"))
+    inputs_and_one = F.concat(F.array(F.lit(1.0)), F.col("scaled"))
+    products = F.flatten(F.transform(rests, lambda r: F.transform(inputs_and_one, lambda x: r * x)))
+    mean = Summarizer.metrics("mean").summary(array_to_vector(products))
+    sums = scored.agg(vector_to_array(mean["mean"]).alias("_g")).select(F.posexplode("_g").alias("_at", "_mean"))
+    known = train.sparkSession.createDataFrame(
+        [(k * (inputs + 1) + j, k, j, float(intercepts[k] if j == 0 else weights[k, j - 1]))
+         for k in range(classes) for j in range(inputs + 1)], "_at int, class int, component int, coefficient double")
+    penalty = F.when(F.col("component") > 0, F.col("coefficient") / (c * max(n, 1))).otherwise(0.0)
+    return sums.join(known, "_at").select(
+        "class", "component", "coefficient", (F.col("_mean") + penalty).alias("gradient"))
 
 
 def random_forest(

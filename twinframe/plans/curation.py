@@ -21,6 +21,7 @@ from ..operators.spread import lookup_join, with_once
 from ..session import materialize
 
 PAIR = ["ref_seq", "var_seq"]
+# Fixed value: rows of each class in a balanced set.
 PER_CLASS = 100_000
 
 

@@ -1,42 +1,79 @@
-"""Folders of score files: one CSV per assay, with differing headers."""
+"""Folders of score files: one CSV per assay, with differing headers.
+
+Files are read as lines, once. A file's header and whether any of its lines is
+malformed come from one aggregation over the lines and go back to them by a join,
+so neither the plan nor the driver grows with the files or their headers.
+"""
 
 from __future__ import annotations
 
-import csv
 from collections.abc import Sequence
-from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.spread import lookup_join
 from .files import file_order
 
 # Names of the score and the mutation column, first found wins.
 SCORE_COLUMNS = ("DMS_score", "score", "fitness", "DMS_score_bin")
 MUTATION_COLUMNS = ("mutant", "mutation", "mutated_sequence")
 TEXT_COLUMN = "mutated_sequence"
-SCORES = (
-    "assay string, score double, mutant string, mutated_sequence string, "
-    "row_no struct<file:string,block:bigint,line:bigint>"
-)
+READ, MALFORMED, NO_COLUMN = "read", "malformed", "no score or mutation column"
 
 
-def first_present(names: Sequence[str], columns: Sequence[str]) -> str | None:
-    """The first of the names that is a column."""
-    return next((name for name in names if name in columns), None)
+def csv_fields(line: str) -> Column:
+    """The fields of a line of comma-separated values, as an array; quotes around a field are taken off.
 
+    Inside quotes two of them stand for one. An empty field is null.
+    """
+    raw = rf"""regexp_extract_all(concat(',', {line}), ',("(?:[^"]++|"")*+"|[^,]*+)', 1)"""
+    plain = """if(startswith(f, '"') AND length(f) > 1, replace(substr(f, 2, length(f) - 2), '""', '"'), f)"""
+    return F.expr(f"transform({raw}, f -> nullif({plain}, ''))")
 
-def file_headers(spark: SparkSession, folder: str) -> DataFrame:
-    """The first line of every CSV file below the folder: `file`, `assay`, `header`."""
-    lines = (
-        spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").text(folder)
-        .select("value", file_order().alias("at"), F.col("_metadata.file_name").alias("name"))
-    )
-    return (
-        lines.filter(F.col("at.block") == 0)
-        .groupBy(F.col("at.file").alias("file"), F.regexp_extract("name", r"^(.*)\.csv$", 1).alias("assay"))
-        .agg(F.min_by("value", "at").alias("header"))
-    )
+
+def file_verdicts(
+    lines: DataFrame, score_columns: Sequence[str] = SCORE_COLUMNS, mutation_columns: Sequence[str] = MUTATION_COLUMNS,
+) -> DataFrame:
+    """One row per file of `lines(file, line, value)`: `file`, `verdict`, `n_lines`, and where its columns stand.
+
+    The first line that is not empty is the header. A file is malformed, as a
+    whole, if a line has more fields than the header, an open quote, or bytes
+    that are no UTF-8. Shorter lines lack their last fields. Where columns
+    stand counts from 1, 0 for a column that there isn't.
+    """
+    quotes = F.expr("length(value) - length(replace(value, '\"', ''))")
+    files = lines.filter(F.length("value") > 0).groupBy("file").agg(
+        F.min_by("value", "line").alias("_header"), F.max(F.size(csv_fields("value"))).alias("_most"),
+        F.max((quotes % 2 == 1) | ~F.call_function("is_valid_utf8", F.col("value"))).alias("_broken"),
+        F.min("line").alias("first_line"), F.count(F.lit(1)).alias("n_lines")).withColumn(
+        "_names", F.transform(csv_fields("_header"), lambda f: F.coalesce(f, F.lit(""))))
+
+    def place(names: Sequence[str]) -> Column:
+        found = [F.array_position("_names", name) for name in names]
+        return F.coalesce(*(F.when(at > 0, at) for at in found), F.lit(0)).cast("int")
+
+    bad = F.col("_broken") | (F.col("_most") > F.size("_names"))
+    placed = files.withColumns({
+        "score_at": place(score_columns), "mutant_at": place(mutation_columns), "text_at": place([TEXT_COLUMN])})
+    known = (F.col("score_at") > 0) & (F.col("mutant_at") > 0)
+    return placed.select(
+        "file", F.when(bad, MALFORMED).when(~known, NO_COLUMN).otherwise(READ).alias("verdict"),
+        "n_lines", "first_line", "score_at", "mutant_at", "text_at")
+
+
+def scores_of_lines(lines: DataFrame, files: DataFrame) -> DataFrame:
+    """`(file, score, mutant, mutated_sequence, row_no)` of the files whose verdict is `READ`; others are left out whole."""
+    good = files.filter(F.col("verdict") == READ).drop("verdict")
+    rows = lookup_join(lines.filter(F.length("value") > 0), good, ["file"], "n_lines", "inner").filter(
+        F.col("line") > F.col("first_line")).withColumn("_fields", csv_fields("value"))
+
+    def field(at: str) -> Column:
+        return F.when(F.col(at) > 0, F.get("_fields", F.col(at) - 1))
+
+    return rows.select(
+        "file", field("score_at").try_cast("double").alias("score"), field("mutant_at").alias("mutant"),
+        field("text_at").alias("mutated_sequence"), F.col("line").alias("row_no"))
 
 
 def read_score_files(
@@ -46,34 +83,20 @@ def read_score_files(
     score_columns: Sequence[str] = SCORE_COLUMNS,
     mutation_columns: Sequence[str] = MUTATION_COLUMNS,
 ) -> DataFrame:
-    """All score files below a folder as one table.
+    """All score files below a folder as one table: assay, score, mutant, mutated_sequence, row_no.
 
     `keep`, a function on a table with the column `assay`, can drop files by
-    name before they are read. Files without a score or a mutation column are
-    left out. Files with the same header are read together, so the plan grows
-    with the number of different headers and not with the number of files.
+    name. Files without a score or a mutation column, and files with a
+    malformed line, are left out (see `file_verdicts`).
     """
-    headers = file_headers(spark, folder)
+    lines = (
+        spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").text(folder)
+        .select("value", file_order().alias("line")).select("value", "line", F.col("line.file").alias("file"))
+    )
+    files = file_verdicts(lines, score_columns, mutation_columns)
+    name = F.regexp_extract("file", r"([^/]*)\.csv$", 1)
     if keep is not None:
-        headers = keep(headers)
-    groups = headers.groupBy("header").agg(F.collect_list("file").alias("files")).collect()
-    parts = []
-    for group in sorted(groups, key=lambda g: g["header"] or ""):
-        columns = next(csv.reader([group["header"] or ""]), [])
-        score = first_present(score_columns, columns)
-        mutation = first_present(mutation_columns, columns)
-        if score is None or mutation is None:
-            continue
-        text = F.col(f"`{TEXT_COLUMN}`") if TEXT_COLUMN in columns else F.lit(None).cast("string")
-        parts.append(
-            spark.read.option("header", True).option("escape", '"').csv(group["files"]).select(
-                F.regexp_extract("_metadata.file_name", r"^(.*)\.csv$", 1).alias("assay"),
-                F.col(f"`{score}`").try_cast("double").alias("score"),
-                F.col(f"`{mutation}`").alias("mutant"),
-                text.alias("mutated_sequence"),
-                file_order().alias("row_no"),
-            )
-        )
-    if not parts:
-        return spark.createDataFrame([], SCORES)
-    return reduce(DataFrame.unionByName, parts)
+        files = keep(files.withColumn("assay", F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B"))))).drop("assay")
+    found = scores_of_lines(lines, files)
+    return found.select(
+        F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B"))).alias("assay"), "score", "mutant", "mutated_sequence", "row_no")
