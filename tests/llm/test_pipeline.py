@@ -7,7 +7,7 @@ from twinframe.llm import bpe
 
 from .test_decontaminate import plain_leaks
 from .test_secret_scan import plain_base
-from .test_simhash import plain_classes, plain_fingerprint
+from .test_near_copies import plain_groups
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -23,8 +23,11 @@ def test_every_stage_against_plain_versions(spark):
         kept.append(sorted(docs.collect(), key=lambda r: r.doc_id))
     known, single, clean, safe = kept
     assert len(known) >= 195
-    classes = plain_classes([plain_fingerprint(r.text) for r in known])
-    assert [r.doc_id for r in single] == [r.doc_id for i, r in enumerate(known) if classes[i] == i]
+    # The groups hold all links of four bits, and no others but of pairs that share four fifths of their shingles.
+    fewest, most = plain_groups([r.text for r in known], False), plain_groups([r.text for r in known], True)
+    left = {r.doc_id for r in single}
+    assert {r.doc_id for i, r in enumerate(known) if most[i] == i} <= left
+    assert left <= {r.doc_id for i, r in enumerate(known) if fewest[i] == i}
     leaking = {d for d, *_ in plain_leaks([(r.doc_id, r.text) for r in single], items)}
     assert [r.doc_id for r in clean] == [r.doc_id for r in single if r.doc_id not in leaking]
     for before, after in zip(clean, safe):

@@ -111,19 +111,42 @@ def _labels(n: int, u: np.ndarray, v: np.ndarray, labels: np.ndarray) -> np.ndar
         labels = jump[labels]
 
 
-def trie_classes(keys: np.ndarray, prints: np.ndarray, budget: int = BUDGET) -> np.ndarray:
+def trie_edges(keys: np.ndarray, prints: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray]:
+    """For rows sorted by (key, fingerprint): pairs of rows (u, v) that differ in at most `budget` bits.
+
+    They join the rows of a key into the classes of `trie_classes`. A row is in
+    few of them, as pairs of rows that are in one class already are not visited.
+    """
+    edges: list[tuple[np.ndarray, np.ndarray]] = []
+    trie_classes(keys, prints, budget, edges)
+    if not edges:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    u, v = (np.concatenate(side).astype(np.int64) for side in zip(*edges))
+    return u, v
+
+
+def trie_classes(
+    keys: np.ndarray, prints: np.ndarray, budget: int = BUDGET, edges: list | None = None,
+) -> np.ndarray:
     """For rows sorted by (key, fingerprint): the first row of each row's class.
 
     Rows of one key are in one class if a chain of links of at most `budget`
-    differing bits joins them.
+    differing bits joins them. `edges` takes the links that were followed, of
+    those found together one per row and side.
     """
+    def note(u: np.ndarray, v: np.ndarray) -> None:
+        if edges is not None and len(u):
+            kept = np.union1d(np.unique(u, return_index=True)[1], np.unique(v, return_index=True)[1])
+            edges.append((u[kept], v[kept]))
+
     n = len(prints)
     same_key = keys[1:] == keys[:-1]
     # Neighbours in sorted order are linked first; that joins most of a dense group.
     near = np.flatnonzero(same_key & (np.bitwise_count(prints[1:] ^ prints[:-1]) <= budget))
     labels = _labels(n, near, near + 1, np.arange(n))
-    edges = np.concatenate(([0], np.flatnonzero(~same_key) + 1, [n]))
-    lo, hi = edges[:-1], edges[1:]
+    note(near, near + 1)
+    bounds = np.concatenate(([0], np.flatnonzero(~same_key) + 1, [n]))
+    lo, hi = bounds[:-1], bounds[1:]
     wide = hi - lo > 1
     lo, hi = lo[wide], hi[wide]
     stack = [(63, np.stack([lo, hi, lo, hi, np.zeros_like(lo)]))]
@@ -144,11 +167,13 @@ def trie_classes(keys: np.ndarray, prints: np.ndarray, budget: int = BUDGET) ->
         if leaves.any():
             u, v = alo[leaves], blo[leaves]
             linked = np.bitwise_count(prints[u] ^ prints[v]) <= budget
+            note(u[linked], v[linked])
             labels = _labels(n, u[linked], v[linked], labels)
             front = front[:, ~leaves]
         if bit < 0 or not front.shape[1]:
             # Equal fingerprints of one key: no bit is left to part them.
             if front.shape[1]:
+                note(front[0], front[2])
                 labels = _labels(n, front[0], front[2], labels)
             continue
         ones = np.concatenate(([0], np.cumsum(((prints >> np.uint64(bit)) & np.uint64(1)).astype(np.int64))))
@@ -211,18 +236,6 @@ def trie_links(reps: DataFrame) -> DataFrame:
     return map_batches(in_order, run, "u long, v long").distinct()
 
 
-def first_of_groups(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """`(first)`: of every group of near copies the smallest key, whatever its type; keys may be repeated.
-
-    Groups are found over the fingerprints themselves, so keys neither join nor part them.
-    """
-    prints = fingerprints(docs, key, text, docs.schema[key].dataType.simpleString())
-    least = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "least")
-    found = components(trie_links(least.select("fp", F.col("fp").alias("rep"))))
-    classes = least.join(found, F.col("fp") == F.col("node"), "left")
-    return classes.groupBy(F.coalesce("component", "fp")).agg(F.min("first").alias("first")).select("first")
-
-
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """`(doc_id, fp, component_id)`: one row per row of `docs`.
 
