@@ -10,14 +10,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twinframe.catalogue.views import table
-from twinframe.llm import bpe, decontaminate, langid, secret_scan, simhash
+from twinframe.llm import bpe, decontaminate, langid, near_copies, secret_scan
 from twinframe.session import materialize
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is recognised by a clear margin."""
+    """Documents whose language is recognised by a clear margin; null, empty and letterless texts go.
+
+    Labels of the rows themselves are learned from (see `langid.fit`); without any the language is never recognised.
+    """
     docs = docs.select(*COLUMNS)
     judged = langid.classify(docs, langid.fit(docs))
     return judged.filter(~F.col("rejected")).select(*COLUMNS)
@@ -26,26 +29,33 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of every group of near copies one row: that of the smallest id, rows without an id last, then by content.
 
-    Rows are told apart by a hash of all columns, so an id may be null or repeated.
+    Groups are those of `near_copies.first_of_groups`. Rows are told apart by a hash of all columns, so an id may be
+    null or repeated; equal rows are one. Null texts read as empty, and texts without words are one group.
     """
     content = F.to_json(F.struct(*COLUMNS), {"ignoreNullFields": "false"})
     docs = docs.select(*COLUMNS, F.unhex(F.sha2(content.cast("binary"), 256)).alias("row"))
     order = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), F.col("row").alias("row"))
-    first = simhash.first_of_groups(docs.select(order.alias("place"), "text"), "place")
+    first = near_copies.first_of_groups(docs.select(order.alias("place"), "text"), "place")
     # Equal rows lie together after the join.
     return docs.join(first.select("first.row"), "row", "left_semi").dropDuplicates(["row"]).select(*COLUMNS)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain no benchmark item. Texts are told apart by a hash, so an id may be null or repeated."""
+    """Documents that contain no benchmark item; null and empty texts contain none and stay.
+
+    Texts are told apart by a hash, so an id may be null or repeated. Items without an id are searched too, each text
+    as an item of its own.
+    """
+    item = F.coalesce(F.col("item_id").cast("long"), F.xxhash64("text")).alias("item_id")
+    items = table(spark, sf_dir, "benchmark").select(item, "text")
     docs = docs.select(*COLUMNS, F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("content"))
-    leaking = decontaminate.leaks(docs, table(spark, sf_dir, "benchmark"), key="content", kind="binary")
+    leaking = decontaminate.leaks(docs, items, key="content", kind="binary")
     leaking = materialize(leaking.select(F.col("doc_id").alias("content")).distinct(), "leaking")
     return docs.join(leaking, "content", "left_anti").select(*COLUMNS)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with every secret replaced by a mark; n_chars follows the text."""
+    """All documents, with every secret replaced by a mark; n_chars follows the text. A null text stays null."""
     docs = docs.select(*COLUMNS)
     found = secret_scan.paths_with_spans(docs, secret_scan.scan_unseen(docs))
     clean = secret_scan.redacted(F.col("text"), F.col("spans"))
@@ -54,7 +64,7 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, and whether they decode to its very text."""
+    """Token ids of every document, and whether they decode to its very text; null and empty texts have no ids."""
     text = F.coalesce("text", F.lit("")).cast("binary")
     known = F.struct("doc_id", "lang", "source", F.sha2(text, 256).alias("sha256"))
     made = bpe.encode(docs.select(known.alias("doc"), "text"), key="doc", decoded=True)
