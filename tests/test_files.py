@@ -53,16 +53,24 @@ def test_synthetic_pairs(spark, n):
 
 def test_score_files(spark, tmp_path):
     (tmp_path / "deep").mkdir()
-    (tmp_path / "a_x.csv").write_text("mutant,DMS_score,mutated_sequence\nK2R,0.5,MR\nM1A,,AK\nQ1A,bad,\n")
-    (tmp_path / "deep" / "b_x.csv").write_text("score,mutation,fitness\n1.5,K2T,9\n")
+    (tmp_path / "a_x.csv").write_text("mutant,DMS_score,mutated_sequence\n\nK2R,0.5,MR\nM1A,,AK\nQ1A,bad\n")
+    (tmp_path / "deep" / "b_x.csv").write_text('score,mutation,fitness\r\n1.5,"K2T:""Q"", 1",9\r\n')
     (tmp_path / "c_x.csv").write_text("other,mutant\n1,K2R\n")
     (tmp_path / "d_y.csv").write_text("score,mutant\n1,K2R\n")
     (tmp_path / "empty_x.csv").write_text("")
     (tmp_path / "only_x.csv").write_text("score,mutant\n")
+    # Files that are left out whole: a line with too many fields, an open quote, bytes that are no text.
+    (tmp_path / "ragged_x.csv").write_text("score,mutant\n1,K2R\n2,K3R,x\n")
+    (tmp_path / "open_x.csv").write_text('score,mutant\n1,K2R\n2,"K3R\n')
+    (tmp_path / "bytes_x.csv").write_bytes(b"score,mutant\n1,K2R\n2,\xff\xfe\n")
+    (tmp_path / "sp +%25 _x.csv").write_text("score,mutant\n,K2R\n")
     (tmp_path / "notes.txt").write_text("score,mutant\n1,2\n")
     got = scores.read_score_files(spark, str(tmp_path), lambda files: files.filter("assay LIKE '%_x'"))
     rows = [(r.assay, r.score, r.mutant, r.mutated_sequence) for r in got.orderBy("row_no").collect()]
-    assert rows == [("a_x", 0.5, "K2R", "MR"), ("a_x", None, "M1A", "AK"), ("a_x", None, "Q1A", None), ("b_x", 1.5, "K2T", None)]
+    assert sorted(rows, key=str) == sorted([
+        ("a_x", 0.5, "K2R", "MR"), ("a_x", None, "M1A", "AK"), ("a_x", None, "Q1A", None),
+        ("b_x", 1.5, 'K2T:"Q", 1', None), ("sp +%25 _x", None, "K2R", None)], key=str)
+    assert [r.mutant for r in got.filter("assay = 'a_x'").orderBy("row_no").collect()] == ["K2R", "M1A", "Q1A"]
     assert scores.read_score_files(spark, str(tmp_path), lambda files: files.limit(0)).isEmpty()
 
 
@@ -126,6 +134,61 @@ def test_sinks(spark, tmp_path):
     sinks.show_report(df, 1)
 
 
+def test_fields_of_lines(spark):
+    lines = {"": [None], ",": [None, None], ",a": [None, "a"], 'a,"b,c",': ["a", "b,c", None], '"",x': [None, "x"],
+             '"a ""b"", c",2': ['a "b", c', "2"], " a ,b": [" a ", "b"]}
+    df = spark.createDataFrame([(k,) for k in lines], "line string")
+    assert {r.line: r.f for r in df.select("line", scores.csv_fields("line").alias("f")).collect()} == lines
+
+
+def test_a_broken_write_of_splits_is_repeated(spark, tmp_path):
+    path = str(tmp_path / "splits")
+    good = spark.createDataFrame([(i, "train" if i % 3 else "test") for i in range(30)], "id int, split string")
+
+    def broken(batches):
+        for i, batch in enumerate(batches):
+            yield batch
+        raise RuntimeError("lost")
+
+    with pytest.raises(Exception, match="lost"):
+        sinks.write_splits(good.mapInArrow(broken, good.schema), path)
+    assert sinks.finished_splits(spark, path) is None
+    with pytest.raises(FileNotFoundError):
+        sinks.read_splits(spark, path)
+    sinks.write_splits(good, path)
+    assert sinks.finished_splits(spark, path) == ["test", "train"]
+    with pytest.raises(FileExistsError):
+        sinks.write_splits(good, path)
+    # A run that breaks off while it replaces a finished set leaves no marker, and is repeated likewise.
+    with pytest.raises(Exception, match="lost"):
+        sinks.write_splits(good.mapInArrow(broken, good.schema), path, "overwrite")
+    assert sinks.finished_splits(spark, path) is None
+    sinks.write_splits(good.filter("split = 'train'"), path)
+    assert {r.split for r in sinks.read_splits(spark, path).collect()} == {"train"}
+    assert sinks.read_splits(spark, path).count() == 20
+    sinks.write_splits(good, path, "overwrite")
+    assert sinks.read_splits(spark, path).count() == 30
+
+
+def test_batches_cost_no_more_than_stated(spark):
+    texts = [(f"k{i:04d}", "x" * (i * 37 % 211)) for i in range(900)] + [("long", "x" * 5000), ("none", None)]
+    df = spark.createDataFrame(texts, "seq_key string, text string").repartition(7)
+    rows = e.length_batches(df, 1000).collect()
+    assert sorted(r.seq_key for r in rows) == sorted(k for k, _ in texts)
+    batches = {}
+    for r in rows:
+        batches.setdefault(r.batch, []).append(r)
+    assert sorted(batches) == list(range(len(batches)))
+    for number, own in batches.items():
+        assert sorted(r.place for r in own) == list(range(len(own)))
+        longest = max(r.size for r in own)
+        assert len(own) == 1 or len(own) * longest <= 1000
+        assert number == 0 or min(r.size for r in own) + 16 >= max(r.size for r in batches[number - 1])
+    # Little is left unused: a class of n rows has the fewest batches that its length allows.
+    assert len(batches) <= sum(len(t or "") + 16 for _, t in texts) / 1000 * 1.3 + 211 / 16 + 2
+    assert e.length_batches(df.limit(0), 1000).count() == 0
+
+
 def test_encode_once_only_encodes_what_is_missing(spark, tmp_path):
     path, log = str(tmp_path / "vectors"), tmp_path / "log"
     log.mkdir()

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vector as v
@@ -12,6 +14,7 @@ from ..operators import encode as e
 from ..operators import learn
 from ..operators.curate import stratified_split
 from ..operators.features import FEATURES
+from ..operators.store import VectorStore
 from ..session import materialize, shared_folder
 from ..sources.sinks import write_splits
 from .curation import split_sql
@@ -122,6 +125,37 @@ def encode_runs(spark, sf):
     return done
 
 
+@query("vector_store", f"""
+WITH n AS (SELECT count(DISTINCT text) AS n FROM {BOTH}), u AS (
+  SELECT count(DISTINCT text) AS n FROM {BOTH} WHERE conv_id % 2 = 0)
+SELECT 'two writers' AS step, 2 AS n_segments, n.n + u.n AS n_rows, n.n AS n_keys, 0 AS n_missing FROM n, u
+UNION ALL SELECT 'compaction', 1, n.n, n.n, 0 FROM n""")
+def vector_store(spark, sf):
+    """Two writers at once, one with half of the conversations and one with all; then a compaction."""
+    store = VectorStore(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex}")
+    pairs = turn_pairs(spark, sf)
+    texts = materialize(e.distinct_texts(pairs, max_length=None), "texts")
+    half = e.distinct_texts(pairs.filter("conv_id % 2 = 0"), max_length=None)
+    # Neither writer sees what the other one adds.
+    lacking = [materialize(store.missing(some), "lacking") for some in (half, texts)]
+    for rows in lacking:
+        store.append(e.encode_texts(e.by_length(rows)))
+    steps = None
+    for step in ("two writers", "compaction"):
+        if steps is not None:
+            store.compact()
+        tables = store.tables()
+        keys = store.vectors().agg(F.count(F.lit(1)).alias("n_keys"))
+        missing = store.missing(texts).agg(F.count(F.lit(1)).alias("n_missing"))
+        rows = reduce(DataFrame.unionByName, tables).agg(F.count(F.lit(1)).alias("n_rows"))
+        part = rows.select(
+            F.lit(step).alias("step"), F.lit(len(tables)).alias("n_segments"), "n_rows",
+            keys.scalar().alias("n_keys"), missing.scalar().alias("n_missing"))
+        part = materialize(part, "step")
+        steps = part if steps is None else steps.unionByName(part)
+    return steps
+
+
 PART_PAIRS = f"""(SELECT *, CAST(pair_id % 3 AS INT) AS label,
     CASE WHEN pair_id % 10 = 0 THEN 'test' WHEN pair_id % 10 = 1 THEN 'val' ELSE 'train' END AS split FROM {PAIRS})"""
 
