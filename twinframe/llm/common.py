@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +24,11 @@ def raw(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+def open_folder(folder: str):
+    """File system and path of a folder that all executors reach."""
+    return pa.fs.FileSystem.from_uri(folder if "://" in folder else "file://" + folder)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """`(node, component)` for every node of undirected `edges(u, v)`, by its smallest member.
 

@@ -28,14 +28,13 @@ from dataclasses import dataclass
 from urllib.parse import quote, urlsplit
 
 import pyarrow as pa
-import pyarrow.fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from ..session import materialize, shared_folder
-from .common import map_batches
+from .common import map_batches, open_folder
 
 BLOCK_LINES = 1000
 # Bytes of archives that a task reads, and searches of the index that it makes.
@@ -71,11 +70,6 @@ def surt_of(urls: pa.Array) -> pa.Array:
     return pa.array(map(surt, urls.to_pylist()), pa.string())
 
 
-def _open(folder: str):
-    """File system and path of a folder that all executors reach."""
-    return pa.fs.FileSystem.from_uri(folder if "://" in folder else "file://" + folder)
-
-
 def _member(data: bytes) -> bytes:
     """A gzip member without a time stamp."""
     packer = zlib.compressobj(6, zlib.DEFLATED, 31)
@@ -158,7 +152,7 @@ def write_archives(pages: DataFrame, folder: str, key: str = "page_id", url: str
         F.expr("CASE WHEN first IS NOT NULL AND NOT (first <=> page_id) THEN first END").alias("refers_to"))
 
     def run(batches):
-        system, base = _open(folder)
+        system, base = open_folder(folder)
         task = TaskContext.get()
         name = f"pages-{task.partitionId():05d}-{task.taskAttemptId()}.warc.gz"
         stream, at = None, 0
@@ -212,7 +206,7 @@ def build_index(captures: DataFrame, folder: str, block_lines: int = BLOCK_LINES
     ranged = captures.repartitionByRange(*order).sortWithinPartitions(*order)
 
     def run(batches):
-        system, base = _open(folder)
+        system, base = open_folder(folder)
         task = TaskContext.get()
         name = f"index-{task.partitionId():05d}-{task.taskAttemptId()}"
         stream, directory, lines, at = None, [], [], 0
@@ -250,7 +244,7 @@ class _Reader:
     """A task's view of the index: the directory and block that it read last, and open files."""
 
     def __init__(self, index: CaptureIndex):
-        self.system, self.base = _open(index.folder)
+        self.system, self.base = open_folder(index.folder)
         self.firsts, self.names = [s[0] for s in index.shards], [s[1] for s in index.shards]
         self.files: OrderedDict = OrderedDict()
         self.shard = self.block = None
