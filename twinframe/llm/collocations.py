@@ -2,10 +2,10 @@
 
 Words and phrases of every block of text are hashed and counted, and go as one
 summary per hash partition to the task that merges the partition. There a
-Misra-Gries summary keeps as many counters as the mass it has seen, divided by
-the threshold, demands: what it takes off all counters together stays below the
-threshold, so each frequent phrase has a counter left. A second pass over the
-texts counts the survivors by their words, not by their hashes.
+Misra-Gries summary has more counters than the partition's mass divided by the
+threshold: what it takes off all counters together stays below the threshold, so
+each frequent phrase has a counter left. A second pass over the texts counts the
+survivors by their words, not by their hashes.
 """
 
 from __future__ import annotations
@@ -30,8 +30,6 @@ BLOCK_BYTES = 4 << 20
 ROWS = 256
 # Words and phrases, repeats included, of one hash partition.
 PARTITION_MASS = 2 << 20
-# Counters a summary starts with; they double where the threshold demands more.
-COUNTERS = 1 << 16
 # The survivors' bitmap has 32 bits each, but no more than 2 ** 29 bits (64 MB).
 MOST_BITS = 29
 
@@ -46,10 +44,14 @@ _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xFF51AFD7ED558CCD))
 
 
 class MisraGries:
-    """Counters of hashes, too low by `taken` at most, which stays under the threshold."""
+    """Counters of hashes of a known mass, too low by `taken` at most, which stays under the threshold `least`.
 
-    def __init__(self, least: int, capacity: int = COUNTERS):
-        self.least, self.capacity, self.taken = least, capacity, 0
+    Every unit that is taken off all counters takes one from over `capacity` of
+    them, so off the mass as many times more; hence `taken` < mass / capacity.
+    """
+
+    def __init__(self, least: int, mass: int):
+        self.least, self.capacity, self.taken = least, mass // least + 1, 0
         self.hashes, self.counts = np.empty(0, np.uint64), np.empty(0, np.int64)
         self.waiting: list[tuple[np.ndarray, np.ndarray]] = []
         self.n_waiting = 0
@@ -70,12 +72,8 @@ class MisraGries:
         first = np.flatnonzero(np.concatenate(([True], hashes[1:] != hashes[:-1]))[:len(hashes)])
         self.hashes = hashes[first]
         self.counts = np.add.reduceat(counts, first) if len(first) else counts
-        while len(self.hashes) > self.capacity:
+        if len(self.hashes) > self.capacity:
             off = int(np.partition(self.counts, -self.capacity - 1)[-self.capacity - 1])
-            if self.taken + off >= self.least:
-                # The mass seen is over capacity times threshold.
-                self.capacity *= 2
-                continue
             self.taken += off
             left = self.counts > off
             self.hashes, self.counts = self.hashes[left], self.counts[left] - off
@@ -162,7 +160,7 @@ def _blocks(batches, longest: int, size: int) -> Iterator[Block]:
 
 
 def _summaries(texts: DataFrame, longest: int, bits: int, size: int) -> DataFrame:
-    """`(part, hashes, counts)`: every block's distinct words and phrases, one row per hash partition."""
+    """`(part, mass, hashes, counts)`: every block's distinct words and phrases, one row per hash partition."""
     def run(batches):
         for block in _blocks(batches, longest, size):
             found = [value[counts] for value, _, counts in block.hashes(longest)]
@@ -172,17 +170,18 @@ def _summaries(texts: DataFrame, longest: int, bits: int, size: int) -> DataFram
             part = (hashes >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(hashes), np.int64)
             heads = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
             ends = [*heads[1:].tolist(), len(hashes)]
+            mass = np.add.reduceat(counts, heads)
             counts = counts.astype("<u4")
             yield pa.RecordBatch.from_arrays([
-                pa.array(part[heads]),
+                pa.array(part[heads]), pa.array(mass, pa.int64()),
                 pa.array([hashes[a:b].tobytes() for a, b in zip(heads, ends)], pa.binary()),
                 pa.array([counts[a:b].tobytes() for a, b in zip(heads, ends)], pa.binary())],
-                ["part", "hashes", "counts"])
+                ["part", "mass", "hashes", "counts"])
 
-    return map_batches(texts, run, "part long, hashes binary, counts binary")
+    return map_batches(texts, run, "part long, mass long, hashes binary, counts binary")
 
 
-def _merged(summaries: DataFrame, least: int, capacity: int) -> DataFrame:
+def _merged(summaries: DataFrame, least: int) -> DataFrame:
     """`(part, hashes, n)`: survivors of each hash partition's merged summary."""
     def row(part: int, summary: MisraGries) -> pa.RecordBatch:
         left = summary.survivors()
@@ -193,16 +192,18 @@ def _merged(summaries: DataFrame, least: int, capacity: int) -> DataFrame:
     def run(batches):
         part, summary = None, None
         for batch in batches:
-            for now, hashes, counts in zip(*(c.to_pylist() for c in batch.columns)):
+            for now, mass, hashes, counts in zip(*(c.to_pylist() for c in batch.columns)):
                 if now != part:
                     if summary is not None:
                         yield row(part, summary)
-                    part, summary = now, MisraGries(least, capacity)
+                    part, summary = now, MisraGries(least, mass)
                 summary.add(np.frombuffer(hashes, "<u8"), np.frombuffer(counts, "<u4"))
         if summary is not None:
             yield row(part, summary)
 
-    ordered = summaries.repartition("part").sortWithinPartitions("part")
+    # The sum over a partition keeps its rows in order, and spills them where they are many.
+    ordered = summaries.repartition("part").sortWithinPartitions("part").withColumn(
+        "mass", F.sum("mass").over(Window.partitionBy("part")))
     return map_batches(ordered, run, "part long, hashes binary, n long")
 
 
@@ -279,7 +280,7 @@ def _rows(groups, phrases, words: int, counts: np.ndarray) -> pa.RecordBatch:
 
 def frequent_phrases(
     docs: DataFrame, text: str = "text", group: str = "lang", longest: int = 3, least: int = 10,
-    size: int = BLOCK_BYTES, mass: int = PARTITION_MASS, capacity: int = COUNTERS, most_bits: int = MOST_BITS,
+    size: int = BLOCK_BYTES, mass: int = PARTITION_MASS, most_bits: int = MOST_BITS,
 ) -> DataFrame:
     """`(grp, phrase, words, a)`: all words and phrases of up to `longest` words with a >= `least`, counted exactly.
 
@@ -294,7 +295,7 @@ def frequent_phrases(
     # A word and its gap have two bytes at least.
     total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = max(0, (total * longest // (2 * mass)).bit_length())
-    survivors = materialize(_merged(_summaries(texts, longest, bits, size), least, capacity), "survivors")
+    survivors = materialize(_merged(_summaries(texts, longest, bits, size), least), "survivors")
     place_bits, places = _bitmap(survivors, most_bits)
     counted = _counted(texts, longest, place_bits, spark.sparkContext.broadcast(places), size)
     summed = counted.groupBy("grp", "phrase", "words").agg(F.sum("a").alias("a"))
