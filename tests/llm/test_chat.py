@@ -88,3 +88,14 @@ def test_plan_is_native(spark):
     table = spark.createDataFrame([(1, 0, "user", "x")], "conv_id long, turn long, role string, text string")
     plan = rendered(chat.canonical_turns(table))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas", plan) and plan.count("Exchange hashpartitioning") == 1
+
+
+def test_every_layout_may_have_a_system_text(spark):
+    for asked, answered in (("prompt", "response"), ("prompt", "completion"), ("question", "answer"), ("instruction", "output")):
+        record = spark.sql(f"SELECT 1L AS conv_id, 's' AS system, 'q' AS {asked}, 'a' AS {answered}")
+        got = [(r.role, r.text) for r in chat.canonical_turns(record).orderBy("n").collect()]
+        assert got == [("system", "s"), ("user", "q"), ("assistant", "a")]
+    record = spark.sql("SELECT 1L AS conv_id, 's' AS system, 'q' AS instruction, 'i' AS input, 'a' AS output")
+    got = [(r.role, r.text) for r in chat.canonical_turns(record).orderBy("n").collect()]
+    assert got == [("system", "s"), ("user", "q\n\ni"), ("assistant", "a")]
+    assert len({chat.fingerprint(known.paths) for known in chat.LAYOUTS}) == len(chat.LAYOUTS)

@@ -41,19 +41,20 @@ class Layout:
     rows: tuple[str, str, str] | None = None
 
 
-LAYOUTS = (
+_KNOWN = (
     Layout(("turn", "role", "text"), rows=("turn", "role", "text")),
     Layout(("messages[].role", "messages[].content"), messages=("messages", "role", "content")),
     Layout(("conversations[].from", "conversations[].value"), messages=("conversations", "from", "value")),
     Layout(("prompt", "response"), (("user", "prompt"), ("assistant", "response"))),
     Layout(("prompt", "completion"), (("user", "prompt"), ("assistant", "completion"))),
-    Layout(("system", "prompt", "response"),
-           (("system", "system"), ("user", "prompt"), ("assistant", "response"))),
     Layout(("question", "answer"), (("user", "question"), ("assistant", "answer"))),
     Layout(("instruction", "output"), (("user", "instruction"), ("assistant", "output"))),
     Layout(("instruction", "input", "output"),
            (("user", "instruction+input"), ("assistant", "output"))),
 )
+# Layouts with a field per turn may have a system text before the first.
+LAYOUTS = _KNOWN + tuple(
+    Layout(("system", *known.paths), (("system", "system"), *known.turns)) for known in _KNOWN if known.turns)
 
 
 def fingerprint(paths) -> str:
