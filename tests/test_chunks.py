@@ -11,7 +11,7 @@ from twinframe.operators import chunks as c
 from twinframe.operators.features import FEATURES, pair_features
 from twinframe.sources.sequences import read_fasta
 
-from .test_assemble import plain_apply, variant_frame
+from .test_assemble import variant_frame
 
 
 def whole(chunks, key="gene"):
