@@ -6,8 +6,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from twinframe.catalogue.views import pair_view
 from twinframe.operators import spread as sp
-from twinframe.session import PARTITIONS_SETTING, dealt_out
+from twinframe.session import PARTITIONS_SETTING, dealt_out, spread_scan
 
 
 def test_lookup_join_with_hot_null_and_missing_keys(spark):
@@ -90,3 +91,12 @@ def test_rows_are_dealt_out_only_where_the_session_says_so(spark):
         assert len(parts) == 5
     finally:
         spark.conf.unset(PARTITIONS_SETTING)
+
+
+def test_a_scan_of_few_tasks_is_spread(spark):
+    cores = spark.sparkContext.defaultParallelism
+    small = pair_view(spark, "/root/testdata/sf0.001")
+    assert small.rdd.getNumPartitions() > 1
+    assert len(small.groupBy(F.spark_partition_id()).count().collect()) > 1
+    wide = spark.range(0, 100, 1, cores)
+    assert spread_scan(wide) is wide

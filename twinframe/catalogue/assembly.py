@@ -10,7 +10,7 @@ from ..operators.metrics import concordance, disagreements, join_annotators
 from ..operators.spread import lookup_join
 from ..plans.evaluation import compare_annotators
 from ..plans.prediction import explain, predict, variant_records
-from ..session import dealt_out
+from ..session import spread_scan
 from ..sources.sequences import fasta_records as parse_fasta
 from ..sources.sinks import report_columns
 from ..sources.variants import explode_annotations, variant_columns
@@ -56,7 +56,7 @@ def located_events(spark, sf):
         "event_id", F.col("event_type").alias("chrom"),
         F.expr("(unix_micros(CAST(ts AS timestamp)) - unix_micros(CAST(first_ts AS timestamp))) div 1000000").alias("pos"))
     names = types.agg(F.array_sort(F.collect_set("event_type"))).scalar()
-    orders = dealt_out(table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice"))
+    orders = spread_scan(table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice"))
     spans = orders.withColumn("_names", names).select(
         F.get("_names", (F.col("o_custkey") % F.size("_names")).cast("int")).alias("chrom"),
         F.expr("o_orderkey * 977 % 2600000").alias("start"),
@@ -175,7 +175,7 @@ PART_TEXTS = f"""(SELECT CAST(p_partkey AS VARCHAR) AS id,
 def order_texts(spark, sf):
     tail = F.when(F.col("o_orderstatus") == "P", "P*").otherwise("")
     columns = "o_orderkey o_custkey o_orderstatus"
-    return dealt_out(table(spark, sf, "orders").select(*columns.split())).select(
+    return spread_scan(table(spark, sf, "orders").select(*columns.split())).select(
         F.col("o_custkey").cast("string").alias("id"), "o_orderkey",
         F.concat(dna_of(F.col("o_orderkey"), "d"), tail).alias("seq"))
 
@@ -237,7 +237,7 @@ def annotated_lines(spark, sf):
     second = F.when(F.col("l_linestatus") == "F", F.lit("A|other|HIGH|g0")).otherwise(
         F.concat_ws("|", F.lit("C"), F.lit("unknown_effect"), F.lit("LOW"), gene, F.lit("t|t|t|t|t|t|t|t")))
     columns = " ".join(LINE_KEY) + " l_returnflag l_linestatus"
-    return dealt_out(table(spark, sf, "lineitem").select(*columns.split())).select(
+    return spread_scan(table(spark, sf, "lineitem").select(*columns.split())).select(
         F.concat(F.lit("DP=9;ANN="), first, F.lit(","), second, F.lit(";ANN=x|y")).alias("info"),
         F.struct(*LINE_KEY).alias("row_no"))
 

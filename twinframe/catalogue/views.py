@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.sequence import CODON_PRODUCTS, build_variant
 from ..operators.spread import with_once
-from ..session import dealt_out
+from ..session import spread_scan
 
 # Letters that stand for hex digits in made-up texts.
 HEX = "0123456789abcdef"
@@ -40,7 +40,7 @@ def pair_view(spark: SparkSession, sf: str) -> DataFrame:
 
     kind = F.col("p_partkey") % 5
     return (
-        table(spark, sf, "part")
+        spread_scan(table(spark, sf, "part").select("p_partkey", "p_brand", "p_retailprice"))
         .withColumns({
             "pos": (F.col("p_partkey") % 32).cast("int") + 1, "ref_seq": letters_of(F.col("p_brand"))})
         .select(
@@ -88,7 +88,7 @@ def scored_view(spark: SparkSession, sf: str) -> DataFrame:
     first_code = F.when(line == 7, F.concat(F.lit("?"), pos.cast("string"), F.col("letter"))).otherwise(
         code(pos, F.col("letter")))
     columns = " ".join(LINE_KEY) + " l_tax"
-    lines = dealt_out(table(spark, sf, "lineitem").select(*columns.split())).withColumn("assay", F.concat(
+    lines = spread_scan(table(spark, sf, "lineitem").select(*columns.split())).withColumn("assay", F.concat(
         F.lit("S"), F.col("l_suppkey").cast("string"), F.lit("_N"), (F.col("l_suppkey") % 25).cast("string")))
     return (
         with_once(lines, ref_seq=letters_of(F.col("assay")))
@@ -170,7 +170,7 @@ def translate_sql(text: str) -> str:
 
 def gene_view(spark: SparkSession, sf: str) -> DataFrame:
     """Reference texts, one per part."""
-    return table(spark, sf, "part").select(
+    return spread_scan(table(spark, sf, "part").select("p_partkey")).select(
         F.col("p_partkey").cast("string").alias("id"), dna_of(F.col("p_partkey")).alias("seq"))
 
 
@@ -183,7 +183,7 @@ def variant_view(spark: SparkSession, sf: str) -> DataFrame:
     base = F.substring(F.lit("ACGT"), (F.col("l_suppkey") % 4).cast("int") + 1, F.lit(1))
     several = (F.col("l_returnflag") == "R") & (F.col("l_tax") < 0.005)
     columns = " ".join(LINE_KEY) + " l_returnflag l_tax"
-    return dealt_out(table(spark, sf, "lineitem").select(*columns.split())).select(
+    return spread_scan(table(spark, sf, "lineitem").select(*columns.split())).select(
         F.col("l_partkey").cast("string").alias("chrom"),
         (F.col("l_orderkey") % 60).alias("pos"),
         F.when(kind == 2, F.lit("CGT")).when(kind == 3, F.lit("AC")).otherwise(F.lit("C")).alias("ref"),

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
 PARTITIONS_SETTING = "twinframe.input.partitions"
+TASKS_PER_CORE = 4
 _local_folder: str | None = None
 _stored: list[str] = []
 
@@ -43,6 +44,19 @@ def dealt_out(df: DataFrame) -> DataFrame:
     return df.repartition(int(wanted)) if wanted else df
 
 
+def spread_scan(df: DataFrame) -> DataFrame:
+    """`df`, a scan, over several tasks per core where it would have fewer tasks than there are cores.
+
+    A small file is one task, whatever costly work follows on its rows. Scans of
+    more tasks are left as they are, and `twinframe.input.partitions` goes first.
+    """
+    spark = df.sparkSession
+    if spark.conf.get(PARTITIONS_SETTING, None):
+        return dealt_out(df)
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(TASKS_PER_CORE * cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write `df` once to the shared folder and read it back.
 
