@@ -166,3 +166,13 @@ def test_one_large_gene_in_little_memory(tmp_path, n, edits, check):
     script.write_text(textwrap.dedent(LARGE.format(root=str(Path(c.__file__).parents[2]), n=n, edits=edits, check=check)))
     done = subprocess.run([sys.executable, str(script)], capture_output=True, text=True, timeout=600)
     assert "equal" in done.stdout, done.stderr[-3000:]
+
+
+def test_translations_are_looked_up_only_where_something_is_cut(spark, monkeypatch):
+    looked_up = []
+    real = c.lookup_join
+    monkeypatch.setattr(c, "lookup_join", lambda df, table, *rest: looked_up.append(table.count()) or real(df, table, *rest))
+    df = spark.createDataFrame([(1, "ATGAAA"), (2, "ATGTAAAAA"), (3, "ATGxAA")], "id int, seq string")
+    products = c.chunk_products(c.cut_texts(df, size=3))
+    got = [whole(c.ended_products(products, to_stop=stop, size=3), "id") for stop in (False, True)]
+    assert got == [{1: "MK", 2: "M*K", 3: ""}, {1: "MK", 2: "M", 3: ""}] and looked_up == [1, 2]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import assemble as a
 from ..operators import chunks as c
 from ..operators.features import FEATURES
-from ..session import dealt_out
+from ..session import spread_scan
 from .assembly import EDITED_GENES
 from .pairs import ORDER_DNA, features_sql
 from .register import query, rounded
@@ -45,7 +45,7 @@ SELECT CAST(number AS BIGINT) AS number, id, chunk, text
 FROM {chunks_sql('texts', 'number', 'seq', 60)} JOIN heads USING (number) WHERE id <> '' OR text <> ''""")
 def sequence_chunks(spark, sf):
     key = F.col("o_orderkey")
-    lines = dealt_out(table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")).select(
+    lines = spread_scan(table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")).select(
         F.lit("orders").alias("file"), key.alias("line"),
         F.when(key % 10 == 0, F.concat(F.lit("> id"), F.col("o_custkey").cast("string"), F.lit(" "), "o_orderpriority"))
         .otherwise(F.concat(F.md5(key.cast("string")), F.lit(" \tx"))).alias("value"))
@@ -60,9 +60,10 @@ s AS (SELECT o_orderkey, split_part(protein, '*', 1) AS protein FROM t)
 SELECT false AS to_stop, * FROM {chunks_sql('t', 'o_orderkey', 'protein', SIZE // 3)}
 UNION ALL SELECT true, * FROM {chunks_sql('s', 'o_orderkey', 'protein', SIZE // 3)}""")
 def chunk_translations(spark, sf):
-    orders = dealt_out(table(spark, sf, "orders").select("o_orderkey"))
+    orders = spread_scan(table(spark, sf, "orders").select("o_orderkey"))
     parts = c.cut_texts(orders.select("o_orderkey", dna_of(F.col("o_orderkey"), "ab").alias("d")), "o_orderkey", "d", SIZE)
-    whole, stopped = (c.translate_chunks(parts, "o_orderkey", stop, SIZE) for stop in (False, True))
+    products = c.chunk_products(parts, "o_orderkey")
+    whole, stopped = (c.ended_products(products, "o_orderkey", stop, SIZE) for stop in (False, True))
     return whole.select(F.lit(False).alias("to_stop"), "*").unionByName(stopped.select(F.lit(True).alias("to_stop"), "*"))
 
 

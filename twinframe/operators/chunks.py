@@ -29,6 +29,8 @@ from .features import FEATURES, START
 from .spread import lookup_join, running_totals
 
 SIZE = 3 << 14
+# Texts of so many chunks may be a large part of a table.
+MANY_CHUNKS = 1000
 
 
 def _checked(size: int) -> int:
@@ -209,14 +211,29 @@ def translate_chunks(chunks: DataFrame, key: str = "id", to_stop: bool = False,
     `to_stop` it ends before the first stop: both are one value per key, found
     over its chunks first. Chunks behind the end are left out, the first one is not.
     """
+    return ended_products(chunk_products(chunks, key), key, to_stop, size)
+
+
+def chunk_products(chunks: DataFrame, key: str = "id") -> DataFrame:
+    """The stored translation of every chunk by itself, for `ended_products` to read as often as it is called."""
+    return materialize(
+        chunks.select(key, "chunk", F.length("text").alias("_n"), translate("text").alias("text")), "products")
+
+
+def ended_products(products: DataFrame, key: str = "id", to_stop: bool = False, size: int = SIZE) -> DataFrame:
+    """What `translate_chunks` gives, from `chunk_products`.
+
+    Facts are looked up for keys that have something to cut, and for keys of many
+    rows, whose number tells `lookup_join` which ones to deal out.
+    """
     third = _checked(size) // 3
-    products = chunks.select(key, "chunk", F.length("text").alias("_n"), translate("text").alias("text"))
-    products = materialize(products, "products")
     stop = F.instr("text", STOP)
     facts = products.groupBy(key).agg(
         F.max((F.col("_n") >= 3) & (F.col("text") == "")).alias("_bad"),
-        F.min(F.when(stop > 0, F.col("chunk") * third + stop)).alias("_stop"), F.count(F.lit(1)).alias("_rows"))
-    joined = lookup_join(products, facts, [key], "_rows")
+        F.min(F.when((stop > 0) & F.lit(to_stop), F.col("chunk") * third + stop)).alias("_stop"),
+        F.count(F.lit(1)).alias("_rows"))
+    needed = F.col("_bad") | F.col("_stop").isNotNull() | (F.col("_rows") >= MANY_CHUNKS)
+    joined = lookup_join(products, facts.filter(needed), [key], "_rows")
     kept = F.col("text")
     if to_stop:
         left = F.greatest(F.lit(0).cast("long"), F.col("_stop") - 1 - F.col("chunk") * third)
