@@ -1,6 +1,7 @@
 import random
 import time
 
+import pyarrow as pa
 import pytest
 from pyspark.errors import PySparkException
 
@@ -167,3 +168,33 @@ def test_predictions(spark):
     assert got["a"].prediction == "low" and got["b"].prediction == "low"
     assert sum(got["a"].probabilities) == pytest.approx(1) and got["a"].confidence == max(got["a"].probabilities)
     assert got["a"].top_positions[0].type == "nonsense" and got["a"].premature_stop == 1.0
+
+
+def test_a_range_is_swept_batch_by_batch():
+    """Points of one batch are given before the next one is read, and no more intervals are held than may still count."""
+    kind = pa.struct([("ord", pa.int64()), ("start", pa.int64()), ("gene", pa.string())])
+    names = ["chrom", "pos", "n", "hit", "kind", "low", "high", "_range"]
+
+    def batch(rows):
+        columns = list(zip(*rows))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(columns[0], pa.string()), *(pa.array(columns[i], pa.int64()) for i in (1, 2)), pa.array(columns[3], kind),
+             *(pa.array(columns[i], pa.int64()) for i in range(4, 8))], names)
+
+    def begun(low, high, order):
+        return ("a", low, None, {"ord": order, "start": low, "gene": f"g{order}"}, a.START, low, high, 0)
+
+    read = []
+
+    def batches():
+        for k in range(3):
+            read.append(k)
+            yield batch([begun(k, 10, k), ("a", k, 1, None, a.POINT, None, None, 0)])
+
+    swept = a._sweep(batches(), {0: (True, "a", 0)}, names[:4])
+    assert [h["ord"] for h in next(swept).column(3).to_pylist()] == [0] and read == [0]
+    assert [h["ord"] for x in swept for h in x.column(3).to_pylist()] == [0, 0] and read == [0, 1, 2]
+    held = a._Open()
+    for i in range(1000):
+        held.add(1000 - i, 2000 + i, pa.scalar(i))
+    assert len(held.hits) == 1 and held.first(2998) == 999 and held.first(2999) is None

@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-from bisect import bisect_right
-from heapq import heapify, heappop, heappush
+from bisect import bisect_left, bisect_right
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -61,7 +59,8 @@ def first_covering(points: DataFrame, intervals: DataFrame, space: str = "chrom"
     values, null for a point that no interval covers or whose fields are null.
 
     Points and both ends of all intervals are dealt out in ranges, and each
-    range is swept once with a heap of the open intervals by their order. An
+    range is swept once, batch by batch in the order of positions; held are only
+    those open intervals of which no earlier one in order ends as late. An
     interval that reaches into a range from the left and ends there is known by
     its end; of those that cover a whole range only the first counts. So an
     interval is in two rows, however long it is. The driver gets one position
@@ -90,10 +89,12 @@ def first_covering(points: DataFrame, intervals: DataFrame, space: str = "chrom"
     begin_of = {number: place for place, number in begins}
 
     def run(batches):
-        for part in _by_last_column(batches):
-            yield _sweep(part, begin_of[part.column(len(names) - 1)[0].as_py()], kept)
+        return _sweep(batches, begin_of, kept)
 
-    ordered = swept.select(*names).repartition("_range").sortWithinPartitions("_range")
+    # What reaches into a range comes first; at one position intervals begin before points are looked up.
+    ahead = ~F.col("kind").isin(END, COVER)
+    ordered = swept.select(*names).repartition("_range").sortWithinPartitions(
+        "_range", ahead, space, "pos", F.desc("kind"))
     found = ordered.mapInArrow(run, schema)
     position = points.schema["pos"].dataType
     return found.withColumn("pos", F.col("pos").cast(position))
@@ -132,62 +133,55 @@ def _covers(ranged: DataFrame, begins: list[tuple], space: str) -> DataFrame:
         "_range", "hit", F.lit(COVER).alias("kind"))
 
 
-def _by_last_column(batches):
-    """The rows of each value of the last column, which come together, as one batch."""
-    held: list[pa.RecordBatch] = []
+class _Open:
+    """Open intervals by their order, without those that an earlier one outlasts, so their ends ascend too."""
+
+    def __init__(self):
+        self.orders, self.ends, self.hits = [], [], []
+
+    def add(self, order, end, hit: pa.Scalar) -> None:
+        at = bisect_left(self.orders, order)
+        if at and self.ends[at - 1] >= end or at < len(self.orders) and self.orders[at] == order and self.ends[at] >= end:
+            return
+        stop = bisect_right(self.ends, end, lo=at)
+        self.orders[at:stop], self.ends[at:stop], self.hits[at:stop] = [order], [end], [hit.as_py()]
+
+    def first(self, pos):
+        """The hit of the first interval in order that reaches beyond `pos`; those that do not are closed."""
+        if self.ends and self.ends[0] <= pos:
+            gone = bisect_right(self.ends, pos)
+            del self.orders[:gone], self.ends[:gone], self.hits[:gone]
+        return self.hits[0] if self.hits else None
+
+
+def _sweep(batches, begin_of: dict[int, tuple], kept: list[str]):
+    """The points of sorted batches of ranges, each with the first interval that is open there."""
+    number = begin = now = opened = None
     for batch in batches:
-        values = batch.column(batch.num_columns - 1).to_numpy()
-        cuts = [0, *(np.flatnonzero(values[1:] != values[:-1]) + 1).tolist(), len(values)]
-        for a, b in zip(cuts, cuts[1:]):
-            if a == b:
+        hits = batch.column(3)
+        columns = [batch.column(i).to_pylist() for i in (0, 1, 4, 5, 6, 7)]
+        points, found = [], []
+        for i, (space, pos, kind, low, high, order, own) in enumerate(zip(
+                *columns[:5], hits.field("ord").to_pylist(), columns[5])):
+            if own != number:
+                number, begin = own, begin_of[own]
+                now, opened = begin[1] if begin[0] else None, _Open()
+            if kind == COVER:
+                opened.add(order, float("inf"), hits[i])
+                continue
+            if kind == END:
+                if space == now and _place(space, low) < begin:
+                    opened.add(order, high, hits[i])
+                continue
+            if space != now:
+                now, opened = space, _Open()
+            if kind == START:
+                opened.add(order, high, hits[i])
                 continue
-            if held and held[-1].column(batch.num_columns - 1)[0].as_py() != values[a]:
-                yield _one(held)
-                held = []
-            held.append(batch.slice(a, b - a))
-    if held:
-        yield _one(held)
-
-
-def _one(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
-    return pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
-
-
-def _sweep(part: pa.RecordBatch, begin: tuple, kept: list[str]) -> pa.RecordBatch:
-    """The points of one range, each with the first interval that is open there."""
-    spaces, positions, _, hits, kinds, lows, highs, _ = part.columns
-    space, pos, kind = spaces.to_pylist(), positions.to_pylist(), kinds.to_pylist()
-    low, high, orders = lows.to_pylist(), highs.to_pylist(), hits.field("ord").to_pylist()
-    points, opened, covers = [], [], []
-    for i, k in enumerate(kind):
-        if k == POINT:
-            points.append((_place(space[i], pos[i]), i))
-        elif k == COVER:
-            covers.append((orders[i], i, float("inf")))
-        elif k == START:
-            opened.append((_place(space[i], low[i]), i))
-        elif (place := _place(space[i], low[i])) < begin:
-            opened.append((place, i))
-    points.sort()
-    opened.sort()
-    heap, at, now = list(covers), 0, None
-    heapify(heap)
-    found: list[int | None] = []
-    for place, _ in points:
-        if now != place[:2]:
-            if now is not None:
-                heap = []
-            now = place[:2]
-        while at < len(opened) and opened[at][0] <= place:
-            (where, i), at = opened[at], at + 1
-            if where[:2] == now:
-                heappush(heap, (orders[i], i, high[i]))
-        while heap and heap[0][2] <= place[2]:
-            heappop(heap)
-        found.append(heap[0][1] if heap and place[0] and place[2] != float("-inf") else None)
-    rows = pa.array([i for _, i in points], pa.int64())
-    chosen = part.select(kept).take(rows)
-    return chosen.set_column(3, "hit", hits.take(pa.array(found, pa.int64())))
+            points.append(i)
+            found.append(opened.first(pos) if space is not None and pos is not None else None)
+        chosen = batch.select(kept).take(pa.array(points, pa.int64()))
+        yield chosen.set_column(3, "hit", pa.array(found, hits.type))
 
 
 def locate_variants(variants: DataFrame, annotations: DataFrame | None = None) -> DataFrame:
