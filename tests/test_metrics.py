@@ -145,3 +145,17 @@ def test_scaling_and_learning(spark):
         got = called.collect()
         assert len(got) == 50 and np.mean([r.label == r.prediction for r in got]) > 0.8
         assert all(sum(r.probabilities) == pytest.approx(1) for r in got)
+
+
+def test_a_large_forest_is_trained_in_parts(spark):
+    assert learn._forest_sizes(500, 8_000, learn.ROW_TREES) == [500]
+    assert learn._forest_sizes(500, 41_000, learn.ROW_TREES) == [84, 84, 83, 83, 83, 83]
+    assert learn._forest_sizes(3, 10**9, learn.ROW_TREES) == [1, 1, 1] and learn._forest_sizes(2, 0, 1) == [1, 1]
+    rng = random.Random(5)
+    rows = [(i, i % 3, [rng.gauss(i % 3 * 4, 1), rng.gauss(0, 1), 7.0]) for i in range(150)]
+    df = spark.createDataFrame(rows, "id int, label int, features array<double>")
+    train, test = df.filter("id < 100"), df.filter("id >= 100")
+    got = learn.random_forest(train, test, trees=7, max_depth=4, row_trees=300).collect()
+    assert len(got) == 50 and np.mean([r.label == r.prediction for r in got]) > 0.8
+    for r in got:
+        assert sum(r.probabilities) == pytest.approx(1) and r.prediction == int(np.argmax(r.probabilities))

@@ -19,6 +19,9 @@ from pyspark.sql import functions as F
 from ..functions.vector import doubles_sql
 from ..session import materialize
 
+# A part of a forest has at most so many rows times trees.
+ROW_TREES = 4_000_000
+
 
 def column_statistics(df: DataFrame, vector: str = "features") -> DataFrame:
     """Mean and population deviation of each component, as one row of two arrays."""
@@ -112,16 +115,40 @@ def logistic_certificate(
         "class", "component", "coefficient", (F.col("_mean") + penalty).alias("gradient"))
 
 
+def _forest_sizes(trees: int, rows: int, row_trees: int) -> list[int]:
+    """`trees` in as few parts of about the same size as keep rows times trees of a part within `row_trees`."""
+    parts = -(-trees // max(1, min(trees, row_trees // max(rows, 1))))
+    return [trees // parts + (i < trees % parts) for i in range(parts)]
+
+
 def random_forest(
     train: DataFrame, test: DataFrame, vector: str = "features", label: str = "label",
-    trees: int = 500, min_leaf: int = 5, max_depth: int = 30, seed: int = 42,
+    trees: int = 500, min_leaf: int = 5, max_depth: int = 30, seed: int = 42, row_trees: int = ROW_TREES,
 ) -> DataFrame:
-    """Random forest. MLlib limits the depth of a tree to 30."""
-    # Kept node ids spare walking down every deep tree again on each level.
-    estimator = RandomForestClassifier(
-        numTrees=trees, minInstancesPerNode=min_leaf, maxDepth=max_depth, seed=seed,
-        cacheNodeIds=True, maxMemoryInMB=1024)
-    return _fit_and_predict(estimator, train, test, vector, label, None)
+    """Random forest. MLlib limits the depth of a tree to 30.
+
+    MLlib holds a number per row and tree while it trains, and all trees where it
+    predicts; both grow with rows times trees. So a large forest is trained in
+    parts of at most `row_trees`, of which only one is held at a time: the votes of
+    its trees are added to those stored with the test rows. Part i has the seed
+    `seed + i`.
+    """
+    statistics = materialize(column_statistics(train, vector), "column-statistics")
+    rows = materialize(_prepared(standardize(train, statistics, vector), label).select("_features", "_label"), "forest-rows")
+    scored = _prepared(standardize(test, statistics, vector), label).select(*test.columns, "_features")
+    for i, size in enumerate(_forest_sizes(trees, rows.count(), row_trees)):
+        # Kept node ids spare walking down every deep tree again on each level. The subset is the usual
+        # one, which MLlib would not take for a part of one tree.
+        fitted = RandomForestClassifier(
+            numTrees=size, minInstancesPerNode=min_leaf, maxDepth=max_depth, seed=seed + i, cacheNodeIds=True,
+            featureSubsetStrategy="sqrt", featuresCol="_features", labelCol="_label").fit(rows)
+        own = vector_to_array("rawPrediction")
+        votes = own if i == 0 else F.zip_with("_votes", own, lambda a, b: a + b)
+        scored = materialize(fitted.transform(scored).select(*test.columns, "_features", votes.alias("_votes")), "votes")
+    total = F.aggregate("_votes", F.lit(0.0), lambda a, b: a + b)
+    return scored.select(
+        *test.columns, (F.array_position("_votes", F.array_max("_votes")) - 1).cast("int").alias("prediction"),
+        F.transform("_votes", lambda x: x / total).alias("probabilities"))
 
 
 def perceptron(
