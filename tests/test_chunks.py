@@ -176,3 +176,16 @@ def test_translations_are_looked_up_only_where_something_is_cut(spark, monkeypat
     products = c.chunk_products(c.cut_texts(df, size=3))
     got = [whole(c.ended_products(products, to_stop=stop, size=3), "id") for stop in (False, True)]
     assert got == [{1: "MK", 2: "M*K", 3: ""}, {1: "MK", 2: "M", 3: ""}] and looked_up == [1, 2]
+
+
+def test_edits_are_not_counted_a_second_time(spark, monkeypatch):
+    """Lookups know the rows of their keys, so the edits are worked out once only."""
+    weights = []
+    real = c.lookup_join
+    monkeypatch.setattr(c, "lookup_join", lambda df, table, on, weight=None, how="left": weights.append(weight) or real(
+        df, table, on, weight, how))
+    located = spark.createDataFrame(
+        [("g", "g", 1, "C", "T", 1), ("g", "g", 4, "C", "CA", 2)], "gene string, chrom string, local_pos long, ref string, alt string, row_no int")
+    parts = c.cut_texts(spark.createDataFrame([("g", "ACGTCG"), ("h", "AAA")], "id string, seq string"), size=3)
+    assert whole(c.edit_chunks(located, parts, size=3), "gene") == {"g": "ATGTCAG"}
+    assert weights and None not in weights

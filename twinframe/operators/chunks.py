@@ -157,10 +157,12 @@ def edit_chunks(
     used = applicable_variants(located)
     sizes = chunks.groupBy(F.col("id").alias("gene")).agg(
         F.max("chunk").alias("final"), F.count(F.lit(1)).alias("rows"))
-    sizes = materialize(sizes.join(used.select("gene").distinct(), "gene", "left_semi"), "sizes")
-    texts = lookup_join(chunks.withColumnRenamed("id", "gene"), sizes, ["gene"], "rows", "inner")
+    counted = used.groupBy("gene").agg(F.count(F.lit(1)).alias("edits"))
+    sizes = materialize(sizes.join(counted, "gene"), "sizes")
+    texts = lookup_join(chunks.withColumnRenamed("id", "gene"), sizes.drop("edits"), ["gene"], "rows", "inner")
     texts = materialize(texts.select("gene", "chunk", (F.col("chunk") == F.col("final")).alias("last"), "text"), "texts")
-    lists = _edit_lists(lookup_join(reduced_edits(used, order), sizes.drop("rows"), ["gene"], how="inner"), order, size)
+    placed = lookup_join(reduced_edits(used, order), sizes.drop("rows"), ["gene"], "edits", "inner")
+    lists = _edit_lists(placed, order, size)
     on = ["gene", "chunk"]
     rounds = [materialize(_applied(texts.join(lists, on), strict, True), "edited")]
     while True:
