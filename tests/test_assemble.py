@@ -198,3 +198,50 @@ def test_a_range_is_swept_batch_by_batch():
     for i in range(1000):
         held.add(1000 - i, 2000 + i, pa.scalar(i))
     assert len(held.hits) == 1 and held.first(2998) == 999 and held.first(2999) is None
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_records_meet_their_references_and_logits_by_shuffles_only(spark):
+    refs = spark.createDataFrame([("g", "ACGTACGT")], "id string, seq string")
+    records = variant_records(variant_frame(spark, [("g", 0, "A", "T", 1)]), refs)
+    assert "Join" not in plan_of(records)
+    logits = spark.createDataFrame([("g", [1.0, 0.0, 0.0])], "gene string, logits array<double>")
+    called = predict(records, logits)
+    assert "BroadcastHashJoin" not in called._jdf.queryExecution().executedPlan().toString()
+    assert [r.prediction for r in called.collect()] == ["low"]
+
+
+@pytest.mark.parametrize("heavy", [3, 100_000])
+def test_genes_of_many_variants_give_the_same_records(spark, heavy):
+    rng = random.Random(8)
+    genes = {f"g{i}": "".join(rng.choice("ACGT") for _ in range(60)) for i in range(8)} | {"none": None}
+    rows, kinds = [], [("A", "t"), ("A", "C"), ("A", "ACC"), ("ACG", "A"), ("AC", "GT")]
+    for gene in [*genes, "unknown", None]:
+        for _ in range(400 if gene == "g0" else 6):
+            # Two fields of order; chromosomes mix in a gene.
+            order = (rng.randrange(5), len(rows))
+            rows.append((gene, f"c{order[0]}", rng.randrange(12 if gene == "g0" else 30), *rng.choice(kinds[:3] if gene == "g0" else kinds), order))
+    located = spark.createDataFrame(
+        rows, "gene string, chrom string, local_pos int, ref string, alt string, row_no struct<a:int,b:int>").repartition(5)
+    refs = spark.createDataFrame(list(genes.items()), "id string, seq string")
+    got = {r.gene: r for r in a.apply_variants(located, refs, heavy=heavy).collect()}
+    lists = {r.gene: r for r in a.gene_edits(located, heavy=heavy).collect()}
+    assert got.keys() == genes.keys() and lists.keys() == {*genes, "unknown", None}
+    for gene in lists:
+        own = sorted((r for r in rows if r[0] == gene), key=lambda r: r[5])
+        assert lists[gene].chrom == own[0][1] and lists[gene].n_variants == len(own)
+        if genes.get(gene):
+            wanted = plain_apply(genes[gene], [r[2:5] for r in own])
+            edits = [(e.pos, e.ref_size, e.alt) for e in lists[gene].edits]
+            assert got[gene].var_dna == wanted == a.edited_text(genes[gene], edits)
+            assert (got[gene].chrom, got[gene].n_variants) == (own[0][1], len(own))
+    assert got["none"].var_dna is None
+
+
+def test_a_run_of_one_gene_over_many_batches_stays_whole():
+    batches = [pa.RecordBatch.from_arrays([pa.array(list(x), pa.string())], ["gene"]) for x in ("ab", "b", "bbc", "", "d", "de")]
+    got = ["".join(b.column(0).to_pylist()) for b in a._whole_runs(batches)]
+    assert "".join(got) == "abbbbcdde" and all(x[-1] != y[0] for x, y in zip(got, got[1:]))

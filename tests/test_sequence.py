@@ -148,3 +148,11 @@ def test_small_text_functions(spark):
     assert len(key[0]) == 16 and key[1] == 64
     flags = spark.createDataFrame([("ACGTN",), ("ACGU",), ("",), ("A" * 100 + "Q",), ("AC\n",)], "t string")
     assert [r[0] for r in flags.select(s.is_nucleotide("t")).collect()] == [True, False, True, True, False]
+
+
+def test_translation_reads_small_letters_of_any_kind(spark):
+    texts = ["augGcuUAa", "acn", "augſſſ", "augß", "zzz", "", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [r[0] for r in rows.select(s.translate("t")).collect()]
+    wanted = [r[0] for r in rows.selectExpr("upper(t) t").select(s.translate("t")).collect()]
+    assert got == wanted and got[:2] == ["MA*", "T"] and got[4:] == ["", "", None]

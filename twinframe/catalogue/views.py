@@ -183,14 +183,14 @@ def variant_view(spark: SparkSession, sf: str) -> DataFrame:
     base = F.substring(F.lit("ACGT"), (F.col("l_suppkey") % 4).cast("int") + 1, F.lit(1))
     several = (F.col("l_returnflag") == "R") & (F.col("l_tax") < 0.005)
     columns = " ".join(LINE_KEY) + " l_returnflag l_tax"
-    return spread_scan(table(spark, sf, "lineitem").select(*columns.split())).select(
-        F.col("l_partkey").cast("string").alias("chrom"),
-        (F.col("l_orderkey") % 60).alias("pos"),
-        F.when(kind == 2, F.lit("CGT")).when(kind == 3, F.lit("AC")).otherwise(F.lit("C")).alias("ref"),
-        F.when(several, F.lit("A,T")).when(kind == 1, F.concat(F.lit("C"), base, base))
-        .when(kind == 3, F.lit("GG")).otherwise(base).alias("alt"),
-        F.struct(*LINE_KEY).alias("row_no"),
-    )
+    lines = spread_scan(table(spark, sf, "lineitem").select(*columns.split()))
+    return with_once(
+        lines,
+        chrom=F.col("l_partkey").cast("string"),
+        ref=F.when(kind == 2, F.lit("CGT")).when(kind == 3, F.lit("AC")).otherwise(F.lit("C")),
+        alt=F.when(several, F.lit("A,T")).when(kind == 1, F.concat(F.lit("C"), base, base))
+        .when(kind == 3, F.lit("GG")).otherwise(base),
+    ).select("chrom", (F.col("l_orderkey") % 60).alias("pos"), "ref", "alt", F.struct(*LINE_KEY).alias("row_no"))
 
 
 VARIANTS = """(

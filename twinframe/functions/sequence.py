@@ -197,7 +197,11 @@ def _product_of(codon: str) -> str:
 
 
 def translate_sql(dna: str, to_stop: bool = False) -> str:
-    text = f"translate(upper({dna}), 'U', 'T')"
+    # Letters of one byte each are upper-cased by the same lookup, which `upper` takes far longer for.
+    known = "".join(AMBIGUITY) + "U"
+    plain = f"translate({dna}, '{known.lower()}U', '{known[:-1]}TT')"
+    once = f"if(octet_length({dna}) = length({dna}), {plain}, translate(upper({dna}), 'U', 'T'))"
+    text = "text__"
     letters = "".join(AMBIGUITY)
 
     def products(alphabet: str, table: str) -> str:
@@ -214,9 +218,11 @@ def translate_sql(dna: str, to_stop: bool = False) -> str:
     protein = (
         rf"CASE WHEN {complete} RLIKE R'\A[{BASES}]*\z' THEN {small}"
         rf" WHEN {complete} RLIKE R'\A[{letters}]*\z' THEN {large}"
-        rf" WHEN {dna} IS NOT NULL THEN '' END"
+        rf" WHEN {text} IS NOT NULL THEN '' END"
     )
-    return f"substring_index({protein}, '{STOP}', 1)" if to_stop else protein
+    ended = f"substring_index({protein}, '{STOP}', 1)" if to_stop else protein
+    # A lambda names the text, so that it is worked out once.
+    return f"transform(array({once}), text__ -> {ended})[0]"
 
 
 def translate(dna: str, to_stop: bool = False) -> Column:

@@ -4,19 +4,24 @@ from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.sequence import drop_stops, is_nucleotide, translate
 from ..session import materialize
-from .spread import lookup_join
+from .spread import SPLIT, lookup_join
 
 # Intervals are cut into aligned blocks of 8**level positions, at most 14 of a
 # level. Ten levels reach over 2**30 positions, and longer intervals only take
 # more top blocks.
 RADIX_BITS = 3
 LEVELS = 10
+# Genes are counted by so many hashes; where more rows have one, its substitutions are reduced ahead.
+GENE_BUCKETS, HEAVY_ROWS = 1 << 16, 100_000
 
 
 def interval_blocks(intervals: DataFrame) -> DataFrame:
@@ -203,13 +208,14 @@ def locate_variants(variants: DataFrame, annotations: DataFrame | None = None) -
 
 # Why a variant is not applied.
 SEVERAL_ALLELES, SYMBOLIC, SAME_LENGTH = "several alleles", "symbolic allele", "same length"
+PLAIN = r"R'\A[A-Za-z]+\z'"
 
 
 def reject_reason(ref: str = "ref", alt: str = "alt") -> Column:
     """Why a variant cannot be applied, null for one that can."""
     return F.expr(
         f"CASE WHEN contains({alt}, ',') THEN '{SEVERAL_ALLELES}'"
-        f" WHEN NOT {alt} RLIKE R'\\A[A-Za-z]+\\z' THEN '{SYMBOLIC}'"
+        f" WHEN NOT {alt} RLIKE {PLAIN} THEN '{SYMBOLIC}'"
         f" WHEN length({ref}) = length({alt}) AND length({ref}) > 1 THEN '{SAME_LENGTH}' END"
     )
 
@@ -225,8 +231,7 @@ def applicable_variants(variants: DataFrame) -> DataFrame:
     Substitutions of several characters stay: they change nothing, but their
     gene still gets a record.
     """
-    reason = reject_reason()
-    return variants.filter(reason.isNull() | (reason == SAME_LENGTH))
+    return variants.filter(F.expr(f"coalesce(alt RLIKE {PLAIN}, true)"))
 
 
 def edit_operation(pos: int, ref_size: int, alt: str) -> tuple[int, int, str, bool] | None:
@@ -298,81 +303,201 @@ def edited_text(text: str, edits, strict: bool = True) -> str:
     return edit_part(text, filter(None, (edit_operation(*edit) for edit in edits)), strict=strict)[0]
 
 
-def apply_edits(text: str, edits: str, strict: bool = True) -> Column:
-    """Apply edits, sorted to come from right to left, to a text.
+def reduced_edits(located: DataFrame, order: str = "row_no", heavy: int = HEAVY_ROWS) -> DataFrame:
+    """`(gene, pos, ref_size, alt, chrom, <order>, _n)`: edits that stand for `_n` variants each, together for all.
 
-    An edit is a struct of `pos`, `ref_size` and `alt`. One character for one is
-    a substitution; a longer `alt` inserts its surplus; a shorter one deletes.
-    Out of range is an error with `strict`, else the edit is left out. It runs in
-    Python, as SQL functions copy the whole text for each edit.
-    """
-    @F.arrow_udf("string")
-    def edited(texts: pa.Array, lists: pa.Array) -> pa.Array:
-        return pa.array([
-            None if t is None or e is None else edited_text(
-                t, ((x["pos"], x["ref_size"], x["alt"]) for x in e), strict)
-            for t, e in zip(texts.to_pylist(), lists.to_pylist())], pa.string())
-
-    return edited(text, edits)
-
-
-def reduced_edits(located: DataFrame, order: str = "row_no") -> DataFrame:
-    """`(gene, pos, _own, _last, _first, _n)`: the edits of each gene, of substitutions at one place only the last.
-
-    `_last` holds order, ref_size and alt of the edit, `_first` order and chrom of
-    the first variant that it stands for, `_n` how many these are.
+    Substitutions at one position touch nothing but that position, so only the
+    last of them counts. In genes of many rows the first and the last are
+    found before the variants of a gene come together; elsewhere all rows stay.
+    Genes of many rows are told by a pass that counts the rows per hash of the
+    gene, of which at most `SPLIT` with more than `heavy` rows are looked at:
+    any other has fewer rows than one in `SPLIT`.
     """
-    single = (F.length("ref") == 1) & (F.length("alt") == 1)
+    bucket = F.pmod(F.xxhash64("gene"), F.lit(GENE_BUCKETS))
     plain = located.select(
-        "gene", F.col("local_pos").cast("long").alias("pos"), "chrom", order,
-        F.length("ref").alias("ref_size"), "alt",
-        F.when(~single, F.col(order)).alias("_own"),
-    )
-    return plain.groupBy("gene", "pos", "_own").agg(
-        F.max_by(F.struct(order, "ref_size", "alt"), order).alias("_last"),
-        F.min(F.struct(order, "chrom")).alias("_first"),
-        F.count(F.lit(1)).alias("_n"),
-    )
+        "gene", F.col("local_pos").cast("long").alias("pos"), F.length("ref").alias("ref_size"), "alt", "chrom", order,
+        F.lit(1).cast("long").alias("_n"))
+    counted = located.groupBy(bucket.alias("_bucket")).agg(F.count(F.lit(1)).alias("_rows"))
+    many = [r["_bucket"] for r in counted.filter(F.col("_rows") > heavy).orderBy(F.desc("_rows")).limit(SPLIT).collect()]
+    if not many:
+        return plain
+    repeated = F.coalesce(bucket.isin(many) & (F.col("ref_size") == 1) & (F.length("alt") == 1), F.lit(False))
+    variant = F.struct(order, "ref_size", "alt", "chrom")
+    ends = plain.filter(repeated).groupBy("gene", "pos").agg(
+        F.min_by(variant, order).alias("_first"), F.max_by(variant, order).alias("_last"), F.count(F.lit(1)).alias("_rows"))
+    last = F.struct("_last.*", F.greatest(F.col("_rows") - 1, F.lit(1)).cast("long").alias("_n"))
+    first = F.struct("_first.*", F.lit(1).cast("long").alias("_n"))
+    reduced = ends.select("gene", "pos", F.inline(F.when(F.col("_rows") > 1, F.array(first, last)).otherwise(F.array(last))))
+    return plain.filter(~repeated).unionByName(reduced)
+
+
+def _in_order_of_edits(edits: DataFrame, order: str, *further: str) -> DataFrame:
+    """Rows of one gene in one task and next to each other, its edits from right to left.
+
+    The fields of an `order` of several come last, one column each, as structs
+    are slow to hand over row by row.
+    """
+    kind = edits.schema[order].dataType
+    fields = [F.col(order)[f] for f in kind.fieldNames()] if isinstance(kind, T.StructType) else [F.col(order)]
+    return edits.repartition("gene").sortWithinPartitions("gene", F.desc("pos"), order).select(
+        "gene", "pos", "ref_size", "alt", "chrom", "_n", *further, *(f.alias(f"_order{i}") for i, f in enumerate(fields)))
 
 
-def gene_edits(located: DataFrame, order: str = "row_no") -> DataFrame:
+def _whole_runs(batches):
+    """Batches of rows sorted by their first column, cut where its value changes."""
+    held, held_key = [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = batch.column(0)
+        ends = _runs(keys)
+        start = int(ends[-2]) if len(ends) > 1 else 0
+        if held and keys[0].as_py() != held_key:
+            yield pa.concat_batches(held)
+            held = []
+        if start:
+            yield pa.concat_batches([*held, batch.slice(0, start)])
+            held = []
+        held.append(batch.slice(start))
+        held_key = keys[-1].as_py()
+    if held:
+        yield pa.concat_batches(held)
+
+
+def _runs(column: pa.Array) -> np.ndarray:
+    """Where each run of equal values ends."""
+    return pc.run_end_encode(column).run_ends.to_numpy()
+
+
+def _rank(value) -> tuple:
+    """A key that Python orders as Spark orders values and structs, nulls first."""
+    if isinstance(value, dict):
+        return 1, tuple(map(_rank, value.values()))
+    if value is None:
+        return (0,)
+    return (2,) if value != value else (1, value)
+
+
+def _listed(column: pa.Array) -> list:
+    """`to_pylist`, faster where few values repeat."""
+    coded = column.dictionary_encode()
+    values = coded.dictionary.to_pylist()
+    return column.to_pylist() if coded.null_count else [values[i] for i in coded.indices.to_numpy().tolist()]
+
+
+class _Runs:
+    """The genes of a batch that `_in_order_of_edits` gives; `order` is the place of its first column of order."""
+
+    def __init__(self, batch: pa.RecordBatch, order: int = 6):
+        self.gene, self.pos, self.ref_size, self.alt, self.chrom, n = batch.columns[:6]
+        self.order = batch.columns[order:]
+        self.stops = _runs(self.gene)
+        self.starts = np.concatenate([[0], self.stops[:-1]]).astype(np.int64)
+        self.n = n.to_numpy()
+        self.n_variants = np.add.reduceat(self.n, self.starts)
+
+    def changing(self) -> np.ndarray:
+        """Which rows change their text: of substitutions at one position the last."""
+        removed = self.ref_size.to_numpy(zero_copy_only=False)
+        added = pc.utf8_length(self.alt).to_numpy(zero_copy_only=False)
+        pos = self.pos.to_numpy(zero_copy_only=False)
+        single = (removed == 1) & (added == 1)
+        keep = single | (removed != added)
+        at = np.flatnonzero(single)
+        own = np.repeat(np.arange(len(self.stops)), self.stops - self.starts)[at]
+        keep[at[:-1][(own[:-1] == own[1:]) & (pos[at[:-1]] == pos[at[1:]])]] = False
+        return keep
+
+    def first_chrom(self, starts: np.ndarray, stops: np.ndarray) -> list:
+        """For each slice of rows, none of them empty, the chromosome of the first variant in order."""
+        changes = _runs(self.chrom)[:-1]
+        mixed = np.searchsorted(changes, starts, "right") < np.searchsorted(changes, stops, "left")
+        found = self.chrom.take(pa.array(starts)).to_pylist()
+        for i in np.flatnonzero(mixed):
+            a, b = int(starts[i]), int(stops[i])
+            places = list(zip(*(map(_rank, c.slice(a, b - a).to_pylist()) for c in self.order)))
+            found[i] = self.chrom[a + min(range(b - a), key=places.__getitem__)].as_py()
+        return found
+
+
+def gene_edits(located: DataFrame, order: str = "row_no", heavy: int = HEAVY_ROWS) -> DataFrame:
     """Per gene the edits from right to left, the first chromosome and the variant count.
 
-    Substitutions at one position touch nothing but that position, so only the
-    last of them counts; it is found before the variants of a gene come
-    together. The edits of a gene make one text, so they meet in one row: what is
+    The edits of a gene make one text, so they meet in one row: what is
     gathered is bounded by the text, whose characters deletions use up, and by
     the insertions, which are part of the result.
     """
-    reduced = reduced_edits(located, order)
-    changing = F.col("_own").isNull() | (F.col("_last.ref_size") != F.length("_last.alt"))
-    return reduced.groupBy("gene").agg(
-        F.sort_array(F.collect_list(F.when(changing, F.struct(
-            (-F.col("pos")).alias("back"), F.col(f"_last.{order}").alias("order"),
-            F.col("_last.ref_size").alias("ref_size"), F.col("_last.alt").alias("alt"),
-        )))).alias("_sorted"),
-        F.min("_first")["chrom"].alias("chrom"),
-        F.sum("_n").alias("n_variants"),
-    ).select(
-        "gene", "chrom", "n_variants",
-        F.transform("_sorted", lambda e: F.struct(
-            (-e["back"]).alias("pos"), e["ref_size"].alias("ref_size"), e["alt"].alias("alt"),
-        )).alias("edits"),
-    )
+    edits = reduced_edits(located, order, heavy)
+
+    def run(batches):
+        for batch in _whole_runs(batches):
+            runs = _Runs(batch)
+            keep = runs.changing()
+            kept = pa.array(keep)
+            rows = pa.StructArray.from_arrays(
+                [runs.pos.filter(kept), runs.ref_size.filter(kept), runs.alt.filter(kept)], ["pos", "ref_size", "alt"])
+            bounds = np.concatenate([[0], np.cumsum(keep)[runs.stops - 1]]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([
+                runs.gene.take(pa.array(runs.starts)), pa.array(runs.first_chrom(runs.starts, runs.stops), runs.chrom.type),
+                pa.array(runs.n_variants), pa.ListArray.from_arrays(pa.array(bounds), rows)],
+                ["gene", "chrom", "n_variants", "edits"])
+
+    return _in_order_of_edits(edits, order).mapInArrow(
+        run, "gene string, chrom string, n_variants long, edits array<struct<pos:long,ref_size:int,alt:string>>")
+
+
+def edited_genes(edits: DataFrame, references: DataFrame, order: str = "row_no", strict: bool = True) -> DataFrame:
+    """`(gene, chrom, n_variants, ref_dna, var_dna)` out of `reduced_edits` and references `(id, seq)`.
+
+    References go to the tasks of their genes as rows ahead of the edits, so one
+    shuffle brings both together, whatever the size of either.
+    """
+    ahead = references.select(
+        F.col("id").alias("gene"), F.lit((1 << 63) - 1).alias("pos"), F.lit(0).alias("ref_size"), F.lit("").alias("alt"),
+        F.lit(None).cast("string").alias("chrom"), F.lit(None).cast(edits.schema[order].dataType).alias(order),
+        F.lit(0).cast("long").alias("_n"), F.col("seq").alias("_seq"))
+    rows = edits.withColumn("_seq", F.lit(None).cast("string")).unionByName(ahead).filter(F.col("gene").isNotNull())
+
+    def run(batches):
+        for batch in _whole_runs(batches):
+            runs = _Runs(batch, order=7)
+            given = np.add.reduceat((runs.n == 0).astype(np.int64), runs.starts)
+            both = np.flatnonzero((given > 0) & (runs.n_variants > 0))
+            firsts, stops = (runs.starts + given)[both], runs.stops[both]
+            keep = runs.changing()
+            kept = pa.array(keep)
+            placed = np.concatenate([[0], np.cumsum(keep)])
+            pos, ref_size, alt = (_listed(c.filter(kept)) for c in (runs.pos, runs.ref_size, runs.alt))
+            texts = batch.column(6)
+            at, edited = [], []
+            for i, first, stop in zip(both.tolist(), firsts.tolist(), stops.tolist()):
+                a, b = placed[first], placed[stop]
+                own = list(zip(pos[a:b], ref_size[a:b], alt[a:b]))
+                for row in range(first - int(given[i]), first):
+                    text = texts[row].as_py()
+                    at.append(row)
+                    edited.append(None if text is None else edited_text(text, own, strict))
+            each = pa.array(np.repeat(np.arange(len(both)), given[both]))
+            chroms = pa.array(runs.first_chrom(firsts, stops), runs.chrom.type)
+            yield pa.RecordBatch.from_arrays([
+                runs.gene.take(pa.array(at, pa.int64())), chroms.take(each),
+                pa.array(runs.n_variants[both]).take(each), texts.take(pa.array(at, pa.int64())), pa.array(edited, pa.string())],
+                ["gene", "chrom", "n_variants", "ref_dna", "var_dna"])
+
+    return _in_order_of_edits(rows, order, "_seq").mapInArrow(
+        run, "gene string, chrom string, n_variants long, ref_dna string, var_dna string")
 
 
 def apply_variants(
-    located: DataFrame, references: DataFrame, order: str = "row_no", strict: bool = True
+    located: DataFrame, references: DataFrame, order: str = "row_no", strict: bool = True, heavy: int = HEAVY_ROWS
 ) -> DataFrame:
     """One record per gene that has variants and a reference.
 
     `references` has unique `id` and `seq`. Gives the reference and the edited
     text and their translations up to the first stop.
     """
-    edits = gene_edits(applicable_variants(located), order)
-    records = edits.join(references.select(F.col("id").alias("gene"), F.col("seq").alias("ref_dna")), "gene")
-    edited = records.withColumn("var_dna", apply_edits("ref_dna", "edits", strict))
-    return edited.select(
+    edits = reduced_edits(applicable_variants(located), order, heavy)
+    return edited_genes(edits, references, order, strict).select(
         "gene", "chrom", "n_variants", "ref_dna", "var_dna",
         translate("ref_dna", to_stop=True).alias("ref_protein"),
         translate("var_dna", to_stop=True).alias("var_protein"),

@@ -180,14 +180,14 @@ def edit_chunks(
 
 def _edit_lists(edits: DataFrame, order: str, size: int) -> DataFrame:
     """The operations of every chunk that has some, from right to left, as flat lists."""
-    removed, alt = F.col("_last.ref_size"), F.col("_last.alt")
+    removed, alt = F.col("ref_size"), F.col("alt")
     added = F.length(alt)
     single = (removed == 1) & (added == 1)
     chunk = F.greatest(F.lit(0).cast("long"), F.least(F.floor(F.col("pos") / size), F.col("final")))
     at = F.when(single, F.col("pos")).otherwise(F.col("pos") + F.least(removed, added))
     changing = edits.filter(single | (removed != added)).select(
         "gene", chunk.alias("chunk"), F.struct(
-            (-F.col("pos")).alias("back"), F.col(f"_last.{order}").alias("order"), (at - chunk * size).alias("at"),
+            (-F.col("pos")).alias("back"), F.col(order).alias("order"), (at - chunk * size).alias("at"),
             F.when(single, 1).otherwise(F.greatest(removed - added, F.lit(0))).cast("long").alias("remove"),
             F.upper(F.when(single, alt).otherwise(F.substring(alt, removed + 1, added))).alias("insert"),
         ).alias("_edit"))

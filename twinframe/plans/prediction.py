@@ -16,12 +16,19 @@ from ..functions.sequence import find_edits_sql
 from ..functions.vector import argmax, confidence, softmax
 from ..operators.assemble import apply_variants, locate_variants
 from ..operators.features import pair_features
+from ..session import materialize
 
 
 def variant_records(variants: DataFrame, references: DataFrame, annotations: DataFrame | None = None,
                     strict: bool = True) -> DataFrame:
-    """Gene records out of variants: located, joined to references, applied, translated."""
-    return apply_variants(locate_variants(variants, annotations), references, strict=strict)
+    """Gene records out of variants: located, joined to references, applied, translated.
+
+    Located variants are read twice, so with annotations they are stored.
+    """
+    located = locate_variants(variants, annotations)
+    if annotations is not None:
+        located = materialize(located, "located")
+    return apply_variants(located, references, strict=strict)
 
 
 def with_features(records: DataFrame, max_length: int | None = None) -> DataFrame:
@@ -34,9 +41,10 @@ def predict(
 ) -> DataFrame:
     """Add `prediction`, `confidence` and `probabilities` from `logits` (key, logits).
 
-    Both tables have one row per key.
+    Both tables have one row per key, so both are shuffled: neither grows slower
+    than the other, and Spark may take one for small that is not.
     """
-    joined = records.join(logits.select(key, "logits"), key)
+    joined = records.join(logits.select(key, "logits").hint("merge"), key)
     label = F.create_map(*(F.lit(x) for pair in names.items() for x in pair))
     return (
         joined.withColumn("probabilities", softmax("logits")).drop("logits")
