@@ -192,3 +192,27 @@ def test_places_in_hash_order(spark):
     df = spark.range(500).withColumnRenamed("id", "key")
     places = {r.key: r.place for r in c.places_in_hash_order(df, ["key"]).collect()}
     assert [places[r.key] for r in c.shuffle_rows(df, ["key"]).collect()] == list(range(1, 501))
+
+
+def test_statistics_of_assays_are_added_up_without_sorting(spark):
+    refs = spark.createDataFrame([("a", "MKTL")], "assay string, ref_seq string")
+    df = spark.createDataFrame(
+        [("a", 1.0, "x", 1), ("a", 3.0, "y", 2), ("b", 0.0, "first", 3), ("b", 0.05, "second", 4), ("b", None, "z", 5)],
+        "assay string, score double, mutated_sequence string, row_no int")
+    table = c.assay_table(df.select("assay", "score"), refs, infer=False)
+    assert "SortAggregate" not in table._jdf.queryExecution().executedPlan().toString()
+    assert {(r.assay, r.mean, r.n, r.ref_seq) for r in table.collect()} == {("a", 2.0, 2, "MKTL"), ("b", 0.025, 3, None)}
+    whole = c.assay_table(df, refs)
+    assert {(r.assay, r.mean, r.n, r.ref_seq) for r in whole.collect()} == {("a", 2.0, 2, "MKTL"), ("b", 0.025, 3, "first")}
+    # The neutral band is filtered before anything is sorted.
+    sorted_in = whole._jdf.queryExecution().optimizedPlan().toString().split("min_by")[1]
+    assert "Filter" in sorted_in
+
+
+def test_pairs_known_to_be_unique_are_not_compared_again(spark):
+    rows = [("Ex" if i % 5 else "Out", "MKTL", f"MKT{i}", i % 3) for i in range(90)]
+    df = spark.createDataFrame(rows, "species string, ref_seq string, var_seq string, label int")
+    known = balance_and_split(df, per_class=20, hold_out=["Out"], unique=True)
+    compared = balance_and_split(df.withColumn("row_no", F.lit(1)), per_class=20, hold_out=["Out"])
+    key = ("ref_seq", "var_seq", "label", "split")
+    assert sorted(known.select(*key).collect()) == sorted(compared.select(*key).collect())

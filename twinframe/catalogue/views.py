@@ -76,6 +76,25 @@ TURNS = """(
   FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1)"""
 
 
+def assay_view(spark: SparkSession, sf: str) -> DataFrame:
+    """The assays of `scored_view`, each with its reference text."""
+    suppliers = table(spark, sf, "lineitem").select("l_suppkey").distinct()
+    return suppliers.select(_assay().alias("assay")).withColumn("ref_seq", letters_of(F.col("assay")))
+
+
+def _assay() -> Column:
+    return F.concat(F.lit("S"), F.col("l_suppkey").cast("string"), F.lit("_N"), (F.col("l_suppkey") % 25).cast("string"))
+
+
+def _score() -> Column:
+    return F.when(F.col("l_tax") < 0.075, F.col("l_extendedprice"))
+
+
+def price_view(spark: SparkSession, sf: str) -> DataFrame:
+    """Assays and scores of the rows of `scored_view`, without their texts."""
+    return table(spark, sf, "lineitem").select(_assay().alias("assay"), _score().alias("score"))
+
+
 def scored_view(spark: SparkSession, sf: str) -> DataFrame:
     """Scores out of `lineitem`: one assay per supplier, with edit codes."""
     ref, pos = F.col("ref_seq"), F.col("pos")
@@ -88,8 +107,7 @@ def scored_view(spark: SparkSession, sf: str) -> DataFrame:
     first_code = F.when(line == 7, F.concat(F.lit("?"), pos.cast("string"), F.col("letter"))).otherwise(
         code(pos, F.col("letter")))
     columns = " ".join(LINE_KEY) + " l_tax"
-    lines = spread_scan(table(spark, sf, "lineitem").select(*columns.split())).withColumn("assay", F.concat(
-        F.lit("S"), F.col("l_suppkey").cast("string"), F.lit("_N"), (F.col("l_suppkey") % 25).cast("string")))
+    lines = spread_scan(table(spark, sf, "lineitem").select(*columns.split())).withColumn("assay", _assay())
     return (
         with_once(lines, ref_seq=letters_of(F.col("assay")))
         .withColumns({
@@ -99,7 +117,7 @@ def scored_view(spark: SparkSession, sf: str) -> DataFrame:
         })
         .select(
             "assay", "ref_seq",
-            F.when(F.col("l_tax") < 0.075, F.col("l_extendedprice")).alias("score"),
+            _score().alias("score"),
             F.when(line.isin(2, 4), F.concat_ws(":", first_code, code(second, F.lit("Y"))))
             .otherwise(first_code).alias("mutant"),
             F.when(line == 1, F.substring(ref, F.lit(1), pos)).alias("mutated_sequence"),

@@ -162,7 +162,9 @@ def apply_edit_codes_sql(ref: str, codes: str) -> str:
         rf" WHEN {middle} RLIKE R'^\s*[+-]?\d+(_\d+)*\s*$'"
         f" THEN try_cast(replace({middle}, '_', '') AS int) END"
     )
-    parts = f"transform(split(coalesce({codes}, ''), '[:;]'), c -> btrim(c, ' \\t\\n\\r\\u000B\\u000C'))"
+    # A separator of one plain character is split at without a regular expression.
+    parts = (
+        f"transform(split(replace(coalesce({codes}, ''), ';', ':'), ':'), c -> btrim(c, ' \\t\\n\\r\\u000B\\u000C'))")
     parsed = (
         f"transform(filter({parts}, c -> length(c) >= 3), c -> named_struct("
         f"'old', left(c, 1), 'new', right(c, 1), 'at', {number}))"

@@ -99,27 +99,28 @@ def with_references(
     return lookup_join(scores, renamed, [assay], how="inner")
 
 
-def assay_table(scores: DataFrame, references: DataFrame) -> DataFrame:
+def assay_table(scores: DataFrame, references: DataFrame, infer: bool = True) -> DataFrame:
     """Per assay the reference, the mean and deviation of its scores, and its rows.
 
-    One pass over the scores gives what `inferred_references` and
-    `score_statistics` give. `ref_seq` is null for an assay without a reference.
+    `ref_seq` is null for an assay without a reference. Statistics are numbers,
+    which Spark adds up by hashing; the texts of `inferred_references`, for which
+    it sorts, are looked for apart, among the few rows of the neutral band.
+    Without `infer` they are not, and the scores need `assay` and `score` only.
     """
     scored = F.when(has_score("score"), F.col("score"))
-    near = F.col("score").between(*NEUTRAL_BAND)
     sd = F.stddev_samp(scored)
-    return (
+    found = (
         scores.groupBy("assay").agg(
             F.avg(scored).alias("mean"),
             F.when(sd == 0, F.lit(1.0)).otherwise(sd).alias("sd"),
-            F.min_by("mutated_sequence", F.when(near, F.col("row_no"))).alias("_inferred"),
             F.count(F.lit(1)).alias("n"),
         )
         .join(references.select("assay", "ref_seq"), "assay", "left")
-        .select(
-            "assay", "mean", "sd", "n",
-            F.coalesce("ref_seq", F.when(F.length("_inferred") > 0, F.col("_inferred"))).alias("ref_seq"))
     )
+    if not infer:
+        return found
+    return found.join(inferred_references(scores), "assay", "left").select(
+        "assay", "mean", "sd", "n", F.coalesce("ref_seq", "inferred_seq").alias("ref_seq"))
 
 
 def score_statistics(df: DataFrame, by: Sequence[str], score: str) -> DataFrame:

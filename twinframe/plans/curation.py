@@ -32,21 +32,25 @@ def label_pairs(
     high: float = 1.0,
     group_names: Mapping[str, str] | None = None,
     source: str = "",
+    assays: DataFrame | None = None,
 ) -> DataFrame:
     """Labelled pairs out of scores: `assay`, `score`, `mutant`, `mutated_sequence`, `row_no`.
 
     Statistics cover every scored row of an assay; pairs that do not change the
     reference are dropped after that, then all but the first copy of each pair.
+    `assays` stands for `assay_table(scores, references)` where the caller has a
+    cheaper way to it, such as scores without texts.
     """
-    assays = assay_table(scores, references)
+    # The group follows from the assay, so it is looked up once for each.
+    if assays is None:
+        assays = assay_table(scores, references)
+    assays = assays.withColumn("species", first_known_token("assay", group_names or {}))
     known = lookup_join(scores.filter(has_score("score")), assays, ["assay"], "n").filter("ref_seq IS NOT NULL")
     scored = known.withColumn("zscore", (F.col("score") - F.col("mean")) / F.col("sd"))
     labelled = with_labels(scored, "zscore", low, high)
     built = with_once(labelled, var_seq=build_variant("ref_seq", "mutant", "mutated_sequence"))
     pairs = built.select(
-        F.col("assay").alias("gene"),
-        first_known_token("assay", group_names or {}).alias("species"),
-        "ref_seq", "var_seq",
+        F.col("assay").alias("gene"), "species", "ref_seq", "var_seq",
         "label", "score", "zscore", F.lit(source).alias("source"), "row_no",
     ).filter(is_changed_pair("ref_seq", "var_seq"))
     return first_per_key(pairs, PAIR, ["row_no"])
@@ -63,17 +67,19 @@ def balance_and_split(
     key: Sequence[str] = tuple(PAIR),
     order: Sequence[str] = ("row_no",),
     store: bool = True,
+    unique: bool = False,
 ) -> DataFrame:
     """Drop empty and repeated pairs, balance the classes and add `split`.
 
-    Sampling and splitting read their input several times. With `store` the
+    With `unique` the pairs are known to be neither, as those of `label_pairs`
+    are; `order` is not looked at then, so its columns may be missing. Sampling and splitting read their input several times. With `store` the
     deduplicated and the balanced pairs are therefore written once each to the
     shared folder.
     """
-    unique = first_per_key(pairs.filter(not_empty(*PAIR)), PAIR, list(order))
+    kept = pairs if unique else first_per_key(pairs.filter(not_empty(*PAIR)), PAIR, list(order))
     if store:
-        unique = materialize(unique, "unique-pairs")
-    balanced = balance_classes(unique, list(key), per_class, classes=classes, seed=seed)
+        kept = materialize(kept, "unique-pairs")
+    balanced = balance_classes(kept, list(key), per_class, classes=classes, seed=seed)
     if store:
         balanced = materialize(balanced, "balanced-pairs")
     return stratified_split(
