@@ -245,3 +245,36 @@ def test_a_run_of_one_gene_over_many_batches_stays_whole():
     batches = [pa.RecordBatch.from_arrays([pa.array(list(x), pa.string())], ["gene"]) for x in ("ab", "b", "bbc", "", "d", "de")]
     got = ["".join(b.column(0).to_pylist()) for b in a._whole_runs(batches)]
     assert "".join(got) == "abbbbcdde" and all(x[-1] != y[0] for x, y in zip(got, got[1:]))
+
+
+def test_genes_that_are_chromosomes_need_no_chromosomes(spark):
+    rng = random.Random(3)
+    rows = [(f"g{rng.randrange(5)}", rng.randrange(30), *rng.choice([("A", "t"), ("A", "ACC"), ("ACG", "A")]), i) for i in range(300)]
+    variants = variant_frame(spark, [r for r in rows if r[0] != "g4"])
+    refs = spark.createDataFrame([(f"g{i}", "ACGTTGCA" * 9 + "RU" * i) for i in range(6)], "id string, seq string")
+    located = a.locate_variants(variants)
+    handed = a._in_order_of_edits(a.reduced_edits(located.drop("chrom")), "row_no").columns
+    assert {"gene", "pos", "ref_size", "alt", "_n"} <= {*handed} and not any(c == "chrom" or "_order" in c for c in handed)
+    for heavy in (3, 100_000):
+        got = sorted(a.apply_variants(located.drop("chrom"), refs, heavy=heavy).collect())
+        assert [r.gene for r in got] == ["g0", "g1", "g2", "g3"] == [r.chrom for r in got]
+        assert got == sorted(a.apply_variants(located, refs, heavy=heavy).collect())
+        assert sorted(a.gene_edits(located.drop("chrom"), heavy=heavy).collect()) == sorted(a.gene_edits(located, heavy=heavy).collect())
+    assert "transform" not in plan_of(a.apply_variants(located, refs))
+
+
+def test_short_texts_are_edited_as_long_ones(monkeypatch):
+    rng = random.Random(6)
+    for _ in range(2000):
+        text = "".join(rng.choice("ACGT") for _ in range(rng.randrange(12)))
+        edits = [(rng.randrange(-1, 14), *rng.choice([(1, "c"), (1, "ACC"), (4, "A"), (2, "GT"), (2, "acg")])) for _ in range(rng.randrange(5))]
+        edits = sorted(edits, key=lambda e: -e[0])
+        for strict in (True, False):
+            found = []
+            for size in (4096, 6, -1):
+                monkeypatch.setattr(a, "SHORT_TEXT", size)
+                try:
+                    found.append(a.edited_text(text, edits, strict))
+                except ValueError as error:
+                    found.append(str(error))
+            assert found[0] == found[1] == found[2], (text, edits, found)

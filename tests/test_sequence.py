@@ -156,3 +156,12 @@ def test_translation_reads_small_letters_of_any_kind(spark):
     got = [r[0] for r in rows.select(s.translate("t")).collect()]
     wanted = [r[0] for r in rows.selectExpr("upper(t) t").select(s.translate("t")).collect()]
     assert got == wanted and got[:2] == ["MA*", "T"] and got[4:] == ["", "", None]
+
+
+def test_translated_agrees_with_translate(spark):
+    rng = random.Random(2)
+    texts = [None, "", "A", "AC", "ACGT", "acguRYn", "TAA", "ACGTAAAC", "ACG-", "ACGT-", "ACGN*", "ACGß", "ﬅA", "tſa", "ACGé", "AC G", "ACG\nTT", "ATG\n"]
+    texts += ["".join(rng.choice(letters) for _ in range(rng.randrange(40))) for letters in ("ACGT", "acgtuU", "ACGTRYKMSWBDHVN", "ACGTX") for _ in range(100)]
+    df = spark.createDataFrame([(t,) for t in texts], "d string").repartition(2)
+    for r in df.select("d", s.translate("d").alias("p"), s.translate("d", True).alias("e")).collect():
+        assert (s.translated(r.d), s.translated(r.d, True)) == (r.p, r.e), r

@@ -113,7 +113,7 @@ SELECT chrom AS gene, count(*) AS n_variants, sum(pos * place) AS weighted FROM
     "sum(pos * place)", "CAST(sum(pos * place) AS BIGINT)"))
 def gene_edit_order(spark, sf):
     sizes = a.applicable_variants(variant_view(spark, sf)).filter(F.length("ref") != F.length("alt"))
-    edits = a.gene_edits(a.locate_variants(sizes))
+    edits = a.gene_edits(a.locate_variants(sizes).drop("chrom"))
     weighted = F.expr("aggregate(transform(edits, (e, i) -> e.pos * (i + 1)), 0L, (acc, x) -> acc + x)")
     return edits.select("gene", "n_variants", weighted.alias("weighted"))
 

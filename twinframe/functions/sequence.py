@@ -2,6 +2,7 @@
 
 Everything here is a native Spark expression: nothing crosses into Python at
 run time, so the functions work in batch, in SQL projections and on streams.
+Only `translated` is plain Python, for texts that are in a Python task anyway.
 
 Arguments are SQL text, mostly the name of a column; where one is used inside a
 lambda, the lambda's own names end in two underscores to stay apart. Each expression is written
@@ -15,6 +16,7 @@ Positions in edit events are 1-based; positions taken by the editing functions
 
 from __future__ import annotations
 
+from functools import cache
 from itertools import product
 
 from pyspark.sql import Column
@@ -237,6 +239,23 @@ def translate(dna: str, to_stop: bool = False) -> Column:
     return F.expr(translate_sql(dna, to_stop))
 
 
+@cache
+def _codons() -> dict[str, str]:
+    return {"".join(c): _product_of("".join(c)) for c in product(AMBIGUITY, repeat=3)}
+
+
+def translated(dna: str | None, to_stop: bool = False) -> str | None:
+    """What `translate` gives, for one text."""
+    if dna is None:
+        return None
+    text = dna.upper().replace("U", "T")
+    try:
+        protein = "".join(map(_codons().__getitem__, map("".join, zip(*[iter(text)] * 3))))
+    except KeyError:
+        return ""
+    return protein.partition(STOP)[0] if to_stop else protein
+
+
 def is_nucleotide_sql(text: str, first: int = 100) -> str:
     return rf"(left({text}, {first}) RLIKE R'\A[ATGCN]*\z')"
 

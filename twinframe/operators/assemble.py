@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.sequence import drop_stops, is_nucleotide, translate
+from ..functions.sequence import drop_stops, is_nucleotide, translate, translated
 from ..session import materialize
 from .spread import SPLIT, lookup_join
 
@@ -22,6 +23,8 @@ RADIX_BITS = 3
 LEVELS = 10
 # Genes are counted by so many hashes; where more rows have one, its substitutions are reduced ahead.
 GENE_BUCKETS, HEAVY_ROWS = 1 << 16, 100_000
+# Up to so many characters it is cheaper to copy a text for an edit than to keep it in pieces.
+SHORT_TEXT = 4096
 
 
 def interval_blocks(intervals: DataFrame) -> DataFrame:
@@ -300,12 +303,22 @@ def edit_part(text: str, operations, last: bool = True, strict: bool = True, inn
 
 def edited_text(text: str, edits, strict: bool = True) -> str:
     """Apply (pos, ref_size, alt) edits that come from right to left to one text."""
-    return edit_part(text, filter(None, (edit_operation(*edit) for edit in edits)), strict=strict)[0]
+    operations = filter(None, (edit_operation(*edit) for edit in edits))
+    for operation in operations:
+        at, remove, insert, _ = operation
+        size = len(text)
+        if size > SHORT_TEXT or at < 0 or at + bool(remove) > size:
+            text = edit_part(text, chain([operation], operations) if size > SHORT_TEXT else [operation], strict=strict)[0]
+        else:
+            text = text[:at] + insert + text[at + remove:]
+    return text
 
 
 def reduced_edits(located: DataFrame, order: str = "row_no", heavy: int = HEAVY_ROWS) -> DataFrame:
     """`(gene, pos, ref_size, alt, chrom, <order>, _n)`: edits that stand for `_n` variants each, together for all.
 
+    Without a column `chrom` in `located` there is none here: genes are chromosomes then.
+
     Substitutions at one position touch nothing but that position, so only the
     last of them counts. In genes of many rows the first and the last are
     found before the variants of a gene come together; elsewhere all rows stay.
@@ -314,15 +327,16 @@ def reduced_edits(located: DataFrame, order: str = "row_no", heavy: int = HEAVY_
     any other has fewer rows than one in `SPLIT`.
     """
     bucket = F.pmod(F.xxhash64("gene"), F.lit(GENE_BUCKETS))
+    chrom = _chrom(located)
     plain = located.select(
-        "gene", F.col("local_pos").cast("long").alias("pos"), F.length("ref").alias("ref_size"), "alt", "chrom", order,
+        "gene", F.col("local_pos").cast("long").alias("pos"), F.length("ref").alias("ref_size"), "alt", *chrom, order,
         F.lit(1).cast("long").alias("_n"))
     counted = located.groupBy(bucket.alias("_bucket")).agg(F.count(F.lit(1)).alias("_rows"))
     many = [r["_bucket"] for r in counted.filter(F.col("_rows") > heavy).orderBy(F.desc("_rows")).limit(SPLIT).collect()]
     if not many:
         return plain
     repeated = F.coalesce(bucket.isin(many) & (F.col("ref_size") == 1) & (F.length("alt") == 1), F.lit(False))
-    variant = F.struct(order, "ref_size", "alt", "chrom")
+    variant = F.struct(order, "ref_size", "alt", *chrom)
     ends = plain.filter(repeated).groupBy("gene", "pos").agg(
         F.min_by(variant, order).alias("_first"), F.max_by(variant, order).alias("_last"), F.count(F.lit(1)).alias("_rows"))
     last = F.struct("_last.*", F.greatest(F.col("_rows") - 1, F.lit(1)).cast("long").alias("_n"))
@@ -331,16 +345,22 @@ def reduced_edits(located: DataFrame, order: str = "row_no", heavy: int = HEAVY_
     return plain.filter(~repeated).unionByName(reduced)
 
 
+def _chrom(df: DataFrame) -> list[str]:
+    return [c for c in df.columns if c == "chrom"]
+
+
 def _in_order_of_edits(edits: DataFrame, order: str, *further: str) -> DataFrame:
     """Rows of one gene in one task and next to each other, its edits from right to left.
 
-    The fields of an `order` of several come last, one column each, as structs
-    are slow to hand over row by row.
+    Chromosomes and the order, which only they need later, come last. The fields
+    of an `order` of several are one column each, as structs are slow to hand
+    over row by row.
     """
     kind = edits.schema[order].dataType
     fields = [F.col(order)[f] for f in kind.fieldNames()] if isinstance(kind, T.StructType) else [F.col(order)]
+    places = [f.alias(f"_order{i}") for i, f in enumerate(fields)] if _chrom(edits) else []
     return edits.repartition("gene").sortWithinPartitions("gene", F.desc("pos"), order).select(
-        "gene", "pos", "ref_size", "alt", "chrom", "_n", *further, *(f.alias(f"_order{i}") for i, f in enumerate(fields)))
+        "gene", "pos", "ref_size", "alt", "_n", *further, *_chrom(edits), *places)
 
 
 def _whole_runs(batches):
@@ -386,11 +406,11 @@ def _listed(column: pa.Array) -> list:
 
 
 class _Runs:
-    """The genes of a batch that `_in_order_of_edits` gives; `order` is the place of its first column of order."""
+    """The genes of a batch that `_in_order_of_edits` gives; `chrom` is the place of the chromosomes, if there are any."""
 
-    def __init__(self, batch: pa.RecordBatch, order: int = 6):
-        self.gene, self.pos, self.ref_size, self.alt, self.chrom, n = batch.columns[:6]
-        self.order = batch.columns[order:]
+    def __init__(self, batch: pa.RecordBatch, chrom: int = 5):
+        self.gene, self.pos, self.ref_size, self.alt, n = batch.columns[:5]
+        self.chrom, *self.order = batch.columns[chrom:] or [self.gene]
         self.stops = _runs(self.gene)
         self.starts = np.concatenate([[0], self.stops[:-1]]).astype(np.int64)
         self.n = n.to_numpy()
@@ -447,20 +467,20 @@ def gene_edits(located: DataFrame, order: str = "row_no", heavy: int = HEAVY_ROW
 
 
 def edited_genes(edits: DataFrame, references: DataFrame, order: str = "row_no", strict: bool = True) -> DataFrame:
-    """`(gene, chrom, n_variants, ref_dna, var_dna)` out of `reduced_edits` and references `(id, seq)`.
+    """One record per gene out of `reduced_edits` and references `(id, seq)`, see `apply_variants`.
 
     References go to the tasks of their genes as rows ahead of the edits, so one
     shuffle brings both together, whatever the size of either.
     """
     ahead = references.select(
         F.col("id").alias("gene"), F.lit((1 << 63) - 1).alias("pos"), F.lit(0).alias("ref_size"), F.lit("").alias("alt"),
-        F.lit(None).cast("string").alias("chrom"), F.lit(None).cast(edits.schema[order].dataType).alias(order),
+        *(F.lit(None).cast("string").alias(c) for c in _chrom(edits)), F.lit(None).cast(edits.schema[order].dataType).alias(order),
         F.lit(0).cast("long").alias("_n"), F.col("seq").alias("_seq"))
     rows = edits.withColumn("_seq", F.lit(None).cast("string")).unionByName(ahead).filter(F.col("gene").isNotNull())
 
     def run(batches):
         for batch in _whole_runs(batches):
-            runs = _Runs(batch, order=7)
+            runs = _Runs(batch, chrom=6)
             given = np.add.reduceat((runs.n == 0).astype(np.int64), runs.starts)
             both = np.flatnonzero((given > 0) & (runs.n_variants > 0))
             firsts, stops = (runs.starts + given)[both], runs.stops[both]
@@ -468,8 +488,8 @@ def edited_genes(edits: DataFrame, references: DataFrame, order: str = "row_no",
             kept = pa.array(keep)
             placed = np.concatenate([[0], np.cumsum(keep)])
             pos, ref_size, alt = (_listed(c.filter(kept)) for c in (runs.pos, runs.ref_size, runs.alt))
-            texts = batch.column(6)
-            at, edited = [], []
+            texts = batch.column(5)
+            at, edited, proteins = [], [], []
             for i, first, stop in zip(both.tolist(), firsts.tolist(), stops.tolist()):
                 a, b = placed[first], placed[stop]
                 own = list(zip(pos[a:b], ref_size[a:b], alt[a:b]))
@@ -477,15 +497,18 @@ def edited_genes(edits: DataFrame, references: DataFrame, order: str = "row_no",
                     text = texts[row].as_py()
                     at.append(row)
                     edited.append(None if text is None else edited_text(text, own, strict))
+                    proteins.append(translated(text, to_stop=True))
+            edited_proteins = [translated(text, to_stop=True) for text in edited]
             each = pa.array(np.repeat(np.arange(len(both)), given[both]))
             chroms = pa.array(runs.first_chrom(firsts, stops), runs.chrom.type)
             yield pa.RecordBatch.from_arrays([
                 runs.gene.take(pa.array(at, pa.int64())), chroms.take(each),
-                pa.array(runs.n_variants[both]).take(each), texts.take(pa.array(at, pa.int64())), pa.array(edited, pa.string())],
-                ["gene", "chrom", "n_variants", "ref_dna", "var_dna"])
+                pa.array(runs.n_variants[both]).take(each), texts.take(pa.array(at, pa.int64())),
+                *(pa.array(column, pa.string()) for column in (edited, proteins, edited_proteins))],
+                ["gene", "chrom", "n_variants", "ref_dna", "var_dna", "ref_protein", "var_protein"])
 
     return _in_order_of_edits(rows, order, "_seq").mapInArrow(
-        run, "gene string, chrom string, n_variants long, ref_dna string, var_dna string")
+        run, "gene string, chrom string, n_variants long, ref_dna string, var_dna string, ref_protein string, var_protein string")
 
 
 def apply_variants(
@@ -494,14 +517,10 @@ def apply_variants(
     """One record per gene that has variants and a reference.
 
     `references` has unique `id` and `seq`. Gives the reference and the edited
-    text and their translations up to the first stop.
+    text and their translations up to the first stop. Where genes are
+    chromosomes, leave `chrom` out of `located`: less goes through the shuffle.
     """
-    edits = reduced_edits(applicable_variants(located), order, heavy)
-    return edited_genes(edits, references, order, strict).select(
-        "gene", "chrom", "n_variants", "ref_dna", "var_dna",
-        translate("ref_dna", to_stop=True).alias("ref_protein"),
-        translate("var_dna", to_stop=True).alias("var_protein"),
-    )
+    return edited_genes(reduced_edits(applicable_variants(located), order, heavy), references, order, strict)
 
 
 def variant_details(located: DataFrame, references: DataFrame) -> DataFrame:

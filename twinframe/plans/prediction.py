@@ -24,10 +24,10 @@ def variant_records(variants: DataFrame, references: DataFrame, annotations: Dat
     """Gene records out of variants: located, joined to references, applied, translated.
 
     Located variants are read twice, so with annotations they are stored.
+    Without, genes are chromosomes.
     """
     located = locate_variants(variants, annotations)
-    if annotations is not None:
-        located = materialize(located, "located")
+    located = located.drop("chrom") if annotations is None else materialize(located, "located")
     return apply_variants(located, references, strict=strict)
 
 
