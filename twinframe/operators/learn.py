@@ -1,4 +1,4 @@
-"""Standardised features and the three baseline classifiers, on MLlib.
+"""Standardised features and the three baseline classifiers, on MLlib but for forests of many rows and trees.
 
 Training reads its rows many times, so hand over tables that are cheap to read,
 such as those written by `materialize`.
@@ -18,9 +18,12 @@ from pyspark.sql import functions as F
 
 from ..functions.vector import doubles_sql
 from ..session import materialize
+from . import forest
 
-# A part of a forest has at most so many rows times trees.
+# MLlib trains at most so many rows times trees at once.
 ROW_TREES = 4_000_000
+# Rows of at most so many components in all are held by the task of a tree, a byte each.
+TREE_BYTES = 100_000_000
 
 
 def column_statistics(df: DataFrame, vector: str = "features") -> DataFrame:
@@ -121,22 +124,13 @@ def _forest_sizes(trees: int, rows: int, row_trees: int) -> list[int]:
     return [trees // parts + (i < trees % parts) for i in range(parts)]
 
 
-def random_forest(
-    train: DataFrame, test: DataFrame, vector: str = "features", label: str = "label",
-    trees: int = 500, min_leaf: int = 5, max_depth: int = 30, seed: int = 42, row_trees: int = ROW_TREES,
+def _forest_in_parts(
+    train, test, statistics, n: int, vector, label, trees, min_leaf, max_depth, seed, row_trees,
 ) -> DataFrame:
-    """Random forest. MLlib limits the depth of a tree to 30.
-
-    MLlib holds a number per row and tree while it trains, and all trees where it
-    predicts; both grow with rows times trees. So a large forest is trained in
-    parts of at most `row_trees`, of which only one is held at a time: the votes of
-    its trees are added to those stored with the test rows. Part i has the seed
-    `seed + i`.
-    """
-    statistics = materialize(column_statistics(train, vector), "column-statistics")
+    """The test rows with `_votes` of MLlib's trees, trained in parts."""
     rows = materialize(_prepared(standardize(train, statistics, vector), label).select("_features", "_label"), "forest-rows")
     scored = _prepared(standardize(test, statistics, vector), label).select(*test.columns, "_features")
-    for i, size in enumerate(_forest_sizes(trees, rows.count(), row_trees)):
+    for i, size in enumerate(_forest_sizes(trees, n, row_trees)):
         # Kept node ids spare walking down every deep tree again on each level. The subset is the usual
         # one, which MLlib would not take for a part of one tree.
         fitted = RandomForestClassifier(
@@ -145,6 +139,34 @@ def random_forest(
         own = vector_to_array("rawPrediction")
         votes = own if i == 0 else F.zip_with("_votes", own, lambda a, b: a + b)
         scored = materialize(fitted.transform(scored).select(*test.columns, "_features", votes.alias("_votes")), "votes")
+    return scored
+
+
+def random_forest(
+    train: DataFrame, test: DataFrame, vector: str = "features", label: str = "label",
+    trees: int = 500, min_leaf: int = 5, max_depth: int = 30, seed: int = 42, row_trees: int = ROW_TREES,
+) -> DataFrame:
+    """Random forest. MLlib limits the depth of a tree to 30.
+
+    MLlib holds a number per row and tree while it trains, and passes over all rows
+    once for every few ten thousand nodes of all trees; both grow with rows times trees.
+    So where these exceed `row_trees`, trees are grown side by side, each by one task
+    (`forest`), by the same rules but other random numbers. Rows of more than
+    TREE_BYTES components are too many for a task: there MLlib trains the forest in parts
+    of at most `row_trees`, of which only one is held at a time, and the votes of
+    its trees are added to those stored with the test rows. Part i has the seed
+    `seed + i`.
+    """
+    statistics = materialize(column_statistics(train, vector), "column-statistics")
+    n, width = train.count(), len(statistics.first().mean or [])
+    if n * trees <= row_trees or not 0 < n * width <= TREE_BYTES:
+        scored = _forest_in_parts(train, test, statistics, n, vector, label, trees, min_leaf, max_depth, seed, row_trees)
+    else:
+        rows = materialize(standardize(train, statistics, vector).select("scaled", label), "forest-input")
+        cuts, classes = forest.cut_points(rows, "scaled", width), forest.class_count(rows, label)
+        folder = forest.train(rows, "scaled", label, cuts, classes, trees, min_leaf, max_depth, seed)
+        asked = standardize(test, statistics, vector).select(*test.columns, F.col("scaled").alias("_scaled"))
+        scored = materialize(forest.votes(asked, "_scaled", folder, cuts, classes, "_votes"), "votes")
     total = F.aggregate("_votes", F.lit(0.0), lambda a, b: a + b)
     return scored.select(
         *test.columns, (F.array_position("_votes", F.array_max("_votes")) - 1).cast("int").alias("prediction"),
